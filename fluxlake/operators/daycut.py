@@ -8,7 +8,7 @@ used are chained over the (few) blocks, and only those chains are expanded.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,35 +54,34 @@ def spaced_starts(starts: DataFrame, keys: list[str], time: str = "forecast_star
     key_fields = [f for f in times.schema.fields if f.name in keys]
     long = T.LongType()
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = int(pdf["_block"].iloc[0])
-        chains = _block_chains(np.sort(pdf["_t"].to_numpy()), gap, block * block_len)
-        out = pd.DataFrame(chains, columns=["_entry", "_last", "_kept"])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        out["_block"] = block
-        return out[[*keys, "_block", "_entry", "_last", "_kept"]]
+    def solve(group: pa.Table) -> pa.Table:
+        block = group["_block"][0].as_py()
+        ordered = np.sort(group["_t"].to_numpy())
+        entries, lasts, kept = zip(*_block_chains(ordered, gap, block * block_len))
+        n = len(entries)
+        same = {k: pa.repeat(group[k][0], n) for k in [*keys, "_block"]}
+        return pa.table({**same, "_entry": pa.array(entries, pa.int64()),
+                         "_last": pa.array(lasts, pa.int64()),
+                         "_kept": pa.array(kept, pa.list_(pa.int64()))})
 
     solved_schema = T.StructType(
         [*key_fields, T.StructField("_block", long), T.StructField("_entry", long),
          T.StructField("_last", long), T.StructField("_kept", T.ArrayType(long))])
-    solved = times.groupBy(*keys, "_block").applyInPandas(solve, solved_schema)
+    solved = times.groupBy(*keys, "_block").applyInArrow(solve, solved_schema)
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_entry")
-        entry, last = pdf["_entry"].to_numpy(), pdf["_last"].to_numpy()
+    def chain(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_entry")
+        entry, last = group["_entry"].to_numpy(), group["_last"].to_numpy()
         used, at = [], 0
         while at < len(entry):
             used.append(int(entry[at]))
             at = int(np.searchsorted(entry, last[at] + gap, side="left"))
-        out = pd.DataFrame({"_entry": used})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "_entry"]]
+        same = {k: pa.repeat(group[k][0], len(used)) for k in keys}
+        return pa.table({**same, "_entry": pa.array(used, pa.int64())})
 
     used_schema = T.StructType([*key_fields, T.StructField("_entry", long)])
     used = (solved.select(*keys, "_entry", "_last")
-            .groupBy(*keys).applyInPandas(chain, used_schema))
+            .groupBy(*keys).applyInArrow(chain, used_schema))
     return (
         solved.join(used, [*keys, "_entry"])
         .select(*keys, F.explode("_kept").alias("_t"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fluxlake.plans import evaluation
+from fluxlake.plans import evaluation, preparation
 
-MODULES = (evaluation,)
+MODULES = (preparation, evaluation)
 
 
 def all_queries() -> dict:
