@@ -28,24 +28,34 @@ def keep_one(df: DataFrame, keys: list[str], order: list[str], keep: str = "last
     return picked.select(*keys, "_row.*").select(*df.columns)
 
 
-def previous_time(df: DataFrame, keys: list[str], time: str = "time_utc",
-                  out: str = "prev_time", slice_seconds: int = 86_400) -> DataFrame:
-    """Add the time of the preceding row of the same key (NULL for the first)."""
-    sliced = df.withColumn("_slice", time_slice(time, slice_seconds))
+def previous_value(df: DataFrame, keys: list[str], order: str, value: str, slice_expr: Column,
+                   out: str) -> DataFrame:
+    """Add ``value`` of the preceding row of the same key in ``order`` (NULL for the first).
+
+    ``slice_expr`` must be non-decreasing in ``order``.
+    """
+    sliced = df.withColumn("_slice", slice_expr)
     carry_window = Window.partitionBy(*keys).orderBy("_slice")
     carried = (
-        sliced.groupBy(*keys, "_slice").agg(F.max(time).alias("_last"))
+        sliced.groupBy(*keys, "_slice").agg(F.max_by(value, order).alias("_last"))
         .withColumn("_carry", F.lag("_last").over(carry_window))
         .select(*keys, "_slice", "_carry")
     )
-    inner = Window.partitionBy(*keys, "_slice").orderBy(time)
+    inner = Window.partitionBy(*keys, "_slice").orderBy(order)
+    first = F.row_number().over(inner) == 1
     return (
         sliced.join(carried, [*keys, "_slice"])
-        .withColumn(out, F.coalesce(F.lag(time).over(inner), F.col("_carry")))
+        .withColumn(out, F.when(first, F.col("_carry")).otherwise(F.lag(value).over(inner)))
         .drop("_slice", "_carry")
     )
 
 
+def previous_time(df: DataFrame, keys: list[str], time: str = "time_utc",
+                  out: str = "prev_time", slice_seconds: int = 86_400) -> DataFrame:
+    """The time of the preceding row of the same key."""
+    return previous_value(df, keys, time, time, time_slice(time, slice_seconds), out)
+
+
 def row_index(df: DataFrame, order: list[str], slice_expr: Column, keys: list[str] | None = None,
               out: str = "row_idx") -> DataFrame:
     """Zero-based position in the order given, per key (or over the whole table).

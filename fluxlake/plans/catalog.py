@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fluxlake.plans import evaluation, preparation
+from fluxlake.plans import boards, evaluation, labelling, preparation
 
-MODULES = (preparation, evaluation)
+MODULES = (preparation, evaluation, labelling, boards)
 
 
 def all_queries() -> dict:

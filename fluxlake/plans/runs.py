@@ -17,7 +17,7 @@ from fluxlake.plans.common import EVENT_OBS, ORDER_OBS, bin_of, event_obs, order
 from fluxlake.session import materialize
 
 TRACKS = {"uni_a": ["F"], "uni_b": ["O"], "multi": ["F", "O"]}
-CONDITIONS = [(3, 1), (3, 2), (5, 1), (5, 2)]
+CONDITIONS = [(3, 2), (3, 3), (5, 2), (5, 3)]
 THRESHOLDS = {"F": 330_000.0, "O": 300_000.0}
 N_FOLD = 5
 DAY_MIN = 1440
