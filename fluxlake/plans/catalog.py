@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fluxlake.plans import boards, evaluation, labelling, preparation
+from fluxlake.plans import boards, evaluation, labelling, modelling, preparation
 
-MODULES = (preparation, evaluation, labelling, boards)
+MODULES = (preparation, evaluation, labelling, boards, modelling)
 
 
 def all_queries() -> dict:
