@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fluxlake.plans import boards, evaluation, labelling, modelling, preparation
+from fluxlake.plans import boards, evaluation, incremental, labelling, modelling, preparation
 
-MODULES = (preparation, evaluation, labelling, boards, modelling)
+MODULES = (preparation, evaluation, labelling, boards, modelling, incremental)
 
 
 def all_queries() -> dict:
