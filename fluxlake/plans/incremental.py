@@ -103,7 +103,7 @@ def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
     """One record per key: records of the newer table replace those of the older one."""
     docs = table(spark, d, "documents", ["doc_id", "lang", "n_chars"])
     old = docs.select(F.col("doc_id").alias("local_path"), F.col("lang").alias("note"),
-                      F.col("n_chars").cast("long").alias("n_chars"))
+                      F.col("n_chars").cast("double").alias("n_chars"))
     new = table(spark, d, "labels", ["doc_id", "quality"]).select(
         F.col("doc_id").alias("local_path"), F.concat(F.lit("q"), F.col("quality")).alias("note"))
     return records.upsert_manifest(old, new)
@@ -135,6 +135,6 @@ QUERIES = {
         "WHERE contains(text, chr(10))")),
     "manifest_upsert": (manifest_upsert, (
         "SELECT doc_id AS local_path, CASE WHEN quality IS NULL THEN lang ELSE 'q' || quality END AS note, "
-        "CAST(CASE WHEN quality IS NULL THEN n_chars END AS BIGINT) AS n_chars FROM documents FULL JOIN labels USING (doc_id)")),
+        "CAST(CASE WHEN quality IS NULL THEN n_chars END AS DOUBLE) AS n_chars FROM documents FULL JOIN labels USING (doc_id)")),
 }
 
