@@ -165,9 +165,9 @@ def scan_filter_project(spark: SparkSession, d: str) -> DataFrame:
             .orderBy("o_orderkey").limit(500))
 
 
-def baseline_skill(spark: SparkSession, d: str) -> DataFrame:
+def baseline_skill(spark: SparkSession, d: str, cadence_min: int = HOUR) -> DataFrame:
     names = ["hss", "tss", "pod", "far"]
-    rows = evaluate(event_predictions(spark, d), EVENT_THRESHOLDS, metrics=names).event
+    rows = evaluate(event_predictions(spark, d, cadence_min), EVENT_THRESHOLDS, metrics=names).event
     out = rows.filter(F.col("granularity") == "window")
     return rounded(out.select(*RUN_KEYS, "channel", "n", "n_events", "tp", "fp", "fn", "tn", *names),
                    names)

@@ -49,11 +49,12 @@ def order_masters(spark: SparkSession, sf_dir: str) -> Evaluation:
                                   day_hours=CUT_HOURS))
 
 
-def event_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_predictions(spark: SparkSession, sf_dir: str, cadence_min: int = HOUR_MIN) -> DataFrame:
     obs = event_obs(spark, sf_dir)
-    wide = bin_mean_wide(obs, list(EVENT_TRACKS), HOUR_MIN, transform="log10")
+    wide = bin_mean_wide(obs, list(EVENT_TRACKS), cadence_min, transform="log10")
     bins = multi_track_bins(wide.withColumn("term", term_label("bin_ts")), EVENT_TRACKS)
-    return materialize(baseline_predictions(bins, EVENT_CONDITIONS, HOUR_MIN), "event-predictions")
+    return materialize(baseline_predictions(bins, EVENT_CONDITIONS, cadence_min),
+                       "event-predictions")
 
 
 # ---- SQL counterparts -------------------------------------------------------------------------

@@ -52,15 +52,15 @@ def read_manifest(spark: SparkSession, path: str, schema: T.StructType,
                   key: str = "local_path") -> DataFrame:
     """JSON lines; malformed lines are skipped and the last record of a key wins.
 
-    Line order across the files of one manifest is (file name, position in the file).
+    Line order is (file name, file block, position in the block).
     """
     full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
     lines = (spark.read.schema(full).option("columnNameOfCorruptRecord", "_bad").json(path)
-             .select("*", F.col("_metadata.file_name").alias("_file"),
-                     F.monotonically_increasing_id().alias("_line")))
+             .select("*", F.struct("_metadata.file_name", "_metadata.file_block_start",
+                                   F.monotonically_increasing_id()).alias("_line")))
     cols = [f.name for f in schema.fields]
     good = lines.filter(F.col("_bad").isNull() & F.col(key).isNotNull())
-    return (good.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct("_file", "_line")).alias("_r"))
+    return (good.groupBy(key).agg(F.max_by(F.struct(*cols), "_line").alias("_r"))
             .select("_r.*"))
 
 
