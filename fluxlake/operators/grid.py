@@ -95,14 +95,14 @@ def all_valid(channels: list[str]) -> Column:
 
 
 def segments(obs: DataFrame, keys: list[str] | None = None, gap_seconds: int = DAY_SECONDS,
-             time: str = "time_utc", slice_seconds: int = DAY_SECONDS) -> DataFrame:
+             time: str = "time_utc", width_us: int | None = None) -> DataFrame:
     """Stretches of a series without an outage longer than ``gap_seconds``.
 
     Only rows that open a segment survive the first step, so the ordered window that closes
     the segments sees one row per outage.
     """
     keys = keys or ["series"]
-    stepped = previous_time(obs.select(*keys, time), keys, time, "_prev", slice_seconds)
+    stepped = previous_time(obs.select(*keys, time), keys, time, "_prev", width_us)
     wide = F.unix_micros(time) - F.unix_micros("_prev") > F.lit(gap_seconds * 1_000_000)
     opens = (stepped.filter(F.col("_prev").isNull() | wide)
              .select(*keys, F.col(time).alias("seg_start"), "_prev").distinct())
@@ -135,8 +135,7 @@ def grid_points(segs: DataFrame, step_min: int, time: str = "time_utc") -> DataF
 
 
 def regrid(obs: DataFrame, step_min: int, order: list[str], keys: list[str] | None = None,
-           gap_min: int = 1440, time: str = "time_utc",
-           slice_seconds: int = DAY_SECONDS) -> DataFrame:
+           gap_min: int = 1440, time: str = "time_utc", width_us: int | None = None) -> DataFrame:
     """Regular grid inside every segment; no rows are made across outages.
 
     Keeps the first row of a repeated (key, time); samples off the grid drop out, grid times
@@ -144,14 +143,14 @@ def regrid(obs: DataFrame, step_min: int, order: list[str], keys: list[str] | No
     """
     keys = keys or ["series"]
     first = keep_one(obs, [*keys, time], order, keep="first")
-    segs = segments(obs, keys, gap_min * 60, time, slice_seconds)
+    segs = segments(obs, keys, gap_min * 60, time, width_us)
     return grid_points(segs, step_min, time).drop("seg_start", "seg_end").join(
         first, [*keys, time], "left")
 
 
 def gap_report(before: DataFrame, after: DataFrame, step_min: int, value: str,
                keys: list[str] | None = None, gap_min: int = 1440, time: str = "time_utc",
-               slice_seconds: int = DAY_SECONDS) -> DataFrame:
+               width_us: int | None = None) -> DataFrame:
     """Per key: rows before and after regridding, new gap rows, off-cadence steps (must be 0)."""
     keys = keys or ["series"]
     missing = F.count_if(F.col(value).isNull())
@@ -159,7 +158,7 @@ def gap_report(before: DataFrame, after: DataFrame, step_min: int, value: str,
     step = F.unix_micros(time) - F.unix_micros("_prev")
     bad = ((step > 0) & (step != F.lit(step_min * 60_000_000))
            & (step <= F.lit(gap_min * 60_000_000)))
-    a = (previous_time(after, keys, time, "_prev", slice_seconds)
+    a = (previous_time(after, keys, time, "_prev", width_us)
          .groupBy(*keys).agg(F.count("*").alias("rows_out"), missing.alias("_miss_out"),
                              F.count_if(bad).alias("off_cadence_steps")))
     return b.join(a, keys).select(

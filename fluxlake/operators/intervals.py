@@ -124,12 +124,13 @@ def label_asof(samples: DataFrame, intervals: DataFrame, attrs: list[str],
     range test. The listed intervals are broadcast only after they were counted; a longer list
     makes the equi-join shuffle by slice, where AQE splits a hot slice.
     """
-    sliced = samples.withColumn("_slice", time_slice(time, slice_seconds))
+    width = slice_seconds * 1_000_000
+    sliced = samples.withColumn("_slice", time_slice(time, width))
     lo, hi = sliced.agg(F.min("_slice"), F.max("_slice")).first()
     until = F.lead("start_ts").over(Window.orderBy("start_ts"))
     spans = intervals.select("start_ts", until.alias("_until"), *attrs)
-    first = F.greatest(time_slice("start_ts", slice_seconds), F.lit(lo))
-    last = F.least(F.coalesce(time_slice("_until", slice_seconds), F.lit(hi)), F.lit(hi))
+    first = F.greatest(time_slice("start_ts", width), F.lit(lo))
+    last = F.least(F.coalesce(time_slice("_until", width), F.lit(hi)), F.lit(hi))
     in_force = (spans.withColumn("_first", first).withColumn("_last", last)
                 .filter(F.col("_first") <= F.col("_last"))
                 .withColumn("_slice", F.explode(F.sequence("_first", "_last")))
@@ -164,12 +165,13 @@ def overlapping_spans(spans: DataFrame, name: str, start: str, end: str,
     Spans meet only in time slices they share; a pair is reported in the slice where the common
     stretch begins, so no pair is made twice and no distinct is needed.
     """
+    width = slice_seconds * 1_000_000
     s = spans.withColumn("_slice", F.explode(F.sequence(
-        time_slice(start, slice_seconds), time_slice(end, slice_seconds))))
+        time_slice(start, width), time_slice(end, width))))
     a, b = s.alias("a"), s.alias("b")
     lo = F.greatest(F.col(f"a.{start}"), F.col(f"b.{start}"))
     hi = F.least(F.col(f"a.{end}"), F.col(f"b.{end}"))
-    begins_here = F.floor(F.unix_seconds(lo) / slice_seconds) == F.col("a._slice")
+    begins_here = F.floor(F.unix_micros(lo) / width) == F.col("a._slice")
     return (
         a.join(b, (F.col("a._slice") == F.col("b._slice"))
                & (F.col(f"a.{name}") < F.col(f"b.{name}")) & (lo < hi) & begins_here)

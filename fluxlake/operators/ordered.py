@@ -12,8 +12,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def time_slice(time: str, seconds: int) -> Column:
-    return F.floor(F.unix_seconds(F.col(time)) / F.lit(seconds)).cast("long")
+SLICE_ROWS = 1_000_000
+MINUTE_US, DAY_US = 60_000_000, 86_400_000_000
+
+
+def time_slice(time: str, width_us: int) -> Column:
+    return F.floor(F.unix_micros(F.col(time)) / F.lit(width_us)).cast("long")
+
+
+def slice_width(df: DataFrame, keys: list[str], time: str, rows: int = SLICE_ROWS) -> int:
+    """Slice width in microseconds so that no (key, slice) holds many more than ``rows`` rows.
+
+    The densest minute of any key decides, so a hot key or a burst narrows the slices (down to a
+    microsecond) and sparse data keeps one slice per day. The counting pass reads the keys and the
+    time only and combines on the map side.
+    """
+    per_minute = df.groupBy(*keys, time_slice(time, MINUTE_US).alias("_m")).agg(F.count("*").alias("_n"))
+    densest = per_minute.agg(F.max("_n")).first()[0] or 1
+    return max(1, min(DAY_US, MINUTE_US * rows // densest))
 
 
 def keep_one(df: DataFrame, keys: list[str], order: list[str], keep: str = "last") -> DataFrame:
@@ -51,9 +67,10 @@ def previous_value(df: DataFrame, keys: list[str], order: str, value: str, slice
 
 
 def previous_time(df: DataFrame, keys: list[str], time: str = "time_utc",
-                  out: str = "prev_time", slice_seconds: int = 86_400) -> DataFrame:
+                  out: str = "prev_time", width_us: int | None = None) -> DataFrame:
     """The time of the preceding row of the same key."""
-    return previous_value(df, keys, time, time, time_slice(time, slice_seconds), out)
+    width = width_us or slice_width(df, keys, time)
+    return previous_value(df, keys, time, time, time_slice(time, width), out)
 
 
 def row_index(df: DataFrame, order: list[str], slice_expr: Column, keys: list[str] | None = None,

@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxlake.operators import grid, terms, windows
-from fluxlake.operators.ordered import keep_one, previous_time, row_index, time_slice
+from fluxlake.operators.ordered import keep_one, previous_time, row_index, slice_width, time_slice
 
 T0 = datetime(2003, 3, 1)
+HOUR_US = 3_600_000_000
 
 
 def obs(spark, minutes, values=None, series="s"):
@@ -94,13 +95,20 @@ def test_sliced_steps_equal_plain_ones(spark):
     rng = np.random.default_rng(4)
     minutes = np.unique(rng.integers(0, 20_000, 500)).tolist()
     data = obs(spark, minutes)
-    got = {r.time_utc: r.prev_time for r in previous_time(data, ["series"], slice_seconds=3600).collect()}
+    got = {r.time_utc: r.prev_time for r in previous_time(data, ["series"], width_us=HOUR_US).collect()}
     times = sorted(got)
     assert [got[t] for t in times] == [None, *times[:-1]]
-    idx = row_index(data, ["time_utc"], time_slice("time_utc", 3600)).orderBy("time_utc").collect()
+    idx = row_index(data, ["time_utc"], time_slice("time_utc", HOUR_US)).orderBy("time_utc").collect()
     assert [r.row_idx for r in idx] == list(range(len(minutes)))
 
 
+def test_slice_width_follows_the_densest_minute(spark):
+    sparse = obs(spark, range(0, 6000, 60))
+    assert slice_width(sparse, ["series"], "time_utc") == 24 * HOUR_US
+    burst = obs(spark, [0] * 50 + [60])
+    assert slice_width(burst, ["series"], "time_utc", rows=10) == 60_000_000 * 10 // 50
+
+
 def test_keep_one(spark):
     df = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 1, 30)], "k string, o int, v int")
     assert sorted(map(tuple, keep_one(df, ["k"], ["o"]).collect())) == [("a", 2, 20), ("b", 1, 30)]
@@ -136,7 +144,7 @@ def test_folds_partition_terms_and_test_each_once(spark):
 
 def test_ratio_split(spark):
     data = obs(spark, range(0, 200, 2)).withColumn("id", F.monotonically_increasing_id())
-    out = terms.ratio_split(data, 4, 2, 0.7, 0.1, ["time_utc"], slice_seconds=600)
+    out = terms.ratio_split(data, 4, 2, 0.7, 0.1, ["time_utc"], width_us=600_000_000)
     rows = out.orderBy("window_idx").collect()
     n = 100 - 6 + 1
     assert [r.window_idx for r in rows] == list(range(n))
