@@ -163,6 +163,51 @@ def recursive_predictions(bins: DataFrame, one_step: LinearModel, weights: dict[
     return _predict(bins, one_step.seq_len, pred_len, cadence_min, name, "recursive", predict, fold_col)
 
 
+# ---- model registry ---------------------------------------------------------------------------
+
+ModelFactory = Callable[[int, int], LinearModel]
+MODELS: dict[str, ModelFactory] = {}
+
+
+def register_model(name: str):
+    """Decorator for ``(seq_len, pred_len) -> LinearModel``."""
+    def keep(fn):
+        MODELS[name] = fn
+        return fn
+    return keep
+
+
+@register_model("rlinear")
+def _rlinear(seq_len, pred_len):
+    return LinearModel(seq_len, pred_len, norm="mean", ridge=1e-3)
+
+
+@register_model("dlinear")
+def _dlinear(seq_len, pred_len):
+    return LinearModel(seq_len, pred_len, decompose=True, ridge=1e-3)
+
+
+@register_model("linear")
+def _linear(seq_len, pred_len):
+    return LinearModel(seq_len, pred_len)
+
+
+def model_predictions(bins: DataFrame, terms: DataFrame, name: str, seq_len: int, pred_len: int,
+                      cadence_min: int, n_fold: int, strategy: str = "direct") -> DataFrame:
+    """Fit a registered model on the training terms of every fold and predict the test terms.
+
+    ``bins`` carries ``fold``, the fold that tests its term. ``recursive`` fits one step and rolls
+    it forward.
+    """
+    if name not in MODELS:
+        raise ValueError(f"unknown model {name!r}; registered: {sorted(MODELS)}")
+    model = MODELS[name](seq_len, 1 if strategy == "recursive" else pred_len)
+    weights = fit_folds(bins, terms, model, n_fold)
+    if strategy == "recursive":
+        return recursive_predictions(bins, model, weights, pred_len, cadence_min, name)
+    return linear_predictions(bins, model, weights, cadence_min, name)
+
+
 # ---- per-window statistical fits --------------------------------------------------------------
 
 StatFn = Callable[[np.ndarray, int], np.ndarray]

@@ -95,24 +95,25 @@ def all_valid(channels: list[str]) -> Column:
 
 
 def segments(obs: DataFrame, keys: list[str] | None = None, gap_seconds: int = DAY_SECONDS,
-             time: str = "time_utc", width_us: int | None = None) -> DataFrame:
+             time: str = "time_utc") -> DataFrame:
     """Stretches of a series without an outage longer than ``gap_seconds``.
 
-    Only rows that open a segment survive the first step, so the ordered window that closes
-    the segments sees one row per outage.
+    Two samples inside one stretch of time of that length cannot be an outage apart, so the first
+    and last time per (key, stretch) decide everything: samples collapse on the map side and the
+    ordered window sees at most span / gap rows per key.
     """
     keys = keys or ["series"]
-    stepped = previous_time(obs.select(*keys, time), keys, time, "_prev", width_us)
-    wide = F.unix_micros(time) - F.unix_micros("_prev") > F.lit(gap_seconds * 1_000_000)
-    opens = (stepped.filter(F.col("_prev").isNull() | wide)
-             .select(*keys, F.col(time).alias("seg_start"), "_prev").distinct())
-    ends = obs.groupBy(*keys).agg(F.max(time).alias("_series_end"))
-    order = Window.partitionBy(*keys).orderBy("seg_start")
+    gap = gap_seconds * 1_000_000
+    ends = (obs.groupBy(*keys, F.floor(F.unix_micros(time) / gap).alias("_b"))
+            .agg(F.min(time).alias("_first"), F.max(time).alias("_last")))
+    order = Window.partitionBy(*keys).orderBy("_b")
+    step = F.unix_micros("_first") - F.unix_micros(F.lag("_last").over(order))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        opens.join(ends, keys)
-        .withColumn("seg_end", F.coalesce(F.lead("_prev").over(order), F.col("_series_end")))
-        .withColumn("segment", F.row_number().over(order) - 1)
-        .select(*keys, "segment", "seg_start", "seg_end")
+        ends.withColumn("_opens", F.when(step > gap, 1).otherwise(0))
+        .withColumn("segment", F.sum("_opens").over(upto).cast("int"))
+        .groupBy(*keys, "segment")
+        .agg(F.min("_first").alias("seg_start"), F.max("_last").alias("seg_end"))
     )
 
 
@@ -135,7 +136,7 @@ def grid_points(segs: DataFrame, step_min: int, time: str = "time_utc") -> DataF
 
 
 def regrid(obs: DataFrame, step_min: int, order: list[str], keys: list[str] | None = None,
-           gap_min: int = 1440, time: str = "time_utc", width_us: int | None = None) -> DataFrame:
+           gap_min: int = 1440, time: str = "time_utc") -> DataFrame:
     """Regular grid inside every segment; no rows are made across outages.
 
     Keeps the first row of a repeated (key, time); samples off the grid drop out, grid times
@@ -143,7 +144,7 @@ def regrid(obs: DataFrame, step_min: int, order: list[str], keys: list[str] | No
     """
     keys = keys or ["series"]
     first = keep_one(obs, [*keys, time], order, keep="first")
-    segs = segments(obs, keys, gap_min * 60, time, width_us)
+    segs = segments(obs, keys, gap_min * 60, time)
     return grid_points(segs, step_min, time).drop("seg_start", "seg_end").join(
         first, [*keys, time], "left")
 

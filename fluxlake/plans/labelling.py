@@ -76,6 +76,20 @@ def interval_build(spark: SparkSession, d: str) -> DataFrame:
     return filled.select(stamp("start_ts").alias("start_utc"), stamp("end_ts").alias("end_utc"), *attrs)
 
 
+def interval_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of a text table whose unclear days end a day late or name an unknown satellite."""
+    leaders = _daily_leaders(_samples(spark, d))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    clear = F.col("n1") >= LEAD_SHARE * F.col("n2")
+    late = F.col("start_ts") + F.expr("INTERVAL 2 DAYS")
+    day = F.col("start_ts") + F.expr("INTERVAL 1 DAY")
+    text = leaders.select(
+        iso("start_ts").alias("start_utc"), iso(F.when(clear, day).otherwise(late)).alias("end_utc"),
+        F.lit("proton").alias("instrument"), "primary_sat",
+        F.when(F.col("n2") > 20, "77").otherwise(F.col("secondary_sat")).alias("secondary_sat"))
+    return intervals.violations(text)
+
+
 def interval_overlaps(spark: SparkSession, d: str) -> DataFrame:
     segs = grid.segments(event_obs(spark, d), gap_seconds=3600)
     out = intervals.overlapping_spans(segs, "series", "seg_start", "seg_end", 6 * 3600)
@@ -335,6 +349,10 @@ QUERIES = {
         g AS (SELECT *, sum(nw) OVER (ORDER BY a) AS k FROM f)
         SELECT {ts('min(a)', 'start_utc')}, {ts('max(a) + INTERVAL 1 DAY', 'end_utc')},
                p AS primary_sat, s AS secondary_sat FROM g GROUP BY k, p, s"""),
+    "interval_violations": (interval_violations, f"""WITH {LEADERS_SQL}, x AS (SELECT *, lead(a) OVER (ORDER BY a) AS na,
+        a + CASE WHEN n1 >= {LEAD_SHARE} * n2 THEN INTERVAL 1 DAY ELSE INTERVAL 2 DAY END AS e FROM lead)
+        SELECT strftime(a, '%Y-%m-%dT%H:%M:%SZ') AS start_utc, 'not contiguous with the next row' AS problem FROM x WHERE e <> na
+        UNION ALL SELECT strftime(a, '%Y-%m-%dT%H:%M:%SZ'), 'invalid secondary satellite' FROM x WHERE n2 > 20"""),
     "interval_overlaps": (interval_overlaps, f"""
         WITH a AS (SELECT series, t, lag(t) OVER (PARTITION BY series ORDER BY t) AS pt FROM ({EVENT_OBS})),
         b AS (SELECT *, sum(CASE WHEN t - pt > INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER

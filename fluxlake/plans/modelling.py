@@ -126,12 +126,10 @@ def linear_weights(spark: SparkSession, d: str) -> DataFrame:
                    ["weight"])
 
 
-def _linear(spark: SparkSession, d: str, model, pred_len: int, name: str, recursive: bool = False):
+def _forecasts(spark: SparkSession, d: str, name: str, seq_len: int, strategy: str = "direct"):
     bins = _fold_bins(spark, d)
-    weights = forecast.fit_folds(bins, bins.select("term", "term_idx").distinct(), model, N_FOLD)
-    if recursive:
-        return forecast.recursive_predictions(bins, model, weights, pred_len, DAY_MIN, name)
-    return forecast.linear_predictions(bins, model, weights, DAY_MIN, name)
+    term_ids = bins.select("term", "term_idx").distinct()
+    return forecast.model_predictions(bins, term_ids, name, seq_len, 2, DAY_MIN, N_FOLD, strategy)
 
 
 def _scored(pred: DataFrame) -> DataFrame:
@@ -142,17 +140,15 @@ def _scored(pred: DataFrame) -> DataFrame:
 
 def linear_forecast(spark: SparkSession, d: str) -> DataFrame:
     """Direct, window-normalised linear forecaster, scored on the test terms of each fold."""
-    model = forecast.LinearModel(3, 2, norm="mean", ridge=1e-3)
-    return _scored(_linear(spark, d, model, 2, "rlinear"))
+    return _scored(_forecasts(spark, d, "rlinear", 3))
 
 
 def decomposition_forecast(spark: SparkSession, d: str) -> DataFrame:
-    model = forecast.LinearModel(3, 2, decompose=True, ridge=1e-3)
-    return _scored(_linear(spark, d, model, 2, "dlinear"))
+    return _scored(_forecasts(spark, d, "dlinear", 3))
 
 
 def recursive_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(_linear(spark, d, forecast.LinearModel(3, 1), 2, "linear", recursive=True))
+    return _scored(_forecasts(spark, d, "linear", 3, "recursive"))
 
 
 def ar_forecast(spark: SparkSession, d: str) -> DataFrame:

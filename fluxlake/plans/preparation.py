@@ -68,6 +68,12 @@ def ratio_split(spark: SparkSession, d: str) -> DataFrame:
                       "split")
 
 
+def dense_term_windows(spark: SparkSession, d: str) -> DataFrame:
+    obs = order_obs(spark, d).withColumn("term", terms.term_label("time_utc"))
+    out = windows.dense_windows(obs, SEQ, PRED, ["time_utc", "order_id"])
+    return out.select("order_id", "term", "window_idx", stamp("forecast_start").alias("forecast_start"))
+
+
 def _five_minute_samples(spark: SparkSession, d: str) -> DataFrame:
     bins = grid.bin_mean(event_obs(spark, d), FIVE)
     return bins.select("series", F.col("bin_ts").alias("time_utc"), "value", "bin_idx")
@@ -234,6 +240,11 @@ QUERIES = {
         "FROM w WHERE k >= 0 AND k < nw) "
         f"SELECT id AS event_id, k AS window_idx, {ts('t', 'forecast_start')}, CASE WHEN k < te THEN "
         "'train' WHEN k < te + va THEN 'val' ELSE 'test' END AS split FROM x")),
+    "dense_term_windows": (dense_term_windows, (
+        f"WITH o AS (SELECT id, t, {term_sql('t')} AS term FROM ({ORDER_OBS})), n AS (SELECT *, row_number() OVER "
+        "(PARTITION BY term ORDER BY t, id) - 1 AS i, count(*) OVER (PARTITION BY term) AS n FROM o) "
+        f"SELECT id AS order_id, term, i - {SEQ} AS window_idx, {ts('t', 'forecast_start')} FROM n "
+        f"WHERE i >= {SEQ} AND i + {PRED} <= n")),
     "outage_segments": (outage_segments, (
         f"WITH a AS (SELECT series, t, lag(t) OVER (PARTITION BY series ORDER BY t) AS pt FROM ({EVENT_OBS})), "
         "b AS (SELECT *, sum(CASE WHEN t - pt > INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER "

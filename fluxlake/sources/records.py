@@ -89,6 +89,12 @@ def read_designation(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def write_designation(table: DataFrame, path: str) -> None:
+    """A designation table in its fixed column order, as one sorted CSV file (a few hundred rows)."""
+    (table.select(*DESIGNATION_COLUMNS).orderBy("start_utc").coalesce(1)
+     .write.mode("overwrite").option("header", True).csv(path))
+
+
 SNAPSHOT = T.StructType([
     T.StructField("time_tag", T.StringType()),
     T.StructField("protons", T.StructType([T.StructField("primary", T.LongType()),

@@ -20,7 +20,7 @@ GOOD = [("2000-01-01T00:00:00Z", "2001-01-01T00:00:00Z", "proton", "8", "none"),
 
 def test_valid_table_round_trips_through_csv(spark, tmp_path):
     t = intervals.validate(table(spark, GOOD))
-    t.coalesce(1).write.option("header", True).csv(str(tmp_path / "d"))
+    records.write_designation(t, str(tmp_path / "d"))
     back = intervals.to_intervals(records.read_designation(spark, str(tmp_path / "d"))).orderBy("start_ts").collect()
     assert [(r.primary_sat, r.end_ts) for r in back] == [("8", datetime(2001, 1, 1)), ("10", None)]
 
