@@ -93,21 +93,22 @@ def fit_folds(bins: DataFrame, terms: DataFrame, model: LinearModel, n_fold: int
 
     ``terms`` has ``term, term_idx``. What is collected is ``n_fold`` matrices of model size.
     """
+    n, p = model.n_features, model.pred_len
     sums = term_sums(bins, model).join(F.broadcast(terms.select("term", "term_idx")), "term")
     per_fold = (
         sums.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_fold - 1))))
         .filter(split_of("term_idx", "fold", n_fold) == "train")
         .groupBy("fold", "pos").agg(F.sum("total").alias("total"))
     )
-    n, p = model.n_features, model.pred_len
-    flat: dict[int, np.ndarray] = {}
-    for row in per_fold.toLocalIterator():
-        flat.setdefault(row.fold, np.zeros(n * (n + p)))[row.pos] = row.total
-    weights = {}
-    for fold, values in flat.items():
-        m = values.reshape(n, n + p)
-        weights[fold] = np.linalg.lstsq(m[:, :n] + model.ridge * np.eye(n), m[:, n:], rcond=None)[0]
-    return weights
+    # one matrix row per table row, so that few rows carry the sums to the driver
+    lines = (per_fold.groupBy("fold", F.floor(F.col("pos") / (n + p)).cast("int").alias("line"))
+             .agg(F.array_sort(F.collect_list(F.struct("pos", "total"))).alias("_v"))
+             .select("fold", "line", F.col("_v.total").alias("totals")))
+    matrices: dict[int, np.ndarray] = {}
+    for row in lines.toLocalIterator():
+        matrices.setdefault(row.fold, np.zeros((n, n + p)))[row.line] = row.totals
+    return {fold: np.linalg.lstsq(m[:, :n] + model.ridge * np.eye(n), m[:, n:], rcond=None)[0]
+            for fold, m in matrices.items()}
 
 
 Predictor = Callable[[int, np.ndarray], np.ndarray]

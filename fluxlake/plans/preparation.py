@@ -29,7 +29,7 @@ def bin_mean_min_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def align_channels(spark: SparkSession, d: str) -> DataFrame:
-    wide = grid.bin_mean_wide(event_obs(spark, d), EVENT_CHANNELS, HOUR)
+    wide = grid.bin_mean_wide(event_obs(spark, d), EVENT_CHANNELS, HOUR, transform="log10")
     return wide.select(stamp("bin_ts").alias("bin_ts"),
                        *[rnd(c).alias(c) for c in EVENT_CHANNELS],
                        grid.all_valid(EVENT_CHANNELS).cast("int").alias("all_valid"))
@@ -37,8 +37,9 @@ def align_channels(spark: SparkSession, d: str) -> DataFrame:
 
 def outer_join_channels(spark: SparkSession, d: str) -> DataFrame:
     """Alignment of channels that were binned on their own (sources of different cadence)."""
-    coarse = grid.bin_mean(event_obs(spark, d), HOUR)
-    fine = grid.bin_mean(event_obs(spark, d).filter(F.col("series") == "view"), FIVE)
+    coarse = grid.bin_mean(event_obs(spark, d), HOUR, transform="log10")
+    fine = grid.bin_mean(event_obs(spark, d).filter(F.col("series") == "view"), FIVE,
+                         transform="log10")
     marks = (fine.filter(F.col("bin_idx") % 12 == 0)
              .select(F.lit("view_mark").alias("series"), (F.col("bin_idx") / 12).cast("long")
                      .alias("bin_idx"), "n_samples", "value", "bin_ts"))
@@ -214,9 +215,9 @@ QUERIES = {
         f"SELECT {ts(bin_start('idx', HOUR), 'bin_ts')}, "
         + ", ".join(f"{r(c)} AS \"{c}\"" for c in EVENT_CHANNELS)
         + f", CAST({' AND '.join(c + ' IS NOT NULL' for c in EVENT_CHANNELS)} AS INTEGER) AS all_valid"
-        + f" FROM (SELECT idx, {_PIVOT} FROM ({bins_sql(EVENT_OBS, HOUR)}) GROUP BY idx)")),
+        + f" FROM (SELECT idx, {_PIVOT} FROM ({bins_sql(EVENT_OBS, HOUR, 'log10')}) GROUP BY idx)")),
     "outer_join_channels": (outer_join_channels, (
-        f"WITH h AS ({bins_sql(EVENT_OBS, HOUR)}), f AS ({bins_sql(EVENT_OBS, FIVE)}), "
+        f"WITH h AS ({bins_sql(EVENT_OBS, HOUR, 'log10')}), f AS ({bins_sql(EVENT_OBS, FIVE, 'log10')}), "
         "c AS (SELECT idx, value AS click FROM h WHERE series = 'click'), "
         "v AS (SELECT idx, value AS vw FROM h WHERE series = 'view'), "
         "m AS (SELECT idx // 12 AS idx, value AS vm FROM f WHERE series = 'view' AND idx % 12 = 0) "
