@@ -21,7 +21,7 @@ from fluxlake.functions.registry import (
 from fluxlake.functions.regression import REGRESSION_METRICS
 from fluxlake.functions.scores import EVENT_SCORES, score_columns
 from fluxlake.operators.daycut import DAY_HOURS, spaced_starts
-from fluxlake.operators.median import grouped_median
+from fluxlake.operators.median import grouped_medians
 
 GRANULARITIES = ("point", "window", "day")
 
@@ -118,19 +118,13 @@ def _medians(long: DataFrame, keys: list[str], names: list[str], transform: str)
         return None
     p, t = F.col("p").cast("double"), F.col("t").cast("double")
     lp, lt = (p, t) if transform == "log10" else (F.log10(p), F.log10(t))
-    structs = [
-        F.struct(F.lit(n).alias("name"), REGRESSION_METRICS[n].median_of(
-            *((p, t) if REGRESSION_METRICS[n].space == "stored" else (lp, lt))).alias("v"))
-        for n in wanted
-    ]
-    tall = (long.select(*keys, F.explode(F.array(*structs)).alias("_m"))
-            .select(*keys, F.col("_m.name").alias("_name"), F.col("_m.v").alias("_v"))
-            # a channel with such a value is voided as a whole, its medians are not used
-            .filter(F.col("_v").isNotNull() & ~F.isnan("_v")
-                    & (F.abs("_v") < F.lit(float("inf")))))
-    med = grouped_median(tall, [*keys, "_name"], "_v", "_median")
-    picks = [F.max(F.when(F.col("_name") == n, F.col("_median"))).alias(f"d_{n}") for n in wanted]
-    return med.groupBy(*keys).agg(*picks)
+    cols = []
+    for n in wanted:
+        metric = REGRESSION_METRICS[n]
+        v = metric.median_of(*((p, t) if metric.space == "stored" else (lp, lt)))
+        # a channel with such a value is voided as a whole, its medians are not used
+        cols.append(F.when(~non_finite(v), v).alias(f"d_{n}"))
+    return grouped_medians(long.select(*keys, *cols), keys, [f"d_{n}" for n in wanted])
 
 
 def evaluate(pred: DataFrame, thresholds: dict[str, float] | None, transform: str = "log10",

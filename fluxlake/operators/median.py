@@ -3,7 +3,7 @@
 Pass 1 keeps a quantile sketch per group (mergeable, a few kilobytes) which brackets the middle
 ranks within a known rank error. Pass 2 counts the values below the bracket and the distinct
 values inside it, both combined on the map side, and reads off the exact middle values. Only the
-bracket, a ``8 / accuracy`` share of the ranks, is ever ordered.
+bracket, an ``8 / accuracy`` share of the ranks, is ever ordered.
 """
 
 from __future__ import annotations
@@ -13,42 +13,55 @@ from pyspark.sql import functions as F
 
 from fluxlake.session import small_table
 
-ACCURACY = 20_000
+ACCURACY = 10_000
 
 
-def grouped_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
-                   accuracy: int = ACCURACY) -> DataFrame:
-    """``keys, out``: the mean of the two middle values for an even count, as a plain median."""
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+def grouped_medians(df: DataFrame, keys: list[str], values: list[str],
+                    accuracy: int = ACCURACY) -> DataFrame:
+    """``keys`` and the exact median of each value column; NULLs do not count.
+
+    As a plain median, the mean of the two middle values for an even count. All columns share both
+    passes.
+    """
+    data = df.select(*keys, *[F.col(v).cast("double").alias(v) for v in values])
     margin = 4.0 / accuracy
-    sketch = data.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], accuracy).alias("_q"))
-    bounds = small_table(sketch.select(
-        *keys, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi")))
-
-    same_key = None
-    left, right = data.alias("l"), bounds.alias("r")
+    probs = [0.5 - margin, 0.5 + margin]
+    sketch = data.groupBy(*keys).agg(*[F.struct(
+        F.count(v).alias("n"), F.percentile_approx(v, probs, accuracy).alias("q")).alias(f"_{v}")
+        for v in values])
+    bounds = small_table(sketch).alias("r")
+    same_key = F.lit(True)
     for k in keys:
-        eq = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-        same_key = eq if same_key is None else same_key & eq
-    joined = left.join(right, same_key).select(
-        *[F.col(f"r.{k}").alias(k) for k in keys], "_n", "_lo", "_hi", "_v")
+        same_key = same_key & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    items = F.array(*[F.struct(
+        F.lit(v).alias("name"), F.col(f"r._{v}.n").alias("n"), F.col(f"r._{v}.q")[0].alias("lo"),
+        F.col(f"r._{v}.q")[1].alias("hi"), F.col(f"l.{v}").alias("v")) for v in values])
+    tall = (data.alias("l").join(bounds, same_key)
+            .select(*[F.col(f"r.{k}").alias(k) for k in keys], F.explode(items).alias("_i"))
+            .select(*keys, "_i.*"))
     counted = (
-        joined.filter(F.col("_v") <= F.col("_hi"))
-        .groupBy(*keys, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
+        tall.filter(F.col("v") <= F.col("hi"))
+        .groupBy(*keys, "name", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
         .agg(F.count("*").alias("_c"))
     )
-    upto = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
+    upto = Window.partitionBy(*keys, "name").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     ranked = counted.withColumn("_end", F.sum("_c").over(upto))
-    lower, upper = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
 
     def at(rank):
         inside = (F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank)
-        return F.max(F.when(inside, F.col("_v")))
+        return F.max(F.when(inside, F.col("v")))
 
-    middle = ranked.groupBy(*keys).agg(((at(lower) + at(upper)) / 2).alias(out))
+    middle = ranked.groupBy(*keys, "name").agg(
+        ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("m"))
     # the sketch guarantees both ranks lie in the bracket; never return a silent NULL
-    return middle.withColumn(out, F.when(F.col(out).isNull(), F.raise_error(
-        F.lit("median rank outside the sketch bracket"))).otherwise(F.col(out)))
+    checked = F.when(F.col("m").isNull(), F.raise_error(F.lit(
+        "median rank outside the sketch bracket"))).otherwise(F.col("m"))
+    return middle.withColumn("m", checked).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("name") == v, F.col("m"))).alias(v) for v in values])
+
+
+def grouped_median(df: DataFrame, keys: list[str], value: str, out: str = "median",
+                   accuracy: int = ACCURACY) -> DataFrame:
+    """``keys, out``: the exact median of one value column."""
+    return grouped_medians(df, keys, [value], accuracy).withColumnRenamed(value, out)
