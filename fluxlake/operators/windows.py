@@ -54,17 +54,17 @@ def window_starts(valid_bins: DataFrame, seq_len: int, pred_len: int,
     )
 
 
-def window_counts(runs: DataFrame, lengths: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Number of windows per key for every row of ``lengths`` (columns incl. ``length``).
+def window_counts(runs: DataFrame, lengths: list[dict[str, int]],
+                  keys: list[str] | None = None) -> DataFrame:
+    """Number of windows per key for every entry of ``lengths`` (each with a ``length``).
 
-    Pure arithmetic on run lengths: one run table serves the whole sweep. ``lengths`` holds a
-    few rows; each run is expanded to those rows locally.
+    Pure arithmetic on run lengths: one run table serves the whole sweep, each run being expanded
+    to the entries in place.
     """
     keys = keys or GROUP
-    rows = [r.asDict() for r in lengths.collect()]
-    names = lengths.columns
+    names = list(lengths[0])
     expanded = runs.withColumn("_len", F.explode(F.array(*[
-        F.struct(*[F.lit(r[n]).alias(n) for n in names]) for r in rows])))
+        F.struct(*[F.lit(entry[n]).alias(n) for n in names]) for entry in lengths])))
     fit = F.greatest(F.lit(0), F.col("run_len") - F.col("_len.length") + 1)
     return (
         expanded.groupBy(*keys, *[F.col(f"_len.{n}").alias(n) for n in names])

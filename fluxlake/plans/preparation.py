@@ -115,8 +115,7 @@ def islands_run_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def window_counts_sweep(spark: SparkSession, d: str) -> DataFrame:
-    lengths = spark.createDataFrame([(h, p, h + p) for h, p in LENGTHS],
-                                    "seq_len int, pred_len int, length int")
+    lengths = [{"seq_len": h, "pred_len": p, "length": h + p} for h, p in LENGTHS]
     return windows.window_counts(windows.run_table(_hourly(spark, d)), lengths, ["series"]).drop(
         "length")
 
@@ -125,8 +124,7 @@ def fold_window_totals(spark: SparkSession, d: str) -> DataFrame:
     obs = order_obs(spark, d)
     bins = (grid.bin_mean(obs, DAY).filter(F.col("value").isNotNull())
             .withColumn("term", terms.term_label("bin_ts")))
-    lengths = spark.createDataFrame([(4,), (7,)], "length int")
-    per_term = windows.window_counts(windows.run_table(bins), lengths, ["term"])
+    per_term = windows.window_counts(windows.run_table(bins), [{"length": 4}, {"length": 7}], ["term"])
     splits = terms.fold_splits(terms.term_table(obs))
     return (
         splits.join(per_term, "term").groupBy("fold", "length")

@@ -75,7 +75,7 @@ def small_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     The rows themselves are fetched (at most ``max_rows + 1``) and, when they fit, become a
     local relation, so the summary is not computed again inside the join.
     """
-    head = df.limit(max_rows + 1).collect()
-    if len(head) <= max_rows:
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows <= max_rows:
         return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
     return materialize(df, "summary")

@@ -160,6 +160,6 @@ def test_window_counts_equal_starts(spark):
     idx = np.nonzero(rng.random(300) < 0.85)[0]
     df = spark.createDataFrame([("s", "t", int(i), 1.0) for i in idx],
                                "series string, term string, bin_idx long, value double")
-    lengths = spark.createDataFrame([(3,), (8,)], "length int")
+    lengths = [{"length": 3}, {"length": 8}]
     got = {r.length: r.n_windows for r in windows.window_counts(windows.run_table(df), lengths).collect()}
     assert got == {3: len(starts(spark, idx, 3)), 8: len(starts(spark, idx, 8))}
