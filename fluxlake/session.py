@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,8 +34,27 @@ def build_session(app: str = "fluxlake", master: str | None = None, **conf: str)
     return prepare(builder.getOrCreate())
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per Spark application."""
+    context = spark.sparkContext
+    home = os.path.dirname(os.path.abspath(__file__))
+    # imported from an archive, Spark has it already
+    if context.applicationId in _shipped or not os.path.isdir(home):
+        return
+    # executors fetch the archive from here as long as the driver lives
+    folder = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(
+        os.path.join(folder, f"fluxlake-{uuid.uuid4().hex}"), "zip", os.path.dirname(home), os.path.basename(home)))
+    _shipped.add(context.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the run-time defaults to a session that somebody else built."""
+    """Apply the run-time defaults to a session that somebody else built, and ship the package."""
+    ship_package(spark)
     for key, value in SQL_DEFAULTS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -43,10 +64,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables, under the cluster's shared checkpoint folder.
 
-    Only a session without ``spark.checkpoint.dir`` (local tests) gets a temporary folder.
+    A session without ``spark.checkpoint.dir`` gets a temporary folder in local mode, where driver
+    and tasks share a disk, and an error on a cluster.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return os.path.join(base, f"fluxlake-{name}-{uuid.uuid4().hex}")
 
