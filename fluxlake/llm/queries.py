@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fluxlake.llm import exact_dedup, near_dedup
+from fluxlake.llm import chat, exact_dedup, mixing, near_dedup, quality_rules
 from fluxlake.llm.common import table
 
 
@@ -12,11 +13,30 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and number -7, whose texts imitate the marks of templates."""
+    hostile = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    more = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role").withColumn("text", F.lit(hostile))
+    return chat.read_back(chat.chat_windows(rows.unionByName(more)))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, None),
+    "op2_quality_rules": (op2_quality_rules, None),
+    "op3_chat_windows": (op3_chat_windows, None),
+    "op4_mix_sources": (op4_mix_sources, None),
     "op6_minhash_near_dedup": (op6_minhash_near_dedup, None),
 }
