@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxlake.llm import chat, exact_dedup, mixing, near_dedup, quality_rules
+from fluxlake.llm import chat, exact_dedup, mixing, near_dedup, quality_model, quality_rules, token_counts
 from fluxlake.llm.common import table
 
 
@@ -33,10 +34,22 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(
+        table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(
+        table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, None),
     "op2_quality_rules": (op2_quality_rules, None),
     "op3_chat_windows": (op3_chat_windows, None),
     "op4_mix_sources": (op4_mix_sources, None),
     "op6_minhash_near_dedup": (op6_minhash_near_dedup, None),
+    "op9_token_counts": (op9_token_counts, None),
+    "op10_quality_classifier": (op10_quality_classifier, None),
 }
