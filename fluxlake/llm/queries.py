@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxlake.llm import chat, exact_dedup, mixing, near_dedup, quality_model, quality_rules, token_counts
+from fluxlake.llm import chat, exact_dedup, language, mixing, near_dedup, quality_model, quality_rules, sentence_pieces, token_counts
 from fluxlake.llm.common import table
 
 
@@ -30,10 +30,19 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encoded(
+        table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(
         table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -49,7 +58,9 @@ QUERIES = {
     "op2_quality_rules": (op2_quality_rules, None),
     "op3_chat_windows": (op3_chat_windows, None),
     "op4_mix_sources": (op4_mix_sources, None),
+    "op5_language_id": (op5_language_id, None),
     "op6_minhash_near_dedup": (op6_minhash_near_dedup, None),
+    "op8_sentence_pieces": (op8_sentence_pieces, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_quality_classifier": (op10_quality_classifier, None),
 }
