@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxlake.llm import chat, exact_dedup, language, mixing, near_dedup, quality_model, quality_rules, sentence_pieces, token_counts
+from fluxlake.llm import chat, exact_dedup, language, mixing, near_dedup, quality_model, quality_rules, sentence_pieces, token_counts, toxicity
 from fluxlake.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(
+        table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encoded(
         table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_mix_sources": (op4_mix_sources, None),
     "op5_language_id": (op5_language_id, None),
     "op6_minhash_near_dedup": (op6_minhash_near_dedup, None),
+    "op7_toxicity_chain": (op7_toxicity_chain, None),
     "op8_sentence_pieces": (op8_sentence_pieces, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_quality_classifier": (op10_quality_classifier, None),
