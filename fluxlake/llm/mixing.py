@@ -113,7 +113,7 @@ def mix_plan(docs: DataFrame) -> DataFrame:
     return planned(narrow, F.col("size")).select(
         "doc_id", "size", F.col("__mix_total").alias("source_size"), F.col("__mix_target").alias("target"),
         F.aggregate("__mix_passes", F.lit(0).cast("long"), lambda a, p: a + p["words"]).alias("taken"),
-        F.size("__mix_passes").alias("n_passes"), F.get("__mix_passes.position", F.lit(0)).alias("position"))
+        F.size("__mix_passes").alias("n_passes"), F.round(F.get("__mix_passes.position", F.lit(0)), 9).alias("position"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

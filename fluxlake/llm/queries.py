@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxlake.llm import chat, exact_dedup, language, mixing, near_dedup, quality_model, quality_rules, sentence_pieces, token_counts, toxicity
+from fluxlake.llm import (
+    chat, exact_dedup, language, mixing, near_dedup, quality_model, quality_rules, sentence_pieces, sql,
+    token_counts, toxicity,
+)
 from fluxlake.llm.common import table
 
 
@@ -59,12 +62,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_exact_dedup": (op1_exact_dedup, None),
-    "op2_quality_rules": (op2_quality_rules, None),
-    "op3_chat_windows": (op3_chat_windows, None),
-    "op4_mix_sources": (op4_mix_sources, None),
+    "op1_exact_dedup": (op1_exact_dedup, sql.EXACT),
+    "op2_quality_rules": (op2_quality_rules, sql.RULES),
+    "op3_chat_windows": (op3_chat_windows, sql.CHAT),
+    "op4_mix_sources": (op4_mix_sources, sql.MIX),
     "op5_language_id": (op5_language_id, None),
-    "op6_minhash_near_dedup": (op6_minhash_near_dedup, None),
+    "op6_minhash_near_dedup": (op6_minhash_near_dedup, sql.NEAR),
     "op7_toxicity_chain": (op7_toxicity_chain, None),
     "op8_sentence_pieces": (op8_sentence_pieces, None),
     "op9_token_counts": (op9_token_counts, None),
