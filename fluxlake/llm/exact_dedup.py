@@ -15,17 +15,17 @@ so a lost executor costs one round at most.
 Cases: null text is empty, and all empty texts are equal; of equal texts the one with most code
 points in the original, then the smallest doc_id stays (a missing id is the largest). Rows that
 repeat both id and text share a result, both ``kept``, and :func:`drop_copies` passes one of them
-on. An empty table gives an empty result. Other columns are ignored, whatever their names.
+on. An id that repeats with another text is another document. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxlake.llm.common import SPACES, keep_rows, whole_text
+from fluxlake.llm.common import SPACES, whole_text
 from fluxlake.session import materialize
 
 FIRST_BYTES = 64
@@ -41,11 +41,11 @@ def _split(active: DataFrame, stride: int) -> DataFrame:
     groups = (
         dealt.groupBy("part", "salt", "head", "ended")
         .agg(F.count("*").alias("n"),
-             F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"))).alias("best"),
+             F.min(F.struct((-F.col("n_chars")).alias("chars"), F.col("doc_id").isNull(), F.col("doc_id"))).alias("best"),
              F.min("doc_id").alias("low"))
         .filter("n > 1")
         .select(F.col("part").alias("g_part"), F.col("salt").alias("g_salt"), F.col("head").alias("g_head"),
-                F.col("ended").alias("g_ended"), "n", "low", F.col("best.doc_id").alias("best_id"))
+                F.col("ended").alias("g_ended"), "n", "low", F.col("best.doc_id").alias("best_id"), (-F.col("best.chars")).alias("best_chars"))
     )
     met = dealt.join(
         groups,
@@ -55,6 +55,7 @@ def _split(active: DataFrame, stride: int) -> DataFrame:
     return met.select(
         "doc_id", "n_chars", "text_sha256",
         F.when(alone, F.col("doc_id")).otherwise(F.col("best_id")).alias("keep_id"),
+        F.coalesce("best_chars", "n_chars").alias("keep_chars"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         going_on.alias("going_on"),
         # the smallest id names the new group; the salt tells groups apart where an id repeats
@@ -64,13 +65,16 @@ def _split(active: DataFrame, stride: int) -> DataFrame:
     )
 
 
+def _plain() -> Column:
+    """The bytes that decide equality."""
+    return F.translate(whole_text(), SPACES, "").cast("binary")
+
+
 def exact_groups(docs: DataFrame, first_bytes: int = FIRST_BYTES, growth: int = GROWTH) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    plain = F.translate(whole_text(), SPACES, "").cast("binary")
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chars."""
     active = docs.select(
         "doc_id", F.length(whole_text()).alias("n_chars"), F.lit(None).cast("long").alias("part"),
-        F.lit(0).cast("long").alias("salt"), plain.alias("rest"),
-        F.sha2(plain, 256).alias("text_sha256"))
+        F.lit(0).cast("long").alias("salt"), _plain().alias("rest"), F.sha2(_plain(), 256).alias("text_sha256"))
     done, stride = [], first_bytes
     while True:
         step = materialize(_split(active, stride), "radix")
@@ -79,12 +83,21 @@ def exact_groups(docs: DataFrame, first_bytes: int = FIRST_BYTES, growth: int =
         if active.isEmpty():
             break
         stride *= growth
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
     return reduce(DataFrame.unionAll, done).select(
-        "doc_id", "keep_id", "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        "doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", F.col("n_chars").cast("long"))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with the columns of ``docs``."""
-    kept = exact_groups(docs).filter("kept").select("doc_id")
-    return keep_rows(docs, kept).dropDuplicates(["doc_id", "text"])
+    """The documents that stay, with the columns of ``docs``.
+
+    Rows are matched by id, digest and length, since ids may repeat or be missing.
+    """
+    kept = exact_groups(docs).filter("kept").select(
+        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"), F.col("n_chars").alias("kept_chars"))
+    marked = docs.withColumns({"__radix_sha": F.sha2(_plain(), 256), "__radix_chars": F.length(whole_text())})
+    stays = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__radix_sha") == F.col("kept_sha")) \
+        & (F.col("__radix_chars") == F.col("kept_chars"))
+    # the join has dealt the rows by these columns already
+    return marked.join(kept, stays, "left_semi").dropDuplicates(["doc_id", "__radix_sha"]).select(
+        *[F.col(f"`{c}`") for c in docs.columns])

@@ -11,9 +11,9 @@ ALL_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 EXACT = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
                   regexp_replace(coalesce(text, ''), '{SPACE_CLASS}', '', 'g') AS p FROM documents),
-k AS (SELECT doc_id, p, first_value(doc_id) OVER (PARTITION BY p ORDER BY length(t) DESC, doc_id) AS keep_id,
+k AS (SELECT doc_id, p, length(t) AS n_chars, first_value(doc_id) OVER (PARTITION BY p ORDER BY length(t) DESC, doc_id) AS keep_id,
              count(*) OVER (PARTITION BY p) AS group_size FROM d)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(p) AS text_sha256 FROM k
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(p) AS text_sha256, n_chars FROM k
 """
 
 
