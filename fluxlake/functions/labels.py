@@ -65,17 +65,21 @@ def parse_cell_name(name: str | Column) -> list[Column]:
 
 
 def input_length(seq_len: str | Column, cadence_min: int = 5) -> Column:
-    """``1-day`` or ``6-hour``: an input length in words."""
-    minutes = _col(seq_len) * cadence_min
-    hours = F.regexp_replace(F.format_number(minutes / 60, 2), r"\.?0+$", "")
-    return F.when(minutes % 1440 == 0,
-                  F.concat((minutes / 1440).cast("long").cast("string"), F.lit("-day"))
-                  ).otherwise(F.concat(hours, F.lit("-hour")))
+    """The span of an input: whole days as ``7-day``, else hours to six digits as ``6-hour``."""
+    minutes = (_col(seq_len) * cadence_min).cast("long")
+    six = F.format_string("%.5e", minutes / 60).cast("double").cast("decimal(30,10)").cast("string")
+    hours = F.regexp_replace(six, r"(\.0*|(\.\d*[1-9])0+)$", "$2")
+    whole_days = minutes % 1440 == 0
+    return F.when(whole_days, F.concat((minutes / 1440).cast("long").cast("string"), F.lit("-day"))).otherwise(
+        F.concat(hours, F.lit("-hour")))
 
 
 def score_cell(mean: str | Column, defined: str | Column, grid: str | Column) -> Column:
-    """``0.512``, or ``0.512 (14/15)`` when only some runs have a value; ``--`` for none."""
-    m, k, n = _col(mean), _col(defined), _col(grid)
-    text = F.when(m.isNull(), "--").otherwise(F.format_string("%.3f", m))
-    counts = F.concat(F.lit(" ("), k.cast("string"), F.lit("/"), n.cast("string"), F.lit(")"))
-    return F.when(k == n, text).otherwise(F.concat(text, counts))
+    """A mean to three digits, followed by (runs with a value / runs of the grid) where these differ.
+
+    A model without rows has NULL for ``defined`` and shows ``--`` alone.
+    """
+    shown = F.when(_col(mean).isNull(), "--").otherwise(F.format_string("%.3f", _col(mean)))
+    share = F.concat_ws("", F.lit(" ("), F.concat_ws("/", _col(defined).cast("string"), _col(grid).cast("string")), F.lit(")"))
+    complete = F.coalesce(_col(defined) == _col(grid), F.lit(True))
+    return F.concat(shown, F.when(complete, "").otherwise(share))

@@ -1,4 +1,4 @@
-"""Regression metrics as aggregate columns over ``(pred, true)``, kept in a registry.
+"""Regression metrics as aggregate columns over ``(pred, true)``, kept on a shelf.
 
 Metrics built from sums are one aggregate expression each. Metrics that need an exact median
 name the quantity whose median they need and a function of that median; the scorer computes all
@@ -7,41 +7,16 @@ medians in one extra pass (see ``operators.median``).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LN10 = 2.302585092994046
-
-
-@dataclass(frozen=True)
-class RegressionMetric:
-    space: str                                            # "stored" or "log"
-    aggregate: Callable[[Column, Column], Column] | None = None
-    median_of: Callable[[Column, Column], Column] | None = None
-    finish: Callable[[Column], Column] | None = None
-
-
-REGRESSION_METRICS: dict[str, RegressionMetric] = {}
-
-
-def register_regression_metric(name: str, space: str = "log"):
-    """Decorator for an aggregate ``(pred, true) -> Column``; its column is then in every table."""
-    if "_" in name:
-        raise ValueError(f"metric name must not contain '_': {name!r}")
-
-    def keep(fn):
-        REGRESSION_METRICS[name] = RegressionMetric(space=space, aggregate=fn)
-        return fn
-    return keep
+from fluxlake.functions.registry import Shelf
 
+LN10 = 2.302585092994046
 
-def register_median_metric(name: str, median_of, finish, space: str = "log") -> None:
-    if "_" in name:
-        raise ValueError(f"metric name must not contain '_': {name!r}")
-    REGRESSION_METRICS[name] = RegressionMetric(space=space, median_of=median_of, finish=finish)
+# Facts of an entry: ``space`` ("stored" or "log") of its arguments; for a metric of a median,
+# ``median_of`` is the quantity and the entry itself turns the median into the metric.
+REGRESSION_METRICS = Shelf("regression metric")
 
 
 def percent_factor(m: Column) -> Column:
@@ -49,22 +24,25 @@ def percent_factor(m: Column) -> Column:
     return F.expm1(m * LN10) * 100
 
 
-@register_regression_metric("rmse", space="stored")
+@REGRESSION_METRICS.holding("rmse", space="stored")
 def _rmse(pred, true):
     return F.sqrt(F.avg((pred - true) * (pred - true)))
 
 
-@register_regression_metric("mae", space="stored")
+@REGRESSION_METRICS.holding("mae", space="stored")
 def _mae(pred, true):
     return F.avg(F.abs(pred - true))
 
 
-register_median_metric("msa", lambda p, t: F.abs(p - t), percent_factor)
-register_median_metric("sspb", lambda p, t: p - t,
-                       lambda m: F.signum(m) * percent_factor(F.abs(m)))
+REGRESSION_METRICS.holding("msa", space="log", median_of=lambda p, t: F.abs(p - t))(percent_factor)
+
+
+@REGRESSION_METRICS.holding("sspb", space="log", median_of=lambda p, t: p - t)
+def _sspb(middle):
+    return F.signum(middle) * percent_factor(F.abs(middle))
 
 
-@register_regression_metric("logr")
+@REGRESSION_METRICS.holding("logr", larger_is_better=True, space="log")
 def _logr(pred, true):
     # a constant side has no correlation; min = max is exact where a variance is not
     varies = (F.min(pred) < F.max(pred)) & (F.min(true) < F.max(true))

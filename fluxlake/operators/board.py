@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxlake.functions.registry import COUNTS, RUN_KEYS, higher_is_better
+from fluxlake.functions.metrics import STANDARD
+from fluxlake.functions.registry import COUNTS, RUN_KEYS
 from fluxlake.operators.conditions import without
 from fluxlake.operators.quality import assert_unique
 
@@ -58,7 +59,7 @@ def carry_over(new_rows: DataFrame, old_rows: DataFrame, column: str, keys: list
 
 def best_first(rows: DataFrame, metric: str, groups: list[str], out: str = "rank") -> DataFrame:
     """Rank rows inside each group, best on top whatever the direction, NULL last."""
-    key = F.col(metric).desc_nulls_last() if higher_is_better(metric) else F.col(metric).asc_nulls_last()
+    key = F.col(metric).asc_nulls_last() if STANDARD.ascends(metric) else F.col(metric).desc_nulls_last()
     return rows.withColumn(out, F.row_number().over(
         Window.partitionBy(*groups).orderBy(key, *RUN_KEYS)))
 
@@ -66,7 +67,7 @@ def best_first(rows: DataFrame, metric: str, groups: list[str], out: str = "rank
 def best_of(metric: str, groups: list[str]) -> Column:
     """True for the best value of its group, ties within 1e-12 included."""
     w = Window.partitionBy(*groups)
-    best = F.max(metric).over(w) if higher_is_better(metric) else F.min(metric).over(w)
+    best = F.min(metric).over(w) if STANDARD.ascends(metric) else F.max(metric).over(w)
     return F.abs(F.col(metric) - best) <= TIE
 
 
@@ -100,6 +101,19 @@ def left_out(rows: DataFrame, exclusions: list[tuple] | None = None) -> DataFram
     return dropped.groupBy("pred_len").agg(F.countDistinct(F.struct(*RUN_KEYS)).alias("n_left_out"))
 
 
+def on_run_grid(cells: DataFrame, rows: DataFrame, excluded: list) -> DataFrame:
+    """Cells of every model and channel of a (track, horizon) with ``n_grid``, the runs of all its models.
+
+    A model without rows for a channel gets a cell of NULLs.
+    """
+    place = ["track", "pred_len"]
+    runs = without(rows, excluded, ["model", "seq_len"])
+    grid = runs.groupBy(*place).agg(F.countDistinct("seq_len", "fold").alias("n_grid"))
+    models = runs.select(*place, "model").distinct()
+    listed = models.join(runs.select(*place, "channel").distinct(), place).join(grid, place)
+    return listed.join(cells, [*place, "channel", "model"], "left")
+
+
 def board(means: DataFrame, order_channel: dict[str, str], metric: str = "rmse") -> DataFrame:
     """Board position of each model per (track, horizon): the first channel's mean, NULL last,
     then the name."""
@@ -145,7 +159,7 @@ def champions(cells: DataFrame, keys: list[str], metric: str, ci: str) -> DataFr
 
     ``cells`` has one row per (cell, model) with the mean ``metric`` and its half width ``ci``.
     """
-    down = higher_is_better(metric)
+    down = not STANDARD.ascends(metric)
     col = F.col(metric)
     w = Window.partitionBy(*keys).orderBy(
         col.desc_nulls_last() if down else col.asc_nulls_last(), "model")
@@ -164,7 +178,7 @@ def standings(cells: DataFrame, keys: list[str], metric: str) -> DataFrame:
     """Wins, average rank and number of cells per model."""
     col = F.col(metric)
     w = Window.partitionBy(*keys).orderBy(
-        col.desc_nulls_last() if higher_is_better(metric) else col.asc_nulls_last(), "model")
+        col.asc_nulls_last() if STANDARD.ascends(metric) else col.desc_nulls_last(), "model")
     ranked = cells.filter(col.isNotNull()).withColumn("_k", F.row_number().over(w))
     return ranked.groupBy("model").agg(F.count_if(F.col("_k") == 1).alias("wins"),
                                        F.avg("_k").alias("avg_rank"), F.count("*").alias("n_cells"))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fluxlake.session import materialize
+
 DAY_HOURS = 24
 BLOCK_STEPS = 64          # block length in units of the minimum spacing
 HOUR_US = 3_600_000_000
@@ -67,7 +69,8 @@ def spaced_starts(starts: DataFrame, keys: list[str], time: str = "forecast_star
     solved_schema = T.StructType(
         [*key_fields, T.StructField("_block", long), T.StructField("_entry", long),
          T.StructField("_last", long), T.StructField("_kept", T.ArrayType(long))])
-    solved = times.groupBy(*keys, "_block").applyInArrow(solve, solved_schema)
+    # read twice, by the chain and by the expansion
+    solved = materialize(times.groupBy(*keys, "_block").applyInArrow(solve, solved_schema), "day-cut")
 
     def chain(group: pa.Table) -> pa.Table:
         group = group.sort_by("_entry")

@@ -8,19 +8,17 @@ values never cross a shuffle.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxlake.functions.registry import (
-    COUNTS, REGRESSION_KEYS, RUN_KEYS, event_columns, regression_columns, select_metrics,
-)
-from fluxlake.functions.regression import REGRESSION_METRICS
-from fluxlake.functions.scores import EVENT_SCORES, score_columns
+from fluxlake.functions.metrics import STANDARD, MetricSet
+from fluxlake.functions.registry import COUNTS, REGRESSION_KEYS, RUN_KEYS
+from fluxlake.functions.scores import score_columns
 from fluxlake.operators.daycut import DAY_HOURS, spaced_starts
+from fluxlake.operators.grid import stored_value
 from fluxlake.operators.median import grouped_medians
 
 GRANULARITIES = ("point", "window", "day")
@@ -32,16 +30,9 @@ class Evaluation:
     event: DataFrame
 
 
-def to_stored_space(threshold: float, transform: str) -> float:
-    if transform == "log10":
-        return math.log10(threshold)
-    if transform == "none":
-        return float(threshold)
-    raise ValueError(f"unknown transform: {transform}")
-
-
-def _by_channel(values: dict[str, float], kind: str) -> Column:
-    pairs = [c for k, v in values.items() for c in (F.lit(k), F.lit(float(v)).cast(kind))]
+def by_channel(values: dict[str, float], kind: str, transform: str = "none") -> Column:
+    """The channel's value, in stored space."""
+    pairs = [c for k, v in values.items() for c in (F.lit(k), stored_value(F.lit(float(v)), transform).cast(kind))]
     return F.create_map(*pairs)[F.col("channel")]
 
 
@@ -77,9 +68,8 @@ def check_predictions(pred: DataFrame) -> DataFrame:
 
 def _unit_rows(pred: DataFrame, thresholds: dict[str, float], transform: str) -> DataFrame:
     """Window-level flags: predicted and observed event, any non-finite value."""
-    stored = {c: to_stored_space(t, transform) for c, t in thresholds.items()}
     # the threshold is compared at float precision, like the stored values
-    thr = _by_channel(stored, "float")
+    thr = by_channel(thresholds, "float", transform)
     return (
         pred.withColumn("pred", F.col("pred").cast("array<float>"))
         .withColumn("true", F.col("true").cast("array<float>"))
@@ -100,45 +90,40 @@ def _counts(p: Column, t: Column, bad: Column, member: Column, prefix: str) -> l
     ]
 
 
-def _metric_columns(names: list[str], transform: str) -> list[Column]:
-    p, t = F.col("p").cast("double"), F.col("t").cast("double")
-    logs = (p, t) if transform == "log10" else (F.log10(p), F.log10(t))
-    out = []
-    for name in names:
-        metric = REGRESSION_METRICS[name]
-        if metric.aggregate is not None:
-            args = (p, t) if metric.space == "stored" else logs
-            out.append(metric.aggregate(*args).alias(f"m_{name}"))
-    return out
-
-
-def _medians(long: DataFrame, keys: list[str], names: list[str], transform: str) -> DataFrame | None:
-    wanted = [n for n in names if REGRESSION_METRICS[n].median_of is not None]
-    if not wanted:
-        return None
+def _arguments(space: str, transform: str) -> tuple[Column, Column]:
     p, t = F.col("p").cast("double"), F.col("t").cast("double")
-    lp, lt = (p, t) if transform == "log10" else (F.log10(p), F.log10(t))
+    return (p, t) if space == "stored" or transform == "log10" else (F.log10(p), F.log10(t))
+
+
+def _metric_columns(known: MetricSet, names: list[str], transform: str) -> list[Column]:
+    return [known.regressions[n](*_arguments(known.regressions[n].facts["space"], transform)).alias(f"m_{n}")
+            for n in names if "median_of" not in known.regressions[n].facts]
+
+
+def _medians(long: DataFrame, keys: list[str], known: MetricSet, names: list[str], transform: str) -> DataFrame | None:
     cols = []
-    for n in wanted:
-        metric = REGRESSION_METRICS[n]
-        v = metric.median_of(*((p, t) if metric.space == "stored" else (lp, lt)))
-        # a channel with such a value is voided as a whole, its medians are not used
-        cols.append(F.when(~non_finite(v), v).alias(f"d_{n}"))
-    return grouped_medians(long.select(*keys, *cols), keys, [f"d_{n}" for n in wanted])
+    for n in names:
+        facts = known.regressions[n].facts
+        if "median_of" in facts:
+            v = facts["median_of"](*_arguments(facts["space"], transform))
+            # a channel with such a value is voided as a whole, its medians are not used
+            cols.append(F.when(~non_finite(v), v).alias(f"d_{n}"))
+    wanted = [f"d_{n}" for n in names if "median_of" in known.regressions[n].facts]
+    return grouped_medians(long.select(*keys, *cols), keys, wanted) if wanted else None
 
 
 def evaluate(pred: DataFrame, thresholds: dict[str, float] | None, transform: str = "log10",
-             keys: list[str] = RUN_KEYS, cell_keys: list[str] | None = None,
-             day_hours: int = DAY_HOURS, metrics: Sequence[str] | None = None) -> Evaluation:
+             keys: list[str] = RUN_KEYS, day_hours: int = DAY_HOURS, metrics: Sequence[str] | None = None,
+             units: Sequence[str] = GRANULARITIES, known: MetricSet = STANDARD) -> Evaluation:
     """One regression row per run and channel, one event row per run, channel and unit.
 
     ``thresholds`` are physical values by channel. One non-finite prediction voids every score and
     count of its channel in all units. Metrics not selected stay in the tables as NULL columns.
-    ``cell_keys`` identify the runs that share their forecast starts (all keys but the model),
-    so the daily cut is solved once for all models.
+    Only the ``units`` asked for are computed; the daily cut runs on each run's own starts.
     """
-    to_stored_space(1.0, transform)
-    reg_names, event_names = select_metrics(metrics)
+    chosen = known.chosen(metrics)
+    reg_names = [n for n in known.regressions if n in chosen]
+    event_names = [n for n in known.events if n in chosen]
     group = [*keys, "channel"]
     flags = _unit_rows(pred, thresholds or {"": 1.0}, transform)
     long = flags.select(
@@ -153,46 +138,54 @@ def evaluate(pred: DataFrame, thresholds: dict[str, float] | None, transform: st
                  point, "point"),
         *_counts(F.col("w_pred"), F.col("w_true"), F.col("w_bad"), first, "window"),
         F.count_if((F.col("p") <= 0) | (F.col("t") <= 0)).alias("n_nonpositive"),
-        *_metric_columns(reg_names, transform),
+        *_metric_columns(known, reg_names, transform),
     )
     return Evaluation(
-        regression=_regression_rows(summary, long, group, reg_names, transform),
-        event=_event_rows(summary, flags, group, cell_keys, thresholds, day_hours, event_names),
+        regression=_regression_rows(summary, long, group, known, reg_names, transform),
+        event=_event_rows(summary, flags, keys, thresholds, day_hours, known, event_names, units),
     )
 
 
-def _regression_rows(summary, long, group, names, transform) -> DataFrame:
-    med = _medians(long.select(*group, "p", "t"), group, names, transform)
+def _regression_rows(summary, long, group, known, names, transform) -> DataFrame:
+    med = _medians(long.select(*group, "p", "t"), group, known, names, transform)
     rows = summary if med is None else summary.join(med, group, "left")
     finite = F.col("point_bad") == 0
     loggable = finite if transform == "log10" else finite & (F.col("n_nonpositive") == 0)
     cols = []
-    for name, metric in REGRESSION_METRICS.items():
+    for name, metric in known.regressions.items():
         if name not in names:
             cols.append(F.lit(None).cast("double").alias(name))
             continue
-        raw = (F.col(f"m_{name}") if metric.aggregate is not None
-               else metric.finish(F.col(f"d_{name}")))
-        cols.append(F.when(finite if metric.space == "stored" else loggable, raw).alias(name))
+        raw = metric(F.col(f"d_{name}")) if "median_of" in metric.facts else F.col(f"m_{name}")
+        cols.append(F.when(finite if metric.facts["space"] == "stored" else loggable, raw).alias(name))
     return rows.select(*group, F.col("point_n").alias("n"), *cols)
 
 
-def _event_rows(summary, flags, group, cell_keys, thresholds, day_hours, names) -> DataFrame:
-    units = ["point", "window"]
-    if thresholds and "forecast_start" in flags.columns:
-        cells = cell_keys or [k for k in group if k not in ("model", "channel")]
-        narrow = flags.select(*group, "forecast_start", "w_pred", "w_true", "w_bad")
-        kept = spaced_starts(narrow.select(*cells, "forecast_start"), cells, hours=day_hours)
+def _first_of_repeats(flags: DataFrame, group: list[str]) -> DataFrame:
+    """One window per start: the one with the lowest ``position`` where the table has that column,
+    else the smallest by its values."""
+    order = ["position"] if "position" in flags.columns else []
+    first = F.min(F.struct(*order, "w_pred", "w_true", "w_bad", "pred", "true")).alias("_first")
+    return flags.groupBy(*group, "forecast_start").agg(first).select(
+        *group, "forecast_start", "_first.w_pred", "_first.w_true", "_first.w_bad")
+
+
+def _event_rows(summary, flags, keys, thresholds, day_hours, known, names, units) -> DataFrame:
+    group = [*keys, "channel"]
+    shown = [u for u in GRANULARITIES if u in units]
+    if "day" in shown and not (thresholds and "forecast_start" in flags.columns):
+        shown.remove("day")
+    if "day" in shown:
+        kept = spaced_starts(flags.select(*keys, "forecast_start"), keys, hours=day_hours)
         day = (
-            narrow.join(kept, [*cells, "forecast_start"], "left_semi")
+            _first_of_repeats(flags, group).join(kept, [*keys, "forecast_start"], "left_semi")
             .groupBy(*group)
             .agg(*_counts(F.col("w_pred"), F.col("w_true"), F.col("w_bad"), F.lit(True), "day"))
         )
         summary = summary.join(day, group, "left")
-        units.append("day")
     ok = F.col("point_bad") == 0
     structs = []
-    for unit in units:
+    for unit in shown:
         n, tp, fp, fn = (F.col(f"{unit}_{c}") for c in ("n", "tp", "fp", "fn"))
         structs.append(F.struct(
             F.lit(unit).alias("granularity"), n.alias("n"),
@@ -200,23 +193,23 @@ def _event_rows(summary, flags, group, cell_keys, thresholds, day_hours, names)
             F.when(ok, fp).alias("fp"), F.when(ok, fn).alias("fn"),
             F.when(ok, n - tp - fp - fn).alias("tn"), F.col(f"{unit}_bad").alias("n_nonfinite")))
     rows = summary.select(*group, F.explode(F.array(*structs)).alias("_u")).select(*group, "_u.*")
-    threshold = (_by_channel(thresholds, "double") if thresholds
+    threshold = (by_channel(thresholds, "double") if thresholds
                  else F.lit(None).cast("double"))
     rows = rows.withColumn("threshold", threshold)
-    unselected = [F.lit(None).cast("double").alias(n) for n in EVENT_SCORES if n not in names]
-    rows = rows.select("*", *score_columns(names), *unselected)
+    unselected = [F.lit(None).cast("double").alias(n) for n in known.events if n not in names]
+    rows = rows.select("*", *score_columns(names, known.events), *unselected)
     if not thresholds:
         rows = rows.filter(F.lit(False))
-    return rows.select(*group, "granularity", "threshold", *COUNTS, *EVENT_SCORES)
+    return rows.select(*group, "granularity", "threshold", *COUNTS, *known.events)
 
 
-def master_layout(evaluation: Evaluation, best_val_loss: Column | None = None) -> Evaluation:
+def master_layout(evaluation: Evaluation, best_val_loss: Column | None = None, known: MetricSet = STANDARD) -> Evaluation:
     """Both tables in the column order of the master tables."""
     loss = best_val_loss if best_val_loss is not None else F.lit(None).cast("double")
     reg = evaluation.regression.withColumn("best_val_loss", loss)
-    return Evaluation(regression=reg.select(*regression_columns()),
-                      event=evaluation.event.select(*event_columns()))
+    return Evaluation(regression=reg.select(*known.regression_columns),
+                      event=evaluation.event.select(*known.event_columns))
 
 
-__all__ = ["COUNTS", "Evaluation", "GRANULARITIES", "REGRESSION_KEYS", "check_predictions",
-           "evaluate", "from_long", "master_layout", "non_finite", "to_long", "to_stored_space"]
+__all__ = ["COUNTS", "Evaluation", "GRANULARITIES", "REGRESSION_KEYS", "by_channel", "check_predictions",
+           "evaluate", "from_long", "master_layout", "non_finite", "to_long"]

@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fluxlake.functions.registry import Shelf
 from fluxlake.operators.grid import bin_time
 from fluxlake.operators.terms import split_of
 
 KEYS = ["track", "channel", "term"]
 EPS = 1e-5
 MOVING_KERNEL = 25
+CHUNK = 4096
 
 
 @dataclass(frozen=True)
@@ -57,35 +59,40 @@ class LinearModel:
         return 1 + self.seq_len * (2 if self.decompose else 1)
 
 
-def _windows(table: pa.Table, seq_len: int, pred_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start bin, inputs, targets) of all gap-free windows of one ordered stretch."""
+def _window_chunks(table: pa.Table, seq_len: int, pred_len: int, chunk: int = CHUNK):
+    """(start bins, inputs, targets) of the gap-free windows of one stretch, a bounded number at a time."""
     table = table.sort_by("bin_idx")
     idx, val = table["bin_idx"].to_numpy(), table["value"].to_numpy().astype(float)
     span = seq_len + pred_len
     if len(idx) < span:
-        return np.empty(0, np.int64), np.empty((0, seq_len)), np.empty((0, pred_len))
+        return
     whole = sliding_window_view(val, span)
     ok = idx[span - 1:] - idx[:len(idx) - span + 1] == span - 1
-    return idx[:len(ok)][ok], whole[ok, :seq_len], whole[ok, seq_len:]
+    for low in range(0, len(ok), chunk):
+        own = ok[low: low + chunk]
+        part = whole[low: low + chunk][own]
+        yield idx[low: low + len(own)][own], part[:, :seq_len], part[:, seq_len:]
 
 
 def term_sums(bins: DataFrame, model: LinearModel, keys: list[str] = KEYS) -> DataFrame:
-    """Normal-equation sums per term: ``term, pos, total`` over the flattened ``[X'X | X'Y]``."""
+    """Normal-equation sums per (track, channel, term): lines of ``[X'X | X'Y]`` as ``term, line, sums``."""
     kinds = {f.name: f.dataType for f in bins.schema.fields}
-    schema = T.StructType([T.StructField("term", kinds["term"]),
+    schema = T.StructType([T.StructField("term", kinds["term"]), T.StructField("line", T.IntegerType()),
                            T.StructField("sums", T.ArrayType(T.DoubleType()))])
 
     def run(group: pa.Table) -> pa.Table:
-        _, x, y = _windows(group, model.seq_len, model.pred_len)
-        centre, spread = model.scale(x)
-        z = model.features((x - centre) / spread)
-        sums = np.concatenate([z.T @ z, z.T @ ((y - centre) / spread)], axis=1).ravel()
-        return pa.table({"term": pa.array([group["term"][0].as_py()]),
-                         "sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
+        n = model.n_features
+        sums = np.zeros((n, n + model.pred_len))
+        for _, x, y in _window_chunks(group, model.seq_len, model.pred_len):
+            centre, spread = model.scale(x)
+            z = model.features((x - centre) / spread)
+            sums[:, :n] += z.T @ z
+            sums[:, n:] += z.T @ ((y - centre) / spread)
+        # one row per line of the matrix: no row is longer than a line
+        return pa.table({"term": pa.repeat(group["term"][0], n), "line": pa.array(range(n), pa.int32()),
+                         "sums": pa.array(sums.tolist(), pa.list_(pa.float64()))})
 
-    parts = bins.select(*keys, "bin_idx", "value").groupBy(*keys).applyInArrow(run, schema)
-    return (parts.select("term", F.posexplode("sums").alias("pos", "v"))
-            .groupBy("term", "pos").agg(F.sum("v").alias("total")))
+    return bins.select(*keys, "bin_idx", "value").groupBy(*keys).applyInArrow(run, schema)
 
 
 def fit_folds(bins: DataFrame, terms: DataFrame, model: LinearModel, n_fold: int) -> dict[int, np.ndarray]:
@@ -94,15 +101,15 @@ def fit_folds(bins: DataFrame, terms: DataFrame, model: LinearModel, n_fold: int
     ``terms`` has ``term, term_idx``. What is collected is ``n_fold`` matrices of model size.
     """
     n, p = model.n_features, model.pred_len
-    sums = term_sums(bins, model).join(F.broadcast(terms.select("term", "term_idx")), "term")
-    per_fold = (
+    sums = term_sums(bins, model).join(terms.select("term", "term_idx"), "term")
+    trained = (
         sums.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_fold - 1))))
         .filter(split_of("term_idx", "fold", n_fold) == "train")
-        .groupBy("fold", "pos").agg(F.sum("total").alias("total"))
     )
-    # one matrix row per table row, so that few rows carry the sums to the driver
-    lines = (per_fold.groupBy("fold", F.floor(F.col("pos") / (n + p)).cast("int").alias("line"))
-             .agg(F.array_sort(F.collect_list(F.struct("pos", "total"))).alias("_v"))
+    # lines of a fold are added place by place, and few rows carry them to the driver
+    lines = (trained.select("fold", "line", F.posexplode("sums").alias("pos", "v"))
+             .groupBy("fold", "line", "pos").agg(F.sum("v").alias("total"))
+             .groupBy("fold", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "total"))).alias("_v"))
              .select("fold", "line", F.col("_v.total").alias("totals")))
     matrices: dict[int, np.ndarray] = {}
     for row in lines.toLocalIterator():
@@ -125,14 +132,18 @@ def _predict(bins: DataFrame, seq_len: int, pred_len: int, cadence_min: int, nam
 
     def run(group: pa.Table) -> pa.Table:
         fold = group[fold_col][0].as_py()
-        start, x, y = _windows(group, seq_len, pred_len)
-        p = predict(fold, x) if len(x) else y
-        size = len(start)
+        starts, preds, trues = [], [], []
+        for start, x, y in _window_chunks(group, seq_len, pred_len):
+            starts.append(start + seq_len)
+            preds.append(predict(fold, x) if len(x) else y)
+            trues.append(y)
+        size = sum(map(len, starts))
         same = {k: pa.repeat(group[k][0], size) for k in keys}
-        as_lists = lambda m: pa.array(m.tolist(), pa.list_(pa.float64()))
-        return pa.table({**same, "fold": pa.array([fold] * size, pa.int32()),
-                         "forecast_idx": pa.array(start + seq_len, pa.int64()),
-                         "pred": as_lists(p), "true": as_lists(y)})
+        flat = lambda parts: pa.array(np.concatenate([x.ravel() for x in parts]) if parts else [], pa.float64())
+        ends = pa.array(np.arange(size + 1) * pred_len, pa.int32())
+        return pa.table({**same, "fold": pa.array(np.full(size, fold), pa.int32()),
+                         "forecast_idx": pa.array(np.concatenate(starts) if starts else [], pa.int64()),
+                         "pred": pa.ListArray.from_arrays(ends, flat(preds)), "true": pa.ListArray.from_arrays(ends, flat(trues))})
 
     out = bins.select(*keys, fold_col, "bin_idx", "value").groupBy(*keys).applyInArrow(run, schema)
     return out.select(
@@ -166,29 +177,21 @@ def recursive_predictions(bins: DataFrame, one_step: LinearModel, weights: dict[
 
 # ---- model registry ---------------------------------------------------------------------------
 
-ModelFactory = Callable[[int, int], LinearModel]
-MODELS: dict[str, ModelFactory] = {}
-
-
-def register_model(name: str):
-    """Decorator for ``(seq_len, pred_len) -> LinearModel``."""
-    def keep(fn):
-        MODELS[name] = fn
-        return fn
-    return keep
+# (seq_len, pred_len) -> LinearModel
+MODELS = Shelf("model")
 
 
-@register_model("rlinear")
+@MODELS.holding("rlinear")
 def _rlinear(seq_len, pred_len):
     return LinearModel(seq_len, pred_len, norm="mean", ridge=1e-3)
 
 
-@register_model("dlinear")
+@MODELS.holding("dlinear")
 def _dlinear(seq_len, pred_len):
     return LinearModel(seq_len, pred_len, decompose=True, ridge=1e-3)
 
 
-@register_model("linear")
+@MODELS.holding("linear")
 def _linear(seq_len, pred_len):
     return LinearModel(seq_len, pred_len)
 
@@ -200,8 +203,6 @@ def model_predictions(bins: DataFrame, terms: DataFrame, name: str, seq_len: int
     ``bins`` carries ``fold``, the fold that tests its term. ``recursive`` fits one step and rolls
     it forward.
     """
-    if name not in MODELS:
-        raise ValueError(f"unknown model {name!r}; registered: {sorted(MODELS)}")
     model = MODELS[name](seq_len, 1 if strategy == "recursive" else pred_len)
     weights = fit_folds(bins, terms, model, n_fold)
     if strategy == "recursive":
@@ -211,16 +212,8 @@ def model_predictions(bins: DataFrame, terms: DataFrame, name: str, seq_len: int
 
 # ---- per-window statistical fits --------------------------------------------------------------
 
-StatFn = Callable[[np.ndarray, int], np.ndarray]
-STAT_MODELS: dict[str, StatFn] = {}
-
-
-def register_stat(name: str):
-    """Decorator for ``(histories (N, L), steps) -> forecasts (N, steps)``."""
-    def keep(fn):
-        STAT_MODELS[name] = fn
-        return fn
-    return keep
+# (histories (N, L), steps, **options) -> forecasts (N, steps)
+STAT_MODELS = Shelf("statistical model")
 
 
 def autoregression(histories: np.ndarray, steps: int, lags: int = 1) -> np.ndarray:
@@ -239,23 +232,19 @@ def autoregression(histories: np.ndarray, steps: int, lags: int = 1) -> np.ndarr
     return np.concatenate(out, axis=1)
 
 
-@register_stat("ar")
-def _ar1(histories, steps):
-    return autoregression(histories, steps, 1)
+STAT_MODELS.holding("ar")(autoregression)
 
 
 def stat_predictions(bins: DataFrame, name: str, seq_len: int, pred_len: int, cadence_min: int,
-                     fold_col: str = "fold") -> DataFrame:
-    """Fit a registered model to every window; a failed or non-finite fit falls back to the last
-    observed value."""
-    if name not in STAT_MODELS:
-        raise ValueError(f"unknown statistical model {name!r}; registered: {sorted(STAT_MODELS)}")
-    fit = STAT_MODELS[name]
+                     fold_col: str = "fold", **options) -> DataFrame:
+    """Fit a named model to every window; ``options`` go to the model (``lags`` of ``ar``). A failed
+    or non-finite fit falls back to the last observed value."""
+    fit = STAT_MODELS[name].fn
 
     def predict(fold, x):
         last = np.repeat(x[:, -1:], pred_len, axis=1)
         try:
-            made = np.asarray(fit(x, pred_len), dtype=float)
+            made = np.asarray(fit(x, pred_len, **options), dtype=float)
         except (ValueError, np.linalg.LinAlgError):
             return last
         if made.shape != last.shape:

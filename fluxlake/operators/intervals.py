@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxlake.operators.ordered import time_slice
-from fluxlake.session import broadcast_if_small
 
 # Fixed values of the designation tables.
 OPEN = "open"
@@ -121,8 +120,8 @@ def label_asof(samples: DataFrame, intervals: DataFrame, attrs: list[str],
 
     Interval ends play no part, as in any as-of join. Each interval is listed under the time
     slices in which it is in force, and samples look up their own slice with an equi-join plus a
-    range test. The listed intervals are broadcast only after they were counted; a longer list
-    makes the equi-join shuffle by slice, where AQE splits a hot slice.
+    range test. A short list of intervals is broadcast by its measured size; a longer one shuffles
+    by slice, where AQE splits a hot slice.
     """
     width = slice_seconds * 1_000_000
     sliced = samples.withColumn("_slice", time_slice(time, width))
@@ -135,7 +134,7 @@ def label_asof(samples: DataFrame, intervals: DataFrame, attrs: list[str],
                 .filter(F.col("_first") <= F.col("_last"))
                 .withColumn("_slice", F.explode(F.sequence("_first", "_last")))
                 .drop("_first", "_last"))
-    side = broadcast_if_small(in_force)
+    side = in_force
     hit = (F.col(time) >= side["start_ts"]) & (side["_until"].isNull()
                                                | (F.col(time) < side["_until"]))
     return (sliced.join(side, (sliced["_slice"] == side["_slice"]) & hit, "left")

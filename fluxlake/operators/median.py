@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxlake.session import small_table
 
 ACCURACY = 10_000
 
@@ -29,7 +28,7 @@ def grouped_medians(df: DataFrame, keys: list[str], values: list[str],
     sketch = data.groupBy(*keys).agg(*[F.struct(
         F.count(v).alias("n"), F.percentile_approx(v, probs, accuracy).alias("q")).alias(f"_{v}")
         for v in values])
-    bounds = small_table(sketch).alias("r")
+    bounds = sketch.alias("r")
     same_key = F.lit(True)
     for k in keys:
         same_key = same_key & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from fluxlake.operators.median import grouped_median
 from fluxlake.operators.ordered import previous_value
-from fluxlake.session import small_table
 
 
 def rows_by(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,7 +68,7 @@ def cadence_report(df: DataFrame, keys: list[str], time: str, order: str,
     steps = (previous_value(df.select(*keys, time, order), keys, order, time, slice_expr, "_prev")
              .withColumn("_step", step))
     median = grouped_median(steps, keys, "_step", "cadence_s")
-    joined = steps.join(small_table(median), keys, "left")
+    joined = steps.join(median, keys, "left")
     span = (F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / 1e6
     out = joined.groupBy(*keys, "cadence_s").agg(
         F.count("*").alias("n"), F.count_if(F.col("_step") > 1.5 * F.col("cadence_s")).alias("n_gaps"),

@@ -1,82 +1,139 @@
 """Smoothing, decomposition, normalisation, patching and pooling of binned series.
 
-Groups are (series, term) stretches of a binned table or single windows, so their size is bounded
-by the grid. Row-frame work stays in the JVM; recurrences run on one Arrow table per group.
+Recurrences are linear in their state, so a series is cut into slices of the bin number: every slice
+is summed up from a zero state (one row), the states at the slice borders follow from these rows,
+and each slice then runs from its own state. No task sees more than one slice of a series,
+and a row per slice of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EPS = 1e-5
+SLICE = 2048
 
 
-def per_group(df: DataFrame, keys: list[str], order: str, fn: Callable[[dict], dict],
-              out: list[tuple[str, T.DataType]]) -> DataFrame:
-    """Run ``fn`` on the ordered numpy columns of each group; key values are repeated per row."""
-    fields = {f.name: f for f in df.schema.fields}
-    schema = T.StructType([fields[k] for k in keys] + [T.StructField(n, t) for n, t in out])
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
-    kinds = [(n, arrow[t.simpleString()]) for n, t in out]
+@dataclass(frozen=True)
+class Recurrence:
+    """``state = move @ state + gain * value`` per row; the first component is the trend.
 
-    def run(group: pa.Table) -> pa.Table:
+    The state before the first row is ``initial``, or, where that is missing, what makes the first
+    state (first value, first difference).
+    """
+
+    move: np.ndarray
+    gain: np.ndarray
+    initial: np.ndarray | None = None
+
+    def run(self, state: np.ndarray, values: np.ndarray) -> np.ndarray:
+        out = np.empty((len(values), len(state)))
+        for i, v in enumerate(values):
+            out[i] = state = self.move @ state + self.gain * v
+        return out
+
+    def first(self, head: np.ndarray) -> np.ndarray:
+        """The state of the first row."""
+        if self.initial is not None:
+            return self.move @ self.initial + self.gain * head[0]
+        slope = head[1] - head[0] if len(head) > 1 else 0.0
+        return np.array([head[0], slope])[: len(self.gain)]
+
+
+def _sliced(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    return df.select(*keys, F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value),
+                     F.floor(F.col(order) / SLICE).cast("long").alias("_slice"))
+
+
+def linear_recurrence(df: DataFrame, keys: list[str], rule: Recurrence, order: str, value: str, out: str) -> DataFrame:
+    """``keys, order, value`` and the first component of the state after each row."""
+    rows = _sliced(df, keys, order, value)
+    fields = {f.name: f for f in rows.schema.fields}
+    own = [fields[k] for k in keys]
+    doubles, long = T.ArrayType(T.DoubleType()), T.LongType()
+
+    def same(group: pa.Table, n: int) -> dict:
+        return {k: pa.repeat(group[k][0], n) for k in keys}
+
+    def summed(group: pa.Table) -> pa.Table:
+        v = group.sort_by(order)[value].to_numpy()
+        end = rule.run(np.zeros(len(rule.gain)), v)[-1]
+        # what the rows after the first add, for the slice that opens the series
+        after = end - np.linalg.matrix_power(rule.move, len(v) - 1) @ (rule.gain * v[0])
+        return pa.table({**same(group, 1), "_slice": group["_slice"][:1], "_n": pa.array([len(v)], pa.int64()),
+                         **{n: pa.array([x.tolist()], pa.list_(pa.float64())) for n, x in (("_end", end), ("_after", after), ("_head", v[:2]))}})
+
+    names = ["_end", "_after", "_head"]
+    ends = rows.groupBy(*keys, "_slice").applyInArrow(summed, T.StructType(
+        [*own, T.StructField("_slice", long), T.StructField("_n", long), *[T.StructField(n, doubles) for n in names]]))
+
+    def bordered(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_slice")
+        n, (end, after, head) = group["_n"].to_pylist(), (group[c].to_pylist() for c in names)
+        first = rule.first(np.array((head[0] + (head[1] if len(head) > 1 else []))[:2]))
+        state = np.linalg.matrix_power(rule.move, n[0] - 1) @ first + np.array(after[0])
+        states = [first]
+        for i in range(1, len(n)):
+            states.append(state)
+            state = np.linalg.matrix_power(rule.move, n[i]) @ state + np.array(end[i])
+        return pa.table({**same(group, len(n)), "_slice": group["_slice"],
+                         "_state": pa.array([x.tolist() for x in states], pa.list_(pa.float64())),
+                         "_opens": pa.array([i == 0 for i in range(len(n))])})
+
+    borders = ends.groupBy(*keys).applyInArrow(bordered, T.StructType(
+        [*own, T.StructField("_slice", long), T.StructField("_state", doubles), T.StructField("_opens", T.BooleanType())]))
+
+    def walked(group: pa.Table) -> pa.Table:
         group = group.sort_by(order)
-        cols = {n: group[n].to_numpy(zero_copy_only=False) for n in group.column_names
-                if n not in keys}
-        made = fn(cols)
-        size = len(made[kinds[0][0]])
-        same = {k: pa.repeat(group[k][0], size) for k in keys}
-        return pa.table({**same, **{n: pa.array(made[n], t) for n, t in kinds}})
+        v, state = group[value].to_numpy(), np.array(group["_state"][0].as_py())
+        if group["_opens"][0].as_py():
+            trend = np.concatenate(([state[0]], rule.run(state, v[1:])[:, 0]))
+        else:
+            trend = rule.run(state, v)[:, 0]
+        return pa.table({**same(group, len(v)), order: group[order], value: group[value], out: pa.array(trend, pa.float64())})
 
-    return df.groupBy(*keys).applyInArrow(run, schema)
+    return rows.join(borders, [*keys, "_slice"]).groupBy(*keys, "_slice").applyInArrow(walked, T.StructType(
+        [*own, T.StructField(order, long), T.StructField(value, T.DoubleType()), T.StructField(out, T.DoubleType())]))
 
 
-def _steps(df: DataFrame, keys: list[str], order: str, value: str,
-           fn: Callable[[np.ndarray], dict[str, np.ndarray]], names: list[str]) -> DataFrame:
-    def run(cols):
-        return {order: cols[order], value: cols[value], **fn(cols[value].astype(float))}
-    out = [(order, T.LongType()), (value, T.DoubleType())] + [(n, T.DoubleType()) for n in names]
-    return per_group(df.select(*keys, order, value), keys, order, run, out)
+def positions(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """``keys, order, value`` with ``_pos`` in the series and its length ``_len``, by counts per slice."""
+    rows = _sliced(df, keys, order, value)
+    counts = rows.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    along = Window.partitionBy(*keys).orderBy("_slice")
+    before = F.sum("_n").over(along) - F.col("_n")
+    carried = counts.select(*keys, "_slice", before.alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_len"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(order)) - 1
+    return rows.withColumn("_inside", inside).join(carried, [*keys, "_slice"]).select(
+        *keys, order, value, "_slice", (F.col("_before") + F.col("_inside")).alias("_pos"), "_len")
 
 
 def ema(df: DataFrame, keys: list[str], alpha: float, order: str = "bin_idx",
         value: str = "value") -> DataFrame:
     """Exponential moving average from the first value on, and what is left of the series."""
-    def run(x):
-        trend = pd.Series(x).ewm(alpha=alpha, adjust=False).mean().to_numpy()
-        return {"trend": trend, "residual": x - trend}
-    return _steps(df, keys, order, value, run, ["trend", "residual"])
+    rule = Recurrence(np.array([[1 - alpha]]), np.array([alpha]))
+    return linear_recurrence(df, keys, rule, order, value, "trend").withColumn("residual", F.col(value) - F.col("trend"))
 
 
 def double_ema(df: DataFrame, keys: list[str], alpha: float, beta: float, order: str = "bin_idx",
                value: str = "value") -> DataFrame:
     """Level and slope smoothing; the slope starts as the first difference."""
-    def run(x):
-        level, slope = x[0], (x[1] - x[0]) if len(x) > 1 else 0.0
-        out = np.empty(len(x))
-        out[0] = level
-        for i in range(1, len(x)):
-            moved = alpha * x[i] + (1 - alpha) * (level + slope)
-            slope = beta * (moved - level) + (1 - beta) * slope
-            out[i] = level = moved
-        return {"trend": out, "residual": x - out}
-    return _steps(df, keys, order, value, run, ["trend", "residual"])
+    keep = 1 - alpha
+    rule = Recurrence(np.array([[keep, keep], [beta * (keep - 1), beta * keep + 1 - beta]]), np.array([alpha, alpha * beta]))
+    return linear_recurrence(df, keys, rule, order, value, "trend").withColumn("residual", F.col(value) - F.col("trend"))
 
 
 def exp_smoothing(df: DataFrame, keys: list[str], weight: float, initial: float,
                   order: str = "bin_idx", value: str = "value") -> DataFrame:
     """Weights ``(1 - w) w^t`` on past values and ``w^(t+1)`` on a given initial state."""
-    def run(x):
-        state = pd.Series(np.concatenate([[initial], x])).ewm(alpha=1 - weight, adjust=False).mean()
-        return {"smooth": state.to_numpy()[1:]}
-    return _steps(df, keys, order, value, run, ["smooth"])
+    rule = Recurrence(np.array([[weight]]), np.array([1 - weight]), np.array([initial]))
+    return linear_recurrence(df, keys, rule, order, value, "smooth")
 
 
 def _moving_mean(keys: list[str], kernel: int, order: str, value: str) -> Column:

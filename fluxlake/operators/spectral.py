@@ -1,46 +1,89 @@
 """Dominant periods, season/trend split and harmonic extrapolation of gap-free series.
 
-A group is one window or one bounded stretch of a binned series; each is transformed once.
+A frequency's coefficient is a sum of ``value * cos`` and ``value * sin`` over the positions. Each task
+sums a slice of positions for a block of frequencies, the partial sums are added by frequency, and
+everything after that is column expressions, so no task holds a series. The work grows with length
+times frequencies: these are operators for windows and binned stretches.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxlake.operators.series import per_group
+from fluxlake.operators.series import positions
+
+BLOCK = 512
+
+
+def spectrum(df: DataFrame, keys: list[str], order: str = "bin_idx", value: str = "value") -> DataFrame:
+    """``keys, n, frequency, re, im, amplitude`` for all frequencies up to half the length; the mean's
+    amplitude is 0."""
+    rows = positions(df, keys, order, value)
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_len") / 2 / BLOCK).cast("long")))
+    dealt = rows.select(*keys, "_slice", "_pos", "_len", value, blocks.alias("_block"))
+    fields = {f.name: f for f in dealt.schema.fields}
+    schema = T.StructType([fields[k] for k in keys] + [T.StructField(n, t) for n, t in (
+        ("n", T.LongType()), ("frequency", T.LongType()), ("re", T.DoubleType()), ("im", T.DoubleType()))])
+
+    def partial(group: pa.Table) -> pa.Table:
+        n, block = group["_len"][0].as_py(), group["_block"][0].as_py()
+        v, pos = group[value].to_numpy(), group["_pos"].to_numpy()
+        f = np.arange(block * BLOCK, min((block + 1) * BLOCK, n // 2 + 1))
+        turn = np.outer(f, pos) % n * (2 * math.pi / n)
+        size = len(f)
+        return pa.table({**{k: pa.repeat(group[k][0], size) for k in keys}, "n": pa.array(np.full(size, n)),
+                         "frequency": pa.array(f.astype(np.int64)), "re": pa.array(np.cos(turn) @ v), "im": pa.array(-(np.sin(turn) @ v))})
+
+    sums = dealt.groupBy(*keys, "_slice", "_block").applyInArrow(partial, schema).groupBy(*keys, "n", "frequency").agg(
+        F.sum("re").alias("re"), F.sum("im").alias("im"))
+    size = F.when(F.col("frequency") == 0, 0.0).otherwise(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
+    return sums.withColumn("amplitude", size)
+
+
+def _strongest(waves: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The ``k`` largest amplitudes per key; equal ones by frequency."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("amplitude"), "frequency")
+    return waves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _gathered(waves: DataFrame, keys: list[str]) -> DataFrame:
+    """At most k coefficients of a key in one row."""
+    return waves.groupBy(*keys).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("frequency", "re", "im"))).alias("waves"))
+
 
-DOUBLE, LONG, INT = T.DoubleType(), T.LongType(), T.IntegerType()
+def _sum_of(at: Column, n: Column) -> Column:
+    """The harmonics at a position; a wave and its mirror image count twice, the highest of an even length once."""
+    def add(total: Column, w: Column) -> Column:
+        angle = F.lit(2 * math.pi) * F.pmod(w["frequency"] * at, n) / n
+        times = F.when(2 * w["frequency"] == n, 1.0).otherwise(2.0)
+        return total + times / n * (w["re"] * F.cos(angle) - w["im"] * F.sin(angle))
+    return F.aggregate("waves", F.lit(0.0), add)
 
 
 def dominant_periods(df: DataFrame, keys: list[str], k: int, order: str = "bin_idx",
                      value: str = "value") -> DataFrame:
     """The ``k`` strongest frequencies (mean left out): rank, frequency, amplitude, period."""
-    def run(cols):
-        x = cols[value].astype(float)
-        amp = np.abs(np.fft.rfft(x))
-        amp[0] = 0.0
-        top = np.argsort(-amp, kind="stable")[:k]
-        return {"rank": np.arange(1, len(top) + 1), "frequency": top, "amplitude": amp[top],
-                "period": np.where(top > 0, len(x) // np.maximum(top, 1), 0)}
-    return per_group(df.select(*keys, order, value), keys, order, run,
-                     [("rank", INT), ("frequency", LONG), ("amplitude", DOUBLE), ("period", LONG)])
+    period = F.when(F.col("frequency") > 0, F.expr("n div greatest(frequency, 1)")).otherwise(0)
+    return _strongest(spectrum(df, keys, order, value), keys, k).select(
+        *keys, "rank", "frequency", "amplitude", period.cast("long").alias("period"))
 
 
 def season_trend(df: DataFrame, keys: list[str], k: int = 5, order: str = "bin_idx",
                  value: str = "value") -> DataFrame:
     """Season = the frequencies stronger than the ``k``-th strongest; trend = the rest."""
-    def run(cols):
-        x = cols[value].astype(float)
-        spectrum = np.fft.rfft(x)
-        amp = np.abs(spectrum)
-        amp[0] = 0.0
-        floor = np.sort(amp)[-min(k, len(amp))]
-        season = np.fft.irfft(np.where(amp > floor, spectrum, 0), n=len(x))
-        return {order: cols[order], value: x, "season": season, "trend": x - season}
-    return per_group(df.select(*keys, order, value), keys, order, run,
-                     [(order, LONG), (value, DOUBLE), ("season", DOUBLE), ("trend", DOUBLE)])
+    top = _strongest(spectrum(df, keys, order, value), keys, k)
+    floor = F.min("amplitude").over(Window.partitionBy(*keys))
+    above = top.withColumn("_floor", floor).withColumn("_above", F.col("amplitude") > F.col("_floor"))
+    waves = _gathered(above.filter("_above"), keys)
+    rows = positions(df, keys, order, value).join(waves, keys, "left")
+    season = F.coalesce(_sum_of(F.col("_pos"), F.col("n")), F.lit(0.0))
+    return rows.withColumn("season", season).select(*keys, order, value, "season", (F.col(value) - F.col("season")).alias("trend"))
 
 
 def harmonic_extrapolation(df: DataFrame, keys: list[str], k: int, pred_len: int,
@@ -49,16 +92,7 @@ def harmonic_extrapolation(df: DataFrame, keys: list[str], k: int, pred_len: int
 
     The mean and, for an even length, the highest frequency take no part.
     """
-    def run(cols):
-        x = cols[value].astype(float)
-        n = len(x)
-        spectrum = np.fft.rfft(x)
-        last = len(spectrum) - 1 if n % 2 == 0 else len(spectrum)
-        freq = np.arange(1, last)
-        top = freq[np.argsort(-np.abs(spectrum[freq]), kind="stable")[:k]]
-        t = np.arange(n + pred_len)
-        angle = 2 * np.pi * np.outer(top, t) / n + np.angle(spectrum[top])[:, None]
-        fit = (2 * np.abs(spectrum[top])[:, None] / n * np.cos(angle)).sum(axis=0)
-        return {"step": t, "fitted": fit}
-    return per_group(df.select(*keys, order, value), keys, order, run,
-                     [("step", LONG), ("fitted", DOUBLE)])
+    inner = spectrum(df, keys, order, value).filter((F.col("frequency") > 0) & (2 * F.col("frequency") < F.col("n")))
+    waves = _gathered(_strongest(inner, keys, k), keys)
+    steps = waves.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") + pred_len - 1)))
+    return steps.select(*keys, "step", _sum_of(F.col("step"), F.col("n")).alias("fitted"))

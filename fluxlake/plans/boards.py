@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxlake.functions import labels
-from fluxlake.functions.registry import RUN_KEYS, event_columns, regression_columns
+from fluxlake.functions.metrics import STANDARD
+from fluxlake.functions.registry import RUN_KEYS
 from fluxlake.operators import board, compare, conditions, significance
 from fluxlake.operators.evaluate import evaluate, master_layout
 from fluxlake.plans.common import r, rnd, rounded
 from fluxlake.plans.runs import (
-    CONDITIONS, CUT_HOURS, N_FOLD, ORDER_MASTERS_SQL, ORDER_PRED_SQL, RUN, THRESHOLDS, TRACKS, _case,
+    CHANNELS, CONDITIONS, CUT_HOURS, N_FOLD, ORDER_MASTERS_SQL, ORDER_PRED_SQL, RUN, THRESHOLDS, TRACKS, case_of,
     order_predictions,
 )
 from fluxlake.session import materialize
@@ -20,7 +21,7 @@ EXCLUDE = [("level", 5)]
 CELL4 = ["track", "seq_len", "pred_len", "channel"]
 MODELS = ["persistence", "repeat", "level"]
 HORIZON_TITLES = {"2": "2 d", "3": "3 d"}
-CHANNEL_TITLES = {"F": "Finished", "O": "Open"}
+CHANNEL_TITLES = {"F": "Finished", "O": "Open", "P": "Pending"}
 MODEL_TITLES = {"persistence": "Persistence", "level": "Level"}
 
 
@@ -52,17 +53,25 @@ def leaderboard(spark: SparkSession, d: str) -> DataFrame:
 
 def leaderboard_pivot(spark: SparkSession, d: str) -> DataFrame:
     cells = board.cell_means(_reg(spark, d), ["rmse"], [])
-    wide = board.pivot_board(cells, "rmse", ["F", "O"], [2, 3])
-    return rounded(wide, ["F_2", "F_3", "O_2", "O_3"])
+    wide = board.pivot_board(cells, "rmse", CHANNELS, [2, 3])
+    return rounded(wide, [f"{c}_{h}" for c in CHANNELS for h in (2, 3)])
+
+
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    """Window scores; the ``repeat`` model lacks a run of each track and one channel."""
+    ev = master_layout(evaluate(order_predictions(spark, d), THRESHOLDS, metrics=["hss"], units=["window"]))
+    lacking = (F.col("model") == "repeat") & (
+        ((F.col("track") == "multi") & (F.col("channel") == "P")) | ((F.col("fold") == 0) & (F.col("seq_len") == 3)))
+    return ev.event.filter(~lacking)
 
 
 def board_display(spark: SparkSession, d: str) -> DataFrame:
-    cells = board.cell_means(_evt(spark, d).filter(F.col("granularity") == "window"), ["hss"], EXCLUDE)
+    cells = board.on_run_grid(board.cell_means(_windows(spark, d), ["hss"], EXCLUDE), _windows(spark, d), EXCLUDE)
     return cells.select(
         "track", labels.display(F.col("pred_len").cast("string"), HORIZON_TITLES).alias("horizon"),
         labels.display("channel", CHANNEL_TITLES).alias("channel"),
         labels.display("model", MODEL_TITLES).alias("model"),
-        labels.score_cell("hss", "hss_defined", "n_rows").alias("cell"))
+        labels.score_cell("hss", "hss_defined", "n_grid").alias("cell"))
 
 
 def run_shortfall(spark: SparkSession, d: str) -> DataFrame:
@@ -78,14 +87,14 @@ def master_merge(spark: SparkSession, d: str) -> DataFrame:
     """Two partial master tables joined into one; equals the master of all runs."""
     reg = materialize(_reg(spark, d), "master")
     parts = [reg.filter(F.col("fold") < 2), reg.filter(F.col("fold") >= 2)]
-    out = board.merge_masters(parts, regression_columns(), [*RUN_KEYS, "channel"])
+    out = board.merge_masters(parts, STANDARD.regression_columns, [*RUN_KEYS, "channel"])
     return rounded(out.select(*RUN_KEYS, "channel", "n", "rmse", "mae"), ["rmse", "mae"])
 
 
 def board_order(spark: SparkSession, d: str) -> DataFrame:
     ranked = board.best_first(_evt(spark, d), "hss", ["channel", "granularity"])
     return rounded(ranked.select(*RUN_KEYS, "channel", "granularity", rnd("hss", 9).alias("hss"),
-                                 "rank").filter(F.col("hss").isNotNull()), ["hss"])
+                                 "rank"), ["hss"])
 
 
 def fold_ci(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +231,7 @@ def cell_names(spark: SparkSession, d: str) -> DataFrame:
 
 _M = f"WITH {ORDER_MASTERS_SQL}"
 _EXC = "NOT (model = 'level' AND seq_len = 5)"
-_FIRST = "CASE track WHEN 'uni_b' THEN 'O' ELSE 'F' END"
+_FIRST = "CASE track WHEN 'uni_b' THEN 'O' WHEN 'uni_c' THEN 'P' ELSE 'F' END"
 _T = "CASE {n} WHEN 2 THEN 12.706204736 WHEN 3 THEN 4.302652730 WHEN 4 THEN 3.182446305 WHEN 5 THEN 2.776445105 END"
 
 
@@ -247,7 +256,7 @@ _LEG_SCORES = {
     "far": "coalesce(fp*1.0/nullif(tp+fp,0), 0)",
 }
 _LEGCNT = f"""{ORDER_PRED_SQL},
-    lab AS (SELECT *, CAST({_case(THRESHOLDS, 'log10({})')} AS REAL) AS thr FROM pred),
+    lab AS (SELECT *, CAST({case_of(THRESHOLDS, 'log10({})')} AS REAL) AS thr FROM pred),
     lc AS MATERIALIZED (SELECT {RUN}, channel, count(*) AS n, count_if(p >= thr AND y >= thr) AS tp,
       count_if(p >= thr AND y < thr) AS fp, count_if(p < thr AND y >= thr) AS fn,
       count_if(p < thr AND y < thr) AS tn, sum((p::DOUBLE-y)*(p::DOUBLE-y)) AS sq,
@@ -308,13 +317,17 @@ QUERIES = {
       FROM rc JOIN ec USING (track, pred_len, channel, model) JOIN pos USING (track, pred_len, model)"""),
     "leaderboard_pivot": (leaderboard_pivot, f"{_M} SELECT track, model, " + ", ".join(
         r(f"avg(CASE WHEN channel = '{c}' AND pred_len = {h} THEN rmse END)") + f' AS "{c}_{h}"'
-        for c in "FO" for h in (2, 3)) + " FROM reg GROUP BY 1, 2"),
-    "board_display": (board_display, f"""{_M} SELECT track, pred_len || ' d' AS horizon,
-      CASE channel WHEN 'F' THEN 'Finished' ELSE 'Open' END AS channel,
+        for c in CHANNELS for h in (2, 3)) + " FROM reg GROUP BY 1, 2"),
+    "board_display": (board_display, f"""{_M}, e AS (SELECT * FROM evt WHERE granularity = 'window' AND {_EXC}
+        AND NOT (model = 'repeat' AND ((track = 'multi' AND channel = 'P') OR (fold = 0 AND seq_len = 3)))),
+      g AS (SELECT track, pred_len, count(DISTINCT (seq_len, fold)) AS n FROM e GROUP BY 1, 2),
+      l AS (SELECT DISTINCT a.track, a.pred_len, a.channel, b.model FROM e a JOIN e b USING (track, pred_len)),
+      c AS (SELECT track, pred_len, channel, model, avg(hss) AS hss, count(hss) AS k FROM e GROUP BY 1, 2, 3, 4)
+      SELECT track, pred_len || ' d' AS horizon, CASE channel WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' ELSE 'Pending' END AS channel,
       CASE model WHEN 'persistence' THEN 'Persistence' WHEN 'level' THEN 'Level' ELSE model END AS model,
-      coalesce(printf('%.3f', avg(hss)), '--') || CASE WHEN count(hss) = count(*) THEN '' ELSE
-      ' (' || count(hss) || '/' || count(*) || ')' END AS cell FROM evt
-      WHERE granularity = 'window' AND {_EXC} GROUP BY track, pred_len, evt.channel, evt.model"""),
+      CASE WHEN k IS NULL THEN '--' ELSE coalesce(printf('%.3f', hss), '--') || CASE WHEN k = n THEN '' ELSE
+      ' (' || k || '/' || n || ')' END END AS cell
+      FROM l JOIN g USING (track, pred_len) LEFT JOIN c USING (track, pred_len, channel, model)"""),
     "run_shortfall": (run_shortfall, f"""{_M}, k AS (SELECT DISTINCT track, pred_len, fold, seq_len, model FROM reg WHERE {_EXC}),
       g AS (SELECT DISTINCT track, pred_len, fold, seq_len FROM k), m AS (SELECT DISTINCT track, pred_len, model FROM k)
       SELECT g.track, g.pred_len, fold, seq_len, model FROM g JOIN m USING (track, pred_len)
@@ -323,8 +336,7 @@ QUERIES = {
       WHERE NOT ({_EXC}) GROUP BY 1"""),
     "master_merge": (master_merge, f"{_M} SELECT {RUN}, channel, n, {r('rmse', 'rmse')}, {r('mae', 'mae')} FROM reg"),
     "board_order": (board_order, f"""{_M} SELECT {RUN}, channel, granularity, {r('hss', 'hss')}, row_number() OVER
-      (PARTITION BY channel, granularity ORDER BY hss DESC NULLS LAST, {RUN}) AS rank FROM evt
-      QUALIFY hss IS NOT NULL"""),
+      (PARTITION BY channel, granularity ORDER BY hss DESC NULLS LAST, {RUN}) AS rank FROM evt"""),
     "fold_ci": (fold_ci, f"""{_M} SELECT track, seq_len, pred_len, channel, model, granularity, {_ci('hss')}, {_ci('tss')}
       FROM evt GROUP BY 1, 2, 3, 4, 5, 6"""),
     "champions": (champions, f"""{_M}, {_CELLS} SELECT track, seq_len, pred_len, channel, model AS champion,

@@ -15,34 +15,39 @@ from fluxlake.sources import records
 from fluxlake.streaming import bins as stream
 
 CADENCE = 5
-DELAY = "10 minutes"
+# the input is a month of history in any order of files: bins stay open for longer than that
+DELAY = "60 days"
 ALERT = 40.0
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     schema = prepare(spark).read.parquet(f"{d}/events.parquet").schema
-    return stream.sample_stream(spark, d, "events.parquet", schema, "ts", "event_type", "value")
+    return stream.sample_stream(spark, d, "events.parquet", schema, "ts", "event_type", "value", ("event_id",))
 
 
 def _shown(df: DataFrame) -> DataFrame:
     return df.select("series", stamp("bin_ts").alias("bin_ts"), "n_samples", rnd("value").alias("value"))
 
 
-def stream_bins(spark: SparkSession, d: str) -> DataFrame:
+def _bins(spark: SparkSession, d: str, name: str) -> DataFrame:
     binned = stream.incremental_bins(_stream(spark, d), CADENCE, DELAY)
-    return _shown(stream.run_available(binned, "stream-bins"))
+    return stream.run_available(binned, name, ["series", "bin_ts"])
+
+
+def stream_bins(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(_bins(spark, d, "stream-bins"))
 
 
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Every sample arrives twice, as from overlapping snapshots; each is kept once."""
-    twice = _stream(spark, d).withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
-    out = stream.run_available(stream.without_repeats(twice, DELAY), "stream-dedup")
+    """Every sample arrives twice, as from overlapping snapshots, the second time corrected."""
+    twice = _stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "value", F.col("value") + F.col("copy"))
+    out = stream.run_available(twice, "stream-dedup", ["series", "time_utc"], ["copy", "event_id"])
     return out.select("series", F.unix_micros("time_utc").alias("time_us"), rnd("value").alias("value"))
 
 
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
-    binned = stream.incremental_bins(_stream(spark, d), CADENCE, DELAY)
-    return _shown(stream.run_available(stream.alerts(binned, ALERT), "stream-alerts"))
+    return _shown(stream.alerts(_bins(spark, d, "stream-alerts"), ALERT))
 
 
 def record_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -109,15 +114,14 @@ def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
     return records.upsert_manifest(old, new)
 
 
-_CLOSED = (f"WITH b AS ({bins_sql(EVENT_OBS, CADENCE)}), lim AS (SELECT max(ts) - INTERVAL 10 MINUTE AS wm FROM events) "
-           f"SELECT series, {ts(bin_start('idx', CADENCE), 'bin_ts')}, n AS n_samples, {r('value', 'value')} FROM b, lim "
-           f"WHERE {bin_start(f'idx + 1', CADENCE)} <= wm")
+_BINS = (f"SELECT series, {ts(bin_start('idx', CADENCE), 'bin_ts')}, n AS n_samples, {r('value', 'value')} "
+         f"FROM ({bins_sql(EVENT_OBS, CADENCE)})")
 
 QUERIES = {
-    "stream_bins": (stream_bins, _CLOSED),
+    "stream_bins": (stream_bins, _BINS),
     "stream_dedup": (stream_dedup, (
-        f"SELECT series, epoch_us(t) AS time_us, {r('v', 'value')} FROM ({EVENT_OBS})")),
-    "stream_alerts": (stream_alerts, _CLOSED + f" AND value >= {ALERT}"),
+        f"SELECT series, epoch_us(t) AS time_us, {r('arg_max(v + 1, id)', 'value')} FROM ({EVENT_OBS}) GROUP BY series, t")),
+    "stream_alerts": (stream_alerts, _BINS + f" WHERE value >= {ALERT}"),
     "record_tables": (record_tables, (
         f"WITH {ORDER_MASTERS_SQL} SELECT {RUN}, channel, granularity, n, tp, fp, fn, tn, {r('hss', 'hss')} FROM evt WHERE fold <> 0")),
     "union_missing_columns": (union_missing_columns, (

@@ -99,38 +99,45 @@ def interval_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- text archive -----------------------------------------------------------------------------
 
-HEADER_A = ("# Prepared by the archive test\n# Source: GOES-9\n# Location: W075\n"
-            "# Missing data: -1.00e+05\n# Label: E>0.8 means electrons\n"
+# type of event -> name of its files, satellite, layout
+ARCHIVED = {"purchase": ("G9", 9, "noaa_0p8"), "signup": ("G10", 10, "noaa_0p8"), "click": ("G8", 8, "noaa_0p6"),
+            "view": ("Gp_", 16, "kasi"), "error": ("Gs_", 15, "kasi")}
+
+
+def _header(satellite: int, layout: str) -> str:
+    if layout == "kasi":
+        return (f"# Prepared by KASI\n# Source: GOES {satellite}\n:Missing line\n# Missing data: -1.00e+05\n"
+                "# YR MO DA HHMM Sat P>1 P>5 P>10 P>30 P>50 P>60 P>100 P>500 E>2")
+    electrons = "E>0.8" if layout == "noaa_0p8" else "E>0.6"
+    return (f"# Prepared by the archive test\n# Source: GOES-{satellite}\n# Location: W075\n"
+            f"# Missing data: -1.00e+05\n# Label: {electrons} means electrons\n"
             "# Modified Julian Day\n# YR MO DA HHMM MJD SOD P>1 P>5 P>10 P>30 P>50 P>100 E E E")
-HEADER_B = ("# Prepared by KASI\n# Source: GOES 16\n:Missing line\n# Missing data: -1.00e+05\n"
-            "# YR MO DA HHMM Sat P>1 P>5 P>10 P>30 P>50 P>60 P>100 P>500 E>2")
 
 
 def _archive_files(spark: SparkSession, d: str) -> DataFrame:
-    """Daily files rendered from five-minute bins: at most 288 lines per series and day.
+    """Daily files of all types, rendered from five-minute bins: at most 288 lines per file.
 
     Sentinels depend on the sample count of a bin: declared missing value, zero, text.
     """
-    bins = (grid.bin_mean(event_obs(spark, d), 5)
-            .filter(F.col("series").isin("purchase", "view")))
+    bins = grid.bin_mean(event_obs(spark, d), 5)
+    of_type = lambda i: F.create_map(*[F.lit(x) for k, v in ARCHIVED.items() for x in (k, v[i])])[F.col("series")]
     token = (F.when(F.col("n_samples") == 1, "-1.00e+05").when(F.col("n_samples") == 2, "0.00")
              .when(F.col("n_samples") >= 5, "bad")
              .otherwise(F.rint(F.col("value") * 100).cast("long").cast("string")))
     hhmm = F.regexp_replace(F.date_format("bin_ts", "HHmm"), "^0+(?=.)", "")
     date = F.date_format("bin_ts", "yyyy MM dd")
     n = F.col("n_samples").cast("string")
-    layout_a = F.concat_ws(" ", date, hhmm, F.lit("60310 0"), token, n, n, n, n, n, n, n, F.lit("7"))
-    layout_b = F.concat_ws("  ", date, hhmm, F.lit("16"), token, n, n)   # short line, kept
-    line = F.when(F.col("series") == "purchase", layout_a).otherwise(layout_b)
-    name = F.concat(F.date_format("bin_ts", "yyyyMMdd"), F.lit("_"), F.when(
-        F.col("series") == "purchase", "G9").otherwise("Gp_"), F.lit("part_5m.txt"))
+    noaa = F.concat_ws(" ", date, hhmm, F.lit("60310 0"), token, n, n, n, n, n, n, n, F.lit("7"))
+    kasi = F.concat_ws("  ", date, hhmm, of_type(1).cast("string"), token, n, n)   # short line, kept
+    line = F.when(of_type(2) == "kasi", kasi).otherwise(noaa)
+    name = F.concat(F.date_format("bin_ts", "yyyyMMdd"), F.lit("_"), of_type(0), F.lit("part_5m.txt"))
     files = (bins.groupBy(F.concat(F.lit("archive/"), name).alias("path"), "series")
              .agg(F.array_sort(F.collect_list(F.struct("bin_idx", line.alias("line")))).alias("l")))
-    head = F.when(F.col("series") == "purchase", HEADER_A).otherwise(HEADER_B)
-    return files.select("path", F.concat_ws("\n", head, F.array_join("l.line", "\n")).alias("text"))
+    heads = F.create_map(*[F.lit(x) for k, (_, sat, layout) in ARCHIVED.items() for x in (k, _header(sat, layout))])
+    return files.select("path", F.concat_ws("\n", heads[F.col("series")], F.array_join("l.line", "\n")).alias("text"))
 
 
-ARCHIVE_COLS = ["p_gt1", "p_gt5", "p_gt60", "e_gt0p8", "e_gt4"]
+ARCHIVE_COLS = ["p_gt1", "p_gt5", "p_gt60", "e_gt0p6", "e_gt0p8", "e_gt4"]
 
 
 def parse_archive_text(spark: SparkSession, d: str) -> DataFrame:
@@ -333,6 +340,8 @@ _MASK = {
     "l_discount": "abs(l_discount - 0.05) <= 1e-8 + 1e-5*0.05 OR abs(l_discount - 0.1) <= 1e-8 + 1e-5*0.1",
     "l_tax": "abs(l_tax) <= 1e-8 OR l_tax > 0.07",
 }
+_FILE, _SAT, _LAYOUT = (_case({k: v[i] for k, v in ARCHIVED.items()}, "b.series") for i in range(3))
+_TAG = f"rtrim({_FILE}, '_')"
 _NOISE = "CASE WHEN n = 1 OR n = 2 OR n >= 5 OR round_even(value*100, 0) = 0 THEN NULL ELSE round_even(value*100, 0) END"
 
 QUERIES = {
@@ -362,24 +371,21 @@ QUERIES = {
         {ts('least(l.y, q.y)', 'overlap_end')} FROM s l JOIN s q ON l.series < q.series
         AND greatest(l.x, q.x) < least(l.y, q.y)"""),
     "parse_archive_text": (parse_archive_text, (
-        f"WITH {_B5} SELECT {ts('t', 'time_utc')}, CASE series WHEN 'view' THEN 'Gp' ELSE 'G9' END AS series, "
-        "CASE series WHEN 'view' THEN 16 ELSE 9 END AS source_sat, "
-        "CASE series WHEN 'purchase' THEN 'W075' END AS location, "
-        "CASE series WHEN 'view' THEN 'kasi_2020_' ELSE 'noaa_1998_2019' END AS era, "
+        f"WITH {_B5} SELECT {ts('t', 'time_utc')}, {_TAG} AS series, {_SAT} AS source_sat, "
+        f"CASE WHEN {_LAYOUT} <> 'kasi' THEN 'W075' END AS location, "
+        f"CASE WHEN {_LAYOUT} = 'kasi' THEN 'kasi_2020_' ELSE 'noaa_1998_2019' END AS era, "
         f"{r(_NOISE, 'p_gt1')}, {r('n', 'p_gt5')}, CAST(NULL AS DOUBLE) AS p_gt60, "
-        f"{r('CASE series WHEN ' + chr(39) + 'purchase' + chr(39) + ' THEN n END', 'e_gt0p8')}, "
-        f"{r('CASE series WHEN ' + chr(39) + 'purchase' + chr(39) + ' THEN 7 END', 'e_gt4')}, "
-        "strftime(t, '%Y%m%d') || CASE series WHEN 'view' THEN '_Gp_' ELSE '_G9' END || 'part_5m.txt' AS src_file "
-        "FROM b WHERE series IN ('view', 'purchase')")),
+        + ", ".join(r(f"CASE WHEN {_LAYOUT} {test} THEN {v} END", c) for c, test, v in (
+            ("e_gt0p6", "= 'noaa_0p6'", "n"), ("e_gt0p8", "= 'noaa_0p8'", "n"), ("e_gt4", "<> 'kasi'", "7")))
+        + f", strftime(t, '%Y%m%d') || '_' || {_FILE} || 'part_5m.txt' AS src_file FROM b")),
     "archive_provenance": (archive_provenance, (
-        f"WITH {_B5} SELECT 'archive/' || strftime(t, '%Y%m%d') || CASE series WHEN 'view' THEN '_Gp_' "
-        "ELSE '_G9' END || 'part_5m.txt' AS path, CASE series WHEN 'view' THEN 'Gp' ELSE 'G9' END AS series, "
-        "CASE series WHEN 'view' THEN 'kasi' ELSE 'noaa' END AS format, "
-        "CASE series WHEN 'view' THEN 16 ELSE 9 END AS source_sat, count(*) AS n_rows, "
-        f"{ts('min(t)', 'time_start')}, {ts('max(t)', 'time_end')}, CASE series WHEN 'view' THEN "
-        "'p_gt1,p_gt5,p_gt10,p_gt30,p_gt50,p_gt60,p_gt100,p_gt500,e_gt2' ELSE "
+        f"WITH {_B5} SELECT 'archive/' || strftime(t, '%Y%m%d') || '_' || {_FILE} || 'part_5m.txt' AS path, "
+        f"{_TAG} AS series, CASE WHEN {_LAYOUT} = 'kasi' THEN 'kasi' ELSE 'noaa' END AS format, "
+        f"{_SAT} AS source_sat, count(*) AS n_rows, {ts('min(t)', 'time_start')}, {ts('max(t)', 'time_end')}, "
+        f"CASE {_LAYOUT} WHEN 'kasi' THEN 'p_gt1,p_gt5,p_gt10,p_gt30,p_gt50,p_gt60,p_gt100,p_gt500,e_gt2' "
+        "WHEN 'noaa_0p6' THEN 'p_gt1,p_gt5,p_gt10,p_gt30,p_gt50,p_gt100,e_gt0p6,e_gt2,e_gt4' ELSE "
         "'p_gt1,p_gt5,p_gt10,p_gt30,p_gt50,p_gt100,e_gt0p8,e_gt2,e_gt4' END AS channels "
-        "FROM b WHERE series IN ('view', 'purchase') GROUP BY strftime(t, '%Y%m%d'), b.series")),
+        "FROM b GROUP BY strftime(t, '%Y%m%d'), b.series")),
     "ceiling_mask": (ceiling_mask, (
         f"SELECT series, CAST(sum(CASE WHEN v > 100 THEN 1 ELSE 0 END) AS BIGINT) AS n_masked, "
         f"{r('max(CASE WHEN v <= 100 AND v <> 0 THEN v END)', 'max_kept')}, "

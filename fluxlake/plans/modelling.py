@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxlake.functions import physics, regression, scores
-from fluxlake.functions.losses import LOSSES, loss
+from fluxlake.functions import physics, scores
+from fluxlake.functions.losses import LOSSES
+from fluxlake.functions.metrics import STANDARD
 from fluxlake.functions.registry import RUN_KEYS
 from fluxlake.operators import forecast, grid, intervals, series, spectral, terms, windows
-from fluxlake.operators.evaluate import evaluate, to_long, to_stored_space
+from fluxlake.operators.evaluate import by_channel, evaluate, to_long
 from fluxlake.plans.common import (
     EVENT_OBS, ORDER_OBS, bins_sql, event_obs, order_obs, r, rnd, rounded, stamp, table, ts,
 )
 from fluxlake.plans.runs import (
-    CUT_HOURS, DAY_MIN, N_FOLD, ORDER_MASTERS_SQL, ORDER_PRED_SQL, RUN, THRESHOLDS, order_bins,
+    DAY_MIN, N_FOLD, ORDER_MASTERS_SQL, ORDER_PRED_SQL, RUN, THRESHOLDS, case_of, order_bins,
     order_predictions,
 )
 
@@ -102,10 +104,9 @@ def persistence(spark: SparkSession, d: str) -> DataFrame:
 
 def occurrence_persistence(spark: SparkSession, d: str) -> DataFrame:
     """Event in the preceding window of equal length against the event in the window."""
-    thr = {k: to_stored_space(v, "log10") for k, v in THRESHOLDS.items()}
-    level = F.create_map(*[x for k, v in thr.items() for x in (F.lit(k), F.lit(v).cast("float"))])
+    level = by_channel(THRESHOLDS, "float", "log10")
     p = order_predictions(spark, d).filter(F.col("model") == "repeat")
-    flag = lambda c: (F.array_max(c) >= level[F.col("channel")]).cast("int")
+    flag = lambda c: (F.array_max(c) >= level).cast("int")
     return p.select("track", "seq_len", "pred_len", "fold", "channel",
                     stamp("forecast_start").alias("forecast_start"),
                     flag("pred").alias("predicted"), flag("true").alias("observed"))
@@ -152,7 +153,7 @@ def recursive_forecast(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ar_forecast(spark: SparkSession, d: str) -> DataFrame:
-    bins = _fold_bins(spark, d).filter(F.col("track") == "uni_b")
+    bins = _fold_bins(spark, d).filter(F.col("track") != "multi")
     p = forecast.stat_predictions(bins, "ar", 5, 2, DAY_MIN)
     return rounded(p.select("channel", "fold", stamp("forecast_start").alias("forecast_start"),
                             F.posexplode("pred").alias("lead", "pred")), ["pred"])
@@ -161,30 +162,22 @@ def ar_forecast(spark: SparkSession, d: str) -> DataFrame:
 def losses(spark: SparkSession, d: str) -> DataFrame:
     long = to_long(order_predictions(spark, d))
     p, t = F.col("pred").cast("double"), F.col("true").cast("double")
-    return rounded(long.groupBy(*RUN_KEYS, "channel").agg(*[loss(n)(p, t).alias(n) for n in LOSSES]),
+    return rounded(long.groupBy(*RUN_KEYS, "channel").agg(*[LOSSES[n](p, t).alias(n) for n in LOSSES]),
                    list(LOSSES))
 
 
 def custom_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """A score and a regression metric registered by the caller get their own columns."""
-    try:
-        @scores.register_event_score("gss")
-        def _gss(tp, fp, fn, tn):
-            chance = scores.ratio((tp + fp) * (tp + fn), tp + fp + fn + tn)
-            return scores.ratio(tp - chance, tp + fp + fn - chance)
-
-        @regression.register_regression_metric("maxerr", space="stored")
-        def _maxerr(pred, true):
-            return F.max(F.abs(pred - true))
-
-        ev = evaluate(order_predictions(spark, d), THRESHOLDS, day_hours=CUT_HOURS,
-                      metrics=["gss", "maxerr"])
-        gss = ev.event.filter(F.col("granularity") == "window").select(*RUN_KEYS, "channel", "gss")
-        out = gss.join(ev.regression.select(*RUN_KEYS, "channel", "maxerr"), [*RUN_KEYS, "channel"])
-        return rounded(out, ["gss", "maxerr"])
-    finally:
-        scores.EVENT_SCORES.pop("gss", None)
-        regression.REGRESSION_METRICS.pop("maxerr", None)
+    """A score and a regression metric that the caller brings along get their own columns."""
+    def gss(tp, fp, fn, tn):
+        chance = scores.ratio((tp + fp) * (tp + fn), tp + fp + fn + tn)
+        return scores.ratio(tp - chance, tp + fp + fn - chance)
+
+    own = STANDARD.with_event("gss", gss, larger_is_better=True).with_regression(
+        "maxerr", lambda pred, true: F.max(F.abs(pred - true)), space="stored")
+    ev = evaluate(order_predictions(spark, d), THRESHOLDS, metrics=["gss", "maxerr"], units=["window"], known=own)
+    gss_rows = ev.event.select(*RUN_KEYS, "channel", "gss")
+    out = gss_rows.join(ev.regression.select(*RUN_KEYS, "channel", "maxerr"), [*RUN_KEYS, "channel"])
+    return rounded(out, ["gss", "maxerr"])
 
 
 def scalar_checks(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +191,7 @@ def scalar_checks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(o.select(
         "o_orderkey", stamp(intervals.parse_utc(text)).alias("parsed_utc"),
         F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("time_us"),
-        (F.log10(price).cast("float") >= F.lit(to_stored_space(250_000.0, "log10")).cast("float"))
+        (F.log10(price).cast("float") >= grid.stored_value(F.lit(250_000.0), "log10").cast("float"))
         .cast("int").alias("is_event"),
         physics.integral_flux(flux, lo, hi, 10.0).alias("flux_gt10"),
         physics.electric_field(price / 1000, F.lit(-4.5)).alias("e_field"),
@@ -250,6 +243,69 @@ _LIN = f"""WITH {ORDER_PRED_SQL}, tbk2 AS MATERIALIZED (SELECT *, concat_ws('|',
     wt AS (SELECT fold, lead, (b*u - c*v) / (a*b - c*c) AS w0, (a*v - c*u) / (a*b - c*c) AS w1, m0, m1, my FROM cv)
     """
 
+def _det(m: list[list[str]]) -> str:
+    """Determinant, written out."""
+    if len(m) == 1:
+        return m[0][0]
+    minors = [[row[:j] + row[j + 1:] for row in m[1:]] for j in range(len(m))]
+    return "(" + " ".join(f"{'-' if j % 2 else '+'} {m[0][j]} * {_det(minors[j])}" for j in range(len(m))) + ")"
+
+
+def _least_squares_sql(model: str, strategy: str, features: list[str], penalty: list[list[float]],
+                       centre: str = "0", spread: str = "1") -> str:
+    """Scores of a linear forecaster of three inputs and two steps: normal equations per fold, Cramer's rule."""
+    names = ["1.0", *features]
+    n, ahead = len(names), 1 if strategy == "recursive" else 2
+    along = "OVER (PARTITION BY track, channel, term ORDER BY idx)"
+    lead = lambda k, c="value": f"lead({c}, {k}) {along}"
+    window = lambda steps: (
+        f"SELECT *, {centre} AS mu, {spread} AS sg FROM (SELECT track, channel, term, term_idx, value AS x0, {lead(1)} AS x1, "
+        f"{lead(2)} AS x2, {lead(3)} AS y0, {lead(4)} AS y1, {lead(2 + steps, 'idx')} - idx AS gap FROM tb) WHERE gap = {2 + steps}")
+    sums = ", ".join(f"sum(f{i} * f{j}) + {penalty[i][j]!r} AS s{i}{j}" for i in range(n) for j in range(n))
+    right = ", ".join(f"sum(f{i} * y) AS b{i}" for i in range(n))
+    matrix = [[f"s{i}{j}" for j in range(n)] for i in range(n)]
+    swapped = [[[f"b{i}" if j == k else f"s{i}{j}" for j in range(n)] for i in range(n)] for k in range(n)]
+    weights = ", ".join(f"{_det(swapped[k])} / {_det(matrix)} AS w{k}" for k in range(n))
+    value = " + ".join(f"w{k} * ({e})" for k, e in enumerate(names))
+    if strategy == "recursive":
+        again = f"w0 + w1 * x1 + w2 * x2 + w3 * ({value})"
+        steps = f"SELECT *, 0 AS l, {value} AS p, y0 AS y FROM q UNION ALL SELECT *, 1, {again}, y1 FROM q"
+    else:
+        steps = f"SELECT *, lead AS l, mu + sg * ({value}) AS p, CASE lead WHEN 0 THEN y0 ELSE y1 END AS y FROM q"
+    return f"""WITH {ORDER_PRED_SQL},
+    tw AS MATERIALIZED ({window(ahead)}),
+    tr AS (SELECT CAST(f.fold AS INTEGER) AS fold, l.lead, {", ".join(f"{e} AS f{i}" for i, e in enumerate(names))},
+      (CASE l.lead WHEN 0 THEN y0 ELSE y1 END - mu) / sg AS y FROM tw, (SELECT unnest(range({N_FOLD})) AS fold) f,
+      (SELECT unnest(range({ahead})) AS lead) l WHERE ((term_idx - f.fold) % {N_FOLD} + {N_FOLD}) % {N_FOLD} < {N_FOLD - 2}),
+    sm AS (SELECT fold, lead, {sums}, {right} FROM tr GROUP BY 1, 2),
+    wt AS MATERIALIZED (SELECT fold, lead, {weights} FROM sm),
+    w AS (SELECT *, CAST((term_idx + 1) % {N_FOLD} AS INTEGER) AS fold FROM ({window(2)})),
+    q AS (SELECT w.*, wt.lead, {", ".join(f"w{k}" for k in range(n))} FROM w JOIN wt ON wt.fold = w.fold),
+    made AS (SELECT track, channel, fold, CAST(p AS REAL) AS p, CAST(y AS REAL) AS y FROM ({steps}))
+    SELECT track, 3 AS seq_len, 2 AS pred_len, fold, '{strategy}' AS strategy, '{model}' AS model, channel, count(*) AS n,
+      {r('sqrt(avg((p::DOUBLE-y)*(p::DOUBLE-y)))', 'rmse', 5)}, {r('avg(abs(p::DOUBLE-y))', 'mae', 5)},
+      {r('CASE WHEN min(p) < max(p) AND min(y) < max(y) THEN corr(p::DOUBLE, y::DOUBLE) END', 'logr', 5)}
+    FROM made GROUP BY track, fold, channel"""
+
+
+def _ridge(size: float, inner: np.ndarray) -> list[list[float]]:
+    """Penalty matrix: ``size`` on the constant and on the quadratic form ``inner`` of the other weights."""
+    out = np.zeros((len(inner) + 1, len(inner) + 1))
+    out[0, 0], out[1:, 1:] = size, size * inner
+    return out.tolist()
+
+
+# Normalised inputs add up to zero, so two coordinates in that plane carry them, lengths unchanged.
+_MU = "(x0 + x1 + x2) / 3"
+_SG = f"sqrt((x0*x0 + x1*x1 + x2*x2) / 3 - ({_MU}) * ({_MU}) + 1e-5)"
+_PLANE = ["(x0 - x1) / sg / sqrt(2.0)", "(x0 + x1 - 2 * x2) / sg / sqrt(6.0)"]
+# A moving mean of 25 over three values with repeated edges; weights of trend and rest are penalised
+# alike, which for the weights of the inputs themselves is a quadratic form.
+_TREND = np.array([[13 - i, 1, 11 + i] for i in range(3)]) / 25
+_REST = np.eye(3) - _TREND
+_FORM = np.linalg.inv(_REST.T @ _REST + _TREND.T @ _TREND)
+_INPUTS = ["x0", "x1", "x2"]
+
 QUERIES = {
     "ema": (ema, _recur("value AS trend", f"{ALPHA} * w.value + (1 - {ALPHA}) * trend")
             + f" SELECT series, bin_idx, {r('value', 'value')}, {r('trend', 'trend')}, {r('value - trend', 'residual')} FROM rc"),
@@ -298,8 +354,7 @@ QUERIES = {
     "occurrence_persistence": (occurrence_persistence, (
         f"WITH {ORDER_PRED_SQL}, f AS (SELECT DISTINCT track, seq_len, pred_len, fold, channel, fs, term FROM pred JOIN "
         "(SELECT DISTINCT track, channel, term, idx FROM tb) q USING (track, channel) WHERE q.idx = fs), "
-        "t2 AS (SELECT track, channel, term, idx, CAST(value AS REAL) >= CAST(CASE channel WHEN 'F' THEN log10(330000.0) "
-        "ELSE log10(300000.0) END AS REAL) AS e FROM tb) "
+        f"t2 AS (SELECT track, channel, term, idx, CAST(value AS REAL) >= CAST({case_of(THRESHOLDS, 'log10({})')} AS REAL) AS e FROM tb) "
         f"SELECT f.track, seq_len, pred_len, fold, f.channel, {ts('make_timestamp(fs * 86400000000)', 'forecast_start')}, "
         "CAST(bool_or(CASE WHEN idx < fs THEN e ELSE false END) AS INTEGER) AS predicted, "
         "CAST(bool_or(CASE WHEN idx >= fs THEN e ELSE false END) AS INTEGER) AS observed "
@@ -308,16 +363,16 @@ QUERIES = {
     "linear_weights": (linear_weights, (
         f"{_LIN} SELECT fold, lead, 0 AS feature, {r('my - w0 * m0 - w1 * m1', 'weight')} FROM wt "
         f"UNION ALL SELECT fold, lead, 1, {r('w0')} FROM wt UNION ALL SELECT fold, lead, 2, {r('w1')} FROM wt")),
-    "linear_forecast": (linear_forecast, None),
-    "decomposition_forecast": (decomposition_forecast, None),
-    "recursive_forecast": (recursive_forecast, None),
+    "linear_forecast": (linear_forecast, _least_squares_sql("rlinear", "direct", _PLANE, _ridge(1e-3, np.eye(2)), _MU, _SG)),
+    "decomposition_forecast": (decomposition_forecast, _least_squares_sql("dlinear", "direct", _INPUTS, _ridge(1e-3, _FORM))),
+    "recursive_forecast": (recursive_forecast, _least_squares_sql("linear", "recursive", _INPUTS, _ridge(0.0, np.eye(3)))),
     "ar_forecast": (ar_forecast, (
-        f"WITH {ORDER_PRED_SQL}, q AS MATERIALIZED (SELECT *, max(idx) OVER (PARTITION BY term, grp) AS ml FROM "
-        "(SELECT term, term_idx, idx, value, idx - row_number() OVER (PARTITION BY term ORDER BY idx) AS grp FROM tb WHERE track = 'uni_b')), "
-        "pr AS (SELECT a.term, a.term_idx, a.idx AS s, x.value AS u, y.value AS v, o.o FROM q a JOIN (SELECT unnest(range(4)) AS o) o ON a.idx + 6 <= a.ml "
-        "JOIN q x ON x.idx = a.idx + o.o JOIN q y ON y.idx = a.idx + o.o + 1 WHERE x.term = a.term AND y.term = a.term), "
-        "ft AS (SELECT term, term_idx, s, regr_slope(v, u) AS b, regr_intercept(v, u) AS a, max(CASE WHEN o = 3 THEN v END) AS l FROM pr GROUP BY 1, 2, 3) "
-        f"SELECT 'O' AS channel, CAST((term_idx + 1) % {N_FOLD} AS INTEGER) AS fold, {ts('make_timestamp((s + 5) * 86400000000)', 'forecast_start')}, "
+        f"WITH {ORDER_PRED_SQL}, q AS MATERIALIZED (SELECT *, max(idx) OVER (PARTITION BY channel, term, grp) AS ml FROM "
+        "(SELECT channel, term, term_idx, idx, value, idx - row_number() OVER (PARTITION BY channel, term ORDER BY idx) AS grp FROM tb WHERE track <> 'multi')), "
+        "pr AS (SELECT a.channel, a.term, a.term_idx, a.idx AS s, x.value AS u, y.value AS v, o.o FROM q a JOIN (SELECT unnest(range(4)) AS o) o ON a.idx + 6 <= a.ml "
+        "JOIN q x ON x.idx = a.idx + o.o AND x.channel = a.channel JOIN q y ON y.idx = a.idx + o.o + 1 AND y.channel = a.channel "
+        "WHERE x.term = a.term AND y.term = a.term), ft AS (SELECT channel, term, term_idx, s, regr_slope(v, u) AS b, regr_intercept(v, u) AS a, max(CASE WHEN o = 3 THEN v END) AS l FROM pr GROUP BY 1, 2, 3, 4) "
+        f"SELECT channel, CAST((term_idx + 1) % {N_FOLD} AS INTEGER) AS fold, {ts('make_timestamp((s + 5) * 86400000000)', 'forecast_start')}, "
         f"h AS lead, {r('CASE h WHEN 0 THEN a + b * l ELSE a + b * (a + b * l) END', 'pred')} FROM ft, (VALUES (0), (1)) hh(h)")),
     "losses": (losses, (
         f"WITH {ORDER_PRED_SQL}, e AS (SELECT *, p::DOUBLE - y AS d FROM pred) SELECT {RUN}, channel, {r('avg(d*d)', 'mse')}, "

@@ -14,7 +14,7 @@ from fluxlake.plans.common import (
     order_obs, r, rnd, rounded, stamp, table, term_sql, ts,
 )
 from fluxlake.plans.runs import EVENT_MASTERS_SQL, EVENT_THRESHOLDS, RUN, event_predictions, score_list
-from fluxlake.sources.observations import filter_role, filter_years, resolve_targets
+from fluxlake.sources.observations import filter_role, filter_years, targets_among
 
 HOUR, FIVE, DAY = 60, 5, 1440
 SEQ, PRED = 6, 3
@@ -36,17 +36,13 @@ def align_channels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def outer_join_channels(spark: SparkSession, d: str) -> DataFrame:
-    """Alignment of channels that were binned on their own (sources of different cadence)."""
-    coarse = grid.bin_mean(event_obs(spark, d), HOUR, transform="log10")
-    fine = grid.bin_mean(event_obs(spark, d).filter(F.col("series") == "view"), FIVE,
-                         transform="log10")
-    marks = (fine.filter(F.col("bin_idx") % 12 == 0)
-             .select(F.lit("view_mark").alias("series"), (F.col("bin_idx") / 12).cast("long")
-                     .alias("bin_idx"), "n_samples", "value", "bin_ts"))
-    both = coarse.unionByName(marks)
-    wide = grid.align_channels(both, ["click", "view", "view_mark"])
-    return wide.select(stamp("bin_ts").alias("bin_ts"),
-                       *[rnd(c).alias(c) for c in ("click", "view", "view_mark")])
+    """Alignment of channels that were binned on their own: four hourly ones and one of five minutes."""
+    obs = event_obs(spark, d)
+    coarse = grid.bin_mean(obs.filter(F.col("series") != "view"), HOUR, transform="log10")
+    coarse = coarse.withColumn("bin_idx", F.col("bin_idx") * (HOUR // FIVE))
+    fine = grid.bin_mean(obs.filter(F.col("series") == "view"), FIVE, transform="log10")
+    wide = grid.align_channels(coarse.unionByName(fine), EVENT_CHANNELS)
+    return wide.select(stamp("bin_ts").alias("bin_ts"), *[rnd(c).alias(c) for c in EVENT_CHANNELS])
 
 
 def term_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -140,7 +136,7 @@ def window_starts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def aligned_window_starts(spark: SparkSession, d: str) -> DataFrame:
-    chans = ["click", "error", "view"]
+    chans = EVENT_CHANNELS
     wide = grid.bin_mean_wide(event_obs(spark, d), chans, HOUR, transform="log10")
     valid = wide.filter(grid.all_valid(chans)).withColumn("term", terms.term_label("bin_ts"))
     w = windows.window_starts(valid, 3, 2, ["term"])
@@ -160,19 +156,24 @@ def calendar(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_filter_project(spark: SparkSession, d: str) -> DataFrame:
-    """Pruned scan, role filter and year range (both pushed to Parquet), row limit in key order."""
+    """Pruned scan, role filter and year range (both pushed to Parquet)."""
     cols = ["o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice"]
     df = table(spark, d, "orders", cols)
-    target = resolve_targets(["o_totalprice"], None)[0]
+    target = targets_among(["o_totalprice"])[0]
     picked = filter_years(filter_role(df, "F", "o_orderstatus"), [1996, 1998], "o_orderdate")
     return (picked.filter(F.col("o_orderdate").isNotNull())
-            .select("o_orderkey", stamp("o_orderdate").alias("time_utc"), rnd(target).alias(target))
-            .orderBy("o_orderkey").limit(500))
+            .select("o_orderkey", stamp("o_orderdate").alias("time_utc"), rnd(target).alias(target)))
+
+
+def first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Row limit in key order: the first 500 samples of the scan."""
+    return scan_filter_project(spark, d).orderBy("o_orderkey").limit(500)
 
 
 def baseline_skill(spark: SparkSession, d: str, cadence_min: int = HOUR) -> DataFrame:
     names = ["hss", "tss", "pod", "far"]
-    rows = evaluate(event_predictions(spark, d, cadence_min), EVENT_THRESHOLDS, metrics=names).event
+    rows = evaluate(event_predictions(spark, d, cadence_min), EVENT_THRESHOLDS, metrics=names,
+                    units=["window"]).event
     out = rows.filter(F.col("granularity") == "window")
     return rounded(out.select(*RUN_KEYS, "channel", "n", "n_events", "tp", "fp", "fn", "tn", *names),
                    names)
@@ -216,11 +217,11 @@ QUERIES = {
         + f" FROM (SELECT idx, {_PIVOT} FROM ({bins_sql(EVENT_OBS, HOUR, 'log10')}) GROUP BY idx)")),
     "outer_join_channels": (outer_join_channels, (
         f"WITH h AS ({bins_sql(EVENT_OBS, HOUR, 'log10')}), f AS ({bins_sql(EVENT_OBS, FIVE, 'log10')}), "
-        "c AS (SELECT idx, value AS click FROM h WHERE series = 'click'), "
-        "v AS (SELECT idx, value AS vw FROM h WHERE series = 'view'), "
-        "m AS (SELECT idx // 12 AS idx, value AS vm FROM f WHERE series = 'view' AND idx % 12 = 0) "
-        f"SELECT {ts(bin_start('idx', HOUR), 'bin_ts')}, {r('click', 'click')}, {r('vw')} AS \"view\","
-        f" {r('vm', 'view_mark')} FROM c FULL JOIN v USING (idx) FULL JOIN m USING (idx)")),
+        "u AS (SELECT series, idx * 12 AS idx, value FROM h WHERE series <> 'view' UNION ALL "
+        "SELECT series, idx, value FROM f WHERE series = 'view') "
+        f"SELECT {ts(bin_start('idx', FIVE), 'bin_ts')}, "
+        + ", ".join(r(f"max(CASE WHEN series = '{c}' THEN value END)") + f' AS "{c}"' for c in EVENT_CHANNELS)
+        + " FROM u GROUP BY idx")),
     "term_counts": (term_counts, (
         f"WITH obs AS ({LINE_OBS}), {TERMS_SQL} SELECT term, term_idx, n_rows FROM terms")),
     "fold_split": (fold_split, (
@@ -288,11 +289,11 @@ QUERIES = {
     "aligned_window_starts": (aligned_window_starts, (
         f"WITH p AS (SELECT idx, {_PIVOT} FROM ({bins_sql(EVENT_OBS, HOUR, 'log10')}) GROUP BY idx), "
         f"v AS (SELECT *, {term_sql(bin_start('idx', HOUR))} AS term FROM p "
-        "WHERE click IS NOT NULL AND error IS NOT NULL AND \"view\" IS NOT NULL), "
+        "WHERE " + " AND ".join(f'"{c}" IS NOT NULL' for c in EVENT_CHANNELS) + "), "
         "w AS (SELECT *, count(*) OVER (PARTITION BY term ORDER BY idx "
         "RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING) AS k FROM v) "
-        f"SELECT term, {ts(bin_start('idx', HOUR), 'window_start')}, {r('click', 'click')}, "
-        f"{r('error', 'error')}, {r('view')} AS \"view\" FROM w WHERE k = 5")),
+        f"SELECT term, {ts(bin_start('idx', HOUR), 'window_start')}, "
+        + ", ".join(r(f'"{c}"') + f' AS "{c}"' for c in EVENT_CHANNELS) + " FROM w WHERE k = 5")),
     "window_arrays": (window_arrays, (
         f"WITH {_hourly_runs()}, w AS (SELECT series, term, grp, i.idx FROM isl i "
         "JOIN runs USING (series, term, grp) WHERE i.idx + 5 <= last_idx), "
@@ -304,6 +305,9 @@ QUERIES = {
         "SELECT id AS event_id, month(t) AS month, day(t) AS day, (dayofweek(t) + 6) % 7 AS weekday, "
         f"hour(t) AS hour, minute(t) // 15 AS quarter FROM ({EVENT_OBS})")),
     "scan_filter_project": (scan_filter_project, (
+        f"SELECT o_orderkey, {ts('o_orderdate', 'time_utc')}, {r('o_totalprice', 'o_totalprice')} "
+        "FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) IN (1996, 1998)")),
+    "first_rows": (first_rows, (
         f"SELECT o_orderkey, {ts('o_orderdate', 'time_utc')}, {r('o_totalprice', 'o_totalprice')} "
         "FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) IN (1996, 1998) "
         "ORDER BY o_orderkey LIMIT 500")),

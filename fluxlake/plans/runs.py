@@ -1,7 +1,7 @@
 """Scored runs that the evaluation and board queries share: baselines on the order history.
 
 Channels are order statuses, bins are days, terms are half-years tested in rotation over five
-folds, and the three tracks are two single channels and both together.
+folds, and the tracks are the three single channels and all together.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from fluxlake.operators.terms import term_label, term_table
 from fluxlake.plans.common import EVENT_OBS, ORDER_OBS, bin_of, event_obs, order_obs, r, term_sql
 from fluxlake.session import materialize
 
-TRACKS = {"uni_a": ["F"], "uni_b": ["O"], "multi": ["F", "O"]}
+CHANNELS = ["F", "O", "P"]
+TRACKS = {"uni_a": ["F"], "uni_b": ["O"], "uni_c": ["P"], "multi": CHANNELS}
 CONDITIONS = [(3, 2), (3, 3), (5, 2), (5, 3)]
-THRESHOLDS = {"F": 330_000.0, "O": 300_000.0}
+THRESHOLDS = {"F": 330_000.0, "O": 300_000.0, "P": 315_000.0}
 N_FOLD = 5
 DAY_MIN = 1440
 CUT_HOURS = 48
@@ -31,9 +32,8 @@ HOUR_MIN = 60
 
 def order_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = order_obs(spark, sf_dir)
-    wide = bin_mean_wide(obs, ["F", "O"], DAY_MIN, transform="log10")
-    # at most two rows per calendar year: bounded whatever the data volume
-    terms = F.broadcast(term_table(obs).select("term", "term_idx"))
+    wide = bin_mean_wide(obs, CHANNELS, DAY_MIN, transform="log10")
+    terms = term_table(obs).select("term", "term_idx")
     return multi_track_bins(wide.withColumn("term", term_label("bin_ts")).join(terms, "term"),
                             TRACKS)
 
@@ -120,7 +120,7 @@ ORDER_PRED_SQL = predictions_sql(ORDER_OBS, DAY_MIN, TRACKS, CONDITIONS, N_FOLD)
 EVENT_PRED_SQL = predictions_sql(EVENT_OBS, HOUR_MIN, EVENT_TRACKS, EVENT_CONDITIONS, None)
 
 
-def _case(values: dict[str, float], wrap: str = "{}") -> str:
+def case_of(values: dict[str, float], wrap: str = "{}") -> str:
     whens = " ".join(f"WHEN '{k}' THEN {wrap.format(v)}" for k, v in values.items())
     return f"CASE channel {whens} END"
 
@@ -147,8 +147,8 @@ def masters_sql(pred_ctes: str, thresholds: dict, hours: int, minutes: int) -> s
     gap = hours * 60 // minutes
     scores = ", ".join(f"{e} AS {n}" for n, e in SCORE_SQL.items())
     return f"""{pred_ctes},
-    lab AS MATERIALIZED (SELECT *, {_case(thresholds)} AS threshold,
-                   CAST({_case(thresholds, 'log10({})')} AS REAL) AS thr FROM pred),
+    lab AS MATERIALIZED (SELECT *, {case_of(thresholds)} AS threshold,
+                   CAST({case_of(thresholds, 'log10({})')} AS REAL) AS thr FROM pred),
     reg0 AS MATERIALIZED (SELECT {RUN}, channel, count(*) AS n,
                  sqrt(avg((p::DOUBLE-y)*(p::DOUBLE-y))) AS rmse, avg(abs(p::DOUBLE-y)) AS mae,
                  median(abs(p::DOUBLE-y)) AS mabs, median(p::DOUBLE-y) AS md,
@@ -159,15 +159,15 @@ def masters_sql(pred_ctes: str, thresholds: dict, hours: int, minutes: int) -> s
                    sign(md)*100*(10**abs(md) - 1) AS sspb, logr FROM reg0),
     w AS MATERIALIZED (SELECT {RUN}, channel, threshold, fs, max(p) >= max(thr) AS ep, max(y) >= max(thr) AS ey
           FROM lab GROUP BY {RUN}, channel, threshold, fs),
-    cells AS MATERIALIZED (SELECT DISTINCT track, seq_len, pred_len, fold, fs FROM pred),
+    cells AS MATERIALIZED (SELECT DISTINCT {RUN}, fs FROM pred),
     nxt AS MATERIALIZED (SELECT a.*, n.fs AS nfs FROM cells a ASOF LEFT JOIN cells n
             ON a.track = n.track AND a.seq_len = n.seq_len AND a.pred_len = n.pred_len
-            AND a.fold = n.fold AND a.fs + {gap} <= n.fs),
+            AND a.fold = n.fold AND a.strategy = n.strategy AND a.model = n.model AND a.fs + {gap} <= n.fs),
     kept AS (WITH RECURSIVE k AS (
-               SELECT track, seq_len, pred_len, fold, min(fs) AS fs FROM cells GROUP BY ALL
+               SELECT {RUN}, min(fs) AS fs FROM cells GROUP BY ALL
                UNION ALL
-               SELECT k.track, k.seq_len, k.pred_len, k.fold, x.nfs FROM k JOIN nxt x
-                 USING (track, seq_len, pred_len, fold, fs) WHERE x.nfs IS NOT NULL)
+               SELECT {RUN}, x.nfs FROM k JOIN nxt x
+                 USING ({RUN}, fs) WHERE x.nfs IS NOT NULL)
              SELECT * FROM k),
     units AS MATERIALIZED (
       SELECT {RUN}, channel, threshold, 'point' AS granularity, p >= thr AS ep, y >= thr AS ey FROM lab
@@ -175,7 +175,7 @@ def masters_sql(pred_ctes: str, thresholds: dict, hours: int, minutes: int) -> s
       SELECT {RUN}, channel, threshold, 'window', ep, ey FROM w
       UNION ALL
       SELECT {RUN}, channel, threshold, 'day', ep, ey
-      FROM w SEMI JOIN kept USING (track, seq_len, pred_len, fold, fs)),
+      FROM w SEMI JOIN kept USING ({RUN}, fs)),
     cnt AS MATERIALIZED (SELECT {RUN}, channel, granularity, threshold, count(*) AS n,
                    count_if(ey) AS n_events, count_if(ep AND ey) AS tp,
                    count_if(ep AND NOT ey) AS fp, count_if(NOT ep AND ey) AS fn,

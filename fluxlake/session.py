@@ -1,4 +1,4 @@
-"""Session defaults, the shared scratch folder and the size-checked broadcast."""
+"""Session defaults, package shipping and the shared scratch folder."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # SQL settings every fluxlake job relies on; all of them can be set at run time.
 SQL_DEFAULTS = {
@@ -21,9 +20,6 @@ SQL_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# Largest side that may be broadcast after its rows were counted.
-BROADCAST_ROWS = 200_000
-
 
 def build_session(app: str = "fluxlake", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -81,26 +77,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it was counted to hold at most ``max_rows`` rows.
-
-    The count stops after ``max_rows + 1`` rows. A larger side comes back without a hint, so
-    the join falls back to a shuffle join under AQE (which also splits skewed partitions).
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def small_table(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Like :func:`broadcast_if_small`, for a summary that is expensive to compute twice.
-
-    The rows themselves are fetched (at most ``max_rows + 1``) and, when they fit, become a
-    local relation, so the summary is not computed again inside the join.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
-    return materialize(df, "summary")

@@ -89,7 +89,8 @@ def list_files(spark: SparkSession, root: str, kind: ArchiveKind,
 
 
 def as_text(files: DataFrame) -> DataFrame:
-    return files.withColumn("text", F.decode("content", "UTF-8")).drop("content")
+    """The files as text; bytes that aren't UTF-8 become replacement characters."""
+    return files.withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))).drop("content")
 
 
 def _case(key: Column, values: dict) -> Column:
@@ -141,7 +142,7 @@ def with_headers(files: DataFrame, kind: ArchiveKind) -> DataFrame:
         .withColumn("location", F.nullif(last_match(LOCATION_LINE), F.lit("")))
         .withColumn("missing_value", F.coalesce(last_match(MISSING_LINE).try_cast("double"),
                                                 F.lit(MISSING_DEFAULT)))
-        .withColumn("prepared_by", F.trim(F.substring(prepared, 3, 1000)))
+        .withColumn("prepared_by", F.trim(F.substring(prepared, 3, 2**31 - 1)))
         .withColumn("era", _case(F.col("layout"), kind.era))
         .drop("_head")
     )
@@ -153,7 +154,7 @@ def _time_of(parts: Column) -> Column:
     number = lambda c: c.try_cast("int")
     return F.try_make_timestamp(
         number(tok(0)), number(tok(1)), number(tok(2)), number(F.substring(hhmm, 1, 2)),
-        number(F.substring(hhmm, 3, 10)), F.lit(0).cast("decimal(8,6)"))
+        number(F.substring(hhmm, 3, 2**31 - 1)), F.lit(0).cast("decimal(8,6)"))
 
 
 def masked(token: Column, missing: Column) -> Column:

@@ -119,9 +119,9 @@ def read_snapshot(spark: SparkSession, pattern: str) -> DataFrame:
         need("protons.primary").alias("primary_sat"), need("protons.secondary").alias("secondary_sat"))
 
 
-def write_report(df: DataFrame, path: str, order: list[str], max_rows: int = 1_000_000) -> None:
-    """A report table as one sorted CSV file. Tables beyond ``max_rows`` keep their partitions."""
+def write_report(df: DataFrame, path: str, order: list[str], single_file: bool = False) -> None:
+    """A report table as sorted CSV: a file per range of the order, or a single one on request."""
     ordered = df.orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    if df.limit(max_rows + 1).count() <= max_rows:
+    if single_file:
         ordered = ordered.coalesce(1)
     ordered.write.mode("overwrite").option("header", True).csv(path)

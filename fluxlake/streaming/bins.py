@@ -1,7 +1,9 @@
 """Incremental forms of binning, deduplication and threshold alerts.
 
-Plain Structured Streaming: event-time watermarks bound the state, and every result equals what
-the batch operator gives for the same samples once their bins are closed.
+Results are upserted: every micro-batch writes the rows it changed under its number, and reading
+takes the newest version of a key, so a table read at any time equals what the batch operator gives
+for the samples that have arrived. Event-time watermarks bound the state of open bins; a sample
+that is later than the stated delay is dropped.
 """
 
 from __future__ import annotations
@@ -17,19 +19,19 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def sample_stream(spark: SparkSession, folder: str, glob: str, schema: T.StructType, time: str,
-                  series: str, value: str) -> DataFrame:
+                  series: str, value: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """``(time_utc, series, value)`` of arriving Parquet files; zone-less times become UTC."""
     raw = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
     v = F.col(value).cast("double")
     return raw.select(F.col(time).cast("timestamp").alias("time_utc"), F.col(series).alias("series"),
-                      F.nanvl(v, F.lit(None).cast("double")).alias("value"))
+                      F.nanvl(v, F.lit(None).cast("double")).alias("value"), *extra)
 
 
 def incremental_bins(samples: DataFrame, cadence_min: int, delay: str = "10 minutes",
                      min_count: int = 1, transform: str = "none") -> DataFrame:
-    """Bin means of arriving samples, emitted once a bin is older than the watermark.
+    """Bin means of arriving samples, written anew whenever a bin changes.
 
-    State is one (sum, count) per open bin and series, whatever the sample rate.
+    State is one (sum, count) per bin and series younger than ``delay``, whatever the sample rate.
     """
     check_cadence(cadence_min)
     agg = (samples.withWatermark("time_utc", delay)
@@ -40,30 +42,37 @@ def incremental_bins(samples: DataFrame, cadence_min: int, delay: str = "10 minu
                       stored_value(masked, transform).alias("value"))
 
 
-def without_repeats(samples: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Drop samples that overlapping snapshots deliver again, by (series, time)."""
-    return samples.withWatermark("time_utc", delay).dropDuplicatesWithinWatermark(
-        ["series", "time_utc"])
+def last_of_repeats(samples: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key of a batch: the one that arrived last. Needs no state."""
+    rest = [c for c in samples.columns if c not in keys]
+    last = samples.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return last.select(*keys, "_r.*")
 
 
 def alerts(bins: DataFrame, threshold: float) -> DataFrame:
-    """Closed bins at or above the threshold."""
+    """Bins at or above the threshold."""
     return bins.filter(F.col("value") >= F.lit(float(threshold)))
 
 
-def run_available(stream: DataFrame, name: str, out: str | None = None,
-                  checkpoint: str | None = None) -> DataFrame:
-    """Process everything that has arrived, append the results as Parquet and read them back.
+def run_available(stream: DataFrame, name: str, keys: list[str], order: list[str] | None = None,
+                  out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Process everything that has arrived and read the newest row of every key.
 
-    The Parquet sink with its checkpoint is exactly-once, so a lost executor or a restart with the
-    same folders neither repeats nor loses rows.
+    ``order`` ranks rows of a key inside a batch (last wins). A batch that is run again after a failure
+    overwrites its own folder, so nothing is repeated or lost.
     """
     spark = stream.sparkSession
     base = scratch_dir(spark, name)
     out, checkpoint = out or f"{base}/out", checkpoint or f"{base}/checkpoint"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    query = (stream.writeStream.format("parquet").outputMode("append")
-             .option("path", out).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        rows = last_of_repeats(batch, keys, order) if order else batch
+        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = (stream.writeStream.foreachBatch(upsert).outputMode("update")
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    fields = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    versions = spark.read.schema(fields).parquet(out)
+    return last_of_repeats(versions, keys, ["batch"]).select(*stream.columns)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxlake.functions.losses import loss
+from fluxlake.functions.losses import LOSSES
 from fluxlake.operators import forecast, series, spectral
 from fluxlake.operators.baselines import baseline_predictions
 
@@ -194,7 +194,7 @@ def test_autoregression_and_fallback(spark):
     for r in forecast.stat_predictions(constant, "ar", 5, 2, 60).collect():
         np.testing.assert_allclose(r.pred, [2.0, 2.0])
 
-    @forecast.register_stat("broken")
+    @forecast.STAT_MODELS.holding("broken")
     def _broken(histories, steps):
         out = np.repeat(histories[:, :1] * 0, steps, axis=1)
         out[0, 0] = np.nan
@@ -204,17 +204,81 @@ def test_autoregression_and_fallback(spark):
                       forecast.stat_predictions(bins(spark, range(9)).withColumn("fold", F.lit(0)), "broken", 4, 2, 60).collect())
         assert rows[0][1] == [3.0, 3.0] and rows[1][1] == [0.0, 0.0]
     finally:
-        forecast.STAT_MODELS.pop("broken")
-    with pytest.raises(ValueError):
+        forecast.STAT_MODELS._entries.pop("broken")
+    with pytest.raises(KeyError):
         forecast.stat_predictions(df, "nope", 4, 2, 60)
 
 
 def test_losses(spark):
     df = spark.createDataFrame([(0.0, 0.5), (3.0, 1.0), (-1.0, -2.0)], "p double, t double")
-    got = {n: df.agg(loss(n)(F.col("p"), F.col("t"))).first()[0] for n in ("mse", "mae", "huber", "weighted_mse")}
+    got = {n: df.agg(LOSSES[n](F.col("p"), F.col("t"))).first()[0] for n in ("mse", "mae", "huber", "weighted_mse")}
     assert got["mse"] == pytest.approx((0.25 + 4 + 1) / 3)
     assert got["mae"] == pytest.approx(3.5 / 3)
     assert got["huber"] == pytest.approx((0.125 + 1.5 + 0.5) / 3)
     assert got["weighted_mse"] == pytest.approx((1.5 * 0.25 + 2 * 4 + 1) / 3)
-    with pytest.raises(ValueError):
-        loss("nope")
+    with pytest.raises(KeyError):
+        LOSSES["nope"]
+
+
+def test_recurrences_over_many_slices(spark, monkeypatch):
+    """One hot series, cut into slices of 16: the same values as a loop over all of it."""
+    from fluxlake.operators import series
+
+    monkeypatch.setattr(series, "SLICE", 16)
+    rng = np.random.default_rng(3)
+    idx = np.sort(rng.choice(2000, 500, replace=False))
+    rows = [("hot", int(i), float(v)) for i, v in zip(idx, rng.normal(5, 1, 500))] + [("one", 31, 2.0), ("two", 15, 1.0), ("two", 16, 4.0)]
+    df = spark.createDataFrame(rows, "series string, bin_idx long, value double").repartition(4)
+
+    def by_loop(values, alpha, beta):
+        level, slope = values[0], (values[1] - values[0] if len(values) > 1 else 0.0)
+        ema, out = values[0], [(values[0], values[0])]
+        for x in values[1:]:
+            ema = alpha * x + (1 - alpha) * ema
+            moved = alpha * x + (1 - alpha) * (level + slope)
+            slope = beta * (moved - level) + (1 - beta) * slope
+            level = moved
+            out.append((ema, level))
+        return out
+
+    for name in ("hot", "one", "two"):
+        own = df.filter(F.col("series") == name)
+        values = [v for s, _, v in rows if s == name]
+        want = by_loop(values, 0.3, 0.2)
+        ema = [r.trend for r in series.ema(own, ["series"], 0.3).orderBy("bin_idx").collect()]
+        double = [r.trend for r in series.double_ema(own, ["series"], 0.3, 0.2).orderBy("bin_idx").collect()]
+        assert np.allclose(ema, [a for a, _ in want]) and np.allclose(double, [b for _, b in want])
+        smooth = [r.smooth for r in series.exp_smoothing(own, ["series"], 0.6, 5.0).orderBy("bin_idx").collect()]
+        state, expected = 5.0, []
+        for v in values:
+            state = 0.6 * state + 0.4 * v
+            expected.append(state)
+        assert np.allclose(smooth, expected)
+
+
+def test_spectrum_over_many_slices(spark, monkeypatch):
+    from fluxlake.operators import series, spectral
+
+    monkeypatch.setattr(series, "SLICE", 16)
+    monkeypatch.setattr(spectral, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 97, 120):
+        values = rng.normal(size=n)
+        df = spark.createDataFrame([("s", i + 100, float(v)) for i, v in enumerate(values)], "series string, bin_idx long, value double")
+        waves = spectral.spectrum(df.repartition(3), ["series"]).orderBy("frequency").collect()
+        want = np.fft.rfft(values)
+        assert np.allclose([w.re for w in waves], want.real) and np.allclose([w.im for w in waves], want.imag)
+    parts = spectral.season_trend(df, ["series"], 5).orderBy("bin_idx").collect()
+    amp = np.abs(want)
+    amp[0] = 0
+    season = np.fft.irfft(np.where(amp > np.sort(amp)[-5], want, 0), n=n)
+    assert np.allclose([p.season for p in parts], season)
+
+
+def test_autoregression_with_two_lags():
+    rng = np.random.default_rng(5)
+    x = np.cumsum(rng.normal(size=(1, 40)), axis=1)
+    design = np.column_stack([np.ones(38), x[0, 1:-1], x[0, :-2]])
+    c = np.linalg.lstsq(design, x[0, 2:], rcond=None)[0]
+    one = c @ [1, x[0, -1], x[0, -2]]
+    assert np.allclose(forecast.STAT_MODELS["ar"].fn(x, 2, lags=2), [[one, c @ [1, one, x[0, -1]]]])

@@ -4,9 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxlake.functions import regression, scores
-from fluxlake.functions.registry import (
-    event_columns, higher_is_better, metric_kind, regression_columns, select_metrics,
-)
+from fluxlake.functions.metrics import STANDARD
 
 COUNTS = "tp long, fp long, fn long, tn long"
 
@@ -57,10 +55,10 @@ def test_extra_scores(spark):
 def regress(spark, pred, true, name):
     df = spark.createDataFrame(list(zip(pred, true)), "p double, t double")
     m = regression.REGRESSION_METRICS[name]
-    if m.aggregate:
-        return df.agg(m.aggregate(F.col("p"), F.col("t"))).first()[0]
-    med = df.agg(F.median(m.median_of(F.col("p"), F.col("t"))).alias("m"))
-    return med.select(m.finish(F.col("m"))).first()[0]
+    p, t = F.col("p"), F.col("t")
+    if "median_of" not in m.facts:
+        return df.agg(m(p, t).alias("v")).first().v
+    return df.agg(F.median(m.facts["median_of"](p, t)).alias("d")).select(m(F.col("d")).alias("v")).first().v
 
 
 @pytest.mark.parametrize("name,value", [
@@ -79,14 +77,17 @@ def test_correlation(spark):
     assert regress(spark, [0.1] * 1003, [float(i) for i in range(1003)], "logr") is None
 
 
-def test_registry_rules():
-    with pytest.raises(ValueError):
-        scores.register_event_score("a_b")
-    with pytest.raises(ValueError):
-        regression.register_regression_metric("a_b")
+def test_metric_set_rules():
+    for shelf in (scores.EVENT_SCORES, regression.REGRESSION_METRICS):
+        with pytest.raises(ValueError):
+            shelf.plus("a_b", max)
     with pytest.raises(KeyError):
-        metric_kind("nope")
-    assert select_metrics(["rmse", "hss"]) == (["rmse"], ["hss"])
-    assert higher_is_better("tss_p_gt10") and not higher_is_better("rmse")
-    assert regression_columns()[-5:] == ["rmse", "mae", "msa", "sspb", "logr"]
-    assert event_columns()[-8:] == ["tss", "hss", "pod", "far", "csi", "f1", "seds", "sedi"]
+        STANDARD.chosen(["rmse", "nope"])
+    with pytest.raises(KeyError):
+        scores.EVENT_SCORES["nope"]
+    assert STANDARD.chosen(["rmse", "hss"]) == {"rmse", "hss"}
+    assert not STANDARD.ascends("tss_p_gt10") and STANDARD.ascends("rmse") and STANDARD.ascends("unknown")
+    assert STANDARD.regression_columns[-5:] == ["rmse", "mae", "msa", "sspb", "logr"]
+    assert STANDARD.event_columns[-8:] == ["tss", "hss", "pod", "far", "csi", "f1", "seds", "sedi"]
+    more = STANDARD.with_event("gss", lambda tp, fp, fn, tn: tp, larger_is_better=True)
+    assert more.event_columns[-1] == "gss" and not more.ascends("gss") and "gss" not in STANDARD.events

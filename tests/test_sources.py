@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from fluxlake.functions import labels
 from fluxlake.operators import board
 from fluxlake.operators.quality import checksum_mismatches, unmatched
-from fluxlake.session import build_session, broadcast_if_small, scratch_dir, small_table  # noqa: F401
+from fluxlake.session import build_session, scratch_dir  # noqa: F401
 from fluxlake.sources import archive, catalogue, observations, records
 
 HEAD_A = """:Product: test
@@ -142,13 +142,35 @@ def test_scan_is_pruned_and_filters_are_pushed(spark, tmp_path):
 
 
 def test_channel_specs():
-    assert observations.parse_channel_specs(["a:b.parquet:x"]) == [("a:b.parquet", "x")]
+    assert observations.ChannelSpec.parse("a:b.parquet:x") == ("a:b.parquet", "x")
     for bad in ("x", ":x", "x:"):
         with pytest.raises(ValueError):
-            observations.parse_channel_specs([bad])
-    assert observations.resolve_targets(["a", "b"], None) == ["a"]
+            observations.ChannelSpec.parse(bad)
+    assert observations.targets_among(["a", "b"]) == ["a"]
+    assert observations.targets_among(["a", "b"], ["b"]) == ["b"]
     with pytest.raises(ValueError):
-        observations.resolve_targets(["a"], ["z"])
+        observations.targets_among(["a"], ["z"])
+
+
+def test_bad_bytes_are_replaced(spark):
+    files = spark.createDataFrame([("p", bytearray(b"A\xffB"))], "path string, content binary")
+    from fluxlake.sources.archive import as_text
+    assert as_text(files).first().text == "A\ufffdB"
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere"
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        scratch_dir(Session(), "x")
 
 
 MANIFEST = T.StructType([T.StructField("local_path", T.StringType()), T.StructField("sha256", T.StringType()),
@@ -224,7 +246,7 @@ def test_predictions_and_records(spark, tmp_path):
     assert {r.granularity: r.tp for r in rows} == {"point": 1, "window": 2, "day": 1}
     old = rec.withColumn("format", F.lit(None).cast("int"))
     assert board.records_to_rows(old, "event", ["track"]).count() == 0 and board.n_foreign_records(old) == 1
-    records.write_report(ev.event, str(tmp_path / "csv"), ["model", "granularity"])
+    records.write_report(ev.event, str(tmp_path / "csv"), ["model", "granularity"], single_file=True)
     csv = [p for p in os.listdir(tmp_path / "csv") if p.endswith(".csv")]
     assert len(csv) == 1
     text = (tmp_path / "csv" / csv[0]).read_text().splitlines()
@@ -241,8 +263,9 @@ def test_labels(spark):
     assert rows[1].sat is None and rows[1].track is None and rows[1].len == "6-hour"
 
 
-def test_checked_broadcast(spark):
-    small, big = spark.range(10), spark.range(1000)
-    assert "ResolvedHint" in broadcast_if_small(small, 100)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in broadcast_if_small(big, 100)._jdf.queryExecution().analyzed().toString()
-    assert small_table(big, 100).count() == 1000
+def test_input_lengths_and_cells(spark):
+    df = spark.createDataFrame([(288, 0.5124, 15, 15), (7 * 288, 0.5, 14, 15), (1, None, 0, 15), (30, None, None, 15), (100_000, 1.0, 1, 1)],
+                               "l int, m double, k long, n long")
+    rows = df.select(labels.input_length("l").alias("i"), labels.score_cell("m", "k", "n").alias("c")).collect()
+    assert [r.i for r in rows] == ["1-day", "7-day", "0.0833333-hour", "2.5-hour", "8333.33-hour"]
+    assert [r.c for r in rows] == ["0.512", "0.500 (14/15)", "-- (0/15)", "--", "1.000"]

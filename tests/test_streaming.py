@@ -25,28 +25,31 @@ def test_restarted_stream_equals_batch(spark, tmp_path):
     second = [(m, "a", float(m)) for m in range(60, 200, 3)] + [(130, "b", float("nan"))]
     drop(spark, folder, "one", first)
     binned = lambda: stream.incremental_bins(open_stream(spark, folder), 5, "10 minutes")
-    stream.run_available(binned(), "t", out, ckpt)
+    key = ["series", "bin_ts"]
+    stream.run_available(binned(), "t", key, out=out, checkpoint=ckpt)
     drop(spark, folder, "two", second)
-    got = stream.run_available(binned(), "t", out, ckpt)
+    got = stream.run_available(binned(), "t", key, out=out, checkpoint=ckpt)
     rows = spark.createDataFrame([(T0 + timedelta(minutes=m), s, None if v != v else v) for m, s, v in first + second],
                                  "time_utc timestamp, series string, value double")
-    closed = F.col("bin_ts") + F.expr("INTERVAL 5 MINUTES") <= F.lit(T0 + timedelta(minutes=198 - 10))
-    want = bin_mean(rows, 5).filter(closed)
-    key = lambda df: sorted((r.series, r.bin_ts, r.n_samples, r.value) for r in df.collect())
-    assert key(got) == key(want)
+    want = bin_mean(rows, 5)
+    shown = lambda df: sorted((r.series, r.bin_ts, r.n_samples, r.value) for r in df.collect())
+    assert shown(got) == shown(want)
 
 
-def test_repeats_across_snapshots_are_dropped(spark, tmp_path):
+def test_of_repeats_across_snapshots_the_last_stays(spark, tmp_path):
     folder, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    keys = ["series", "time_utc"]
     drop(spark, folder, "one", [(m, "a", 1.0) for m in range(10)])
-    stream.run_available(stream.without_repeats(open_stream(spark, folder), "30 minutes"), "t", out, ckpt)
-    drop(spark, folder, "two", [(m, "a", 1.0) for m in range(5, 15)])
-    got = stream.run_available(stream.without_repeats(open_stream(spark, folder), "30 minutes"), "t", out, ckpt)
-    assert sorted(r.time_utc.minute for r in got.collect()) == list(range(15))
+    stream.run_available(open_stream(spark, folder), "t", keys, ["value"], out, ckpt)
+    drop(spark, folder, "two", [(m, "a", 2.0) for m in range(5, 15)] + [(14, "a", 3.0)])
+    got = stream.run_available(open_stream(spark, folder), "t", keys, ["value"], out, ckpt)
+    assert sorted((r.time_utc.minute, r.value) for r in got.collect()) == [
+        *((m, 1.0) for m in range(5)), *((m, 2.0) for m in range(5, 14)), (14, 3.0)]
 
 
 def test_alert_threshold_is_inclusive(spark, tmp_path):
     folder = str(tmp_path / "in")
     drop(spark, folder, "one", [(0, "a", 10.0), (5, "a", 9.9), (10, "a", 12.0), (60, "a", 0.0)])
-    got = stream.run_available(stream.alerts(stream.incremental_bins(open_stream(spark, folder), 5), 10.0), "t")
+    bins = stream.run_available(stream.incremental_bins(open_stream(spark, folder), 5), "t", ["series", "bin_ts"])
+    got = stream.alerts(bins, 10.0)
     assert sorted(r.value for r in got.collect()) == [10.0, 12.0]
