@@ -26,22 +26,22 @@ def parse_utc(text: str | Column) -> Column:
     return F.when(col.endswith("Z"), F.try_to_timestamp(col))
 
 
-def interval_ends(starts: DataFrame, final_end: Column, start: str = "start_ts") -> DataFrame:
-    """End of each interval = start of the next; the last end is given."""
+def interval_ends(starts: DataFrame, final_end: Column, start: str = "start_ts", by: tuple[str, ...] = ()) -> DataFrame:
+    """End of each interval = start of the next of its key; the last end is given."""
     return starts.withColumn(
-        "end_ts", F.coalesce(F.lead(start).over(Window.orderBy(start)), final_end))
+        "end_ts", F.coalesce(F.lead(start).over(Window.partitionBy(*by).orderBy(start)), final_end))
 
 
-def merge_equal(intervals: DataFrame, attrs: list[str]) -> DataFrame:
-    """Join up contiguous intervals with equal attributes."""
-    order = Window.orderBy("start_ts")
+def merge_equal(intervals: DataFrame, attrs: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Join up contiguous intervals of a key with equal attributes."""
+    order = Window.partitionBy(*by).orderBy("start_ts")
     same = F.lag("end_ts").over(order).eqNullSafe(F.col("start_ts"))
     for a in attrs:
         same = same & F.lag(a).over(order).eqNullSafe(F.col(a))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tagged = (intervals.withColumn("_new", F.when(same, 0).otherwise(1))
               .withColumn("_part", F.sum("_new").over(upto)))
-    return tagged.groupBy("_part", *attrs).agg(
+    return tagged.groupBy("_part", *by, *attrs).agg(
         F.min("start_ts").alias("start_ts"),
         F.max_by("end_ts", "start_ts").alias("end_ts")).drop("_part")
 
@@ -115,10 +115,11 @@ def to_intervals(table: DataFrame) -> DataFrame:
 
 
 def label_asof(samples: DataFrame, intervals: DataFrame, attrs: list[str],
-               time: str = "time_utc", slice_seconds: int = 86_400) -> DataFrame:
+               time: str = "time_utc", slice_seconds: int = 86_400, by: tuple[str, ...] = ()) -> DataFrame:
     """Backward as-of join: attributes of the latest interval that started at or before a sample.
 
-    Interval ends play no part, as in any as-of join. Each interval is listed under the time
+    With ``by``, samples only meet intervals of their own key, and intervals are ordered per key; without,
+    all intervals are one timeline (a designation table). Interval ends play no part, as in any as-of join. Each interval is listed under the time
     slices in which it is in force, and samples look up their own slice with an equi-join plus a
     range test. A short list of intervals is broadcast by its measured size; a longer one shuffles
     by slice, where AQE splits a hot slice.
@@ -126,8 +127,8 @@ def label_asof(samples: DataFrame, intervals: DataFrame, attrs: list[str],
     width = slice_seconds * 1_000_000
     sliced = samples.withColumn("_slice", time_slice(time, width))
     lo, hi = sliced.agg(F.min("_slice"), F.max("_slice")).first()
-    until = F.lead("start_ts").over(Window.orderBy("start_ts"))
-    spans = intervals.select("start_ts", until.alias("_until"), *attrs)
+    until = F.lead("start_ts").over(Window.partitionBy(*by).orderBy("start_ts"))
+    spans = intervals.select("start_ts", until.alias("_until"), *by, *attrs)
     first = F.greatest(time_slice("start_ts", width), F.lit(lo))
     last = F.least(F.coalesce(time_slice("_until", width), F.lit(hi)), F.lit(hi))
     in_force = (spans.withColumn("_first", first).withColumn("_last", last)
@@ -137,6 +138,8 @@ def label_asof(samples: DataFrame, intervals: DataFrame, attrs: list[str],
     side = in_force
     hit = (F.col(time) >= side["start_ts"]) & (side["_until"].isNull()
                                                | (F.col(time) < side["_until"]))
+    for key in by:
+        hit = hit & (sliced[key] == side[key])
     return (sliced.join(side, (sliced["_slice"] == side["_slice"]) & hit, "left")
             .select(*[sliced[c] for c in samples.columns], *[side[a] for a in attrs]))
 
@@ -157,6 +160,18 @@ def assign_roles(samples: DataFrame, intervals: DataFrame | None, time: str = "t
     return labelled.withColumn("role", role).drop("primary_sat", "secondary_sat")
 
 
+def relabel(grid_rows: DataFrame, intervals: DataFrame, era_start: str, eras: tuple[str, str],
+            time: str = "time_utc", series: str = "series", sat: str = "source_sat") -> DataFrame:
+    """Satellite, era and role of every grid row, those without a sample included.
+
+    A series of one satellite names it; the era changes at ``era_start``; roles come from the intervals.
+    """
+    named = F.nullif(F.regexp_extract(series, "^G([0-9]{1,2})$", 1), F.lit("")).cast("int")
+    labelled = grid_rows.withColumn(sat, F.coalesce(named, F.col(sat))).withColumn(
+        "era", F.when(F.col(time) < F.lit(era_start).cast("timestamp"), eras[0]).otherwise(eras[1]))
+    return assign_roles(labelled, intervals, time, series, sat)
+
+
 def overlapping_spans(spans: DataFrame, name: str, start: str, end: str,
                       slice_seconds: int) -> DataFrame:
     """Pairs of spans of different names that overlap, with the common stretch.

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 
 ACCURACY = 10_000
+STEPS = 1024
 
 
 def grouped_medians(df: DataFrame, keys: list[str], values: list[str],
@@ -40,12 +41,28 @@ def grouped_medians(df: DataFrame, keys: list[str], values: list[str],
             .select(*keys, "_i.*"))
     counted = (
         tall.filter(F.col("v") <= F.col("hi"))
-        .groupBy(*keys, "name", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
+        .groupBy(*keys, "name", "n", "lo", "hi", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
         .agg(F.count("*").alias("_c"))
     )
-    upto = Window.partitionBy(*keys, "name").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
+    # the bracket in equal steps of the value: sums per step find the one or two steps that hold the middle
+    # ranks, and only their values are ordered
+    width = F.col("hi") - F.col("lo")
+    step = F.when(F.col("v").isNull(), -1).when(width > 0, F.least(F.floor(
+        (F.col("v") - F.col("lo")) / width * STEPS), F.lit(STEPS - 1))).otherwise(0).cast("int")
+    stepped = counted.withColumn("_step", step)
+    along = Window.partitionBy(*keys, "name").orderBy("_step")
+    sums = (stepped.groupBy(*keys, "name", "n", "_step").agg(F.sum("_c").alias("_s"))
+            .withColumn("_before", F.sum("_s").over(along) - F.col("_s")))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    holds = lambda rank: (F.col("_before") <= rank) & (F.col("_before") + F.col("_s") > rank)
+    wanted = sums.filter(holds(low) | holds(high)).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("name").alias("_k_name"), F.col("_step").alias("_k_step"), "_before")
+    match = (F.col("name") == F.col("_k_name")) & (F.col("_step") == F.col("_k_step"))
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    upto = Window.partitionBy(*keys, "name", "_step").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("_end", F.sum("_c").over(upto))
+    ranked = stepped.join(wanted, match).withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
 
     def at(rank):
         inside = (F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank)

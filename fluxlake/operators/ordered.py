@@ -1,9 +1,10 @@
 """Order-dependent steps that never put a whole series into one task.
 
 A series may hold a large share of all rows, so a window over ``partitionBy(series)`` is only
-used on tables whose size per series is bounded by the time grid. For raw samples the time
-axis is cut into slices: rows are ordered inside ``(series, slice)``, one summary row per slice
-is carried to the following slice, and the two are joined on ``(series, slice)``.
+used on tables whose size per series is bounded by the time grid. Raw samples are cut into slices
+of their full order, tie-breaks included, so neither a hot series nor a hot instant stays in one
+slice: rows are ordered inside ``(series, slice)``, one summary row per slice is carried to the
+following slice, and the two are joined on ``(series, slice)``.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxlake.session import materialize
 
 SLICE_ROWS = 1_000_000
 MINUTE_US, DAY_US = 60_000_000, 86_400_000_000
@@ -32,6 +34,12 @@ def slice_width(df: DataFrame, keys: list[str], time: str, rows: int = SLICE_ROW
     return max(1, min(DAY_US, MINUTE_US * rows // densest))
 
 
+def range_slices(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with ``_slice``, non-decreasing in ``order``: ranges of about equal size, as many as the
+    session has shuffle partitions. Written once, since the numbers must not change between uses."""
+    return materialize(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "ordered")
+
+
 def keep_one(df: DataFrame, keys: list[str], order: list[str], keep: str = "last") -> DataFrame:
     """One row per key: the last (or first) in ``order``. ``order`` must be unique per key.
 
@@ -44,13 +52,13 @@ def keep_one(df: DataFrame, keys: list[str], order: list[str], keep: str = "last
     return picked.select(*keys, "_row.*").select(*df.columns)
 
 
-def previous_value(df: DataFrame, keys: list[str], order: str, value: str, slice_expr: Column,
-                   out: str) -> DataFrame:
+def previous_value(df: DataFrame, keys: list[str], order: str, value: str, slice_expr: Column | None = None,
+                   out: str = "previous") -> DataFrame:
     """Add ``value`` of the preceding row of the same key in ``order`` (NULL for the first).
 
-    ``slice_expr`` must be non-decreasing in ``order``.
+    ``slice_expr``, if given, must be non-decreasing in ``order``; else the slices are ranges.
     """
-    sliced = df.withColumn("_slice", slice_expr)
+    sliced = range_slices(df, [*keys, order]) if slice_expr is None else df.withColumn("_slice", slice_expr)
     carry_window = Window.partitionBy(*keys).orderBy("_slice")
     carried = (
         sliced.groupBy(*keys, "_slice").agg(F.max_by(value, order).alias("_last"))
@@ -69,21 +77,20 @@ def previous_value(df: DataFrame, keys: list[str], order: str, value: str, slice
 def previous_time(df: DataFrame, keys: list[str], time: str = "time_utc",
                   out: str = "prev_time", width_us: int | None = None) -> DataFrame:
     """The time of the preceding row of the same key."""
-    width = width_us or slice_width(df, keys, time)
-    return previous_value(df, keys, time, time, time_slice(time, width), out)
+    return previous_value(df, keys, time, time, time_slice(time, width_us) if width_us else None, out)
 
 
-def row_index(df: DataFrame, order: list[str], slice_expr: Column, keys: list[str] | None = None,
+def row_index(df: DataFrame, order: list[str], slice_expr: Column | None = None, keys: list[str] | None = None,
               out: str = "row_idx") -> DataFrame:
     """Zero-based position in the order given, per key (or over the whole table).
 
-    ``slice_expr`` must be non-decreasing in ``order``. Rows are numbered inside each slice and
-    shifted by the row counts of the earlier slices.
+    ``slice_expr``, if given, must be non-decreasing in ``order``; else the slices are ranges. Rows are
+    numbered inside each slice and shifted by the row counts of the earlier slices.
     """
     keys = keys or []
-    sliced = df.withColumn("_slice", slice_expr)
+    sliced = range_slices(df, [*keys, *order]) if slice_expr is None else df.withColumn("_slice", slice_expr)
     counts = sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
-    # one row per slice: small, so one ordered partition for a key-less table is fine
+    # one row per slice, as many as there are shuffle partitions: one ordered partition is fine
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
                .drop("_n"))

@@ -58,7 +58,7 @@ def masked_counts(df: DataFrame, rules: dict[str, FillRule], keys: list[str]) ->
 
 
 def cadence_report(df: DataFrame, keys: list[str], time: str, order: str,
-                   slice_expr: Column) -> DataFrame:
+                   slice_expr: Column | None = None) -> DataFrame:
     """Time-axis checks per key in file order: median step, gaps, monotony, coverage.
 
     Steps wider than 1.5 medians are gaps. The exact median comes from the two-pass sketch, so no

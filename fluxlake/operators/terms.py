@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxlake.operators.ordered import row_index, slice_width, time_slice
+from fluxlake.operators.ordered import row_index
 
 SPLIT_TYPES = ("year", "year_half")
 
@@ -92,16 +92,14 @@ def split_frames(obs: DataFrame, **kwargs) -> dict[str, DataFrame]:
 
 
 def ratio_split(obs: DataFrame, seq_len: int, pred_len: int, train_ratio: float, val_ratio: float,
-                order: list[str], time: str = "time_utc",
-                width_us: int | None = None) -> DataFrame:
+                order: list[str], time: str = "time_utc") -> DataFrame:
     """Dense windows over the row order (no gap rule) with a train/val/test split by position.
 
     One output row per window: ``window_idx``, the forecast start time and the split. The row
     order is built slice by slice; only the forecast row of each window is kept, so nothing is
     joined back and no window is materialised.
     """
-    width = width_us or slice_width(obs, [], time)
-    numbered = row_index(obs, order, time_slice(time, width))
+    numbered = row_index(obs, order)
     span = seq_len + pred_len
     n = obs.count()
     if n < span:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxlake.operators.ordered import row_index, slice_width, time_slice
+from fluxlake.operators.ordered import row_index
 
 GROUP = ["series", "term"]
 
@@ -105,15 +105,13 @@ def window_arrays(valid_bins: DataFrame, seq_len: int, pred_len: int,
 
 
 def dense_windows(obs: DataFrame, seq_len: int, pred_len: int, order: list[str],
-                  keys: list[str] | None = None, time: str = "time_utc",
-                  width_us: int | None = None) -> DataFrame:
+                  keys: list[str] | None = None, time: str = "time_utc") -> DataFrame:
     """Windows over the row order of each key, without a gap rule: one row per window.
 
     The row kept is the first forecast row of its window; keys with too few rows have no window.
     """
     keys = keys or ["term"]
-    width = width_us or slice_width(obs, keys, time)
-    numbered = row_index(obs, order, time_slice(time, width), keys)
+    numbered = row_index(obs, order, keys=keys)
     sizes = obs.groupBy(*keys).agg(F.count("*").alias("_size"))
     return (
         numbered.join(sizes, keys)

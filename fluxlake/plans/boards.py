@@ -40,8 +40,10 @@ def _evt(spark: SparkSession, d: str, metrics=("hss", "tss")) -> DataFrame:
 
 def leaderboard(spark: SparkSession, d: str) -> DataFrame:
     m = _masters(spark, d, ["rmse", "mae", "hss", "tss"])
-    reg = board.cell_means(m.regression, ["rmse", "mae"], EXCLUDE)
-    day = m.event.filter(F.col("granularity") == board.BOARD_UNIT)
+    # the master tables are stored once, as boards are built from stored masters
+    regression, events = materialize(m.regression, "regression-master"), materialize(m.event, "event-master")
+    reg = board.cell_means(regression, ["rmse", "mae"], EXCLUDE)
+    day = events.filter(F.col("granularity") == board.BOARD_UNIT)
     evt = board.cell_means(day, ["hss", "tss"], EXCLUDE).withColumnRenamed("n_rows", "n_day_rows")
     keys = ["track", "pred_len", "channel", "model"]
     cells = reg.join(evt, keys, "full_outer")

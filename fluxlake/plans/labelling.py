@@ -19,6 +19,7 @@ from fluxlake.sources import archive, catalogue
 SERIES = {"view": ("Gp", 16), "click": ("Gs", 17), "error": ("G8", 8), "purchase": ("G9", 9),
           "signup": ("G10", 10)}
 LEAD_SHARE = 1.25
+ERA_START = "2024-01-15"
 
 
 def _mapped(col: str, values: dict) -> F.Column:
@@ -58,6 +59,25 @@ def asof_roles(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "series", "source_sat", "role")
 
 
+def asof_by_series(spark: SparkSession, d: str) -> DataFrame:
+    """As-of join with a key: the last started hour of the sample's own series, from as many hours as there are."""
+    obs = event_obs(spark, d)
+    hours = grid.bin_mean(obs, 60).select("series", F.col("bin_ts").alias("start_ts"), F.col("n_samples").alias("hour_n"))
+    late = obs.withColumn("time_utc", F.col("time_utc") + F.expr("INTERVAL 90 MINUTES"))
+    out = intervals.label_asof(late.select("event_id", "series", "time_utc"), hours, ["start_ts", "hour_n"], by=("series",))
+    return out.select("event_id", "series", stamp("start_ts").alias("hour_start"), "hour_n")
+
+
+def regrid_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Regular grid whose fill rows carry satellite, era and role like the samples."""
+    samples = _samples(spark, d)
+    cell = F.timestamp_micros(F.floor(F.unix_micros("time_utc") / 300_000_000) * 300_000_000)
+    five = samples.groupBy("series", cell.alias("time_utc")).agg(F.max("source_sat").alias("source_sat"), F.count("*").alias("n"))
+    filled = intervals.relabel(grid.regrid(five, 5, ["n"], gap_min=20), _merged_intervals(samples), ERA_START, ("before", "after"))
+    return filled.select("series", "segment", stamp("time_utc").alias("time_utc"), F.coalesce("n", F.lit(0)).alias("n"),
+                         F.coalesce("source_sat", F.lit(-1)).alias("source_sat"), "era", "role")
+
+
 def undesignated_roles(spark: SparkSession, d: str) -> DataFrame:
     out = intervals.assign_roles(_samples(spark, d), None)
     return quality.rows_by(out, ["series", "role"])
@@ -267,8 +287,7 @@ def qc_fill_mask(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qc_cadence(spark: SparkSession, d: str) -> DataFrame:
-    blocks = F.floor(F.col("event_id") / 100_000).cast("long")
-    out = quality.cadence_report(event_obs(spark, d), ["series"], "time_utc", "event_id", blocks)
+    out = quality.cadence_report(event_obs(spark, d), ["series"], "time_utc", "event_id")
     return rounded(out.withColumn("monotonic", F.col("monotonic").cast("int")),
                    ["cadence_s", "max_gap_s", "coverage"])
 
@@ -347,6 +366,20 @@ _NOISE = "CASE WHEN n = 1 OR n = 2 OR n >= 5 OR round_even(value*100, 0) = 0 THE
 QUERIES = {
     "asof_roles": (asof_roles, (
         f"WITH {ROLES_SQL} SELECT id AS event_id, series, sat AS source_sat, role FROM roled")),
+    "asof_by_series": (asof_by_series, (
+        f"WITH h AS (SELECT series, {bin_start('idx', 60)} AS a, n FROM ({bins_sql(EVENT_OBS, 60)})), "
+        f"e AS (SELECT id, series, t + INTERVAL 90 MINUTE AS t FROM ({EVENT_OBS})) "
+        f"SELECT id AS event_id, e.series, {ts('a', 'hour_start')}, n AS hour_n FROM e ASOF LEFT JOIN h ON e.series = h.series AND e.t >= h.a")),
+    "regrid_labels": (regrid_labels, (
+        f"WITH {LEADERS_SQL}, five AS (SELECT series, make_timestamp(CAST(floor(epoch_us(t) / 300000000) AS BIGINT) * 300000000) AS t, "
+        "max(sat) AS sat, count(*) AS n FROM smp GROUP BY 1, 2), st AS (SELECT *, lag(t) OVER (PARTITION BY series ORDER BY t) AS pt FROM five), "
+        "sg AS (SELECT *, sum(CASE WHEN t - pt > INTERVAL 20 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY t) AS segment FROM st), "
+        "segs AS (SELECT series, CAST(segment AS BIGINT) AS segment, min(t) AS a, max(t) AS b FROM sg GROUP BY 1, 2), "
+        "g AS (SELECT series, segment, unnest(generate_series(a, b, INTERVAL 5 MINUTE)) AS t FROM segs), "
+        "rg AS (SELECT g.*, n, coalesce(TRY_CAST(g.series[2:] AS INTEGER), sat) AS sat FROM g LEFT JOIN five USING (series, t)) "
+        f"SELECT series, segment, {ts('rg.t', 'time_utc')}, coalesce(n, 0) AS n, coalesce(sat, -1) AS source_sat, CASE WHEN rg.t < TIMESTAMP '{ERA_START}' THEN 'before' ELSE 'after' END AS era, "
+        "CASE WHEN series = 'Gp' THEN 'primary' WHEN series = 'Gs' THEN 'secondary' WHEN sat = p THEN 'primary' WHEN sat = s THEN 'secondary' "
+        "ELSE 'other' END AS role FROM rg ASOF LEFT JOIN lead ON rg.t >= lead.a")),
     "undesignated_roles": (undesignated_roles, (
         f"WITH {SAMPLES_SQL} SELECT series, CASE series WHEN 'Gp' THEN 'primary' WHEN 'Gs' THEN 'secondary' "
         "ELSE 'undesignated' END AS role, count(*) AS n_rows FROM smp GROUP BY 1, 2")),

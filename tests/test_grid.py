@@ -144,7 +144,7 @@ def test_folds_partition_terms_and_test_each_once(spark):
 
 def test_ratio_split(spark):
     data = obs(spark, range(0, 200, 2)).withColumn("id", F.monotonically_increasing_id())
-    out = terms.ratio_split(data, 4, 2, 0.7, 0.1, ["time_utc"], width_us=600_000_000)
+    out = terms.ratio_split(data, 4, 2, 0.7, 0.1, ["time_utc"])
     rows = out.orderBy("window_idx").collect()
     n = 100 - 6 + 1
     assert [r.window_idx for r in rows] == list(range(n))

@@ -56,3 +56,41 @@ def test_bins_and_segments_collapse_before_the_shuffle(hot):
     assert segs.filter("series = 'hot'").count() == 1
     plan = segs._jdf.queryExecution().executedPlan().toString()
     assert "partial_min" in plan
+
+
+def test_one_hot_instant_is_cut_by_the_tie_break(spark):
+    """All rows at one time: slices follow the whole order, so none holds more than its share.
+
+    Partitions this small would be put together again; here they stay apart.
+    """
+    from fluxlake.operators.ordered import range_slices, row_index
+
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    hot = spark.range(8000).select(F.lit("hot").alias("series"), F.timestamp_seconds(F.lit(0)).alias("time_utc"),
+                                   ((F.col("id") * 7919) % 8000).alias("id"))
+    sizes = [r["count"] for r in range_slices(hot, ["series", "time_utc", "id"]).groupBy("_slice").count().collect()]
+    spark.conf.unset(name)
+    assert max(sizes) < 8000 * 0.6 and sum(sizes) == 8000
+    rows = row_index(hot, ["time_utc", "id"], keys=["series"]).filter("row_idx != id").count()
+    assert rows == 0
+
+
+def test_medians_of_one_large_group_and_of_few_values(spark):
+    """The bracket is cut into steps: exact for spread values, for two values and for ties at the middle."""
+    from fluxlake.operators.median import grouped_medians
+
+    rows = spark.range(20_001).select(
+        F.when(F.col("id") < 20_000, "big").otherwise("one").alias("k"),
+        ((F.col("id") * 7919) % 20_000 / 7.0).alias("spread"), (F.col("id") % 2).cast("double").alias("two"),
+        F.when(F.col("id") % 3 == 0, F.col("id") / 1e6).otherwise(0.5).alias("tied"))
+    got = {r.k: r for r in grouped_medians(rows, ["k"], ["spread", "two", "tied"]).collect()}
+    want = {r.k: r for r in rows.groupBy("k").agg(*[F.median(c).alias(c) for c in ("spread", "two", "tied")]).collect()}
+    assert got == want
+
+
+def test_keyed_asof_join_has_no_unpartitioned_window(spark):
+    from fluxlake.plans.labelling import asof_by_series
+
+    plan = asof_by_series(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "CartesianProduct" not in plan
