@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+MAX_PAIRS = 5000
+
 
 def paired(rows: DataFrame, cell: list[str], metric: str, champion: str) -> DataFrame:
     """Champion and rival values on the same cell: ``cell, rival, champion_value, rival_value``."""
@@ -37,7 +39,8 @@ def signed_rank(pairs: DataFrame, higher_better: bool = True) -> DataFrame:
     """One-sided exact signed-rank test per rival that the champion is better.
 
     Zero differences are dropped and tied sizes share their mean rank. A rival has one pair per
-    benchmark cell, so its ranks fit in one row.
+    benchmark cell; the exact distribution grows with the square of their number, so more than
+    MAX_PAIRS are refused.
     """
     d = F.col("champion_value") - F.col("rival_value")
     diffs = pairs.withColumn("d", d if higher_better else -d)
@@ -45,7 +48,9 @@ def signed_rank(pairs: DataFrame, higher_better: bool = True) -> DataFrame:
     size = F.abs(F.col("d"))
     order = Window.partitionBy("rival").orderBy("_size")
     same = Window.partitionBy("rival", "_size")
-    ranked = (diffs.filter(F.col("d") != 0).withColumn("_size", size)
+    sizes = diffs.filter(F.col("d") != 0).groupBy("rival").agg(F.count("*").alias("_pairs"))
+    checked = F.when(F.col("_pairs") > MAX_PAIRS, F.raise_error(F.lit("too many pairs for the exact test"))).otherwise(F.col("d"))
+    ranked = (diffs.filter(F.col("d") != 0).join(sizes, "rival").withColumn("d", checked).withColumn("_size", size)
               .withColumn("_rank2", 2 * F.rank().over(order) + F.count("*").over(same) - 1))
     tests = ranked.groupBy("rival").agg(
         F.count("*").alias("n"),
