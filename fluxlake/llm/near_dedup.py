@@ -10,9 +10,10 @@ sets at similarity 0.75 meet in no band with probability 2.3e-6.
    the threshold go; the others are confirmed by the intersection of the full sets.
 2. Confirmed links are closed into components by alternating stars.
 3. Buckets whose classes beside the smallest still lie in several components are compared in blocks of 256 classes against blocks,
-   inside a task, on the minima; only pairs across components that pass are confirmed as in 1.
-   Nothing is capped: a large bucket has more pairs of blocks, not a larger one.
-   Components are closed again over all links.
+   inside a task, on the minima; pairs across components that pass are confirmed as in 1. Blocks in
+   which very many pass are compared on the full sets instead, in a task again, and give a forest of
+   links. Nothing is capped: a large bucket has more pairs of blocks, not a larger one, and no step
+   gives out the pairs of a group. Components are closed again over all links.
 
 Cases: fewer than five words make one shingle of the whole sequence; texts without words and null
 texts have an empty set and no link. Rows that repeat a doc_id are one document, with all their
@@ -40,6 +41,7 @@ PERCENT = 75
 BANDS = 48
 ROWS = 5
 BLOCK = 256
+CROWDED = 4
 SEED = 20240229
 NO_ID = 2**63 - 1
 # five standard errors of the estimate at the threshold
@@ -110,22 +112,57 @@ def _agreement(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def _block_pairs(group: pd.DataFrame, least: float, percent: int) -> pd.DataFrame:
-    """Pairs of one block pair of a bucket that lie in different components and may reach the threshold."""
+    """Pairs of two blocks of a bucket in different components whose minima allow the threshold.
+
+    Where they outnumber the classes by more than CROWDED, one row names the blocks instead.
+    """
     low = np.stack([np.frombuffer(x, np.uint16) for x in group["low"]])
     node, comp = group["node"].to_numpy(), group["comp"].to_numpy()
     n, at = group["n_shingles"].to_numpy(), group["block"].to_numpy()
     first, second = np.flatnonzero(at == at.min()), np.flatnonzero(at == at.max())
-    u, v = [], []
+    u, v, found = [], [], 0
     for i in first:
         j = second[(comp[second] != comp[i]) & (100 * np.minimum(n[second], n[i]) >= percent * np.maximum(n[second], n[i]))]
         if at.min() == at.max():
             j = j[j > i]
-        if len(j):
-            j = j[(low[j] == low[i]).mean(axis=1) >= least]
-            u.append(np.full(len(j), node[i]))
-            v.append(node[j])
-    return pd.DataFrame({"u": np.concatenate(u) if u else np.empty(0, np.int64),
-                         "v": np.concatenate(v) if v else np.empty(0, np.int64)})
+        j = j[(low[j] == low[i]).mean(axis=1) >= least] if len(j) else j
+        found += len(j)
+        if found > CROWDED * len(group):
+            u, v = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+            break
+        u.append(np.full(len(j), node[i]))
+        v.append(node[j])
+    return pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v)}, dtype=np.int64).assign(
+        crowded=found > CROWDED * len(group), **{c: group[c].iloc[0] for c in ("bucket", "b1", "b2")})
+
+
+def _block_links(group: pd.DataFrame, percent: int, columns: int = 4096) -> pd.DataFrame:
+    """A forest of confirmed links between the components in two blocks, from the full sets."""
+    sets = [np.asarray(x) for x in group["shingles"]]
+    size = np.array([len(x) for x in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, column[-1] + 1, columns):
+        part = slice(*np.searchsorted(column, (low, low + columns)))
+        there = np.zeros((len(sets), columns), np.float32)
+        there[owner[part], column[part] - low] = 1
+        both += there @ there.T
+    comp, node = group["comp"].to_numpy(), group["node"].to_numpy()
+    close = np.triu(100 * both >= percent * (size[:, None] + size[None, :] - both), 1)
+    links, root = [], {}
+    for i, j in np.argwhere(close & (comp[:, None] != comp[None, :])):
+        a, b = comp[i], comp[j]
+        while a in root:
+            a = root[a]
+        while b in root:
+            b = root[b]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            links.append((node[i], node[j]))
+    return pd.DataFrame(links, columns=["u", "v"], dtype=np.int64)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,15 +222,22 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, row
     blocked = known.join(mixed, F.col("bucket") == F.col("key")).select(
         "bucket", "node", "comp", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).alias("block"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
-    faced = (blocked.withColumn("other", other)
-             .select("bucket", "node", "comp", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-             .join(lows, "node"))
+    faced = blocked.withColumn("other", other).select(
+        "bucket", "node", "comp", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
+    place = ["bucket", "b1", "b2"]
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         return _block_pairs(group, least, percent)
 
-    more = faced.groupBy("bucket", "b1", "b2").applyInPandas(compare, "u long, v long").distinct()
-    more = materialize(_confirmed(more, sets, percent), "links")
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        return _block_links(group, percent)
+
+    found = materialize(faced.join(lows, "node").groupBy(*place).applyInPandas(
+        compare, "u long, v long, crowded boolean, bucket long, b1 long, b2 long"), "pairs")
+    more = _confirmed(found.filter("NOT crowded").select("u", "v").distinct(), sets, percent)
+    crowds = found.filter("crowded").select(*place).distinct()
+    dense = faced.join(crowds, place, "left_semi").join(sets, "node").groupBy(*place).applyInPandas(link, "u long, v long")
+    more = materialize(more.unionAll(dense.distinct()), "links")
     final = components(links.unionAll(more)) if not more.isEmpty() else closed
 
     named = member.select("doc_id", F.col("node").alias("class_id")).distinct()
