@@ -300,7 +300,7 @@ _DIFF = f"""{_M}, df AS (SELECT p.track, p.seq_len, p.pred_len, p.fold, p.model,
     FROM evt p LEFT JOIN (SELECT * FROM evt WHERE granularity <> 'day' OR model <> 'repeat') q
     USING (track, seq_len, pred_len, fold, model, channel, granularity))"""
 _GRID = f"""grid AS (SELECT track, CAST(seq_len AS INTEGER) AS seq_len, CAST(pred_len AS INTEGER) AS pred_len,
-    CAST(fold AS INTEGER) AS fold, 'direct' AS strategy, model FROM (VALUES ('uni_a'), ('uni_b'), ('multi')) t(track),
+    CAST(fold AS INTEGER) AS fold, 'direct' AS strategy, model FROM (VALUES ('uni_a'), ('uni_b'), ('uni_c'), ('multi')) t(track),
     (VALUES (3), (5), (9)) s(seq_len), (VALUES (2), (3)) p(pred_len), (SELECT unnest(range({N_FOLD})) AS fold),
     (VALUES ('persistence'), ('repeat'), ('level')) m(model) WHERE {_EXC})"""
 
