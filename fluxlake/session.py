@@ -31,6 +31,7 @@ def build_session(app: str = "fluxlake", master: str | None = None, **conf: str)
 
 
 _shipped: set[str] = set()
+_scratch: list[str] = []
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -69,7 +70,18 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return os.path.join(base, f"fluxlake-{name}-{uuid.uuid4().hex}")
+    path = os.path.join(base, f"fluxlake-{name}-{uuid.uuid4().hex}")
+    _scratch.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables made so far, once no result that reads them is needed."""
+    dropped = 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        dropped += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return dropped
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

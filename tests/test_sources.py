@@ -269,3 +269,12 @@ def test_input_lengths_and_cells(spark):
     rows = df.select(labels.input_length("l").alias("i"), labels.score_cell("m", "k", "n").alias("c")).collect()
     assert [r.i for r in rows] == ["1-day", "7-day", "0.0833333-hour", "2.5-hour", "8333.33-hour"]
     assert [r.c for r in rows] == ["0.512", "0.500 (14/15)", "-- (0/15)", "--", "1.000"]
+
+
+def test_intermediate_tables_are_deleted_on_request(spark):
+    from fluxlake.session import drop_scratch, materialize
+
+    table = materialize(spark.range(5).toDF("id"), "gone")
+    path = table.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    assert drop_scratch(spark) >= 1 and not os.path.exists(path)
