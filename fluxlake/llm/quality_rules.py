@@ -4,8 +4,9 @@ Every statistic is a built-in expression over the whole text, every rule a row (
 highest) of a table, and a document is kept when all rules hold. No user function runs and nothing
 is shuffled.
 
-Repeated windows: the three-word windows of a text are sorted with their positions, so equal windows
-are neighbours; the words they cover are counted from the positions. The sort is per document.
+Repeated windows: where the three-word windows of a text aren't all distinct, they are sorted with
+their positions, so equal windows are neighbours; the words they cover are counted from the
+positions. The sort is per document.
 
 Cases: null text has no words; a text without words fails the base rule. Ratios over zero are 0. Rows
 that repeat give repeated results. Other columns are ignored, whatever their names.
@@ -44,8 +45,8 @@ RULES = (
     Rule("mean_word_chars", 2.0, 15.0),
     Rule("symbol_ratio", 0.0, 0.1),       # symbols per word
     Rule("shout_ratio", 0.0, 0.3),        # exclamation marks per word
-    Rule("capital_ratio", 0.0, 0.5),      # A-Z among A-Z and a-z
-    Rule("stop_ratio", 0.04, 1.0),        # stop words of the best language per word
+    Rule("capital_ratio", 0.0, 0.5),      # A-Z per character in words
+    Rule("stop_ratio", 0.08, 1.0),        # share of the best language's stop words that occur
     Rule("dup_line_ratio", 0.0, 0.3),     # repeated lines per line with a word
     Rule("open_line_ratio", 0.0, 0.3),    # lines ending in an ellipsis
     Rule("bullet_line_ratio", 0.0, 0.9),  # lines starting with a bullet
@@ -59,13 +60,8 @@ def _ratio(part: str | Column, whole: str | Column) -> Column:
 
 
 def _count_of(text: str, chars: str) -> Column:
-    """Characters of ``text`` among ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
-def _hits(words: str, listed: list[str]) -> Column:
-    """Words that are in the list, in any case."""
-    return F.size(F.filter(words, lambda w: F.lower(w).isin(listed)))
+    """Characters of ``text`` in a class of a regular expression."""
+    return F.regexp_count(text, F.lit(f"[{chars}]"))
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
@@ -77,12 +73,14 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     split = split.select(
         "doc_id", "body", "words", F.size("words").cast("long").alias("n_words"),
         F.filter("all_lines", lambda line: F.length(F.trim(line, F.lit(SPACES))) > 0).alias("lines"))
-    # windows sorted with their positions: struct(window, position), window as array of three words
-    windows = F.when(F.col("n_words") >= 3, F.array_sort(F.transform(
+    windows = F.when(F.col("n_words") >= 3, F.transform(
         F.slice("words", 1, F.col("n_words").cast("int") - 2),
-        lambda w, i: F.struct(
-            F.concat_ws(" ", w, F.get("words", i + 1), F.get("words", i + 2)).alias("w"), i.alias("i")))))
-    ordered = split.withColumn("ordered", windows)
+        lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1), F.get("words", i + 2))))
+    cut = split.withColumn("windows", windows)
+    # only where a window repeats: windows sorted with their positions, so that equal ones are neighbours
+    repeated = F.size(F.array_distinct("windows")) < F.size("windows")
+    ordered = cut.withColumn("ordered", F.when(repeated, F.sort_array(
+        F.transform("windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))))
     at = F.expr(
         "filter(ordered, (x, k) -> (k > 0 AND get(ordered, k - 1).w = x.w) "
         "OR (k + 1 < size(ordered) AND get(ordered, k + 1).w = x.w))")
@@ -91,7 +89,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         "repeats", lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
     return covered.select(
         "doc_id", "body", "words", "lines", "n_words",
-        F.length(F.translate("body", SPACES, "")).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         _count_of("body", SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("repeats").isNull(), 0).otherwise(words_in).cast("long").alias("n_repeat_words"))
@@ -100,20 +98,18 @@ def base_statistics(docs: DataFrame) -> DataFrame:
 def ratios(stats: DataFrame) -> DataFrame:
     """The statistics that the threshold table names."""
     n_lines = F.size("lines")
-    stops = [_hits("words", words) for words in STOP_WORDS.values()]
-    upper = F.length("body") - F.length(F.translate("body", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    lower = F.length("body") - F.length(F.translate("body", "abcdefghijklmnopqrstuvwxyz", ""))
+    stops = [F.size(F.array_intersect("own_words", F.array(*map(F.lit, listed)))) / len(listed)
+             for listed in STOP_WORDS.values()]
     open_lines = F.size(F.filter("lines", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…")))
     bullets = F.size(F.filter("lines", lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•", "‣")))
     return stats.withColumns({
-        "upper": upper, "lower": lower, "stops": reduce(F.greatest, stops),
-        "open_lines": open_lines, "bullets": bullets,
+        "own_words": F.array_distinct("words"), "open_lines": open_lines, "bullets": bullets,
     }).withColumns({
         "mean_word_chars": _ratio("word_chars", "n_words"),
         "symbol_ratio": _ratio("n_symbols", "n_words"),
         "shout_ratio": _ratio(_count_of("body", "!"), "n_words"),
-        "capital_ratio": _ratio("upper", F.col("upper") + F.col("lower")),
-        "stop_ratio": _ratio("stops", "n_words"),
+        "capital_ratio": _ratio(_count_of("body", "A-Z"), "word_chars"),
+        "stop_ratio": reduce(F.greatest, stops),
         "dup_line_ratio": _ratio("n_dup_lines", n_lines),
         "open_line_ratio": _ratio("open_lines", n_lines),
         "bullet_line_ratio": _ratio("bullets", n_lines),

@@ -19,19 +19,19 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(p) AS text_
 
 def _rules() -> str:
     def count_of(chars: str) -> str:
-        return f"(length(t) - length(translate(t, '{chars}', '')))"
+        return f"len(regexp_extract_all(t, '[{chars}]'))"
 
     def ratio(part: str, whole: str) -> str:
         return f"CASE WHEN {whole} > 0 THEN ({part}) / CAST({whole} AS DOUBLE) ELSE 0.0 END"
 
     stops = ", ".join(
-        "len([w FOR w IN words IF lower(w) IN ({})])".format(", ".join(f"'{w}'" for w in listed))
+        "len(list_intersect(list_distinct(words), [{}])) / CAST({} AS DOUBLE)".format(
+            ", ".join(f"'{w}'" for w in listed), len(listed))
         for listed in quality_rules.STOP_WORDS.values())
-    upper, lower = count_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count_of("abcdefghijklmnopqrstuvwxyz")
     stats = {
         "mean_word_chars": ratio("word_chars", "n_words"), "symbol_ratio": ratio("n_symbols", "n_words"),
-        "shout_ratio": ratio(count_of("!"), "n_words"), "capital_ratio": ratio(upper, f"({upper} + {lower})"),
-        "stop_ratio": ratio(f"greatest({stops})", "n_words"), "dup_line_ratio": ratio("n_dup_lines", "len(lines)"),
+        "shout_ratio": ratio(count_of("!"), "n_words"), "capital_ratio": ratio(count_of("A-Z"), "word_chars"),
+        "stop_ratio": f"greatest({stops})", "dup_line_ratio": ratio("n_dup_lines", "len(lines)"),
         "open_line_ratio": ratio(
             "len([x FOR x IN lines IF ends_with(rtrim(x, ' '), '...') OR ends_with(rtrim(x, ' '), '…')])", "len(lines)"),
         "bullet_line_ratio": ratio(
