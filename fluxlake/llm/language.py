@@ -125,11 +125,14 @@ def fit(docs: DataFrame, length: int = LENGTH, sample: int = SAMPLE) -> Profiles
     known = docs.filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", FOLDS) != HELD_OUT)
     ).select("doc_id", "text", "lang")
-    # the share of each language that leaves about ``sample`` texts, drawn by a hash of the id
-    shares = known.groupBy("lang").count().select(
-        F.col("lang").alias("known_lang"), F.least(F.lit(sample) / F.col("count"), F.lit(1.0)).alias("share"))
+    # the share of each language that leaves about ``sample`` texts, drawn by a hash of the id; one number
+    # per language, as the profiles themselves are
+    shares = {r["lang"]: min(1.0, sample / r["count"]) for r in known.groupBy("lang").count().collect()}
+    if not shares:
+        return Profiles([], np.empty(0, np.int64), np.empty((0, 0), np.int64), length)
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
-    drawn = known.join(shares, F.col("lang") == F.col("known_lang")).filter(draw < F.col("share"))
+    drawn = known.filter(draw < share)
     counts = drawn.select("lang", "text").mapInPandas(_counted, "lang string, code long, n long")
     summed = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
