@@ -49,7 +49,7 @@ def _byte_classes() -> np.ndarray:
 
 CLASSES = _byte_classes()
 PLACES = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64)
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 FEATURES = ("length", "word_length", "upper", "digit", "stop", "shout", "symbol", "bar", "punct", "lines", "letters", "repeats")
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # piece types
 UNIGRAM, BPE = 1, 2  # model types
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 REMEMBERED_CHARS = 64
 THREADS = 2
 
@@ -222,7 +222,12 @@ def parity(texts: list[str], path: str) -> list[str]:
             if a.tolist() != b or c != judge.decode(b)]
 
 
-def _groups(texts: list[str], chars: int) -> Iterator[list[str]]:
+def _texts(column: pa.Array, rows: int = 200) -> Iterator[str]:
+    for low in range(0, len(column), rows):
+        yield from (t or "" for t in column.slice(low, rows).to_pylist())
+
+
+def _groups(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
     group, size = [], 0
     for text in texts:
         if group and size + len(text) > chars:
@@ -234,7 +239,7 @@ def _groups(texts: list[str], chars: int) -> Iterator[list[str]]:
         yield group
 
 
-def encoded(docs: DataFrame, path: str, group_chars: int = 1 << 20) -> DataFrame:
+def encoded(docs: DataFrame, path: str, group_chars: int = 1 << 18) -> DataFrame:
     """One row per document: doc_id, ids, n_tokens, round_trip (decoding gives the normalised text).
 
     ``path`` is a model file that every worker has installed.
@@ -242,9 +247,9 @@ def encoded(docs: DataFrame, path: str, group_chars: int = 1 << 20) -> DataFrame
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             low = 0
-            for group in _groups(texts, group_chars):
+            # a slice of the batch at a time becomes Python strings
+            for group in _groups(_texts(batch.column("text")), group_chars):
                 ids = own.encode(group)
                 back = own.decode(ids)
                 want = [own.normalised(t) for t in group]
