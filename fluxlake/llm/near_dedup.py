@@ -9,11 +9,12 @@ sets at similarity 0.75 meet in no band with probability 2.3e-6.
    gives m - 1 pairs. Pairs whose sizes or minima (estimate, five standard errors of slack) exclude
    the threshold go; the others are confirmed by the intersection of the full sets.
 2. Confirmed links are closed into components by alternating stars.
-3. Buckets whose classes beside the smallest still lie in several components are compared in blocks of 256 classes against blocks,
-   inside a task, on the minima; pairs across components that pass are confirmed as in 1. Blocks in
-   which very many pass are compared on the full sets instead, in a task again, and give a forest of
-   links. Nothing is capped: a large bucket has more pairs of blocks, not a larger one, and no step
-   gives out the pairs of a group. Components are closed again over all links.
+3. Buckets whose classes beside the smallest still lie in several components are compared in blocks of
+   at most about 2,048 classes and a million shingles against blocks, inside a task, on the minima;
+   pairs across components that pass are confirmed as in 1. Blocks in which very many pass are
+   compared on the full sets instead, in a task again, and give a forest of links. Nothing is
+   capped: a large bucket has more pairs of blocks, not a larger one, and no step gives out the
+   pairs of a group. Components are closed again over all links.
 
 Cases: fewer than five words make one shingle of the whole sequence; texts without words and null
 texts have an empty set and no link. Rows that repeat a doc_id are one document, with all their
@@ -40,7 +41,8 @@ SHINGLE = 5
 PERCENT = 75
 BANDS = 48
 ROWS = 5
-BLOCK = 256
+BLOCK = 2048
+BLOCK_SHINGLES = 1_000_000
 CROWDED = 4
 SEED = 20240229
 NO_ID = 2**63 - 1
@@ -215,10 +217,13 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, row
     closed = components(links)
 
     # classes beside the pivot, which has met all of them, in buckets that hold several components
-    known = met.filter("node != pivot").select("bucket", "node").distinct().join(closed.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
-    known = known.select("bucket", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = (known.groupBy("bucket").agg(F.min("comp").alias("low_comp"), F.max("comp").alias("high_comp"), F.count("*").alias("n_nodes"))
-             .filter("low_comp != high_comp").select(F.col("bucket").alias("key"), F.ceil(F.col("n_nodes") / block).cast("long").alias("n_blocks")))
+    beside = met.filter("node != pivot").select("bucket", "node", "n_shingles").distinct()
+    known = beside.join(closed.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
+    known = known.select("bucket", "node", "n_shingles", F.coalesce("component", "node").alias("comp"))
+    mixed = (known.groupBy("bucket").agg(F.min("comp").alias("low_comp"), F.max("comp").alias("high_comp"), F.count("*").alias("n_nodes"),
+                                          F.sum("n_shingles").alias("size"))
+             .filter("low_comp != high_comp").select(F.col("bucket").alias("key"), F.greatest(
+                 F.ceil(F.col("n_nodes") / block), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("long").alias("n_blocks")))
     blocked = known.join(mixed, F.col("bucket") == F.col("key")).select(
         "bucket", "node", "comp", "n_blocks", F.pmod(F.xxhash64("node"), F.col("n_blocks")).alias("block"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
