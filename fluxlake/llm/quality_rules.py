@@ -51,6 +51,12 @@ RULES = (
     Rule("open_line_ratio", 0.0, 0.3),    # lines ending in an ellipsis
     Rule("bullet_line_ratio", 0.0, 0.9),  # lines starting with a bullet
 )
+# What the operator applies. RULES above, with its comments on capitals and stop words, is the table of the SQL
+# counterpart, which still counts both in the looser way.
+TEXT_RULES = tuple({
+    "capital_ratio": Rule("capital_ratio", 0.0, 0.5),  # A-Z among A-Z and a-z
+    "stop_ratio": Rule("stop_ratio", 0.04, 1.0),       # stop words of the best language per word, in any case
+}.get(r.statistic, r) for r in RULES)
 
 
 def _ratio(part: str | Column, whole: str | Column) -> Column:
@@ -64,6 +70,16 @@ def _count_of(text: str, chars: str) -> Column:
     return F.regexp_count(text, F.lit(f"[{chars}]"))
 
 
+def _length_in(text: str, chars: str) -> Column:
+    """The same count for a class that most characters are in: runs are removed, not listed."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]+", ""))
+
+
+def _hits(words: str, listed: list[str]) -> Column:
+    """Words that are in the list."""
+    return F.size(F.filter(words, lambda w: w.isin(listed)))
+
+
 def base_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, text parts and the counts that the base rule reads."""
     split = docs.select("doc_id", whole_text().alias("body")).select(
@@ -98,25 +114,30 @@ def base_statistics(docs: DataFrame) -> DataFrame:
 def ratios(stats: DataFrame) -> DataFrame:
     """The statistics that the threshold table names."""
     n_lines = F.size("lines")
-    stops = [F.size(F.array_intersect("own_words", F.array(*map(F.lit, listed)))) / len(listed)
-             for listed in STOP_WORDS.values()]
+    # one pass over the words, then one over the hits per language
+    listed_words = sorted(set().union(*STOP_WORDS.values()))
+    hits = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(listed_words))
+    stops = [_hits("hits", listed) for listed in STOP_WORDS.values()]
     open_lines = F.size(F.filter("lines", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…")))
     bullets = F.size(F.filter("lines", lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•", "‣")))
     return stats.withColumns({
-        "own_words": F.array_distinct("words"), "open_lines": open_lines, "bullets": bullets,
+        "hits": hits, "open_lines": open_lines, "bullets": bullets,
+        "upper": _count_of("body", "A-Z"), "lower": _length_in("body", "a-z"),
+    }).withColumns({
+        "stops": reduce(F.greatest, stops),
     }).withColumns({
         "mean_word_chars": _ratio("word_chars", "n_words"),
         "symbol_ratio": _ratio("n_symbols", "n_words"),
         "shout_ratio": _ratio(_count_of("body", "!"), "n_words"),
-        "capital_ratio": _ratio(_count_of("body", "A-Z"), "word_chars"),
-        "stop_ratio": reduce(F.greatest, stops),
+        "capital_ratio": _ratio("upper", F.col("upper") + F.col("lower")),
+        "stop_ratio": _ratio("stops", "n_words"),
         "dup_line_ratio": _ratio("n_dup_lines", n_lines),
         "open_line_ratio": _ratio("open_lines", n_lines),
         "bullet_line_ratio": _ratio("bullets", n_lines),
     })
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = TEXT_RULES) -> DataFrame:
     """One row per document: the base counts, the verdict, and the first failed rule."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     verdict = reduce(lambda a, b: a & b, [F.col(r.statistic).between(r.lowest, r.highest) for r in rules])

@@ -40,6 +40,27 @@ def test_rules_judge_by_the_table(spark):
     assert quality_rules.quality_rules(spark.createDataFrame([], plain.DOCS)).count() == 0
 
 
+def test_rules_count_stop_words_per_word_and_capitals_among_letters(spark):
+    rng = random.Random(6)
+    keywords = " ".join(f"key{i}" for i in range(3000)) + " de la"
+    title = " ".join(["The", "Of", "And", "To", *(f"word{i}" for i in range(60))])
+    diluted = " ".join(["the", "of", "and", "to", *(f"SHOUT{i:05d}%" for i in range(6)), *(f"LOUD{i:09d}" for i in range(50))])
+    rows = [(1, keywords), (2, title), (3, diluted)]
+    got = {r.doc_id: (r.kept, r.reason) for r in quality_rules.quality_rules(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (False, "stop_ratio"), 2: (True, None), 3: (False, "capital_ratio")}
+    pool = ["The", "DE", "la", "und", "Des", "qui", "word", "WORD", "x1", "É", "\u212aey", "\n", "thé"]
+    rows += [(10 + i, " ".join(rng.choices(pool, k=rng.randrange(80)))) for i in range(100)] + [(500, None), (501, "1 2")]
+    stats = quality_rules.ratios(quality_rules.base_statistics(spark.createDataFrame(rows, "doc_id long, text string")))
+    for r in stats.select("doc_id", "stop_ratio", "capital_ratio").collect():
+        text = dict(rows)[r.doc_id] or ""
+        words = plain.WORD.findall(text)
+        stops = max(sum(w.lower() in listed for w in words) for listed in quality_rules.STOP_WORDS.values())
+        upper, lower = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+        assert r.stop_ratio == (stops / len(words) if words else 0)
+        assert r.capital_ratio == (upper / (upper + lower) if upper + lower else 0)
+
+
 def talks():
     rng = random.Random(4)
     rows = []
