@@ -1,8 +1,8 @@
 """Near-duplicate detection: MinHash banding, verification, connected components.
 
 A document's set holds its distinct shingles of five words (A-Z lower-cased), as 64-bit hashes of the
-words; equal sets (128-bit fingerprint of the sorted hashes) form a class, named by its smallest
-doc_id, and only classes go on. Each class has 240 universal hash minima in 48 bands of 5: two
+words; equal sets (128-bit fingerprint of the sorted hashes) form a class, numbered once, and only
+classes go on. Each class has 240 universal hash minima in 48 bands of 5: two
 sets at similarity 0.75 meet in no band with probability 2.3e-6.
 
 1. In every bucket each class is paired with the bucket's smallest class, so a bucket of m classes
@@ -17,9 +17,11 @@ sets at similarity 0.75 meet in no band with probability 2.3e-6.
    pairs of a group. Components are closed again over all links.
 
 Cases: fewer than five words make one shingle of the whole sequence; texts without words and null
-texts have an empty set and no link. Rows that repeat a doc_id are one document, with all their
-sets. Rows without doc_id count as one document with the largest id and report null. An empty
-table gives an empty result. Other columns are ignored.
+texts have an empty set and no link. Documents are rows by id and text: other texts under one id, and
+texts without id, are documents of their own. A component is named by its smallest doc_id (a missing
+one is the largest, and reports null); of several texts under that id the one with the smallest digest
+is ``kept``. Rows that repeat id and text share a result, and :func:`drop_near_copies` passes one of
+them on; rows without words all pass. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxlake.llm.common import keep_rows
+from fluxlake.llm.common import SPACES, whole_text
 from fluxlake.llm.components import components
 from fluxlake.session import materialize
 
@@ -99,7 +101,8 @@ def _signatures(batches: Iterator[pd.DataFrame], bands: int, rows: int) -> Itera
             keys = [xxhash.xxh64_intdigest(low[i * rows: (i + 1) * rows].tobytes(), seed=i) - 2**63 for i in range(bands)]
             out.append((len(shingles), xxhash.xxh128_digest(shingles.tobytes()), keys, (low >> 16).astype(np.uint16).tobytes()))
         yield pd.DataFrame(out, columns=["n_shingles", "print", "bands", "low"]).assign(
-            doc_id=batch["doc_id"].to_numpy(np.int64))[["doc_id", "n_shingles", "print", "bands", "low"]]
+            doc_id=batch["doc_id"].to_numpy(np.int64), sha=batch["sha"].to_numpy())[
+                ["doc_id", "sha", "n_shingles", "print", "bands", "low"]]
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,21 +179,28 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter(100 * both >= percent * (F.size("u_set") + F.size("v_set") - both)).select("u", "v").distinct())
 
 
-def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
-                block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc_id"), "text")
-    marks = materialize(ids.mapInPandas(
+def _keyed(docs: DataFrame, id_name: str, sha_name: str) -> DataFrame:
+    """``docs`` with the id, a missing one as the largest, and the digest of the text."""
+    return docs.withColumns({
+        id_name: F.coalesce("doc_id", F.lit(NO_ID)).cast("long"), sha_name: F.unhex(F.sha2(whole_text().cast("binary"), 256))})
+
+
+def _placed(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: doc_id (NO_ID where missing), sha of the text, n_shingles, component_id, kept."""
+    ids = _keyed(docs.select("doc_id", "text"), "doc_id", "sha")
+    marks = materialize(ids.select("doc_id", "sha", "text").mapInPandas(
         partial(_signatures, bands=bands, rows=rows),
-        "doc_id long, n_shingles long, print binary, bands array<long>, low binary"), "minima")
+        "doc_id long, sha binary, n_shingles long, print binary, bands array<long>, low binary"), "minima")
     filled = marks.filter("n_shingles > 0")
-    classes = filled.groupBy("print").agg(F.min("doc_id").alias("node"))
-    member = materialize(
-        filled.select("doc_id", "print").join(classes, "print").select("doc_id", "node", "print").distinct(), "members")
+    # the number is written, so it stays; the first document stands for the class
+    classes = materialize(
+        filled.groupBy("print").agg(F.min(F.struct("doc_id", "sha")).alias("first"))
+        .select("print", F.col("first.doc_id").alias("first_id"), F.col("first.sha").alias("first_sha"))
+        .withColumn("node", F.monotonically_increasing_id()), "classes")
+    heads = classes.select("node", "first_id", "first_sha")
+    first = (F.col("doc_id") == F.col("first_id")) & (F.col("sha") == F.col("first_sha"))
     # one row per class with its minima
-    heads = member.filter("doc_id = node").select("node", F.col("print").alias("class_print")).distinct()
-    nodes = (filled.join(heads, (F.col("doc_id") == F.col("node")) & (F.col("print") == F.col("class_print")), "left_semi")
-             .select(F.col("doc_id").alias("node"), "n_shingles", "bands", "low", "print").dropDuplicates(["node", "print"]))
+    nodes = filled.join(heads, first).select("node", "n_shingles", "bands", "low").dropDuplicates(["node"])
 
     banded = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = (banded.groupBy("bucket").agg(F.min(F.struct("node", "n_shingles")).alias("first"), F.count("*").alias("n"))
@@ -204,8 +214,8 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, row
     # full sets and minima of the classes that share a bucket, once for both rounds
     sharing = met.select("node").distinct()
     lows = materialize(nodes.join(sharing, "node", "left_semi").select("node", "n_shingles", "low"), "lows")
-    texts = ids.join(sharing, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
-    sets = materialize(texts.mapInPandas(_sets, "node long, shingles array<long>"), "sets")
+    texts = ids.join(heads.join(sharing, "node"), first).dropDuplicates(["doc_id", "sha"])
+    sets = materialize(texts.select("node", "text").mapInPandas(_sets, "node long, shingles array<long>"), "sets")
 
     agreement = F.pandas_udf(_agreement, "double")
     least = percent / 100 - SLACK
@@ -245,16 +255,36 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, row
     more = materialize(more.unionAll(dense.distinct()), "links")
     final = components(links.unionAll(more)) if not more.isEmpty() else closed
 
-    named = member.select("doc_id", F.col("node").alias("class_id")).distinct()
-    placed = named.join(final, F.col("class_id") == F.col("node"), "left").groupBy("doc_id").agg(
-        F.min(F.coalesce("component", "class_id")).alias("found"))
-    out = marks.select("doc_id", "n_shingles").join(placed, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
+    named = classes.join(final.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").select(
+        "print", "first_id", "first_sha", F.coalesce("component", "node").alias("comp"))
+    lead = named.groupBy("comp").agg(F.min(F.struct("first_id", "first_sha")).alias("lead"))
+    led = named.join(lead.withColumnRenamed("comp", "l_comp"), F.col("comp") == F.col("l_comp")).select(
+        F.col("print").alias("l_print"), "lead")
+    out = filled.join(led, F.col("print") == F.col("l_print")).select(
+        "doc_id", "sha", "n_shingles", F.col("lead.first_id").alias("component_id"),
+        ((F.col("doc_id") == F.col("lead.first_id")) & (F.col("sha") == F.col("lead.first_sha"))).alias("kept"))
+    alone = marks.filter("n_shingles = 0").select(
+        "doc_id", "sha", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionAll(alone)
+
+
+def near_groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS,
+                block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
     back = {c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c) for c in ("doc_id", "component_id")}
-    return out.select(back["doc_id"], "n_shingles", back["component_id"],
-                      (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return _placed(docs, percent, bands, rows, block).select(back["doc_id"], "n_shingles", back["component_id"], "kept")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of every group of near copies, with the columns of ``docs``."""
-    return keep_rows(docs, near_groups(docs).filter("kept").select("doc_id"))
+    """One document of every group of near copies, with the columns of ``docs``.
+
+    Rows are matched by id and digest, since ids may repeat or be missing; rows without words have no near copies.
+    """
+    kept = _placed(docs).filter("kept AND n_shingles > 0").select(
+        F.col("doc_id").alias("kept_id"), F.col("sha").alias("kept_sha")).distinct()
+    worded = F.length(F.trim(whole_text(), F.lit(SPACES))) > 0
+    marked = _keyed(docs.filter(worded), "__near_id", "__near_sha")
+    stays = (F.col("__near_id") == F.col("kept_id")) & (F.col("__near_sha") == F.col("kept_sha"))
+    # the join has dealt the rows by these columns already
+    once = marked.join(kept, stays, "left_semi").dropDuplicates(["__near_id", "__near_sha"])
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns]).unionAll(docs.filter(~worded))

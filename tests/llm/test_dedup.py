@@ -60,6 +60,26 @@ def test_near_groups_with_nulls_and_repeats(messy):
     assert near_dedup.drop_near_copies(messy).columns == messy.columns
 
 
+def test_near_groups_keep_texts_without_id_and_under_one_id_apart(spark):
+    rng = random.Random(8)
+    a, b, c, d, e, f = (plain.prose(rng, 60) for _ in range(6))
+    rows = [(1, a), (900, b), (None, a + " x"), (None, b + " x"), (None, c), (None, d), (None, d + " x"), (None, d.upper()),
+            (5, e), (5, f), (3, e + " x"), (9, f + " x"), (20, c + " y"), (20, c), (20, c), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("first", exact_dedup.F.lit(1)).repartition(3)
+    got = sorted(str((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in near_dedup.near_groups(df).collect())
+    named = [(1, 56, 1), (900, 56, 900), (None, 57, 1), (None, 57, 900), (None, 56, 20), (None, 56, None), (None, 57, None),
+             (None, 56, None), (5, 56, 3), (5, 56, 5), (3, 57, 3), (9, 57, 5), (20, 57, 20), (20, 56, 20), (20, 56, 20),
+             (None, 0, None), (None, 0, None)]
+    assert sorted(x.rsplit(", ", 1)[0] for x in got) == sorted(str(x)[:-1] for x in named)
+    out = near_dedup.drop_near_copies(df)
+    assert out.columns == df.columns
+    left = [(r.doc_id, r.text) for r in out.collect()]
+    of_c, of_d = [x for x in left if (x[1] or "").startswith(c)], [x for x in left if (x[1] or "").lower().startswith(d)]
+    assert len(of_c) == 1 and of_c[0][0] == 20 and len(of_d) == 1
+    rest = [x for x in left if x not in of_c + of_d]
+    assert sorted(map(str, rest)) == sorted(map(str, [(1, a), (900, b), (3, e + " x"), (5, f), (None, None), (None, "")]))
+
+
 def test_near_groups_of_edited_copies_with_tiny_blocks(spark):
     """Hot buckets, chains just above and pairs just below the threshold, blocks that are crowded."""
     rng = random.Random(3)
