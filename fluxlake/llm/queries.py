@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxlake.llm import (
-    chat, exact_dedup, language, mixing, near_dedup, quality_model, quality_rules, sentence_pieces, sql,
-    token_counts, toxicity,
+    chat, exact_dedup, fill_middle, importance, language, mixing, near_dedup, quality_model, quality_rules,
+    sentence_pieces, simhash, sql, token_counts, toxicity,
 )
 from fluxlake.llm.common import table
 
@@ -61,6 +61,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(
+        table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_exact_dedup": (op1_exact_dedup, sql.EXACT),
     "op2_quality_rules": (op2_quality_rules, sql.RULES),
@@ -72,4 +85,7 @@ QUERIES = {
     "op8_sentence_pieces": (op8_sentence_pieces, None),
     "op9_token_counts": (op9_token_counts, None),
     "op10_quality_classifier": (op10_quality_classifier, None),
+    "op11_simhash_near_dedup": (op11_simhash_near_dedup, None),
+    "op12_importance_resampling": (op12_importance_resampling, sql.IMPORTANCE),
+    "op13_fill_in_middle": (op13_fill_in_middle, sql.FILL),
 }

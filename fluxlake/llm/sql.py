@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fluxlake.llm import chat, mixing, quality_rules
+from fluxlake.llm import chat, fill_middle, importance, mixing, quality_rules
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
+PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ALL_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 EXACT = rf"""
@@ -171,3 +172,61 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(found, w.doc_id) AS co
        w.doc_id = coalesce(found, w.doc_id) AS kept
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN low ON low.doc_id = w.doc_id
 """
+
+IMPORTANCE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '{PLAIN_WORD}') AS words FROM documents),
+f AS (SELECT k, unnest(words) AS word FROM d),
+g AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '{PLAIN_WORD}')) AS word FROM benchmark),
+steps AS (
+  SELECT list(list_reduce(range(8), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS step
+  FROM range(256) AS t(i)),
+known AS (SELECT word, hex(encode(word)) AS code FROM (SELECT word FROM f UNION SELECT word FROM g)),
+hashed AS (
+  SELECT word, xor(list_reduce(
+           [CAST('0x' || code[2 * i + 1:2 * i + 2] AS BIGINT) FOR i IN range(length(code) // 2)],
+           lambda c, b: xor(c // 256, step[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % {importance.N_BUCKETS} AS bucket
+  FROM known, steps),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM g JOIN hashed USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor({importance.SCALE} * ln(
+           (coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM f) + {importance.N_BUCKETS}.0::DOUBLE)
+           / ((s + 1.0::DOUBLE) * ((SELECT count(*) FROM g) + {importance.N_BUCKETS}.0::DOUBLE)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT k, CAST(floor(sum(gain) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS weight FROM f JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY k),
+x AS (
+  SELECT d.k, doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         CAST('0x' || sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS h
+  FROM d LEFT JOIN w ON w.k = d.k),
+y AS (SELECT *, weight + CAST(floor(-{importance.SCALE} * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM x),
+z AS (
+  SELECT k, row_number() OVER (ORDER BY score DESC, doc_id) AS place,
+         {importance.DRAWN_PERCENT} * count(*) OVER () // 100 AS drawn FROM y WHERE n_features >= {importance.LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM y LEFT JOIN z USING (k)
+"""
+
+FILL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens,
+         sha256('{fill_middle.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS code FROM documents),
+h AS (
+  SELECT *, CAST(len(tokens) AS BIGINT) AS n, CAST('0x' || code[1:8] AS BIGINT) % (len(tokens) + 1) AS a,
+         CAST('0x' || code[9:16] AS BIGINT) % (len(tokens) + 1) AS b,
+         CAST('0x' || code[17:24] AS BIGINT) AS h3, CAST('0x' || code[25:32] AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT doc_id, t, n, coalesce(array_to_string(tokens[1:least(a, b)], ''), '') AS prefix,
+         coalesce(array_to_string(tokens[least(a, b) + 1:greatest(a, b)], ''), '') AS middle,
+         coalesce(array_to_string(tokens[greatest(a, b) + 1:], ''), '') AS suffix,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                   OR h3 % 100 >= {fill_middle.TRANSFORMED_PERCENT} THEN 'plain'
+              WHEN h4 % 100 < {fill_middle.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM c
+"""

@@ -53,6 +53,7 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
 
     names = list(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert {n for n in entry.oracle_sql() if n.startswith("op")} == {
-        "op1_exact_dedup", "op2_quality_rules", "op3_chat_windows", "op4_mix_sources", "op6_minhash_near_dedup"}
+        "op1_exact_dedup", "op2_quality_rules", "op3_chat_windows", "op4_mix_sources", "op6_minhash_near_dedup",
+        "op12_importance_resampling", "op13_fill_in_middle"}
