@@ -203,9 +203,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier accepts, with the columns of ``docs``."""
-    model = fit(profiles(docs), labels)
+    training = docs.filter(remainder("doc_id", HELD_OUT) != 0)
+    model = fit(profiles(training), labels)
 
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(statistics(pa.array(texts, pa.large_string(), from_pandas=True))))
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            yield batch.filter(pa.array(model.score(statistics(texts)) >= threshold))
 
-    return docs.filter(F.pandas_udf(score, "double")(docs["text"]) >= threshold)
+    return docs.mapInArrow(good, docs.schema)
