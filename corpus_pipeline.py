@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fluxlake.llm import exact_dedup, mixing, near_dedup, quality_model, sentence_pieces
 from fluxlake.llm.common import table
-from fluxlake.session import materialize, prepare
+from fluxlake.session import drop_scratch, materialize, prepare, scratch_mark
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; a stage's input and intermediate tables go when its result is written."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    mark = scratch_mark()
     for name, stage in STAGES:
         docs = materialize(stage(prepare(spark), docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        drop_scratch(spark, mark, keep=docs)
     return docs

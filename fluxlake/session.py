@@ -18,6 +18,8 @@ SQL_DEFAULTS = {
     # binned tables are small in bytes but their ordered steps are CPU-bound: keep them spread
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows may be whole documents: what a Python worker holds at once is bounded by bytes as well
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
@@ -75,11 +77,22 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the intermediate tables made so far, once no result that reads them is needed."""
+def scratch_mark() -> int:
+    """How many intermediate tables there are so far."""
+    return len(_scratch)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete the intermediate tables made after a mark, once no result that reads them is needed.
+
+    The table that ``keep`` was read from stays.
+    """
+    kept = [] if keep is None else [p for p in _scratch[since:] if any(p in f for f in keep.inputFiles())]
+    paths = [p for p in _scratch[since:] if p not in kept]
+    _scratch[since:] = kept
     dropped = 0
-    while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         dropped += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return dropped
 
