@@ -1,7 +1,9 @@
 from datetime import datetime, timedelta
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxlake.functions.losses import LOSSES
@@ -256,23 +258,127 @@ def test_recurrences_over_many_slices(spark, monkeypatch):
         assert np.allclose(smooth, expected)
 
 
-def test_spectrum_over_many_slices(spark, monkeypatch):
-    from fluxlake.operators import series, spectral
+def one_series(spark, values, name="s", first=100):
+    rows = [(name, i + first, float(v)) for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "series string, bin_idx long, value double").repartition(3)
 
-    monkeypatch.setattr(series, "SLICE", 16)
-    monkeypatch.setattr(spectral, "BLOCK", 8)
+
+@pytest.mark.parametrize("row,task", [(1 << 16, 1 << 18), (8, 16), (1, 4)])
+def test_spectrum_of_any_length_in_tiles(spark, row, task):
+    """Lengths with two factors, with none (by a chirp), and series of different lengths side by side."""
     rng = np.random.default_rng(4)
-    for n in (1, 2, 97, 120):
-        values = rng.normal(size=n)
-        df = spark.createDataFrame([("s", i + 100, float(v)) for i, v in enumerate(values)], "series string, bin_idx long, value double")
-        waves = spectral.spectrum(df.repartition(3), ["series"]).orderBy("frequency").collect()
+    series_of = {f"s{n}": rng.normal(size=n) for n in (1, 2, 3, 48, 61, 97, 120)}
+    df = reduce(DataFrame.unionAll, [one_series(spark, v, name) for name, v in series_of.items()])
+    waves = spectral.spectrum(df, ["series"], row=row, task=task).orderBy("series", "frequency").collect()
+    for name, values in series_of.items():
+        own = [w for w in waves if w.series == name]
         want = np.fft.rfft(values)
-        assert np.allclose([w.re for w in waves], want.real) and np.allclose([w.im for w in waves], want.imag)
+        assert [w.frequency for w in own] == list(range(len(want))) and {w.n for w in own} == {len(values)}
+        assert np.allclose([w.re for w in own], want.real) and np.allclose([w.im for w in own], want.imag)
+        amp = np.abs(want)
+        amp[0] = 0
+        assert np.allclose([w.amplitude for w in own], amp)
+    top = spectral.spectrum(df, ["series"], k=3, inner=True, row=row, task=task).collect()
+    best = spectral._strongest(spark.createDataFrame(top), ["series"], 3).orderBy("rank").collect()
+    for name, values in series_of.items():
+        amp = np.abs(np.fft.rfft(values))
+        order = sorted((f for f in range(1, len(amp)) if 2 * f < len(values)), key=lambda f: -amp[f])[:3]
+        assert [b.frequency for b in best if b.series == name] == order
+
+
+def test_season_and_extrapolation_of_a_prime_length(spark):
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=97)
+    df, n = one_series(spark, values), 97
+    want = np.fft.rfft(values)
     parts = spectral.season_trend(df, ["series"], 5).orderBy("bin_idx").collect()
     amp = np.abs(want)
     amp[0] = 0
     season = np.fft.irfft(np.where(amp > np.sort(amp)[-5], want, 0), n=n)
     assert np.allclose([p.season for p in parts], season)
+    fitted = spectral.harmonic_extrapolation(df, ["series"], 4, 7).orderBy("step").collect()
+    keep = np.fft.irfft(np.where(amp >= np.sort(amp)[-4], want, 0), n=n)
+    assert np.allclose([f.fitted for f in fitted], np.concatenate([keep, keep[:7]])) and [f.step for f in fitted] == list(range(104))
+
+
+def test_long_spectrum_against_direct_sums_and_its_shuffles(spark):
+    """2^18 bins: rows move once, tiles after that, and no row is longer than about the root of the length."""
+    n = 1 << 18
+    value = F.sin(F.col("id") * (2 * np.pi * 1000 / n)) + (F.col("id") * 7919 % 104_729) / 104_729
+    df = spark.range(n).select(F.lit("s").alias("series"), F.col("id").alias("bin_idx"), value.alias("value"))
+    waves = spectral.spectrum(df, ["series"], row=1 << 10, task=1 << 14)
+    got = {w.frequency: w for w in waves.filter("frequency in (0, 1, 1000, 77777, 131072)").collect()}
+    at = np.arange(n)
+    x = np.sin(2 * np.pi * 1000 / n * at) + (at * 7919 % 104_729) / 104_729
+    for f, w in got.items():
+        turn = 2 * np.pi * (f * at % n) / n
+        assert w.re == pytest.approx(np.sum(x * np.cos(turn)), abs=1e-5) and w.im == pytest.approx(-np.sum(x * np.sin(turn)), abs=1e-5)
+    assert len(got) == 5 and waves.count() == n // 2 + 1
+    top = spectral.dominant_periods(df, ["series"], 1).first()
+    assert top.frequency in (1, 1000)
+    # rows that a shuffle of the plan moves: the series, a row per slice, and tiles of 2^14 values
+    spectral.spectrum(df, ["series"], k=1, row=1 << 10, task=1 << 14).collect()
+    written = shuffled_rows(spark, lambda: spectral.spectrum(df, ["series"], k=1, row=1 << 10, task=1 << 14).collect())
+    assert written <= 4 * n
+
+
+def shuffled_rows(spark, action):
+    """Records that shuffles write while ``action`` runs, by Spark's own counters."""
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+    jvm = spark.sparkContext._jvm
+    before = {s.stageId() for s in stages(tracker, jvm)}
+    action()
+    return sum(s.shuffleWriteRecords() for s in stages(tracker, jvm) if s.stageId() not in before)
+
+
+def stages(tracker, jvm):
+    found = tracker.stageList(None, False, False, jvm.java.lang.reflect.Array.newInstance(jvm.Double.TYPE, 0), None)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_recurrences_stay_in_the_jvm_and_cross_all_levels(spark):
+    """Slices of 4 rows and steps of 3 slices; gaps in the bins, one-row and two-row series."""
+    rng = np.random.default_rng(8)
+    series_of = {"long": rng.normal(size=100), "one": rng.normal(size=1), "two": rng.normal(size=2), "nine": rng.normal(size=9)}
+    rows = [(name, 7 * i - 50 + i % 2, float(v)) for name, values in series_of.items() for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "series string, bin_idx long, value double").repartition(3)
+    keep, beta = 0.6, 0.2
+    double = series.Recurrence(np.array([[keep, keep], [beta * (keep - 1), beta * keep + 1 - beta]]), np.array([1 - keep, (1 - keep) * beta]))
+    single = series.Recurrence(np.array([[0.7]]), np.array([0.3]))
+    given = series.Recurrence(np.array([[0.7]]), np.array([0.3]), np.array([5.0]))
+    for rule in (double, single, given):
+        out = series.linear_recurrence(df, ["series"], rule, "bin_idx", "value", "trend", fold=4, level=3)
+        assert "Python" not in out._jdf.queryExecution().toString() and "InArrow" not in out._jdf.queryExecution().toString()
+        got = out.orderBy("bin_idx").collect()
+        assert len(got) == len(rows)
+        for name, values in series_of.items():
+            if rule.initial is not None:
+                state = rule.move @ rule.initial + rule.gain * values[0]
+            else:
+                state = np.array([values[0], values[1] - values[0] if len(values) > 1 else 0.0])[: rule.size]
+            want = [state[0]]
+            for v in values[1:]:
+                state = rule.move @ state + rule.gain * v
+                want.append(state[0])
+            assert np.allclose([r.trend for r in got if r.series == name], want)
+
+
+def test_frames_and_pools_of_a_hot_series_in_slices(spark):
+    """Slices of 16 positions; the kernel is wider than a slice, than a series, or a single row."""
+    rng = np.random.default_rng(9)
+    series_of = {"hot": rng.normal(size=300), "one": rng.normal(size=1), "few": rng.normal(size=5)}
+    df = reduce(DataFrame.unionAll, [one_series(spark, v, name) for name, v in series_of.items()])
+    for kernels in ([1], [5, 25], [41]):
+        got = series.moving_average(df, ["series"], kernels, width=16).orderBy("bin_idx").collect()
+        for name, x in series_of.items():
+            want = sum(np.convolve(np.pad(x, (k - 1) // 2, "edge"), np.ones(k) / k, "valid") for k in kernels) / len(kernels)
+            assert np.allclose([r.trend for r in got if r.series == name], want)
+    dealt = series.moving_average(df, ["series"], [5], width=16)
+    windows = [line for line in dealt._jdf.queryExecution().toString().splitlines() if "RowFrame, -2, 2" in line]
+    assert windows and all("_block" in line for line in windows)
+    pooled = {(r.series, r.layer, r.pooled_idx): r.value for r in series.downsample(df, ["series"], 4, 2).collect()}
+    want = {(name, i, j): x[j * 4**i: (j + 1) * 4**i].mean() for name, x in series_of.items() for i in (1, 2) for j in range(len(x) // 4**i)}
+    assert pooled.keys() == want.keys() and all(np.isclose(pooled[k], want[k]) for k in want)
 
 
 def test_autoregression_with_two_lags():
