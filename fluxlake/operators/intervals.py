@@ -1,15 +1,23 @@
 """Half-open interval tables: building, checking, and labelling samples with them.
 
-An interval table has ``start_ts``, ``end_ts`` (NULL while open) and attribute columns. Tables
-describe a timeline, so they are small and their ordered steps run in one partition.
+An interval table has ``start_ts``, ``end_ts`` (NULL while open) and attribute columns. A table of one
+timeline (a designation table) is small and ordered as a whole. Tables of many timelines take their key as ``by``, and
+``slice_seconds`` for timelines of any length: their ordered steps then run in slices of the start, with
+one border row per slice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fluxlake.operators.ordered import time_slice
+from fluxlake.operators.ordered import beside, range_slices, running_sum, same_keys, time_slice
 
 # Fixed values of the designation tables.
 OPEN = "open"
@@ -26,21 +34,39 @@ def parse_utc(text: str | Column) -> Column:
     return F.when(col.endswith("Z"), F.try_to_timestamp(col))
 
 
-def interval_ends(starts: DataFrame, final_end: Column, start: str = "start_ts", by: tuple[str, ...] = ()) -> DataFrame:
+def start_slices(slice_seconds: int, start: str | Column = "start_ts") -> Column:
+    """Slices of the start; rows without one come first."""
+    at = F.unix_micros(F.col(start) if isinstance(start, str) else start)
+    return F.coalesce(F.floor(at / F.lit(slice_seconds * 1_000_000)).cast("long"), F.lit(-2**62))
+
+
+def _neighbours(df: DataFrame, by: tuple[str, ...], order: list[str], columns: list[str], slice_seconds: int | None) -> DataFrame:
+    """``df`` with ``_before`` and ``_after``, the columns of the neighbouring rows in a timeline."""
+    if slice_seconds is not None:
+        return beside(df, list(by), order, columns, start_slices(slice_seconds, order[0]))
+    along, row = Window.partitionBy(*by).orderBy(*order), F.struct(*columns)
+    return df.withColumns({"_before": F.lag(row).over(along), "_after": F.lead(row).over(along)})
+
+
+def interval_ends(starts: DataFrame, final_end: Column, start: str = "start_ts", by: tuple[str, ...] = (),
+                  slice_seconds: int | None = None) -> DataFrame:
     """End of each interval = start of the next of its key; the last end is given."""
-    return starts.withColumn(
-        "end_ts", F.coalesce(F.lead(start).over(Window.partitionBy(*by).orderBy(start)), final_end))
+    known = _neighbours(starts, by, [start], [start], slice_seconds)
+    return known.withColumn("end_ts", F.coalesce(F.col("_after")[start], final_end)).drop("_before", "_after")
 
 
-def merge_equal(intervals: DataFrame, attrs: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+def merge_equal(intervals: DataFrame, attrs: list[str], by: tuple[str, ...] = (), slice_seconds: int | None = None) -> DataFrame:
     """Join up contiguous intervals of a key with equal attributes."""
-    order = Window.partitionBy(*by).orderBy("start_ts")
-    same = F.lag("end_ts").over(order).eqNullSafe(F.col("start_ts"))
+    known = _neighbours(intervals.select(*by, "start_ts", "end_ts", *attrs), by, ["start_ts"], ["end_ts", *attrs], slice_seconds)
+    same = F.col("_before.end_ts").eqNullSafe(F.col("start_ts"))
     for a in attrs:
-        same = same & F.lag(a).over(order).eqNullSafe(F.col(a))
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tagged = (intervals.withColumn("_new", F.when(same, 0).otherwise(1))
-              .withColumn("_part", F.sum("_new").over(upto)))
+        same = same & F.col("_before")[a].eqNullSafe(F.col(a))
+    flagged = known.withColumn("_new", F.when(same, 0).otherwise(1)).drop("_before", "_after")
+    if slice_seconds is None:
+        upto = Window.partitionBy(*by).orderBy("start_ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        tagged = flagged.withColumn("_part", F.sum("_new").over(upto))
+    else:
+        tagged = running_sum(flagged, list(by), ["start_ts"], "_new", "_part", start_slices(slice_seconds))
     return tagged.groupBy("_part", *by, *attrs).agg(
         F.min("start_ts").alias("start_ts"),
         F.max_by("end_ts", "start_ts").alias("end_ts")).drop("_part")
@@ -68,13 +94,42 @@ def fill_unknown(cited: DataFrame, global_start: Column, current_start: Column,
     return kept.unionByName(gaps).unionByName(tail)
 
 
-def violations(table: DataFrame) -> DataFrame:
-    """Every rule a designation table (text columns) breaks: ``start_utc, problem``."""
-    order = Window.orderBy(parse_utc("start_utc"))
+def fill_unknown_by(cited: DataFrame, bounds: DataFrame, attrs: list[str], by: tuple[str, ...],
+                    slice_seconds: int, fill: str = UNKNOWN) -> DataFrame:
+    """As :func:`fill_unknown` for many timelines of any length.
+
+    ``bounds`` has ``by``, ``global_start`` and ``current_start``, a row per key; a key without cited intervals is
+    ``unknown`` from end to end, and intervals of other keys are left out.
+    """
+    known = _neighbours(cited.select(*by, "start_ts", "end_ts", *attrs), by, ["start_ts"], ["end_ts"], slice_seconds)
+    limits = bounds.select(*[F.col(k).alias(f"_of_{k}") for k in by], "global_start", "current_start")
+    met = limits.join(known, same_keys(known, limits, list(by), "_of_"), "left").select(
+        *[F.col(f"_of_{k}").alias(k) for k in by], "global_start", "current_start", "start_ts", "end_ts", *attrs,
+        F.coalesce("_before.end_ts", "global_start").alias("_from"))
+    bad = ((F.col("start_ts") < F.col("global_start")) | (F.col("end_ts") > F.col("current_start"))
+           | (F.col("end_ts") <= F.col("start_ts")) | (F.col("_from") > F.col("start_ts")))
+    checked = met.filter("start_ts IS NOT NULL").withColumn("start_ts", F.when(bad, F.raise_error(F.lit(
+        "interval overlaps or is out of bounds"))).otherwise(F.col("start_ts")))
+    unknown = [F.lit(fill).alias(a) for a in attrs]
+    gaps = checked.filter(F.col("_from") < F.col("start_ts")).select(
+        *by, F.col("_from").alias("start_ts"), F.col("start_ts").alias("end_ts"), *unknown)
+    tails = met.groupBy(*by, "global_start", "current_start").agg(F.max("end_ts").alias("_end")).select(
+        *by, F.coalesce("_end", "global_start").alias("start_ts"), F.col("current_start").alias("end_ts"), *unknown)
+    return checked.select(*by, "start_ts", "end_ts", *attrs).unionByName(gaps).unionByName(
+        tails.filter(F.col("start_ts") < F.col("end_ts")))
+
+
+def violations(table: DataFrame, by: tuple[str, ...] = (), slice_seconds: int | None = None) -> DataFrame:
+    """Every rule a designation table (text columns) breaks: ``by``, ``start_utc``, ``problem``.
+
+    With ``by`` each key has a timeline of its own.
+    """
+    table = _neighbours(table.withColumn("_start", parse_utc("start_utc")), by, ["_start", "start_utc", "end_utc"],
+                        ["start_utc"], slice_seconds)
     start, is_open = parse_utc("start_utc"), F.col("end_utc") == OPEN
     end = F.when(~is_open, parse_utc("end_utc"))
-    last = F.lead("start_utc").over(order).isNull()
-    nxt = parse_utc(F.lead("start_utc").over(order))
+    last = F.col("_after.start_utc").isNull()
+    nxt = parse_utc(F.col("_after.start_utc"))
     sat_ok = F.col("primary_sat").isin([*VALID_SATS, UNKNOWN])
     second_ok = F.col("secondary_sat").isin([*VALID_SATS, UNKNOWN, NONE])
     rules = {
@@ -90,7 +145,7 @@ def violations(table: DataFrame) -> DataFrame:
     found = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(text))
                                for text, bad in rules.items()]), lambda x: x.isNotNull())
     return (table.withColumn("_problems", found)
-            .select("start_utc", F.explode("_problems").alias("problem")))
+            .select(*by, "start_utc", F.explode("_problems").alias("problem")))
 
 
 def validate(table: DataFrame) -> DataFrame:
@@ -116,9 +171,9 @@ def to_intervals(table: DataFrame) -> DataFrame:
 
 def label_asof(samples: DataFrame, intervals: DataFrame, attrs: list[str],
                time: str = "time_utc", slice_seconds: int = 86_400, by: tuple[str, ...] = ()) -> DataFrame:
-    """Backward as-of join: attributes of the latest interval that started at or before a sample.
+    """Backward as-of join with a timeline: attributes of the latest interval that started at or before a sample.
 
-    With ``by``, samples only meet intervals of their own key, and intervals are ordered per key; without,
+    For two large tables take :func:`asof_join`. With ``by``, samples only meet intervals of their own key, and intervals are ordered per key; without,
     all intervals are one timeline (a designation table). Interval ends play no part, as in any as-of join. Each interval is listed under the time
     slices in which it is in force, and samples look up their own slice with an equi-join plus a
     range test. A short list of intervals is broadcast by its measured size; a longer one shuffles
@@ -144,6 +199,38 @@ def label_asof(samples: DataFrame, intervals: DataFrame, attrs: list[str],
             .select(*[sliced[c] for c in samples.columns], *[side[a] for a in attrs]))
 
 
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, attrs: list[str]) -> DataFrame:
+    """Backward as-of join of two tables of any size: ``left`` with the ``attrs`` of its key's latest row in ``right``.
+
+    Rows of both sides are put into one order and cut into ranges of about equal size, ties included; the last
+    row of ``right`` is carried through each range, and from range to range in one row per key and range. Of rows
+    of ``right`` at one time the one with the largest attributes counts. A row without key or time meets nothing.
+    """
+    clash = set(left.columns) & set(attrs)
+    if clash:
+        raise ValueError(f"both sides have {sorted(clash)}")
+    own, found = F.struct(*left.columns), F.struct(*attrs)
+    kinds = {"_own": left.select(own.alias("x")).schema["x"].dataType, "_found": right.select(found.alias("x")).schema["x"].dataType}
+    keyed = right.filter(F.col(right_time).isNotNull()).dropna(subset=by) if by else right.filter(F.col(right_time).isNotNull())
+    both = left.select(
+        *by, F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.lit(None).cast(kinds["_found"]).alias("_found"),
+        F.xxhash64(*left.columns).alias("_salt"), own.alias("_own"),
+    ).unionAll(keyed.select(
+        *by, F.col(right_time).alias("_time"), F.lit(0).alias("_side"), found.alias("_found"), F.lit(0).cast("long").alias("_salt"),
+        F.lit(None).cast(kinds["_own"]).alias("_own")))
+    sliced = range_slices(both, [*by, "_time", "_side", "_found", "_salt"])
+    on = [*by, "_slice"]
+    ends = sliced.groupBy(*on).agg(F.max(F.when(F.col("_side") == 0, F.struct("_time", "_found"))).alias("_last"))
+    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*[F.col(c).alias(f"_on_{c}") for c in on], F.last("_last._found", ignorenulls=True).over(earlier).alias("_carry"))
+    upto = Window.partitionBy(*on).orderBy("_time", "_side", "_found").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = sliced.join(carried, same_keys(sliced, carried, on, "_on_")).withColumn(
+        "_met", F.coalesce(F.last("_found", ignorenulls=True).over(upto), F.col("_carry"))).filter("_side = 1")
+    timed = F.col("_time").isNotNull()
+    return met.select(*[F.col("_own")[c].alias(c) for c in left.columns],
+                      *[F.when(timed, F.col("_met")[a]).alias(a) for a in attrs])
+
+
 def assign_roles(samples: DataFrame, intervals: DataFrame | None, time: str = "time_utc",
                  series: str = "series", sat: str = "source_sat") -> DataFrame:
     """Add ``role``: from the series name where it says so, else from the intervals in force."""
@@ -172,23 +259,81 @@ def relabel(grid_rows: DataFrame, intervals: DataFrame, era_start: str, eras: tu
     return assign_roles(labelled, intervals, time, series, sat)
 
 
-def overlapping_spans(spans: DataFrame, name: str, start: str, end: str,
-                      slice_seconds: int) -> DataFrame:
+PAIRS = 1 << 18
+
+
+def _swept_pairs(begin: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) with ``begin[i] <= j < stop[i]``, about PAIRS at a time."""
+    before = np.concatenate(([0], np.cumsum(stop - begin)))
+    at = 0
+    while at < before[-1]:
+        upto = min(at + PAIRS, int(before[-1]))
+        place = np.arange(at, upto)
+        i = np.searchsorted(before, place, "right") - 1
+        yield i, begin[i] + place - before[i]
+        at = upto
+
+
+def _ordered_pairs(one: pa.Array, two: pa.Array, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of different names, the smaller one left."""
+    less, more = pc.less(one, two), pc.greater(one, two)
+    apart = pc.or_(less, more)
+    batch = pa.RecordBatch.from_arrays(
+        [pc.if_else(less, one, two), pc.if_else(less, two, one), pa.array(low), pa.array(high)],
+        names=["left_name", "right_name", "overlap_start", "overlap_end"])
+    yield batch.filter(apart)
+
+
+def overlapping_spans(spans: DataFrame, name: str, start: str, end: str) -> DataFrame:
     """Pairs of spans of different names that overlap, with the common stretch.
 
-    Spans meet only in time slices they share; a pair is reported in the slice where the common
-    stretch begins, so no pair is made twice and no distinct is needed.
+    A sweep over ranges of the starts: a range holds about equally many spans, and those still open at its first
+    start are carried into it. In a range the spans that start while another is open are a run of the sorted
+    starts, so the work is that of sorting and of the pairs themselves (spans of one name, which give no pair, are taken
+    not to overlap each other much). A span is carried only into ranges in which it meets a start.
     """
-    width = slice_seconds * 1_000_000
-    s = spans.withColumn("_slice", F.explode(F.sequence(
-        time_slice(start, width), time_slice(end, width))))
-    a, b = s.alias("a"), s.alias("b")
-    lo = F.greatest(F.col(f"a.{start}"), F.col(f"b.{start}"))
-    hi = F.least(F.col(f"a.{end}"), F.col(f"b.{end}"))
-    begins_here = F.floor(F.unix_micros(lo) / width) == F.col("a._slice")
-    return (
-        a.join(b, (F.col("a._slice") == F.col("b._slice"))
-               & (F.col(f"a.{name}") < F.col(f"b.{name}")) & (lo < hi) & begins_here)
-        .select(F.col(f"a.{name}").alias("left_name"), F.col(f"b.{name}").alias("right_name"),
-                lo.alias("overlap_start"), hi.alias("overlap_end"))
-    )
+    known = spans.filter(F.col(start) < F.col(end)).select(
+        F.unix_micros(start).alias("a"), F.unix_micros(end).alias("z"), F.col(name).alias("name"))
+    sliced = range_slices(known, ["a", "z", "name"])
+    # one number per range, as many as the session has shuffle partitions
+    firsts = sorted((r["_slice"], r["first"]) for r in sliced.groupBy("_slice").agg(F.min("a").alias("first")).collect())
+    slices, starts = np.array([s for s, _ in firsts], np.int64), np.array([f for _, f in firsts], np.int64)
+
+    def carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.searchsorted(slices, batch.column("_slice").to_numpy())
+            # ranges after its own whose first start comes before the span ends
+            times = np.maximum(np.searchsorted(starts, batch.column("z").to_numpy(), "left") - place, 1)
+            row = np.repeat(np.arange(len(times)), times)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            copies = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slices[place[row] + step]), pa.array(step == 0), *(copies.column(c) for c in ("a", "z", "name"))],
+                names=["_slice", "_own", "a", "z", "name"])
+
+    kind = sliced.schema["name"].dataType
+    long = T.LongType()
+    copied = T.StructType([T.StructField("_slice", long), T.StructField("_own", T.BooleanType()), T.StructField("a", long),
+                           T.StructField("z", long), T.StructField("name", kind)])
+    pairs = T.StructType([T.StructField("left_name", kind), T.StructField("right_name", kind),
+                          T.StructField("overlap_start", long), T.StructField("overlap_end", long)])
+    # spans in order, those carried into the range first
+    held = sliced.mapInArrow(carried, copied).groupBy("_slice").agg(
+        F.sort_array(F.collect_list(F.struct("_own", "a", "z", "name"))).alias("spans"))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group in batch.column("spans"):
+                own, a, z, names = (group.values.field(i) for i in range(4))
+                a, z = a.to_numpy(), z.to_numpy()
+                n_carried = int(np.searchsorted(own.to_numpy(zero_copy_only=False), True))
+                # what a span meets begins behind it, or with the range's first start
+                begin = np.maximum(np.arange(len(a)) + 1, n_carried)
+                stop = np.maximum(n_carried + np.searchsorted(a[n_carried:], z, "left"), begin)
+                for left, right in _swept_pairs(begin, stop):
+                    hi = np.minimum(z[left], z[right])
+                    one, two = names.take(pa.array(left)), names.take(pa.array(right))
+                    yield from _ordered_pairs(one, two, a[right], hi)
+
+    found = held.select("spans").mapInArrow(met, pairs)
+    return found.withColumns({c: F.timestamp_micros(c) for c in ("overlap_start", "overlap_end")})

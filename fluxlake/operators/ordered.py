@@ -9,6 +9,8 @@ following slice, and the two are joined on ``(series, slice)``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,52 @@ def keep_one(df: DataFrame, keys: list[str], order: list[str], keep: str = "last
     return picked.select(*keys, "_row.*").select(*df.columns)
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], prefix: str = "") -> Column:
+    """Null-safe equality of the keys, which ``right`` has under a prefix."""
+    return reduce(Column.__and__, [left[k].eqNullSafe(right[prefix + k]) for k in keys], F.lit(True))
+
+
+def _with_slices(df: DataFrame, keys: list[str], order: list[str], slice_expr: Column | None) -> DataFrame:
+    return range_slices(df, [*keys, *order]) if slice_expr is None else df.withColumn("_slice", slice_expr)
+
+
+def _joined_on_slice(sliced: DataFrame, borders: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``sliced`` with the columns of its slice's row; a missing key or slice meets a missing one."""
+    on = [*keys, "_slice"]
+    side = borders.select(*[F.col(c).alias(f"_on_{c}") for c in on], *columns)
+    return sliced.join(side, same_keys(sliced, side, on, "_on_")).drop(*[f"_on_{c}" for c in on])
+
+
+def beside(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
+           slice_expr: Column | None = None) -> DataFrame:
+    """Add ``_before`` and ``_after``: structs of ``columns`` of the neighbouring rows of the same key.
+
+    ``slice_expr``, if given, must be non-decreasing in ``order``; else the slices are ranges. A slice's border rows
+    come from one row per slice.
+    """
+    sliced = _with_slices(df, keys, order, slice_expr)
+    row, place = F.struct(*columns), F.struct(*order)
+    ends = sliced.groupBy(*keys, "_slice").agg(F.min_by(row, place).alias("_first"), F.max_by(row, place).alias("_last"))
+    along = Window.partitionBy(*keys).orderBy("_slice")
+    borders = ends.withColumns({"_carry": F.lag("_last").over(along), "_coming": F.lead("_first").over(along)})
+    inner = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    return _joined_on_slice(sliced, borders, keys, ["_carry", "_coming"]).withColumns({
+        "_before": F.coalesce(F.lag(row).over(inner), F.col("_carry")),
+        "_after": F.coalesce(F.lead(row).over(inner), F.col("_coming"))}).drop("_slice", "_carry", "_coming")
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
+                slice_expr: Column | None = None) -> DataFrame:
+    """Add the sum of ``value`` over the rows of the same key up to each row."""
+    sliced = _with_slices(df, keys, order, slice_expr)
+    along = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sliced.groupBy(*keys, "_slice").agg(F.sum(value).alias("_sum")).withColumn(
+        "_earlier", F.coalesce(F.sum("_sum").over(along), F.lit(0)))
+    inner = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _joined_on_slice(sliced, sums, keys, ["_earlier"]).withColumn(
+        out, F.col("_earlier") + F.sum(value).over(inner)).drop("_slice", "_earlier")
+
+
 def previous_value(df: DataFrame, keys: list[str], order: str, value: str, slice_expr: Column | None = None,
                    out: str = "previous") -> DataFrame:
     """Add ``value`` of the preceding row of the same key in ``order`` (NULL for the first).

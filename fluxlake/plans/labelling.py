@@ -33,15 +33,15 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
                       _mapped("series", {k: v[1] for k, v in SERIES.items()}).alias("source_sat"))
 
 
-def _daily_leaders(samples: DataFrame) -> DataFrame:
-    """Per day the two busiest per-satellite series, as a designation would list them."""
+def _daily_leaders(samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per key and day the two busiest per-satellite series, as a designation would list them."""
     daily = (samples.filter(F.col("series").rlike("^G[0-9]"))
-             .groupBy(F.date_trunc("day", "time_utc").alias("start_ts"), "source_sat")
+             .groupBy(*by, F.date_trunc("day", "time_utc").alias("start_ts"), "source_sat")
              .agg(F.count("*").alias("n")))
-    order = Window.partitionBy("start_ts").orderBy(F.col("n").desc(), "source_sat")
+    order = Window.partitionBy(*by, "start_ts").orderBy(F.col("n").desc(), "source_sat")
     ranked = daily.withColumn("k", F.row_number().over(order)).filter("k <= 2")
     pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
-    return ranked.groupBy("start_ts").agg(
+    return ranked.groupBy(*by, "start_ts").agg(
         pick(1, "source_sat").cast("string").alias("primary_sat"),
         pick(2, "source_sat").cast("string").alias("secondary_sat"),
         pick(1, "n").alias("n1"), pick(2, "n").alias("n2"))
@@ -64,7 +64,7 @@ def asof_by_series(spark: SparkSession, d: str) -> DataFrame:
     obs = event_obs(spark, d)
     hours = grid.bin_mean(obs, 60).select("series", F.col("bin_ts").alias("start_ts"), F.col("n_samples").alias("hour_n"))
     late = obs.withColumn("time_utc", F.col("time_utc") + F.expr("INTERVAL 90 MINUTES"))
-    out = intervals.label_asof(late.select("event_id", "series", "time_utc"), hours, ["start_ts", "hour_n"], by=("series",))
+    out = intervals.asof_join(late.select("event_id", "series", "time_utc"), hours, ["series"], "time_utc", "start_ts", ["start_ts", "hour_n"])
     return out.select("event_id", "series", stamp("start_ts").alias("hour_start"), "hour_n")
 
 
@@ -83,36 +83,56 @@ def undesignated_roles(spark: SparkSession, d: str) -> DataFrame:
     return quality.rows_by(out, ["series", "role"])
 
 
+def asof_lines(spark: SparkSession, d: str) -> DataFrame:
+    """As-of join of ``lineitem`` with itself: the supplier's last line that was shipped 30 days or more before."""
+    lines = table(spark, d, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate"])
+    earlier = lines.select("l_suppkey", (F.col("l_shipdate").cast("timestamp") + F.expr("INTERVAL 30 DAYS")).alias("from_ts"),
+                           F.col("l_shipdate").alias("earlier_date"), F.col("l_orderkey").alias("earlier_order"),
+                           F.col("l_linenumber").alias("earlier_line"))
+    out = intervals.asof_join(lines.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp")), earlier, ["l_suppkey"],
+                              "l_shipdate", "from_ts", ["earlier_date", "earlier_order", "earlier_line"])
+    return out.select("l_orderkey", "l_linenumber", "l_suppkey", stamp("l_shipdate").alias("l_shipdate"),
+                      stamp("earlier_date").alias("earlier_date"), "earlier_order", "earlier_line")
+
+
+SITES = 3
+MONTH_SECONDS = 30 * 86_400
+
+
+def _site_leaders(spark: SparkSession, d: str) -> DataFrame:
+    return _daily_leaders(_samples(spark, d).withColumn("site", F.pmod("event_id", F.lit(SITES)).cast("int")), ("site",))
+
+
 def interval_build(spark: SparkSession, d: str) -> DataFrame:
-    """Days with a clear leader are cited; the rest of the timeline is ``unknown``."""
-    leaders = _daily_leaders(_samples(spark, d))
+    """Per site, days with a clear leader are cited; the rest of the site's timeline is ``unknown``."""
+    leaders = _site_leaders(spark, d)
     day = F.expr("INTERVAL 1 DAY")
-    attrs = ["primary_sat", "secondary_sat"]
+    attrs, by = ["primary_sat", "secondary_sat"], ("site",)
     cited = (leaders.filter(F.col("n1") >= LEAD_SHARE * F.col("n2"))
-             .select("start_ts", (F.col("start_ts") + day).alias("end_ts"), *attrs))
-    merged = intervals.merge_equal(cited, attrs)
-    lo, hi = leaders.agg(F.min("start_ts"), F.max("start_ts") + day).first()
-    filled = intervals.fill_unknown(merged, F.lit(lo), F.lit(hi), attrs)
-    return filled.select(stamp("start_ts").alias("start_utc"), stamp("end_ts").alias("end_utc"), *attrs)
+             .select(*by, "start_ts", (F.col("start_ts") + day).alias("end_ts"), *attrs))
+    merged = intervals.merge_equal(cited, attrs, by, MONTH_SECONDS)
+    bounds = leaders.groupBy(*by).agg(F.min("start_ts").alias("global_start"), (F.max("start_ts") + day).alias("current_start"))
+    filled = intervals.fill_unknown_by(merged, bounds, attrs, by, MONTH_SECONDS)
+    return filled.select(*by, stamp("start_ts").alias("start_utc"), stamp("end_ts").alias("end_utc"), *attrs)
 
 
 def interval_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Checks of a text table whose unclear days end a day late or name an unknown satellite."""
-    leaders = _daily_leaders(_samples(spark, d))
+    """Checks of each site's text table, whose unclear days end a day late or name an unknown satellite."""
+    leaders = _site_leaders(spark, d)
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     clear = F.col("n1") >= LEAD_SHARE * F.col("n2")
     late = F.col("start_ts") + F.expr("INTERVAL 2 DAYS")
     day = F.col("start_ts") + F.expr("INTERVAL 1 DAY")
     text = leaders.select(
-        iso("start_ts").alias("start_utc"), iso(F.when(clear, day).otherwise(late)).alias("end_utc"),
+        "site", iso("start_ts").alias("start_utc"), iso(F.when(clear, day).otherwise(late)).alias("end_utc"),
         F.lit("proton").alias("instrument"), "primary_sat",
         F.when(F.col("n2") > 20, "77").otherwise(F.col("secondary_sat")).alias("secondary_sat"))
-    return intervals.violations(text)
+    return intervals.violations(text, ("site",), MONTH_SECONDS)
 
 
 def interval_overlaps(spark: SparkSession, d: str) -> DataFrame:
     segs = grid.segments(event_obs(spark, d), gap_seconds=3600)
-    out = intervals.overlapping_spans(segs, "series", "seg_start", "seg_end", 6 * 3600)
+    out = intervals.overlapping_spans(segs, "series", "seg_start", "seg_end")
     return out.select("left_name", "right_name", stamp("overlap_start").alias("overlap_start"),
                       stamp("overlap_end").alias("overlap_end"))
 
@@ -339,6 +359,13 @@ LEADERS_SQL = f"""{SAMPLES_SQL},
     lead AS (SELECT CAST(a AS TIMESTAMP) AS a, max(CASE WHEN k = 1 THEN sat END) AS p,
                     max(CASE WHEN k = 2 THEN sat END) AS s, max(CASE WHEN k = 1 THEN n END) AS n1,
                     max(CASE WHEN k = 2 THEN n END) AS n2 FROM rk GROUP BY 1)"""
+SITE_LEADERS_SQL = f"""{SAMPLES_SQL},
+    daily AS (SELECT CAST(id % {SITES} AS INTEGER) AS site, date_trunc('day', t) AS a, sat, count(*) AS n FROM smp
+              WHERE series NOT IN ('Gp', 'Gs') GROUP BY 1, 2, 3),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY site, a ORDER BY n DESC, sat) AS k FROM daily),
+    lead AS (SELECT site, CAST(a AS TIMESTAMP) AS a, max(CASE WHEN k = 1 THEN sat END) AS p,
+                    max(CASE WHEN k = 2 THEN sat END) AS s, max(CASE WHEN k = 1 THEN n END) AS n1,
+                    max(CASE WHEN k = 2 THEN n END) AS n2 FROM rk GROUP BY 1, 2)"""
 ROLES_SQL = f"""{LEADERS_SQL},
     roled AS (SELECT smp.*, CASE WHEN series = 'Gp' THEN 'primary' WHEN series = 'Gs' THEN 'secondary'
               WHEN sat = p THEN 'primary' WHEN sat = s THEN 'secondary' ELSE 'other' END AS role
@@ -383,18 +410,31 @@ QUERIES = {
     "undesignated_roles": (undesignated_roles, (
         f"WITH {SAMPLES_SQL} SELECT series, CASE series WHEN 'Gp' THEN 'primary' WHEN 'Gs' THEN 'secondary' "
         "ELSE 'undesignated' END AS role, count(*) AS n_rows FROM smp GROUP BY 1, 2")),
-    "interval_build": (interval_build, f"""WITH {LEADERS_SQL},
-        day AS (SELECT a, CASE WHEN n1 >= {LEAD_SHARE} * n2 THEN CAST(p AS VARCHAR) ELSE 'unknown' END AS p,
-                CASE WHEN n1 >= {LEAD_SHARE} * n2 THEN CAST(s AS VARCHAR) ELSE 'unknown' END AS s FROM lead),
-        f AS (SELECT *, CASE WHEN lag(p) OVER w = p AND lag(s) OVER w = s THEN 0 ELSE 1 END AS nw FROM day
-              WINDOW w AS (ORDER BY a)),
-        g AS (SELECT *, sum(nw) OVER (ORDER BY a) AS k FROM f)
-        SELECT {ts('min(a)', 'start_utc')}, {ts('max(a) + INTERVAL 1 DAY', 'end_utc')},
-               p AS primary_sat, s AS secondary_sat FROM g GROUP BY k, p, s"""),
-    "interval_violations": (interval_violations, f"""WITH {LEADERS_SQL}, x AS (SELECT *, lead(a) OVER (ORDER BY a) AS na,
+    "asof_lines": (asof_lines, f"""
+        WITH e AS (SELECT l_suppkey AS k, CAST(l_shipdate AS TIMESTAMP) + INTERVAL 30 DAY AS a, l_shipdate AS d, l_orderkey AS o, l_linenumber AS n
+                   FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey DESC, l_linenumber DESC) = 1),
+        l AS (SELECT *, CAST(l_shipdate AS TIMESTAMP) AS t FROM lineitem)
+        SELECT l_orderkey, l_linenumber, l_suppkey, {ts('t', 'l_shipdate')}, {ts('e.d', 'earlier_date')}, e.o AS earlier_order, e.n AS earlier_line
+        FROM l ASOF LEFT JOIN e ON l.l_suppkey = e.k AND l.t >= e.a"""),
+    "interval_build": (interval_build, f"""WITH {SITE_LEADERS_SQL},
+        day AS (SELECT site, a, CASE WHEN n1 >= {LEAD_SHARE} * n2 THEN CAST(p AS VARCHAR) END AS p,
+                CASE WHEN n1 >= {LEAD_SHARE} * n2 THEN CAST(s AS VARCHAR) END AS s, n1 >= {LEAD_SHARE} * n2 AS cited FROM lead),
+        lim AS (SELECT site, min(a) AS lo, max(a) + INTERVAL 1 DAY AS hi FROM lead GROUP BY site),
+        c AS (SELECT * FROM day WHERE cited),
+        f AS (SELECT *, CASE WHEN lag(p) OVER w = p AND lag(s) OVER w IS NOT DISTINCT FROM s AND lag(a) OVER w + INTERVAL 1 DAY = a
+              THEN 0 ELSE 1 END AS nw FROM c WINDOW w AS (PARTITION BY site ORDER BY a)),
+        g AS (SELECT *, sum(nw) OVER (PARTITION BY site ORDER BY a) AS k FROM f),
+        m AS (SELECT site, min(a) AS x, max(a) + INTERVAL 1 DAY AS y, p, s FROM g GROUP BY site, k, p, s),
+        n AS (SELECT *, lag(y) OVER (PARTITION BY site ORDER BY x) AS py FROM m),
+        u AS (SELECT site, x, y, p, s FROM m
+              UNION ALL SELECT n.site, coalesce(py, lo), x, 'unknown', 'unknown' FROM n JOIN lim USING (site) WHERE coalesce(py, lo) < x
+              UNION ALL SELECT site, coalesce(my, lo), hi, 'unknown', 'unknown' FROM lim LEFT JOIN
+                (SELECT site, max(y) AS my FROM m GROUP BY site) USING (site) WHERE coalesce(my, lo) < hi)
+        SELECT site, {ts('x', 'start_utc')}, {ts('y', 'end_utc')}, p AS primary_sat, s AS secondary_sat FROM u"""),
+    "interval_violations": (interval_violations, f"""WITH {SITE_LEADERS_SQL}, x AS (SELECT *, lead(a) OVER (PARTITION BY site ORDER BY a) AS na,
         a + CASE WHEN n1 >= {LEAD_SHARE} * n2 THEN INTERVAL 1 DAY ELSE INTERVAL 2 DAY END AS e FROM lead)
-        SELECT strftime(a, '%Y-%m-%dT%H:%M:%SZ') AS start_utc, 'not contiguous with the next row' AS problem FROM x WHERE e <> na
-        UNION ALL SELECT strftime(a, '%Y-%m-%dT%H:%M:%SZ'), 'invalid secondary satellite' FROM x WHERE n2 > 20"""),
+        SELECT site, strftime(a, '%Y-%m-%dT%H:%M:%SZ') AS start_utc, 'not contiguous with the next row' AS problem FROM x WHERE e <> na
+        UNION ALL SELECT site, strftime(a, '%Y-%m-%dT%H:%M:%SZ'), 'invalid secondary satellite' FROM x WHERE n2 > 20"""),
     "interval_overlaps": (interval_overlaps, f"""
         WITH a AS (SELECT series, t, lag(t) OVER (PARTITION BY series ORDER BY t) AS pt FROM ({EVENT_OBS})),
         b AS (SELECT *, sum(CASE WHEN t - pt > INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER

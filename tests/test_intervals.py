@@ -1,5 +1,7 @@
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,5 +85,78 @@ def test_roles(spark):
 def test_overlaps_reported_once(spark):
     df = spark.createDataFrame([("a", datetime(2000, 1, 1), datetime(2000, 3, 1)), ("b", datetime(2000, 2, 1), datetime(2000, 4, 1)),
                                 ("c", datetime(2000, 3, 1), datetime(2000, 5, 1))], "n string, s timestamp, e timestamp")
-    out = intervals.overlapping_spans(df, "n", "s", "e", 7 * 86_400).collect()
+    out = intervals.overlapping_spans(df, "n", "s", "e").collect()
     assert sorted((r.left_name, r.right_name) for r in out) == [("a", "b"), ("b", "c")]
+
+
+def test_many_spans_of_one_range_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    start = rng.integers(0, 4000, 400)
+    length = np.where(rng.random(400) < 0.05, 3000, rng.integers(0, 60, 400))
+    rows = [(f"n{i % 60}", int(s), int(s + n)) for i, (s, n) in enumerate(zip(start, length, strict=True))]
+    df = spark.createDataFrame(rows, "n string, s long, e long").select(
+        "n", F.timestamp_seconds("s").alias("s"), F.timestamp_seconds("e").alias("e")).repartition(3)
+    got = [(r.left_name, r.right_name, r.overlap_start.timestamp(), r.overlap_end.timestamp())
+           for r in intervals.overlapping_spans(df, "n", "s", "e").collect()]
+    zero = datetime(1970, 1, 1).timestamp()
+    want = [(min(p[0], q[0]), max(p[0], q[0]), zero + max(p[1], q[1]), zero + min(p[2], q[2]))
+            for i, p in enumerate(rows) for q in rows[:i] if p[0] != q[0] and max(p[1], q[1]) < min(p[2], q[2])]
+    assert sorted(got) == sorted(want)
+
+
+def test_short_spans_in_one_slice_cost_their_pairs(spark):
+    n = 100_000
+    df = spark.range(n).select(F.col("id").cast("string").alias("n"), F.timestamp_millis(F.col("id") * 10).alias("s"),
+                               F.timestamp_millis(F.col("id") * 10 + 15).alias("e"))
+    assert intervals.overlapping_spans(df, "n", "s", "e").count() == n - 1
+    assert intervals.overlapping_spans(df.limit(0), "n", "s", "e").count() == 0
+
+
+def test_asof_of_two_tables_against_brute_force(spark):
+    rng = random.Random(3)
+    at = lambda s: datetime(2000, 1, 1) + timedelta(seconds=s)
+    key = lambda: rng.choice(["hot"] * 8 + ["a", "b", None])
+    left = [(i, key(), at(rng.randrange(300))) for i in range(600)] + [(600, "hot", None), (601, "alone", at(5))]
+    left += [(700 + i, "hot", at(100)) for i in range(400)]
+    right = [(key(), at(rng.randrange(300)), rng.randrange(50)) for _ in range(400)] + [("hot", None, 1)]
+    a = spark.createDataFrame(left, "id long, k string, t timestamp").repartition(5)
+    b = spark.createDataFrame(right, "k string, since timestamp, v long").repartition(3)
+    for by in (["k"], []):
+        out = intervals.asof_join(a, b if by else b.drop("k"), by, "t", "since", ["since", "v"])
+        got = sorted((r.id, r.since, r.v) for r in out.collect())
+        want = []
+        for i, k, t in left:
+            ok = [(s, v) for kk, s, v in right if t and s and s <= t and (not by or (k == kk and k is not None))]
+            want.append((i, *max(ok, default=(None, None))))
+        assert got == sorted(want)
+    with pytest.raises(ValueError):
+        intervals.asof_join(a, b, ["k"], "t", "since", ["k"])
+
+
+def test_interval_tables_by_key_in_slices(spark):
+    """Sliced by days, two keys and a whole timeline give the same as one timeline each."""
+    rows = [("x", 3, 5, "8"), ("x", 5, 7, "8"), ("x", 7, 8, "9"), ("x", 10, 12, "9"), ("y", 2, 4, "8"), (None, 4, 6, "7")]
+    cited = spark.createDataFrame([(k, datetime(2000, 1, a), datetime(2000, 1, b), p) for k, a, b, p in rows],
+                                  "k string, start_ts timestamp, end_ts timestamp, sat string")
+    merged = intervals.merge_equal(cited, ["sat"], ("k",), 86_400)
+    bounds = spark.createDataFrame([(k, datetime(2000, 1, 1), datetime(2000, 1, 15)) for k in ("x", "y", "z", None)],
+                                   "k string, global_start timestamp, current_start timestamp")
+    filled = intervals.fill_unknown_by(merged, bounds, ["sat"], ("k",), 86_400)
+    got = {k: days(filled.filter(F.col("k").eqNullSafe(F.lit(k)))) for k in ("x", "y", "z", None)}
+    assert got == {
+        "x": [(1, 3, "unknown"), (3, 7, "8"), (7, 8, "9"), (8, 10, "unknown"), (10, 12, "9"), (12, 15, "unknown")],
+        "y": [(1, 2, "unknown"), (2, 4, "8"), (4, 15, "unknown")], "z": [(1, 15, "unknown")],
+        None: [(1, 4, "unknown"), (4, 6, "7"), (6, 15, "unknown")]}
+    over = cited.unionByName(cited.filter("k = 'y'").withColumn("start_ts", F.col("start_ts") + F.expr("INTERVAL 1 DAY")))
+    with pytest.raises(Exception, match="overlaps or is out of bounds"):
+        intervals.fill_unknown_by(over, bounds, ["sat"], ("k",), 86_400).collect()
+    ended = intervals.interval_ends(cited.drop("end_ts"), F.lit(datetime(2000, 2, 1)), by=("k",), slice_seconds=86_400)
+    assert days(ended.filter("k = 'x'")) == [(3, 5, "8"), (5, 7, "8"), (7, 10, "9"), (10, 1, "9")]
+
+
+def test_violations_by_key_in_slices(spark):
+    bad = [("2000-01-01T00:00:00Z", "2000-06-01T00:00:00Z", "proton", "8", "none"), ("2001-01-01", "open", "proton", "10", "unknown"), GOOD[1]]
+    by_key = table(spark, GOOD).withColumn("k", F.lit("good")).unionByName(table(spark, bad).withColumn("k", F.lit("bad")))
+    got = sorted(tuple(r) for r in intervals.violations(by_key, ("k",), 86_400).collect())
+    alone = sorted(("bad", *r) for r in intervals.violations(table(spark, bad)).collect())
+    assert got == alone and {p for _, _, p in got} == {"bad start time", "not contiguous with the next row", "open end before the last row"}
