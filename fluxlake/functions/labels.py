@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Era boundary, regime texts and flags, run-name pattern.
+# Era boundary, regime texts and flags, file names.
 ERA_BOUNDARY = "2020-01-01"
 REGIME_NEW = "goes-r (GOES-16..19); GOES-16 onward = new XRS calibration regime"
 REGIME_OLD = "pre-goes16 (legacy GOES-08..15, EPS-era reprocessed)"
 FLAG_ANOMALOUS = (13, "goes13_anomalous_mode")
 FLAG_MATURITY = (19, "maturity_check_goes19")
-CELL_PATTERN = r"^(?:bench/)?(uni_a|uni_b|multi)_seq(\d+)_pred(\d+)_f(\d+)_(direct|recursive|statistic)$"
 YEARLY_NAME = r"(?i)^sci_xrsf-l2-avg1m_g(\d{2})_y(\d{4})_v(\d+-\d+-\d+)\.nc$"
 MISSION_NAME = r"(?i)^sci_xrsf-l2-avg1m_g(\d{2})_s(\d{8})_e(\d{8})_v(\d+-\d+-\d+)\.nc$"
 DAILY_NAME = r"(?i)^sci_sgps-l2-(avg1m|avg5m)_g(\d{2})_d(\d{8})_v(\d+-\d+-\d+)\.nc$"
 
+TRACKS = ("uni_a", "uni_b", "multi")
+STRATEGIES = ("direct", "recursive", "statistic")
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -55,10 +60,12 @@ def cell_name(track: Column, seq: Column, pred: Column, fold: Column, strategy:
     return F.format_string("%s_seq%d_pred%d_f%d_%s", track, seq, pred, fold, strategy)
 
 
-def parse_cell_name(name: str | Column) -> list[Column]:
+def parse_cell_name(name: str | Column, tracks: Sequence[str] = TRACKS, strategies: Sequence[str] = STRATEGIES) -> list[Column]:
     """Track, seq_len, pred_len, fold, strategy of a run name; NULLs for any other name."""
     c = _col(name)
-    part = lambda i: F.nullif(F.regexp_extract(c, CELL_PATTERN, i), F.lit(""))
+    one_of = lambda words: "(" + "|".join(map(re.escape, words)) + ")"
+    pattern = rf"^(?:bench/)?{one_of(tracks)}_seq(\d+)_pred(\d+)_f(\d+)_{one_of(strategies)}$"
+    part = lambda i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
     return [part(1).alias("track"), part(2).cast("int").alias("seq_len"),
             part(3).cast("int").alias("pred_len"), part(4).cast("int").alias("fold"),
             part(5).alias("strategy")]

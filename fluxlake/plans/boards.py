@@ -226,7 +226,7 @@ def cell_names(spark: SparkSession, d: str) -> DataFrame:
     named = runs.select(F.concat(F.lit("bench/"), labels.cell_name(
         *[F.col(c) for c in ("track", "seq_len", "pred_len", "fold", "strategy")])).alias("name"),
         labels.input_length("seq_len", 480).alias("input"))
-    return named.select("name", "input", *labels.parse_cell_name("name"))
+    return named.select("name", "input", *labels.parse_cell_name("name", tuple(TRACKS)))
 
 
 # ---- SQL counterparts -------------------------------------------------------------------------

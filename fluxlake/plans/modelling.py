@@ -118,7 +118,7 @@ def _fold_bins(spark: SparkSession, d: str) -> DataFrame:
 
 def linear_weights(spark: SparkSession, d: str) -> DataFrame:
     """Weights of the direct linear forecaster per fold (two inputs, two steps ahead)."""
-    bins = order_bins(spark, d).filter(F.col("track") != "multi")
+    bins = order_bins(spark, d)
     model = forecast.LinearModel(2, 2)
     weights = forecast.fit_folds(bins, bins.select("term", "term_idx").distinct(), model, N_FOLD)
     rows = [(f, lead, j, float(w[j, lead])) for f, w in weights.items()
@@ -153,9 +153,17 @@ def recursive_forecast(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ar_forecast(spark: SparkSession, d: str) -> DataFrame:
-    bins = _fold_bins(spark, d).filter(F.col("track") != "multi")
-    p = forecast.stat_predictions(bins, "ar", 5, 2, DAY_MIN)
-    return rounded(p.select("channel", "fold", stamp("forecast_start").alias("forecast_start"),
+    return _ar(spark, d, 5, lags=1)
+
+
+def ar_two_lags(spark: SparkSession, d: str) -> DataFrame:
+    return _ar(spark, d, 8, lags=2)
+
+
+def _ar(spark: SparkSession, d: str, seq_len: int, lags: int) -> DataFrame:
+    """An autoregression fitted to every window, two steps ahead."""
+    p = forecast.stat_predictions(_fold_bins(spark, d), "ar", seq_len, 2, DAY_MIN, lags=lags)
+    return rounded(p.select("track", "channel", "fold", stamp("forecast_start").alias("forecast_start"),
                             F.posexplode("pred").alias("lead", "pred")), ["pred"])
 
 
@@ -232,7 +240,7 @@ _DFT = f"""{_WK}, fr AS (SELECT DISTINCT series, n, unnest(range(0, n // 2 + 1))
     am AS MATERIALIZED (SELECT *, CASE WHEN f = 0 THEN 0 ELSE sqrt(re * re + im * im) END AS amp FROM sp)"""
 _LIN = f"""WITH {ORDER_PRED_SQL}, tbk2 AS MATERIALIZED (SELECT *, concat_ws('|', track, channel, term, idx) AS k,
       concat_ws('|', track, channel, term, idx + 1) AS k1, concat_ws('|', track, channel, term, idx + 2) AS k2,
-      concat_ws('|', track, channel, term, idx + 3) AS k3 FROM tb WHERE track <> 'multi'),
+      concat_ws('|', track, channel, term, idx + 3) AS k3 FROM tb),
     w2 AS MATERIALIZED (SELECT a.term, a.value AS x0, b.value AS x1, c.value AS y0, e.value AS y1
       FROM tbk2 a JOIN tbk2 b ON b.k = a.k1 JOIN tbk2 c ON c.k = a.k2 JOIN tbk2 e ON e.k = a.k3),
     tr AS (SELECT fold, x0, x1, l.lead, CASE l.lead WHEN 0 THEN y0 ELSE y1 END AS y FROM w2 JOIN terms USING (term),
@@ -243,6 +251,23 @@ _LIN = f"""WITH {ORDER_PRED_SQL}, tbk2 AS MATERIALIZED (SELECT *, concat_ws('|',
     wt AS (SELECT fold, lead, (b*u - c*v) / (a*b - c*c) AS w0, (a*v - c*u) / (a*b - c*c) AS w1, m0, m1, my FROM cv)
     """
 
+
+_WINDOW = "track, channel, term, term_idx, s"
+_FOLD = f"CAST((term_idx + 1) % {N_FOLD} AS INTEGER) AS fold"
+
+
+def _windows_sql(length: int) -> str:
+    """Gap-free windows of the binned order tracks: ``i`` holds the values from bin ``s`` on."""
+    return f"""{ORDER_PRED_SQL}, wn AS (SELECT track, channel, term, term_idx, idx AS s, i FROM (
+        SELECT *, list(value) OVER w AS i, max(idx) OVER w AS upto FROM tb
+        WINDOW w AS (PARTITION BY track, channel, term ORDER BY idx ROWS BETWEEN CURRENT ROW AND {length - 1} FOLLOWING))
+        WHERE len(i) = {length} AND upto = idx + {length - 1})"""
+
+
+def _starts(seq_len: int) -> str:
+    return ts(f"make_timestamp((s + {seq_len}) * 86400000000)", "forecast_start")
+
+
 def _det(m: list[list[str]]) -> str:
     """Determinant, written out."""
     if len(m) == 1:
@@ -367,13 +392,20 @@ QUERIES = {
     "decomposition_forecast": (decomposition_forecast, _least_squares_sql("dlinear", "direct", _INPUTS, _ridge(1e-3, _FORM))),
     "recursive_forecast": (recursive_forecast, _least_squares_sql("linear", "recursive", _INPUTS, _ridge(0.0, np.eye(3)))),
     "ar_forecast": (ar_forecast, (
-        f"WITH {ORDER_PRED_SQL}, q AS MATERIALIZED (SELECT *, max(idx) OVER (PARTITION BY channel, term, grp) AS ml FROM "
-        "(SELECT channel, term, term_idx, idx, value, idx - row_number() OVER (PARTITION BY channel, term ORDER BY idx) AS grp FROM tb WHERE track <> 'multi')), "
-        "pr AS (SELECT a.channel, a.term, a.term_idx, a.idx AS s, x.value AS u, y.value AS v, o.o FROM q a JOIN (SELECT unnest(range(4)) AS o) o ON a.idx + 6 <= a.ml "
-        "JOIN q x ON x.idx = a.idx + o.o AND x.channel = a.channel JOIN q y ON y.idx = a.idx + o.o + 1 AND y.channel = a.channel "
-        "WHERE x.term = a.term AND y.term = a.term), ft AS (SELECT channel, term, term_idx, s, regr_slope(v, u) AS b, regr_intercept(v, u) AS a, max(CASE WHEN o = 3 THEN v END) AS l FROM pr GROUP BY 1, 2, 3, 4) "
-        f"SELECT channel, CAST((term_idx + 1) % {N_FOLD} AS INTEGER) AS fold, {ts('make_timestamp((s + 5) * 86400000000)', 'forecast_start')}, "
-        f"h AS lead, {r('CASE h WHEN 0 THEN a + b * l ELSE a + b * (a + b * l) END', 'pred')} FROM ft, (VALUES (0), (1)) hh(h)")),
+        f"WITH {_windows_sql(7)}, "
+        f"ft AS (SELECT {_WINDOW}, any_value(i) AS i, regr_slope(y, u) AS b, regr_intercept(y, u) AS a FROM "
+        f"(SELECT {_WINDOW}, i, unnest(i[2:5]) AS y, unnest(i[1:4]) AS u FROM wn) GROUP BY {_WINDOW}), "
+        "fc AS (SELECT *, a + b * i[5] AS f1 FROM ft) "
+        f"SELECT track, channel, {_FOLD}, {_starts(5)}, h AS lead, {r('CASE h WHEN 0 THEN f1 ELSE a + b * f1 END', 'pred')} "
+        "FROM fc, (VALUES (0), (1)) hh(h)")),
+    "ar_two_lags": (ar_two_lags, (
+        f"WITH {_windows_sql(10)}, cv AS (SELECT {_WINDOW}, any_value(i) AS i, var_pop(u) AS a, var_pop(v) AS b, covar_pop(u, v) AS c, "
+        "covar_pop(u, y) AS p, covar_pop(v, y) AS q, avg(u) AS mu, avg(v) AS mv, avg(y) AS my FROM "
+        f"(SELECT {_WINDOW}, i, unnest(i[3:8]) AS y, unnest(i[2:7]) AS u, unnest(i[1:6]) AS v FROM wn) GROUP BY {_WINDOW}), "
+        "ft AS (SELECT *, (b * p - c * q) / (a * b - c * c) AS w1, (a * q - c * p) / (a * b - c * c) AS w2 FROM cv), "
+        "fc AS (SELECT *, my + w1 * (i[8] - mu) + w2 * (i[7] - mv) AS f1 FROM ft) "
+        f"SELECT track, channel, {_FOLD}, {_starts(8)}, h AS lead, "
+        f"{r('CASE h WHEN 0 THEN f1 ELSE my + w1 * (f1 - mu) + w2 * (i[8] - mv) END', 'pred')} FROM fc, (VALUES (0), (1)) hh(h)")),
     "losses": (losses, (
         f"WITH {ORDER_PRED_SQL}, e AS (SELECT *, p::DOUBLE - y AS d FROM pred) SELECT {RUN}, channel, {r('avg(d*d)', 'mse')}, "
         f"{r('avg(abs(d))', 'mae')}, {r('avg(CASE WHEN abs(d) <= 1 THEN 0.5*d*d ELSE abs(d) - 0.5 END)', 'huber')}, "

@@ -151,3 +151,26 @@ def test_formula_check_allows_for_rounding(spark):
     got = {(r.id, r.metric): r.ok for r in compare.formula_check(pub, ["id"], ["hss", "csi"]).collect()}
     assert got == {(1, "hss"): True, (1, "csi"): True, (2, "hss"): True, (2, "csi"): False,
                    (3, "hss"): True, (3, "csi"): True}
+
+
+@pytest.mark.parametrize("diffs", [[1, 2, 3, -4, 5], [1, 1, -1, 2, 0, 3], [-1, -2, -3], [0.5] * 6, [1, -1, 1, 1, 2, -2, 3, 3, 3, 7]])
+def test_frequency_sums_equal_the_listed_distribution(spark, diffs):
+    _, p = brute_p(diffs)
+    row = significance.signed_rank(pairs(spark, diffs), listed=0).first()
+    assert row.p_value == pytest.approx(p, abs=1e-13)
+
+
+def test_signed_rank_of_twenty_thousand_pairs(spark):
+    """No rival has its ranks in a row; the tail is close to the normal limit, and ties change its spread."""
+    n = 20_000
+    i = F.col("id")
+    df = spark.range(n).select(
+        i.alias("cell"), F.lit("apart").alias("rival"), F.lit(0.0).alias("rival_value"),
+        (F.when(F.pmod(F.xxhash64("id"), F.lit(1000)) < 507, 1).otherwise(-1) * (i + 1)).cast("double").alias("champion_value"))
+    tied = df.withColumn("rival", F.lit("tied")).withColumn("champion_value", F.signum("champion_value") * F.ceil((F.col("cell") + 1) / 400))
+    for row in significance.signed_rank(df.unionAll(tied)).collect():
+        size = np.arange(1, n + 1) if row.rival == "apart" else np.repeat(np.arange(200, n, 400) + 0.5, 400)
+        spread = math.sqrt(np.sum(size**2.0)) / 2
+        z = (row.w_plus - 0.5 - size.sum() / 2) / spread
+        assert row.n == n and row.p_value == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=2e-3)
+        assert 1e-8 < row.p_value < 0.3

@@ -263,6 +263,18 @@ def test_labels(spark):
     assert rows[1].sat is None and rows[1].track is None and rows[1].len == "6-hour"
 
 
+def test_run_names_of_any_track(spark):
+    tracks = ("uni_a", "a.b", "multi")
+    cells = [(t, n, n + 1, n % 3, s) for n, t in enumerate(tracks) for s in labels.STRATEGIES]
+    df = spark.createDataFrame(cells, "t string, q int, p int, f int, s string").select(
+        labels.cell_name(*[F.col(c) for c in "tqpfs"]).alias("n"))
+    assert sorted(tuple(r) for r in df.select(*labels.parse_cell_name("n", tracks)).collect()) == sorted(cells)
+    other = ["multi_seq1_pred2_f3", "axb_seq1_pred2_f3_direct", "uni_b_seq1_pred2_f3_direct", "bench/multi_seq1_pred2_f3_direct ",
+             "x/multi_seq1_pred2_f3_direct", "multi_seqx_pred2_f3_direct", "", None]
+    none = spark.createDataFrame([(n,) for n in other], "n string").select(*labels.parse_cell_name("n", tracks)).collect()
+    assert all(v is None for r in none for v in r)
+
+
 def test_input_lengths_and_cells(spark):
     df = spark.createDataFrame([(288, 0.5124, 15, 15), (7 * 288, 0.5, 14, 15), (1, None, 0, 15), (30, None, None, 15), (100_000, 1.0, 1, 1)],
                                "l int, m double, k long, n long")
