@@ -12,7 +12,7 @@ its role is ``system``, leads every window. The loss mask covers the text of new
 only: every target once, repeated ones masked out. Only a turn larger than the room exceeds
 the budget; it is kept whole and flagged.
 
-The sums are taken in slices of 256 turn numbers with one carried row per slice, windows meet their
+The sums are taken in ranges of all turns in order, with one carried row per conversation and range, windows meet their
 turns in an equi-join on (conversation, stride), and no step orders or gathers a whole conversation,
 however long. Built-in expressions only.
 
@@ -27,11 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fluxlake.operators.ordered import range_slices
 from fluxlake.session import materialize
 
 BUDGET = 2048
 HISTORY = 512
-SLICE = 256
 CLOSE = "</turn>\n"
 LAST_TURN = 2**63 - 1
 SYSTEM, TARGET = "system", "assistant"
@@ -60,7 +60,7 @@ def _printed(conversations: DataFrame) -> DataFrame:
     rows = rows.withColumn("head", F.concat(F.lit("<turn "), escaped("role"), F.lit(">")))
     rows = rows.withColumn("body", escaped("text"))
     return rows.withColumn("piece", F.concat("head", "body", F.lit(CLOSE))).select(
-        "conv_id", "no_id", "conv", F.floor(F.col("turn") / SLICE).alias("slice"), "turn", "role", "piece",
+        "conv_id", "no_id", "conv", "turn", "role", "text", "piece",
         F.length("head").alias("head_chars"), F.length("body").alias("body_chars"),
         F.ceil(F.length("piece") / 4).cast("long").alias("cost"))
 
@@ -68,15 +68,15 @@ def _printed(conversations: DataFrame) -> DataFrame:
 def placed_turns(conversations: DataFrame, budget: int, history: int) -> DataFrame:
     """Every turn with its number, its start in the prefix sum, and the window that it is new in."""
     key = ["no_id", "conv", "slice"]
-    turns = _printed(conversations)
-    order = ["turn", "role", "piece"]
+    order = ["turn", "role", "text"]
+    turns = range_slices(_printed(conversations), ["no_id", "conv", *order]).withColumnRenamed("_slice", "slice")
     inside = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     counted = turns.withColumns({
         "inside_cost": F.coalesce(F.sum("cost").over(inside), F.lit(0)),
         "inside_n": F.count("*").over(inside)})
     slices = turns.groupBy(*key).agg(
         F.sum("cost").alias("slice_cost"), F.count("*").alias("slice_n"),
-        F.min(F.struct(*order, "cost")).alias("first"))
+        F.min(F.struct(*order, "piece", "cost")).alias("first"))
     before = Window.partitionBy("no_id", "conv").orderBy("slice")
     carried = slices.select(
         *key,

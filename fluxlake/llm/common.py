@@ -25,21 +25,6 @@ def whole_text(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def same(left: DataFrame, right: DataFrame, *pairs: tuple[str, str]) -> Column:
-    """Null-safe equality of pairs of columns."""
-    out = None
-    for a, b in pairs:
-        cond = left[a].eqNullSafe(right[b])
-        out = cond if out is None else out & cond
-    return out
-
-
-def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among ``ids`` (null matches null), columns unchanged."""
-    kept = ids.select(F.col("doc_id").alias("kept_doc_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_doc_id"]), "left_semi")
-
-
 def remainder(col: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % divisor

@@ -40,12 +40,14 @@ def n_words(text: str | Column = "text") -> Column:
     return F.regexp_count(whole_text(text), F.lit(WORD)).cast("long")
 
 
-def _keyed(docs: DataFrame, size: Column) -> DataFrame:
-    code = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return docs.withColumns({
-        "__mix_size": size, "__mix_code": code, "__mix_no_source": F.col("source").isNull(),
-        "__mix_source": F.coalesce("source", F.lit("")),
-    }).withColumn("__mix_slice", F.substring("__mix_code", 1, SLICE_DIGITS))
+def _narrow(docs: DataFrame, *more: Column) -> DataFrame:
+    """What the plan needs of a document, under the plan's own names; a missing id is told apart by the text."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.md5(whole_text().cast("binary")))
+    code = F.md5(F.concat(F.lit(f"{SEED}:"), own).cast("binary"))
+    return docs.select(
+        F.col("doc_id").alias("__mix_id"), n_words().alias("__mix_size"), code.alias("__mix_code"),
+        F.col("source").isNull().alias("__mix_no_source"), F.coalesce("source", F.lit("")).alias("__mix_source"), *more,
+    ).withColumn("__mix_slice", F.substring("__mix_code", 1, SLICE_DIGITS))
 
 
 def source_targets(slices: DataFrame, weights: tuple, percent: int, cap: int) -> DataFrame:
@@ -80,10 +82,9 @@ def _position(share: Column, rank: Column, shapes: tuple) -> Column:
     return (segment - 1) * step + inside
 
 
-def planned(docs: DataFrame, size: Column | None = None, weights: tuple = WEIGHTS, percent: int = PERCENT,
-            cap: int = CAP, shapes: tuple = SHAPES) -> DataFrame:
-    """``docs`` with size, source_size, target, taken and, per pass, (pass, words, position)."""
-    rows = _keyed(docs, n_words() if size is None else size)
+def planned(rows: DataFrame, weights: tuple = WEIGHTS, percent: int = PERCENT, cap: int = CAP,
+            shapes: tuple = SHAPES) -> DataFrame:
+    """Narrow rows with source_size, target, taken and, per pass, (pass, words, position)."""
     slices = rows.groupBy(*KEY).agg(F.sum("__mix_size").alias("words"))
     targets = source_targets(slices, weights, percent, cap)
     earlier = Window.partitionBy(*KEY[:2]).orderBy(KEY[2]).rowsBetween(Window.unboundedPreceding, -1)
@@ -91,7 +92,7 @@ def planned(docs: DataFrame, size: Column | None = None, weights: tuple = WEIGHT
     carried = carried.join(targets, list(KEY[:2])).select(
         *KEY, F.col("words_before").alias("__mix_before"), F.col("source_size").alias("__mix_total"),
         F.col("rank").alias("__mix_rank"), F.col("target").alias("__mix_target"))
-    inside = Window.partitionBy(*KEY).orderBy("__mix_code", "doc_id", "__mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*KEY).orderBy("__mix_code", "__mix_id", "__mix_size").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumn("__mix_inside", F.coalesce(F.sum("__mix_size").over(inside), F.lit(0))).join(carried, list(KEY))
     at = F.col("__mix_before") + F.col("__mix_inside")
     out = out.withColumns({"__mix_at": at, "__mix_goal": F.floor(F.col("__mix_target") + 0.5)})
@@ -107,13 +108,23 @@ def planned(docs: DataFrame, size: Column | None = None, weights: tuple = WEIGHT
         _position(p["share"], F.col("__mix_rank"), shapes).alias("position"))))
 
 
+def _range_sorted(rows: DataFrame, position: Column) -> DataFrame:
+    """Rows in training order, in as many ranges as the session has shuffle partitions; those without a place last."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [position.asc_nulls_last(), F.col("__mix_id").asc_nulls_last()]
+    return rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
 def mix_plan(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, n_passes, position of the first pass."""
-    narrow = docs.select("doc_id", "source", n_words().alias("size"))
-    return planned(narrow, F.col("size")).select(
-        "doc_id", "size", F.col("__mix_total").alias("source_size"), F.col("__mix_target").alias("target"),
+    """One row per document, range-sorted by its first position: doc_id, size, source_size, target, taken, n_passes,
+    position of the first and the last pass."""
+    place = lambda k: F.round(F.try_element_at(F.col("__mix_passes.position"), F.lit(k)), 9)
+    rows = _range_sorted(planned(_narrow(docs)), place(1))
+    return rows.select(
+        F.col("__mix_id").alias("doc_id"), F.col("__mix_size").alias("size"), F.col("__mix_total").alias("source_size"),
+        F.col("__mix_target").alias("target"),
         F.aggregate("__mix_passes", F.lit(0).cast("long"), lambda a, p: a + p["words"]).alias("taken"),
-        F.size("__mix_passes").alias("n_passes"), F.round(F.get("__mix_passes.position", F.lit(0)), 9).alias("position"))
+        F.size("__mix_passes").alias("n_passes"), place(1).alias("position"), place(-1).alias("last_position"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -121,8 +132,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
     A document that the mix takes in part is passed on whole.
     """
-    rows = planned(docs).withColumn("__mix_pass", F.explode("__mix_passes"))
-    rows = rows.withColumn("__mix_position", F.col("__mix_pass.position"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "__mix_position", "doc_id").sortWithinPartitions(
-        "__mix_position", "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__mix_row")
+    rows = planned(_narrow(docs, row)).withColumn("__mix_pass", F.explode("__mix_passes"))
+    rows = _range_sorted(rows, F.col("__mix_pass.position"))
+    return rows.select(*[F.col("__mix_row").getField(c).alias(c) for c in docs.columns])

@@ -45,18 +45,12 @@ RULES = (
     Rule("mean_word_chars", 2.0, 15.0),
     Rule("symbol_ratio", 0.0, 0.1),       # symbols per word
     Rule("shout_ratio", 0.0, 0.3),        # exclamation marks per word
-    Rule("capital_ratio", 0.0, 0.5),      # A-Z per character in words
-    Rule("stop_ratio", 0.08, 1.0),        # share of the best language's stop words that occur
+    Rule("capital_ratio", 0.0, 0.5),      # A-Z among A-Z and a-z
+    Rule("stop_ratio", 0.04, 1.0),        # stop words of the best language per word, in any case
     Rule("dup_line_ratio", 0.0, 0.3),     # repeated lines per line with a word
     Rule("open_line_ratio", 0.0, 0.3),    # lines ending in an ellipsis
     Rule("bullet_line_ratio", 0.0, 0.9),  # lines starting with a bullet
 )
-# What the operator applies. RULES above, with its comments on capitals and stop words, is the table of the SQL
-# counterpart, which still counts both in the looser way.
-TEXT_RULES = tuple({
-    "capital_ratio": Rule("capital_ratio", 0.0, 0.5),  # A-Z among A-Z and a-z
-    "stop_ratio": Rule("stop_ratio", 0.04, 1.0),       # stop words of the best language per word, in any case
-}.get(r.statistic, r) for r in RULES)
 
 
 def _ratio(part: str | Column, whole: str | Column) -> Column:
@@ -137,7 +131,7 @@ def ratios(stats: DataFrame) -> DataFrame:
     })
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = TEXT_RULES) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: the base counts, the verdict, and the first failed rule."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     verdict = reduce(lambda a, b: a & b, [F.col(r.statistic).between(r.lowest, r.highest) for r in rules])

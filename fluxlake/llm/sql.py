@@ -26,13 +26,12 @@ def _rules() -> str:
         return f"CASE WHEN {whole} > 0 THEN ({part}) / CAST({whole} AS DOUBLE) ELSE 0.0 END"
 
     stops = ", ".join(
-        "len(list_intersect(list_distinct(words), [{}])) / CAST({} AS DOUBLE)".format(
-            ", ".join(f"'{w}'" for w in listed), len(listed))
+        "len([x FOR x IN words IF lower(x) IN ({})])".format(", ".join(f"'{w}'" for w in listed))
         for listed in quality_rules.STOP_WORDS.values())
     stats = {
         "mean_word_chars": ratio("word_chars", "n_words"), "symbol_ratio": ratio("n_symbols", "n_words"),
-        "shout_ratio": ratio(count_of("!"), "n_words"), "capital_ratio": ratio(count_of("A-Z"), "word_chars"),
-        "stop_ratio": f"greatest({stops})", "dup_line_ratio": ratio("n_dup_lines", "len(lines)"),
+        "shout_ratio": ratio(count_of("!"), "n_words"), "capital_ratio": ratio(count_of("A-Z"), count_of("A-Za-z")),
+        "stop_ratio": ratio(f"greatest({stops})", "n_words"), "dup_line_ratio": ratio("n_dup_lines", "len(lines)"),
         "open_line_ratio": ratio(
             "len([x FOR x IN lines IF ends_with(rtrim(x, ' '), '...') OR ends_with(rtrim(x, ' '), '…')])", "len(lines)"),
         "bullet_line_ratio": ratio(
@@ -124,9 +123,10 @@ def _mix() -> str:
             rest = f"((share - {before}) * {total})"
             root = f"sqrt(greatest({low} * {low} + 2 * ({high} - {low}) * {rest} / {step}, 0.0))"
             cases.append(f"WHEN rank % {n} = {rank} AND share >= {before} THEN {k * step} + 2 * {rest} / ({low} + {root})")
+    position = f"round(CASE {' '.join(cases)} END, 9)"
     return rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD_CLASS}')) AS BIGINT) AS size,
-                  md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS code FROM documents),
+                  md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS code FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM s),
 w AS (SELECT *, CASE rank % {n} {weights} END AS weight FROM r),
@@ -142,10 +142,12 @@ a AS (SELECT d.*, source_size, rank, target, CAST(floor(target + 0.5) AS BIGINT)
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 b AS (SELECT *, greatest(least(goal - place, size), 0) AS first_pass,
              greatest(least(goal - source_size - place, size), 0) AS second_pass,
-             CASE WHEN goal > 0 THEN place / CAST(goal AS DOUBLE) END AS share FROM a)
+             CASE WHEN goal > 0 THEN place / CAST(goal AS DOUBLE) END AS share,
+             CASE WHEN goal > 0 THEN (source_size + place) / CAST(goal AS DOUBLE) END AS next_share FROM a)
 SELECT doc_id, size, source_size, target, CAST(first_pass + second_pass AS BIGINT) AS taken,
        CAST((first_pass > 0) AS INT) + CAST((second_pass > 0) AS INT) AS n_passes,
-       CASE WHEN first_pass > 0 THEN round(CASE {" ".join(cases)} END, 9) END AS position FROM b
+       CASE WHEN first_pass > 0 THEN {position} END AS position,
+       CASE WHEN second_pass > 0 THEN {position.replace('share', 'next_share')} WHEN first_pass > 0 THEN {position} END AS last_position FROM b
 """
 
 

@@ -147,8 +147,46 @@ def test_mixed_rows_follow_the_schedule(spark):
     seen = collections.Counter(r.doc_id for r in out.collect())
     assert all(seen[i] == n for i, n in plan.items())
     # the first source by rank is front-loaded: more than half of its words come in the first half
-    narrow = df.select("doc_id", "source", mixing.n_words().alias("size"))
-    rows = mixing.planned(narrow, mixing.F.col("size")).filter("source = 'a'").selectExpr("inline(__mix_passes)").collect()
+    rows = mixing.planned(mixing._narrow(df)).filter("__mix_source = 'a'").selectExpr("inline(__mix_passes)").collect()
     early = sum(r.words for r in rows if r.position < 0.5)
     assert 0.58 < early / sum(r.words for r in rows) < 0.67  # the integral gives 0.625
     assert mixing.mix_plan(spark.createDataFrame([], plain.DOCS)).count() == 0
+
+
+def test_mix_plan_is_range_sorted_with_all_positions(spark):
+    df = spark.createDataFrame(mix_rows(), "doc_id long, text string, source string").repartition(4)
+    plan = mixing.mix_plan(df)
+    rows = plan.withColumn("part", mixing.F.spark_partition_id()).collect()
+    places = [(r.position is None, r.position or 0.0) for r in sorted(rows, key=lambda r: r.part)]
+    assert places == sorted(places)
+    assert all((r.last_position is None) == (r.n_passes == 0) for r in rows)
+    assert all(r.last_position > r.position for r in rows if r.n_passes == 2)
+    assert all(r.last_position == r.position for r in rows if r.n_passes == 1)
+
+
+def test_mix_deals_texts_without_id_apart(spark):
+    rows = [(None, f"text number {i}", "a") for i in range(300)] + [(i, "one two", "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    slices = mixing._narrow(df).filter("__mix_id IS NULL").select("__mix_slice").distinct().count()
+    assert slices > 200
+    assert mixing.mix_documents(df.withColumn("__mix_size", mixing.F.lit(1))).columns[-1] == "__mix_size"
+
+
+def test_chat_of_tied_turns_and_a_hot_conversation(spark):
+    """Equal turn numbers by role and text as they are, not as they are printed; most rows without conversation and turn."""
+    rows = [(1, 0, "user", t) for t in ("a!", "a", "a<", "a=", "a\\")] + [(1, 0, "assistant", "z")]
+    rows += [(None, None, "user", f"{i % 7} words") for i in range(400)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    for r in chat.read_back(chat.chat_windows(df, 40, 10)).collect():
+        turns = sorted(x[2:] for x in rows if x[0] == r.conv_id)
+        whole = "".join(f"{role}\n{x}\n" for role, x in turns)
+        assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
+
+
+def test_words_in_many_languages_and_capitals_of_the_threshold_table(spark):
+    """The operator's own forms of two rules: stop words per word in any case, capitals among letters."""
+    lean = "keyword " * 98 + "de la"
+    shout = "THE WORD OF 12345678 IS THE WORD OF 12345678 " * 8
+    rows = [(1, " ".join(f"{w}{i}" for i, w in enumerate(lean.split())) + " de la"), (2, " ".join(f"{w}{i}" for i, w in enumerate(shout.split())))]
+    got = {r.doc_id: r.reason for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "stop_ratio", 2: "capital_ratio"}
