@@ -38,19 +38,18 @@ def _split(active: DataFrame, stride: int) -> DataFrame:
         "head": F.expr(f"substring(rest, 1, {stride})"),
         "ended": F.octet_length("rest") <= stride,
     })
-    groups = (
-        dealt.groupBy("part", "salt", "head", "ended")
+    # groups are numbered and written, so that a number stays: equal bytes so far, and nothing else, share one
+    groups = materialize(
+        dealt.groupBy("part", "head", "ended")
         .agg(F.count("*").alias("n"),
-             F.min(F.struct((-F.col("n_chars")).alias("chars"), F.col("doc_id").isNull(), F.col("doc_id"))).alias("best"),
-             F.min("doc_id").alias("low"))
+             F.min(F.struct((-F.col("n_chars")).alias("chars"), F.col("doc_id").isNull(), F.col("doc_id"))).alias("best"))
         .filter("n > 1")
-        .select(F.col("part").alias("g_part"), F.col("salt").alias("g_salt"), F.col("head").alias("g_head"),
-                F.col("ended").alias("g_ended"), "n", "low", F.col("best.doc_id").alias("best_id"), (-F.col("best.chars")).alias("best_chars"))
-    )
+        .select(F.col("part").alias("g_part"), F.col("head").alias("g_head"), F.col("ended").alias("g_ended"), "n",
+                F.monotonically_increasing_id().alias("number"),
+                F.col("best.doc_id").alias("best_id"), (-F.col("best.chars")).alias("best_chars")), "groups")
     met = dealt.join(
         groups,
-        F.col("part").eqNullSafe(F.col("g_part")) & (F.col("salt") == F.col("g_salt"))
-        & (F.col("head") == F.col("g_head")) & (F.col("ended") == F.col("g_ended")), "left")
+        (F.col("part") == F.col("g_part")) & (F.col("head") == F.col("g_head")) & (F.col("ended") == F.col("g_ended")), "left")
     alone, going_on = F.col("n").isNull(), F.col("n").isNotNull() & ~F.col("ended")
     return met.select(
         "doc_id", "n_chars", "text_sha256",
@@ -58,9 +57,7 @@ def _split(active: DataFrame, stride: int) -> DataFrame:
         F.coalesce("best_chars", "n_chars").alias("keep_chars"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         going_on.alias("going_on"),
-        # the smallest id names the new group; the salt tells groups apart where an id repeats
-        F.when(going_on, F.col("low")).alias("part"),
-        F.xxhash64("salt", "head").alias("salt"),
+        F.when(going_on, F.col("number")).alias("part"),
         F.when(going_on, F.expr(f"substring(rest, {stride + 1})")).alias("rest"),
     )
 
@@ -73,13 +70,12 @@ def _plain() -> Column:
 def exact_groups(docs: DataFrame, first_bytes: int = FIRST_BYTES, growth: int = GROWTH) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, n_chars."""
     active = docs.select(
-        "doc_id", F.length(whole_text()).alias("n_chars"), F.lit(None).cast("long").alias("part"),
-        F.lit(0).cast("long").alias("salt"), _plain().alias("rest"), F.sha2(_plain(), 256).alias("text_sha256"))
+        "doc_id", F.length(whole_text()).alias("n_chars"), F.lit(0).cast("long").alias("part"), _plain().alias("rest"), F.sha2(_plain(), 256).alias("text_sha256"))
     done, stride = [], first_bytes
     while True:
         step = materialize(_split(active, stride), "radix")
         done.append(step.filter("NOT going_on"))
-        active = step.filter("going_on").select("doc_id", "n_chars", "part", "salt", "rest", "text_sha256")
+        active = step.filter("going_on").select("doc_id", "n_chars", "part", "rest", "text_sha256")
         if active.isEmpty():
             break
         stride *= growth
@@ -95,9 +91,11 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """
     kept = exact_groups(docs).filter("kept").select(
         F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"), F.col("n_chars").alias("kept_chars"))
-    marked = docs.withColumns({"__radix_sha": F.sha2(_plain(), 256), "__radix_chars": F.length(whole_text())})
-    stays = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__radix_sha") == F.col("kept_sha")) \
-        & (F.col("__radix_chars") == F.col("kept_chars"))
+    # the columns of docs in one, so that no name of theirs meets one of these
+    marked = docs.select(
+        F.col("doc_id").alias("id"), F.sha2(_plain(), 256).alias("sha"), F.length(whole_text()).alias("chars"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    stays = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")) & (F.col("chars") == F.col("kept_chars"))
     # the join has dealt the rows by these columns already
-    return marked.join(kept, stays, "left_semi").dropDuplicates(["doc_id", "__radix_sha"]).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    return marked.join(kept, stays, "left_semi").dropDuplicates(["id", "sha"]).select(
+        *[F.col("row").getField(c).alias(c) for c in docs.columns])

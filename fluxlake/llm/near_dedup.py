@@ -283,8 +283,10 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     kept = _placed(docs).filter("kept AND n_shingles > 0").select(
         F.col("doc_id").alias("kept_id"), F.col("sha").alias("kept_sha")).distinct()
     worded = F.length(F.trim(whole_text(), F.lit(SPACES))) > 0
-    marked = _keyed(docs.filter(worded), "__near_id", "__near_sha")
-    stays = (F.col("__near_id") == F.col("kept_id")) & (F.col("__near_sha") == F.col("kept_sha"))
+    # the columns of docs in one, so that no name of theirs meets one of these
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = _keyed(docs.filter(worded).select("doc_id", "text", row), "id", "sha").select("id", "sha", "row")
+    stays = (F.col("id") == F.col("kept_id")) & (F.col("sha") == F.col("kept_sha"))
     # the join has dealt the rows by these columns already
-    once = marked.join(kept, stays, "left_semi").dropDuplicates(["__near_id", "__near_sha"])
-    return once.select(*[F.col(f"`{c}`") for c in docs.columns]).unionAll(docs.filter(~worded))
+    once = marked.join(kept, stays, "left_semi").dropDuplicates(["id", "sha"])
+    return once.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]).unionAll(docs.filter(~worded))

@@ -8,7 +8,7 @@ import re
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, " \
-       "part string, salt string, n string, window string, node string, at string"
+       "part string, kept_id string, n string, row string, id string, sha string"
 
 
 def prose(rng, n, vocabulary=400):

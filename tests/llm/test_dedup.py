@@ -45,6 +45,27 @@ def test_drop_copies_keeps_one_row_and_the_columns(messy):
     assert sorted(texts) == sorted(plain.exact([(r[0], r[1]) for r in plain.messy_rows()]))
 
 
+def test_groups_are_told_apart_by_bytes_where_ids_are_missing(spark):
+    """A third of the rows without id, and one id for another third: groups are numbered, not named by ids."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab") for _ in range(6)) for _ in range(240)]
+    rows = [((None, 1, i)[i % 3], t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain.exact(rows)
+    got = exact_dedup.exact_groups(df, first_bytes=1, growth=2).collect()
+    assert sorted(str((r.doc_id, r.keep_id, r.group_size, r.text_sha256)) for r in got) == sorted(str((i, *want[t])) for i, t in rows)
+    assert sorted(r.text for r in exact_dedup.drop_copies(df).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, near_dedup.drop_near_copies])
+def test_dropping_copies_from_tables_with_the_modules_own_names(spark, drop):
+    names = ["kept_id", "kept_sha", "kept_chars", "row", "sha", "id", "print", "node", "n", "part", "head", "a.b"]
+    df = spark.createDataFrame([(i, f"text {i % 3} with some words", *names) for i in range(9)], ["doc_id", "text", *names])
+    out = drop(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [0, 1, 2]
+    assert out.filter("`a.b` = 'a.b' AND kept_id = 'kept_id'").count() == 3
+
+
 def test_near_groups_on_difficult_rows(spark):
     rows = [(r[0], r[1]) for r in plain.messy_rows() if r[0] is not None][:21]
     got = {r.doc_id: r for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
