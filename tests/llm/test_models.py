@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -62,6 +64,62 @@ def test_language_on_difficult_rows(spark):
     assert {r.lang_pred for r in language.languages(df.withColumn("lang", df["lang"].substr(9, 1)).filter("lang = 'x'")).collect()} == set()
 
 
+def gram_code(gram):
+    """The number that orders n-grams of equal counts: code points in 21 bits each, a space as 0, marked by length."""
+    points = [0 if c == " " else ord(c) for c in gram]
+    if len(points) == 1:
+        return points[0]
+    if len(points) == 2:
+        return 1 << 42 | points[0] << 21 | points[1]
+    return (points[0] << 42 | points[1] << 21 | points[2]) - 2**63
+
+
+def plain_order(counts, length):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], gram_code(x[0])))][:length]
+
+
+def plain_languages(rows, length):
+    """(doc_id, held_out, lang_pred, score) by lists and slices."""
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4
+    totals = {}
+    for i, text, lang in rows:
+        if lang is not None and text is not None and fold(i) != 2:
+            own = totals.setdefault(lang, {})
+            for g, n in by_hand(text).items():
+                own[g] = own.get(g, 0) + n
+    profiles = {lang: plain_order(c, length) for lang, c in sorted(totals.items()) if c}
+    out = []
+    for i, text, _ in rows:
+        own = plain_order(by_hand(text or ""), length)
+        if not own or not profiles:
+            out.append((i, fold(i) == 2, "und", 0.0))
+            continue
+        apart = {lang: sum(abs(p.index(g) - k) if g in p else length for k, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(apart, key=lambda x: (apart[x], x))
+        out.append((i, fold(i) == 2, best, round(1 - apart[best] / (length * len(own)), 9)))
+    return out
+
+
+def language_rows():
+    rng = random.Random(14)
+    alphabets = {"aa": "abcde", "bb": "abcxyz", "cc": "éèàab", "dd": "дежз日本"}
+    rows = []
+    for i in range(160):
+        lang = rng.choice(list(alphabets))
+        words = ["".join(rng.choice(alphabets[lang]) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 30))]
+        rows.append((i, " ".join(words), lang if i % 9 else None))
+    rows += [(200, None, "aa"), (201, "", "bb"), (202, "12 .. 3", "cc"), (None, "abc abd", "aa"), (None, None, None), rows[4], rows[4]]
+    return rows + [(r[0] + 1000 if r[0] is not None else None, r[1], None) for r in plain.messy_rows() if len(r[1] or "") < 10_000]
+
+
+@pytest.mark.parametrize("length", [20, 300])
+def test_ranks_profiles_and_distances_against_brute_force(spark, length):
+    rows = language_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = [(r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in language.languages(df, length=length).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, plain_languages(rows, length)))
+
+
 def test_discriminant_equals_dense_formula(spark):
     rng = np.random.default_rng(1)
     d = len(quality_model.FEATURES)
@@ -149,3 +207,47 @@ def test_logistic_converges_on_separable_rows(ridge):
     w = toxicity.logistic(x, x[:, 0], ridge, steps=50)
     p = 1 / (1 + np.exp(-(x[:, 0] * w[0] + w[1])))
     assert np.all(np.isfinite(w)) and np.all((p > 0.5) == (x[:, 0] > 0))
+
+
+def plain_words(text):
+    words = {w for w in re.split(r"[\W\d_]+", (text or "").lower()) if w}
+    return words | {w[:k] + "*" for w in words for k in (4, 5, 6) if len(w) > k}
+
+
+def test_vocabulary_targets_and_chain_against_brute_force(spark):
+    """Words, chi-square, targets and folds counted by hand; every probability follows from the same chain."""
+    rng = random.Random(21)
+    foul = [w for kind in toxicity.KINDS.values() for w in kind]
+    texts = [" ".join(rng.choice(["plain", "words", "of", "Kindness", "über", "l'été", "x1y"]) for _ in range(rng.randrange(12))) for _ in range(240)]
+    rows, labels = [], []
+    for i, text in enumerate(texts):
+        toxic = rng.random() < 0.3
+        rows.append((i, f"{text} {rng.choice(foul).upper() if toxic and rng.random() < 0.8 else ''} {rng.choice(foul) if rng.random() < 0.05 else ''}"))
+        if i % 7:
+            labels.append((i, int(toxic)))
+    rows += [(300, None), (301, ""), (302, "unlabelled idiot")]
+    labels += [(300, 0), (999, 1), (5, None)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    texts = dict(rows)
+    sample = [(i, t) for i, t in labels if t is not None and i in texts and zlib.crc32(str(i).encode()) % 5]
+    words = {i: plain_words(texts[i]) for i, _ in sample}
+    pos, n = sum(t for _, t in sample), len(sample)
+    chi = {}
+    for w in set().union(*words.values()):
+        a = sum(t for i, t in sample if w in words[i])
+        b = sum(1 - t for i, t in sample if w in words[i])
+        chi[w] = (a * (n - pos - b) - b * (pos - a)) ** 2 / ((a + b) * (n - a - b) + 1)
+    vocabulary = sorted(chi, key=lambda w: (-chi[w], w))[: toxicity.FEATURES]
+    chain = toxicity.fit(docs, known)
+    assert list(chain.vocabulary) == vocabulary
+    sample.sort()
+    present = np.array([[float(w in words[i]) for w in vocabulary] for i, _ in sample])
+    targets = np.array([[float(t and bool(words[i] & set(kind))) for kind in toxicity.KINDS.values()] + [float(t)] for i, t in sample])
+    fold = np.array([(i * 2654435761 >> 16) % toxicity.FOLDS for i, _ in sample])
+    weights = toxicity.fit_chain(present, targets, fold)
+    assert all(np.allclose(a, b) for a, b in zip(chain.weights, weights, strict=True))
+    for r in toxicity.toxicity(docs, known).collect():
+        x, z = np.array([float(w in plain_words(texts[r.doc_id])) for w in vocabulary]), []
+        for w in weights:
+            z.append(1 / (1 + math.exp(-(np.append(x, [math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4))) for p in z]) @ w[:-1] + w[-1]))))
+        assert np.allclose([r[f"p_{c}"] for c in toxicity.CATEGORIES], z, atol=1e-9) and r.toxic == (z[-1] >= 0.5)

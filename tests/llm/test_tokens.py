@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -49,9 +51,18 @@ def test_pieces_have_parity_with_the_library():
 
 
 def test_runs_of_spaces_merge_from_the_left():
-    assert sentence_pieces._space_pieces(5, {1, 2, 4}) == [4, 1]
-    assert sentence_pieces._space_pieces(3, {1, 2, 3}) == [3]
-    assert sentence_pieces._space_pieces(0, {1}) == []
+    lengths = frozenset((1, 2, 4))
+    assert sentence_pieces._space_pieces(5, lengths) == (4, 1)
+    assert sentence_pieces._space_pieces(3, frozenset((1, 2, 3))) == (3,)
+    assert sentence_pieces._space_pieces(0, lengths) == ()
+    assert sum(sentence_pieces._space_pieces(1_000_000, lengths)) == 1_000_000  # in proportion, not by the square
+    texts = [f"a{' ' * n}b{' ' * m}" for n in (1, 2, 3, 15, 16, 17, 31, 33, 47, 500, 4001) for m in (0, 1, 5, 40)]
+    assert sentence_pieces.parity(texts, PIECES) == []
+
+
+def test_models_with_user_defined_pieces_are_refused():
+    with pytest.raises(ValueError, match="user-defined"):
+        sentence_pieces.Model(b"\x0a\x05\x0a\x01a\x18\x04")
 
 
 def test_unigram_backend(tmp_path):
