@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Era boundary, regime texts and flags, file names.
+# Era boundary, regime texts, flags and notes, file names.
 ERA_BOUNDARY = "2020-01-01"
 REGIME_NEW = "goes-r (GOES-16..19); GOES-16 onward = new XRS calibration regime"
 REGIME_OLD = "pre-goes16 (legacy GOES-08..15, EPS-era reprocessed)"
@@ -16,6 +16,13 @@ FLAG_ANOMALOUS = (13, "goes13_anomalous_mode")
 FLAG_MATURITY = (19, "maturity_check_goes19")
 YEARLY_NAME = r"(?i)^sci_xrsf-l2-avg1m_g(\d{2})_y(\d{4})_v(\d+-\d+-\d+)\.nc$"
 MISSION_NAME = r"(?i)^sci_xrsf-l2-avg1m_g(\d{2})_s(\d{8})_e(\d{8})_v(\d+-\d+-\d+)\.nc$"
+NOTE_GOES_R = ("GOES-16 marks the GOES-R XRS calibration-regime transition (~2017); do not splice across the legacy/GOES-R "
+               "boundary without flagging (spec §6).")
+NOTE_ANOMALOUS = ("GOES-13 XRS science-quality begins 2013-06-07; early-mission anomalous/dip behavior preceded it -- do not "
+                  "splice pre-science data (spec §6).")
+NOTE_MATURITY = ("GOES-19 recent period may be 'provisional' maturity; confirm against README/version table (spec §6).")
+LEGACY_PROTON_NAME = (r"(?i)^g(\d{2})_(eps|epead_p17ew|epead_cpflux|hepad_ap|hepad_s\d+|hepad)"
+                      r"_(\d+m)_(\d{8})_(\d{8})(?:_science)?(?:_v[\d.]+)?\.nc$")
 DAILY_NAME = r"(?i)^sci_sgps-l2-(avg1m|avg5m)_g(\d{2})_d(\d{8})_v(\d+-\d+-\d+)\.nc$"
 
 TRACKS = ("uni_a", "uni_b", "multi")
@@ -47,6 +54,13 @@ def regime_flags(sat: str | Column) -> Column:
     return F.filter(flags, lambda x: x.isNotNull())
 
 
+def regime_notes(sat: str | Column) -> Column:
+    """Array of the notes for a satellite (empty when there is none)."""
+    notes = F.array(*[F.when(_col(sat) == n, F.lit(text))
+                      for n, text in ((16, NOTE_GOES_R), (13, NOTE_ANOMALOUS), (19, NOTE_MATURITY))])
+    return F.filter(notes, lambda x: x.isNotNull())
+
+
 def display(col: str | Column, names: dict[str, str]) -> Column:
     """Display name of a code, the code itself when it has none."""
     c = _col(col)

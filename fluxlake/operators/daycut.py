@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fluxlake.functions.calendar import time_micros
 from fluxlake.session import materialize
 
 DAY_HOURS = 24
@@ -47,10 +48,12 @@ def spaced_starts(starts: DataFrame, keys: list[str], time: str = "forecast_star
     """
     if hours <= 0:
         raise ValueError(f"hours must be positive; got {hours}")
+    at, kind = time_micros(starts, time), starts.schema[time].dataType
+    back = (F.col("_t") * 1000).cast(kind) if isinstance(kind, T.IntegralType) else F.timestamp_micros("_t").cast(kind)
     gap = int(hours * HOUR_US)
     block_len = BLOCK_STEPS * gap
     times = (
-        starts.select(*keys, F.unix_micros(time).alias("_t")).distinct()
+        starts.select(*keys, at.alias("_t")).distinct()
         .withColumn("_block", F.floor(F.col("_t") / F.lit(block_len)).cast("long"))
     )
     key_fields = [f for f in times.schema.fields if f.name in keys]
@@ -88,5 +91,5 @@ def spaced_starts(starts: DataFrame, keys: list[str], time: str = "forecast_star
     return (
         solved.join(used, [*keys, "_entry"])
         .select(*keys, F.explode("_kept").alias("_t"))
-        .select(*keys, F.timestamp_micros("_t").alias(time))
+        .select(*keys, back.alias(time))
     )

@@ -177,8 +177,9 @@ def _event_rows(summary, flags, keys, thresholds, day_hours, known, names, units
         shown.remove("day")
     if "day" in shown:
         kept = spaced_starts(flags.select(*keys, "forecast_start"), keys, hours=day_hours)
+        # the cut throws most windows away: they go before repeats are told apart by their values
         day = (
-            _first_of_repeats(flags, group).join(kept, [*keys, "forecast_start"], "left_semi")
+            _first_of_repeats(flags.join(kept, [*keys, "forecast_start"], "left_semi"), group)
             .groupBy(*group)
             .agg(*_counts(F.col("w_pred"), F.col("w_true"), F.col("w_bad"), F.lit(True), "day"))
         )

@@ -1,23 +1,60 @@
 """Exact medians of groups that are too large to hold their values in one task.
 
-Pass 1 keeps a quantile sketch per group (mergeable, a few kilobytes) which brackets the middle
-ranks within a known rank error. Pass 2 counts the values below the bracket and the distinct
-values inside it, both combined on the map side, and reads off the exact middle values. Only the
-bracket, an ``8 / accuracy`` share of the ranks, is ever ordered.
+A quantile sketch per group (mergeable, a few kilobytes) brackets the middle ranks within a known rank error. A
+second pass counts the values below the bracket and the distinct values inside it, both combined on the map
+side. A bracket of more than ``ORDERED`` distinct values is cut at ``CUTS`` quantiles of these, so in steps of about
+equally many however they cluster; counts per step tell which one or two hold the middle ranks, and the others are
+dropped, round by round until what is left is short enough to be ordered in a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxlake.operators.ordered import same_keys
+from fluxlake.session import materialize
 
 ACCURACY = 10_000
-STEPS = 1024
+ORDERED = 1_000_000
+CUTS = 256
 
 
-def grouped_medians(df: DataFrame, keys: list[str], values: list[str],
-                    accuracy: int = ACCURACY) -> DataFrame:
+def _ranks() -> tuple[Column, Column]:
+    return F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+
+
+def longest(inside: DataFrame, keys: list[str]) -> int:
+    """Distinct values in the longest bracket."""
+    return inside.groupBy(*keys, "name").count().agg(F.max("count")).first()[0] or 0
+
+
+def narrowed(inside: DataFrame, keys: list[str], cuts: int = CUTS) -> DataFrame:
+    """One round: of steps of about equally many distinct values, those that hold the middle ranks.
+
+    ``inside`` has a row per distinct value ``v`` with its count ``_c``, and ``_before`` for the count below them all.
+    """
+    own = [*keys, "name"]
+    at = inside.groupBy(*own).agg(F.percentile_approx("v", [i / cuts for i in range(1, cuts)], ACCURACY).alias("_cuts")).select(
+        *[F.col(k).alias(f"_of_{k}") for k in own], "_cuts")
+    stepped = inside.join(at, same_keys(inside, at, own, "_of_")).select(
+        *inside.columns, F.size(F.filter("_cuts", lambda c: c < F.col("v"))).alias("_step"))
+    along = Window.partitionBy(*own).orderBy("_step")
+    sums = stepped.groupBy(*own, "n", "_step").agg(F.sum("_c").alias("_s"), F.max("_before").alias("_base")).withColumn(
+        "_upto", F.col("_base") + F.sum("_s").over(along))
+    low, high = _ranks()
+    holds = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_s") <= rank)
+    wanted = sums.filter(holds(low) | holds(high)).select(
+        *[F.col(k).alias(f"_of_{k}") for k in own], F.col("_step").alias("_of_step"),
+        # steps between the two have no values, so the lower one's count serves both
+        F.min(F.col("_upto") - F.col("_s")).over(Window.partitionBy(*own)).alias("_start"))
+    match = same_keys(stepped, wanted, own, "_of_") & (F.col("_step") == F.col("_of_step"))
+    return stepped.join(wanted, match).select(
+        *[c for c in inside.columns if c != "_before"], F.col("_start").alias("_before"))
+
+
+def grouped_medians(df: DataFrame, keys: list[str], values: list[str], accuracy: int = ACCURACY,
+                    ordered: int = ORDERED) -> DataFrame:
     """``keys`` and the exact median of each value column; NULLs do not count.
 
     As a plain median, the mean of the two middle values for an even count. All columns share both
@@ -39,30 +76,21 @@ def grouped_medians(df: DataFrame, keys: list[str], values: list[str],
     tall = (data.alias("l").join(bounds, same_key)
             .select(*[F.col(f"r.{k}").alias(k) for k in keys], F.explode(items).alias("_i"))
             .select(*keys, "_i.*"))
-    counted = (
+    counted = materialize(
         tall.filter(F.col("v") <= F.col("hi"))
-        .groupBy(*keys, "name", "n", "lo", "hi", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
-        .agg(F.count("*").alias("_c"))
-    )
-    # the bracket in equal steps of the value: sums per step find the one or two steps that hold the middle
-    # ranks, and only their values are ordered
-    width = F.col("hi") - F.col("lo")
-    step = F.when(F.col("v").isNull(), -1).when(width > 0, F.least(F.floor(
-        (F.col("v") - F.col("lo")) / width * STEPS), F.lit(STEPS - 1))).otherwise(0).cast("int")
-    stepped = counted.withColumn("_step", step)
-    along = Window.partitionBy(*keys, "name").orderBy("_step")
-    sums = (stepped.groupBy(*keys, "name", "n", "_step").agg(F.sum("_c").alias("_s"))
-            .withColumn("_before", F.sum("_s").over(along) - F.col("_s")))
-    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
-    holds = lambda rank: (F.col("_before") <= rank) & (F.col("_before") + F.col("_s") > rank)
-    wanted = sums.filter(holds(low) | holds(high)).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("name").alias("_k_name"), F.col("_step").alias("_k_step"), "_before")
-    match = (F.col("name") == F.col("_k_name")) & (F.col("_step") == F.col("_k_step"))
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    upto = Window.partitionBy(*keys, "name", "_step").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ranked = stepped.join(wanted, match).withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
+        .groupBy(*keys, "name", "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
+        .agg(F.count("*").alias("_c")), "bracket")
+    own = [*keys, "name"]
+    below = counted.filter("v IS NULL").select(*[F.col(k).alias(f"_of_{k}") for k in own], F.col("_c").alias("_before"))
+    found = counted.filter("v IS NOT NULL")
+    inside = found.join(below, same_keys(found, below, own, "_of_"), "left").select(
+        *found.columns, F.coalesce("_before", F.lit(0)).alias("_before"))
+    size = longest(found, keys)
+    while size > ordered:
+        inside = materialize(narrowed(inside, keys), "bracket")
+        size = longest(inside, keys)
+    upto = Window.partitionBy(*own).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = inside.withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
 
     def at(rank):
         inside = (F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank)

@@ -100,20 +100,21 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
         out, F.col("_earlier") + F.sum(value).over(inner)).drop("_slice", "_earlier")
 
 
-def previous_value(df: DataFrame, keys: list[str], order: str, value: str, slice_expr: Column | None = None,
+def previous_value(df: DataFrame, keys: list[str], order: str | list[str], value: str, slice_expr: Column | None = None,
                    out: str = "previous") -> DataFrame:
     """Add ``value`` of the preceding row of the same key in ``order`` (NULL for the first).
 
     ``slice_expr``, if given, must be non-decreasing in ``order``; else the slices are ranges.
     """
-    sliced = range_slices(df, [*keys, order]) if slice_expr is None else df.withColumn("_slice", slice_expr)
+    order = [order] if isinstance(order, str) else order
+    sliced = _with_slices(df, keys, order, slice_expr)
     carry_window = Window.partitionBy(*keys).orderBy("_slice")
     carried = (
-        sliced.groupBy(*keys, "_slice").agg(F.max_by(value, order).alias("_last"))
+        sliced.groupBy(*keys, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_last"))
         .withColumn("_carry", F.lag("_last").over(carry_window))
         .select(*keys, "_slice", "_carry")
     )
-    inner = Window.partitionBy(*keys, "_slice").orderBy(order)
+    inner = Window.partitionBy(*keys, "_slice").orderBy(*order)
     first = F.row_number().over(inner) == 1
     return (
         sliced.join(carried, [*keys, "_slice"])
@@ -124,8 +125,11 @@ def previous_value(df: DataFrame, keys: list[str], order: str, value: str, slice
 
 def previous_time(df: DataFrame, keys: list[str], time: str = "time_utc",
                   out: str = "prev_time", width_us: int | None = None) -> DataFrame:
-    """The time of the preceding row of the same key."""
-    return previous_value(df, keys, time, time, time_slice(time, width_us) if width_us else None, out)
+    """The time of the preceding row of the same key; rows of one instant are told apart by all their columns."""
+    if width_us:
+        return previous_value(df, keys, time, time, time_slice(time, width_us), out)
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
+    return previous_value(tied, keys, [time, "_tie"], time, None, out).drop("_tie")
 
 
 def row_index(df: DataFrame, order: list[str], slice_expr: Column | None = None, keys: list[str] | None = None,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fluxlake.operators.median import grouped_median
 from fluxlake.operators.ordered import previous_value
+from fluxlake.session import materialize
 
 
 def rows_by(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,8 +66,9 @@ def cadence_report(df: DataFrame, keys: list[str], time: str, order: str,
     series is held in one task.
     """
     step = (F.unix_micros(time) - F.unix_micros("_prev")) / 1e6
-    steps = (previous_value(df.select(*keys, time, order), keys, order, time, slice_expr, "_prev")
-             .withColumn("_step", step))
+    # the sketch, the bracket and the report read the steps: they are written, not computed three times
+    steps = materialize(previous_value(df.select(*keys, time, order), keys, order, time, slice_expr, "_prev").select(
+        *keys, time, step.alias("_step")), "steps")
     median = grouped_median(steps, keys, "_step", "cadence_s")
     joined = steps.join(median, keys, "left")
     span = (F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / 1e6

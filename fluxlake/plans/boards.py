@@ -68,7 +68,8 @@ def _windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def board_display(spark: SparkSession, d: str) -> DataFrame:
-    cells = board.on_run_grid(board.cell_means(_windows(spark, d), ["hss"], EXCLUDE), _windows(spark, d), EXCLUDE)
+    rows = materialize(_windows(spark, d), "windows")
+    cells = board.on_run_grid(board.cell_means(rows, ["hss"], EXCLUDE), rows, EXCLUDE)
     return cells.select(
         "track", labels.display(F.col("pred_len").cast("string"), HORIZON_TITLES).alias("horizon"),
         labels.display("channel", CHANNEL_TITLES).alias("channel"),

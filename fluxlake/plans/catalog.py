@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fluxlake.plans import boards, evaluation, incremental, labelling, modelling, preparation
+from fluxlake.plans import boards, evaluation, incremental, labelling, modelling, preparation, stored
 
-MODULES = (preparation, evaluation, labelling, boards, modelling, incremental)
+MODULES = (preparation, evaluation, labelling, boards, modelling, incremental, stored)
 
 
 def all_queries() -> dict:

@@ -10,7 +10,7 @@ from fluxlake.operators import board, quality
 from fluxlake.operators.evaluate import evaluate, master_layout
 from fluxlake.plans.common import EVENT_OBS, bin_start, bins_sql, r, rnd, rounded, stamp, table, ts
 from fluxlake.plans.runs import CUT_HOURS, ORDER_MASTERS_SQL, RUN, THRESHOLDS, order_predictions
-from fluxlake.session import prepare
+from fluxlake.session import prepare, scratch_dir
 from fluxlake.sources import records
 from fluxlake.streaming import bins as stream
 
@@ -114,6 +114,20 @@ def manifest_upsert(spark: SparkSession, d: str) -> DataFrame:
     return records.upsert_manifest(old, new)
 
 
+def manifest_commit(spark: SparkSession, d: str) -> DataFrame:
+    """The same through two committed versions, with a version in between that was never made current."""
+    docs = table(spark, d, "documents", ["doc_id", "lang", "n_chars"])
+    old = docs.select(F.col("doc_id").alias("local_path"), F.col("lang").alias("note"),
+                      F.col("n_chars").cast("double").alias("n_chars"))
+    new = table(spark, d, "labels", ["doc_id", "quality"]).select(
+        F.col("doc_id").alias("local_path"), F.concat(F.lit("q"), F.col("quality")).alias("note"))
+    root = scratch_dir(spark, "manifest")
+    records.commit_upsert(spark, root, old, old.schema)
+    records.write_manifest(old.withColumn("note", F.lit("lost")), f"{root}/version-lost")
+    records.commit_upsert(spark, root, new, old.schema)
+    return records.current_manifest(spark, root, old.schema)
+
+
 _BINS = (f"SELECT series, {ts(bin_start('idx', CADENCE), 'bin_ts')}, n AS n_samples, {r('value', 'value')} "
          f"FROM ({bins_sql(EVENT_OBS, CADENCE)})")
 
@@ -141,4 +155,5 @@ QUERIES = {
         "SELECT doc_id AS local_path, CASE WHEN quality IS NULL THEN lang ELSE 'q' || quality END AS note, "
         "CAST(CASE WHEN quality IS NULL THEN n_chars END AS DOUBLE) AS n_chars FROM documents FULL JOIN labels USING (doc_id)")),
 }
+QUERIES["manifest_commit"] = (manifest_commit, QUERIES["manifest_upsert"][1])
 

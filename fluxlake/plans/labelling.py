@@ -13,7 +13,8 @@ from fluxlake.plans.common import (
     EVENT_CHANNELS, EVENT_OBS, bin_start, bins_sql, event_obs, order_obs, r, rnd, rounded, stamp,
     table, ts,
 )
-from fluxlake.sources import archive, catalogue
+from fluxlake.session import scratch_dir
+from fluxlake.sources import archive, catalogue, files
 
 # event type -> (series name, satellite) for the role queries
 SERIES = {"view": ("Gp", 16), "click": ("Gs", 17), "error": ("G8", 8), "purchase": ("G9", 9),
@@ -177,6 +178,47 @@ def _archive_files(spark: SparkSession, d: str) -> DataFrame:
     return files.select("path", F.concat_ws("\n", heads[F.col("series")], F.array_join("l.line", "\n")).alias("text"))
 
 
+def _xray_files(spark: SparkSession, d: str) -> DataFrame:
+    """Daily X-ray files of all types from one-minute bins; the second channel has zeros and impossible values."""
+    bins = grid.bin_mean(event_obs(spark, d), 1)
+    of_type = F.create_map(*[F.lit(x) for k, v in ARCHIVED.items() for x in (k, v[0])])[F.col("series")]
+    number = F.concat(F.rint(F.col("value") * 100).cast("long").cast("string"), F.lit("e-6"))
+    line = F.concat_ws(" ", F.date_format("bin_ts", "yyyy MM dd HHmm"), F.lit("60310 0"), F.col("n_samples").cast("string"), number)
+    name = F.concat(F.date_format("bin_ts", "yyyyMMdd"), F.lit("_"), of_type, F.lit("xr_1m.txt"))
+    files = bins.groupBy(name.alias("path")).agg(F.array_sort(F.collect_list(F.struct("bin_idx", line.alias("line")))).alias("l"))
+    head = "# Prepared by the archive test\n# Source: GOES-15\n# Modified Julian Day\n# YR MO DA HHMM MJD SOD XS XL"
+    return files.select("path", F.concat_ws("\n", F.lit(head), F.array_join("l.line", "\n")).alias("text"))
+
+
+def archive_files(spark: SparkSession, d: str) -> DataFrame:
+    """Both kinds written as files of their own names, found, checked and parsed again: a record per file.
+
+    Beside each day's file of one satellite lie a misfiled one, which is not found, and an empty one; every particle
+    file ends in a comment with a byte that is no text.
+    """
+    particle = _archive_files(spark, d).select(F.regexp_replace("path", "^.*/", "").alias("name"), F.concat(
+        F.col("text").cast("binary"), F.unhex(F.lit("0A23FF"))).alias("content"))
+    own = F.col("name").rlike("_G9part")
+    empty = particle.filter(own).select(F.replace("name", F.lit("_G9part"), F.lit("_G13part")).alias("name"), F.lit(b"").alias("content"))
+    astray = particle.filter(own).select(F.replace("name", F.lit("_G9part"), F.lit("_G9xpart")).alias("name"), "content")
+    xray = _xray_files(spark, d).select(F.col("path").alias("name"), F.col("text").cast("binary").alias("content"))
+    rows = particle.unionAll(empty).unionAll(astray).unionAll(xray)
+    root = scratch_dir(spark, "archive")
+    files.write_named_files(rows.select(F.concat(F.substring("name", 1, 4), F.lit("/"), "name").alias("path"), "content"), root)
+    out = []
+    for label, kind, channel in (("particle", archive.PARTICLE, "p_gt5"), ("xray", archive.XRAY, "xrs_long")):
+        found = archive.with_headers(archive.as_text(archive.list_files(spark, root, kind)), kind)
+        parsed = archive.parse_rows(found, kind)
+        if label == "xray":
+            parsed = archive.mask_ceiling(parsed, list(kind.channels))
+        sums = parsed.groupBy("path").agg(F.sum(F.col(channel).cast("double")).alias("total"))
+        seen = archive.provenance(found, parsed, kind).join(sums, "path", "left")
+        out.append(seen.select(
+            F.lit(label).alias("kind"), archive.basename("path").alias("src_file"), "series", "n_rows", stamp("time_start").alias("time_start"), stamp("time_end").alias("time_end"),
+            rnd("total").alias("total"), "note"))
+    return out[0].unionAll(out[1])
+
+
 ARCHIVE_COLS = ["p_gt1", "p_gt5", "p_gt60", "e_gt0p6", "e_gt0p8", "e_gt4"]
 
 
@@ -215,7 +257,22 @@ def regime_labels(spark: SparkSession, d: str) -> DataFrame:
             .select("o_orderkey", "series", sat.alias("sat"),
                     labels.era("o_orderdate", "early", "late", "1998-01-01").alias("era"),
                     labels.regime(sat).alias("regime"),
-                    F.array_join(labels.regime_flags(sat), ",").alias("flags")))
+                    F.array_join(labels.regime_flags(sat), ",").alias("flags"),
+                    F.array_join(labels.regime_notes(sat), " ").alias("notes")))
+
+
+def legacy_names(spark: SparkSession, d: str) -> DataFrame:
+    """Catalogue of legacy proton files among names with other instruments, cases, suffixes and endings."""
+    orders = table(spark, d, "orders", ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate"])
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    pick = lambda *words: F.element_at(F.array(*map(F.lit, words)), F.col("o_orderkey").cast("int") % len(words) + 1)
+    name = F.concat(F.lit("g"), F.lpad((F.col("o_orderkey") % 8 + 8).cast("string"), 2, "0"), F.lit("_"),
+                    pick("eps", "epead_p17ew", "hepad_s2", "magn", "HEPAD", "epead_cpflux", "hepad_ap"), F.lit("_"),
+                    F.substring("o_orderpriority", 1, 1), F.lit("m_"), day, F.lit("_"), day,
+                    pick("", "_science", "_v1.0", "_science_v2.1.0", "_v"), pick(".nc", ".NC", ".csv"))
+    found = catalogue.legacy_proton_catalogue(orders.select(name.alias("filename")).distinct())
+    return found.select("filename", "sat", "instrument", "cadence", *[
+        F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first_day", "last_day")])
 
 
 def _file_names(spark: SparkSession, d: str) -> DataFrame:
@@ -443,6 +500,18 @@ QUERIES = {
         SELECT l.series AS left_name, q.series AS right_name, {ts('greatest(l.x, q.x)', 'overlap_start')},
         {ts('least(l.y, q.y)', 'overlap_end')} FROM s l JOIN s q ON l.series < q.series
         AND greatest(l.x, q.x) < least(l.y, q.y)"""),
+    "archive_files": (archive_files, f"""
+        WITH {_B5}, p AS (SELECT {_FILE} AS tag, t, n FROM b),
+        f AS (SELECT strftime(t, '%Y%m%d') AS day, tag, count(*) AS n_rows, min(t) AS a, max(t) AS b, sum(n) AS total FROM p GROUP BY 1, 2),
+        m AS (SELECT series, value, {bin_start('idx', 1)} AS t FROM ({bins_sql(EVENT_OBS, 1)})),
+        x AS (SELECT {_FILE} AS tag, t, round_even(value * 100, 0) AS k FROM m AS b),
+        g AS (SELECT strftime(t, '%Y%m%d') AS day, tag, count(*) AS n_rows, min(t) AS a, max(t) AS b,
+              sum(CASE WHEN k <> 0 AND k <= 10000 THEN k * 1e-6 END) AS total FROM x GROUP BY 1, 2)
+        SELECT 'particle' AS kind, day || '_' || tag || 'part_5m.txt' AS src_file, rtrim(tag, '_') AS series, n_rows, {ts('a', 'time_start')},
+               {ts('b', 'time_end')}, {r('total', 'total')}, NULL AS note FROM f
+        UNION ALL SELECT 'particle', day || '_G13part_5m.txt', 'G13', 0, NULL, NULL, NULL, 'empty source file' FROM f WHERE tag = 'G9'
+        UNION ALL SELECT 'xray', day || '_' || tag || 'xr_1m.txt', rtrim(tag, '_'), n_rows, {ts('a', 'time_start')},
+               {ts('b', 'time_end')}, {r('total', 'total')}, NULL FROM g"""),
     "parse_archive_text": (parse_archive_text, (
         f"WITH {_B5} SELECT {ts('t', 'time_utc')}, {_TAG} AS series, {_SAT} AS source_sat, "
         f"CASE WHEN {_LAYOUT} <> 'kasi' THEN 'W075' END AS location, "
@@ -468,7 +537,16 @@ QUERIES = {
         "CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'early' ELSE 'late' END AS era, "
         f"CASE WHEN c_nationkey >= 16 THEN '{labels.REGIME_NEW}' ELSE '{labels.REGIME_OLD}' END AS regime, "
         "CASE c_nationkey WHEN 13 THEN 'goes13_anomalous_mode' WHEN 19 THEN 'maturity_check_goes19' ELSE '' END "
-        "AS flags FROM orders JOIN customer ON o_custkey = c_custkey")),
+        "AS flags, CASE c_nationkey WHEN 13 THEN $a$" + labels.NOTE_ANOMALOUS + "$a$ WHEN 16 THEN $a$" + labels.NOTE_GOES_R
+        + "$a$ WHEN 19 THEN $a$" + labels.NOTE_MATURITY + "$a$ ELSE '' END AS notes FROM orders JOIN customer ON o_custkey = c_custkey")),
+    "legacy_names": (legacy_names, f"""
+        WITH n AS (SELECT DISTINCT 'g' || lpad(CAST(o_orderkey % 8 + 8 AS VARCHAR), 2, '0') || '_' ||
+            ['eps', 'epead_p17ew', 'hepad_s2', 'magn', 'HEPAD', 'epead_cpflux', 'hepad_ap'][CAST(o_orderkey % 7 + 1 AS INTEGER)] || '_' ||
+            o_orderpriority[1] || 'm_' || strftime(o_orderdate, '%Y%m%d') || '_' || strftime(o_orderdate, '%Y%m%d') ||
+            ['', '_science', '_v1.0', '_science_v2.1.0', '_v'][CAST(o_orderkey % 5 + 1 AS INTEGER)] || ['.nc', '.NC', '.csv'][CAST(o_orderkey % 3 + 1 AS INTEGER)] AS filename,
+            o_orderkey % 8 + 8 AS s, o_orderkey % 7 AS i, o_orderkey % 5 AS v, o_orderkey % 3 AS e, o_orderpriority[1] AS c, o_orderdate AS d FROM orders)
+        SELECT filename, CAST(s AS INTEGER) AS sat, lower(['eps', 'epead_p17ew', 'hepad_s2', 'magn', 'HEPAD', 'epead_cpflux', 'hepad_ap'][CAST(i + 1 AS INTEGER)]) AS instrument,
+            c || 'm' AS cadence, strftime(d, '%Y-%m-%d') AS first_day, strftime(d, '%Y-%m-%d') AS last_day FROM n WHERE i <> 3 AND v <> 4 AND e <> 2"""),
     "latest_version": (latest_version, (
         f"WITH {_NAMES_SQL}, y AS (SELECT *, row_number() OVER (PARTITION BY sat, year "
         "ORDER BY p DESC, m DESC, d DESC) AS k FROM names WHERE year IS NOT NULL) "

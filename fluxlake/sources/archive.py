@@ -7,8 +7,11 @@ back and nothing leaves the JVM.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,10 +80,13 @@ def list_files(spark: SparkSession, root: str, kind: ArchiveKind,
     """``path, content, sha256, md5`` of the archive files under ``root/<YYYY>/``.
 
     Names that do not match the kind's pattern (misfiled products) are skipped. Year folders are
-    selected through the read paths, so other years are not listed at all.
+    selected through the read paths, so other years are not listed at all. Spark's file sources pass over files
+    without bytes, which have a record too: they are added from :func:`empty_files`.
     """
     paths = [f"{root}/{y}" for y in years] if years else [f"{root}/[0-9][0-9][0-9][0-9]"]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", kind.glob).load(paths)
+    read = spark.read.format("binaryFile").option("pathGlobFilter", kind.glob).load(paths)
+    files = read.select("path", "content", "length").unionAll(
+        empty_files(spark, root, years).select("path", F.lit(b"").alias("content"), F.lit(0).cast("long").alias("length")))
     return (
         files.filter(basename("path").rlike(kind.name_pattern))
         .select("path", "content", F.sha2("content", 256).alias("sha256"),
@@ -88,6 +94,26 @@ def list_files(spark: SparkSession, root: str, kind: ArchiveKind,
     )
 
 
+def empty_files(spark: SparkSession, root: str, years: list[int] | None = None) -> DataFrame:
+    """``path`` of the files without bytes under ``root/<YYYY>/``; a task lists a year's folder."""
+    from pyarrow import fs
+
+    if years is None:
+        system, at = fs.FileSystem.from_uri(root)
+        years = sorted(int(f.base_name) for f in system.get_file_info(fs.FileSelector(at)) if re.fullmatch(r"\d{4}", f.base_name))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                system, at = fs.FileSystem.from_uri(folder)
+                found = system.get_file_info(fs.FileSelector(at, allow_not_found=True))
+                names = [f"{folder}/{f.base_name}" for f in found if f.is_file and f.size == 0]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
+
+    folders = spark.createDataFrame([(f"{root}/{y:04d}",) for y in years], "folder string")
+    return folders.repartition(max(1, len(years)), "folder").mapInArrow(listed, "path string")
+
+
 def as_text(files: DataFrame) -> DataFrame:
     """The files as text; bytes that aren't UTF-8 become replacement characters."""
     return files.withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))).drop("content")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxlake.functions.labels import DAILY_NAME, MISSION_NAME, YEARLY_NAME
+from fluxlake.functions.labels import DAILY_NAME, LEGACY_PROTON_NAME, MISSION_NAME, YEARLY_NAME
 
 
 def version_key(version: str | Column) -> Column:
@@ -35,6 +35,14 @@ def daily_catalogue(names: DataFrame, name: str = "filename") -> DataFrame:
         F.to_date(part(3), "yyyyMMdd").alias("day"), part(4).alias("version"))
 
 
+def legacy_proton_catalogue(names: DataFrame, name: str = "filename") -> DataFrame:
+    """Satellite, instrument, cadence and days of the monthly proton files of the older satellites."""
+    part = lambda i: F.regexp_extract(name, LEGACY_PROTON_NAME, i)
+    return names.filter(F.col(name).rlike(LEGACY_PROTON_NAME)).select(
+        name, part(1).cast("int").alias("sat"), F.lower(part(2)).alias("instrument"), F.lower(part(3)).alias("cadence"),
+        F.try_to_date(part(4), "yyyyMMdd").alias("first_day"), F.try_to_date(part(5), "yyyyMMdd").alias("last_day"))
+
+
 def without_missions(catalogue: DataFrame) -> DataFrame:
     """Drop whole-mission aggregates where the satellite also has yearly files."""
     yearly = catalogue.filter(~F.col("full_mission")).select("sat").distinct()

@@ -6,6 +6,8 @@ upserts go to a new folder that is swapped in by name.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,6 +78,65 @@ def write_manifest(records: DataFrame, path: str) -> None:
     records.write.mode("errorifexists").json(path)
 
 
+POINTER = "CURRENT"
+
+
+def commit_manifest(records: DataFrame, path: str) -> str:
+    """Write ``records`` as a new version of the manifest under ``path`` and make it the current one; its name.
+
+    The version is complete in a folder of its own before a pointer file is renamed over the old one, which is one
+    step of the file system: readers see the old version or the new one, and what a crash leaves behind is never read.
+    """
+    spark = records.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    records.write.mode("errorifexists").json(f"{path}/{version}")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    staged, final = (hadoop.Path(f"{path}/{name}") for name in (f"{POINTER}-{version}", POINTER))
+    out = staged.getFileSystem(conf).create(staged, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    over = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(over, 1)
+    options[0] = over.OVERWRITE
+    hadoop.FileContext.getFileContext(final.toUri(), conf).rename(staged, final, options)
+    return version
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """Name of the version that the pointer names; None before the first commit."""
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    if not pointer.getFileSystem(spark._jsc.hadoopConfiguration()).exists(pointer):
+        return None
+    return spark.read.text(f"{path}/{POINTER}").first()[0]
+
+
+def current_manifest(spark: SparkSession, path: str, schema: T.StructType, key: str = "local_path") -> DataFrame:
+    """The committed records; an empty table before the first commit."""
+    version = current_version(spark, path)
+    if version is None:
+        return spark.createDataFrame([], schema)
+    return read_manifest(spark, f"{path}/{version}", schema, key)
+
+
+def commit_upsert(spark: SparkSession, path: str, new: DataFrame, schema: T.StructType, key: str = "local_path") -> str:
+    """Commit the current records with those of ``new`` in place of the ones of the same key."""
+    old = current_manifest(spark, path, schema, key)
+    return commit_manifest(upsert_manifest(old, new, key).select(*[f.name for f in schema.fields]), path)
+
+
+def drop_versions(spark: SparkSession, path: str) -> int:
+    """Delete versions and staged pointers that are not current, once no reader needs them."""
+    keep = current_version(spark, path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system, dropped = root.getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    for status in system.listStatus(root):
+        name = status.getPath().getName()
+        if name not in (keep, POINTER) and name.startswith(("version-", f"{POINTER}-")):
+            dropped += system.delete(status.getPath(), True)
+    return dropped
+
+
 def first_by_basename(manifest: DataFrame, order: str, value: str,
                       path: str = "local_path") -> DataFrame:
     """First non-empty ``value`` per file name, in the order given."""

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fluxlake.functions.calendar import time_micros
 from fluxlake.operators.daycut import spaced_starts
 from fluxlake.operators.evaluate import check_predictions, evaluate, from_long, to_long
 from fluxlake.operators.median import grouped_median
@@ -161,3 +162,39 @@ def test_grouped_median_is_exact(spark):
         got = {r.k: r.median for r in grouped_median(df, ["k"], "v", accuracy=accuracy).collect()}
         for k, vs in groups.items():
             assert got[k] == pytest.approx(np.median(vs), abs=0)
+
+
+def test_times_as_nanoseconds_and_refused_kinds(spark):
+    hour = 3_600_000_000_000
+    base = 1_700_000_000_123_456_789
+    df = spark.createDataFrame([("a", base + k * 7 * hour) for k in range(12)], "k string, t long")
+    got = sorted(r.t for r in spaced_starts(df, ["k"], "t").collect())
+    assert got == [base // 1000 * 1000 + k * 7 * hour for k in (0, 4, 8)]
+    naive = df.select("k", F.timestamp_micros(F.expr("t div 1000")).cast("timestamp_ntz").alias("t"))
+    assert [r.t.hour for r in spaced_starts(naive, ["k"], "t").orderBy("t").collect()] == [22, 2, 6]
+    before = spark.createDataFrame([("a", -1)], "k string, t long").select(time_micros(df, "t").alias("m")).first().m
+    assert before == -1
+    for kind in ("double", "float", "string", "boolean", "date"):
+        with pytest.raises(TypeError, match="integer nanoseconds"):
+            spaced_starts(spark.createDataFrame([], f"k string, t {kind}"), ["k"], "t")
+
+
+def test_medians_are_narrowed_by_rank_where_values_cluster(spark):
+    """Heavy tails: nearly all values of a group lie in a sliver of its range; the largest ordered step is bounded."""
+    from fluxlake.operators import median
+
+    rng = np.random.default_rng(11)
+    groups = {"tail": np.exp(rng.normal(0, 8, 4001)), "sliver": np.concatenate([1 + rng.random(6000) * 1e-9, [-1e12, 1e12]]),
+              "even": rng.normal(size=4000), "few": np.array([1.0, 5.0]), "same": np.full(3000, 7.0)}
+    rows = [(k, float(v), float(-v)) for k, values in groups.items() for v in values] + [("none", None, None), (None, 3.0, None)]
+    df = spark.createDataFrame(rows, "k string, v double, w double").repartition(4)
+    # a coarse sketch leaves long brackets
+    got = {r.k: (r.v, r.w) for r in median.grouped_medians(df, ["k"], ["v", "w"], accuracy=40, ordered=30).collect()}
+    for k, values in groups.items():
+        assert got[k] == (np.median(values), np.median(-values)), k
+    assert got[None] == (3.0, None)
+    inside = df.filter("k = 'sliver'").groupBy("k", F.lit("v").alias("name"), "v").agg(F.count("*").alias("_c")).withColumns(
+        {"n": F.lit(6002).cast("long"), "_before": F.lit(0).cast("long")})
+    once = median.narrowed(inside, ["k"])
+    assert median.longest(inside, ["k"]) == 6002 and median.longest(once, ["k"]) <= 60
+    assert median.longest(median.narrowed(once, ["k"]), ["k"]) <= 4

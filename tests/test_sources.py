@@ -290,3 +290,56 @@ def test_intermediate_tables_are_deleted_on_request(spark):
     path = table.inputFiles()[0].removeprefix("file://")
     assert os.path.exists(path)
     assert drop_scratch(spark) >= 1 and not os.path.exists(path)
+
+
+MANIFEST = T.StructType([T.StructField("local_path", T.StringType()), T.StructField("sha256", T.StringType())])
+
+
+def test_manifest_versions_survive_a_crash(spark, tmp_path):
+    root = str(tmp_path / "m")
+    frame = lambda *rows: spark.createDataFrame(list(rows), MANIFEST)
+    shown = lambda: sorted(tuple(r) for r in records.current_manifest(spark, root, MANIFEST).collect())
+    assert shown() == [] and records.current_version(spark, root) is None
+    first = records.commit_upsert(spark, root, frame(("a", "1"), ("b", "1")), MANIFEST)
+    assert shown() == [("a", "1"), ("b", "1")]
+    # a writer that dies before the pointer moves: half a version, and a staged pointer
+    frame(("a", "broken")).write.json(f"{root}/version-half")
+    (tmp_path / "m" / "CURRENT-version-half").write_text("version-half")
+    assert shown() == [("a", "1"), ("b", "1")] and records.current_version(spark, root) == first
+    old = records.current_manifest(spark, root, MANIFEST)
+    second = records.commit_upsert(spark, root, frame(("b", "2"), ("c", "2")), MANIFEST)
+    assert shown() == [("a", "1"), ("b", "2"), ("c", "2")]
+    # a reader that opened the first version still reads it, until versions are dropped
+    assert sorted(tuple(r) for r in old.collect()) == [("a", "1"), ("b", "1")]
+    assert records.drop_versions(spark, root) == 3
+    assert sorted(p.name for p in (tmp_path / "m").iterdir() if not p.name.startswith(".")) == ["CURRENT", second]
+    assert shown() == [("a", "1"), ("b", "2"), ("c", "2")]
+
+
+def test_named_files_are_written_by_tasks_and_appear_at_once(spark, tmp_path):
+    from fluxlake.sources.files import write_named_files
+
+    root = f"file://{tmp_path}/archive"
+    rows = [(f"20{k % 3:02d}/day {k}.txt", bytes([k, 255])) for k in range(30)] + [("top.txt", b""), ("20/none.txt", None)]
+    df = spark.createDataFrame(rows, "path string, content binary").repartition(7)
+    write_named_files(df, root)
+    found = {str(p.relative_to(tmp_path / "archive")): p.read_bytes() for p in (tmp_path / "archive").rglob("*") if p.is_file()}
+    assert found == {name: content or b"" for name, content in rows}
+    assert [p.name for p in tmp_path.iterdir()] == ["archive"]
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    assert back.count() == len(rows)
+    with pytest.raises(Exception, match="exists"):
+        write_named_files(df, root)
+    for bad in ("../x", "/x", "a//b", "_temporary/x"):
+        with pytest.raises(Exception, match="not a path below"):
+            write_named_files(spark.createDataFrame([("ok", b"1"), (bad, b"")], "path string, content binary"), f"{root}2")
+
+
+def test_legacy_proton_names_and_notes(spark):
+    names = ["g13_epead_p17ew_5m_20110101_20110131.nc", "G08_EPS_1m_20000201_20000229_science_v1.0.2.nc", "g15_hepad_s11_1m_20120301_20120331.nc",
+             "g13_magn_1m_20110101_20110131.nc", "g13_eps_5m_20110101.nc", "xg13_eps_5m_20110101_20110131.nc", None]
+    df = spark.createDataFrame([(n,) for n in names], "filename string")
+    got = sorted((r.sat, r.instrument, r.cadence, r.first_day.isoformat(), r.last_day.day) for r in catalogue.legacy_proton_catalogue(df).collect())
+    assert got == [(8, "eps", "1m", "2000-02-01", 29), (13, "epead_p17ew", "5m", "2011-01-01", 31), (15, "hepad_s11", "1m", "2012-03-01", 31)]
+    sats = spark.createDataFrame([(n,) for n in (8, 13, 16, 19)], "s int").select("s", labels.regime_notes("s").alias("n")).orderBy("s").collect()
+    assert [len(r.n) for r in sats] == [0, 1, 1, 1] and "2013-06-07" in sats[1].n[0] and "2017" in sats[2].n[0]
