@@ -196,5 +196,5 @@ def test_medians_are_narrowed_by_rank_where_values_cluster(spark):
     inside = df.filter("k = 'sliver'").groupBy("k", F.lit("v").alias("name"), "v").agg(F.count("*").alias("_c")).withColumns(
         {"n": F.lit(6002).cast("long"), "_before": F.lit(0).cast("long")})
     once = median.narrowed(inside, ["k"])
-    assert median.longest(inside, ["k"]) == 6002 and median.longest(once, ["k"]) <= 60
+    assert median.longest(inside, ["k"]) == inside.count() and median.longest(once, ["k"]) <= 60
     assert median.longest(median.narrowed(once, ["k"]), ["k"]) <= 4
