@@ -47,8 +47,9 @@ def _split(active: DataFrame, stride: int) -> DataFrame:
         .select(F.col("part").alias("g_part"), F.col("head").alias("g_head"), F.col("ended").alias("g_ended"), "n",
                 F.monotonically_increasing_id().alias("number"),
                 F.col("best.doc_id").alias("best_id"), (-F.col("best.chars")).alias("best_chars")), "groups")
+    # the same join at every size: a hot group is split, and few groups are not sent to every task
     met = dealt.join(
-        groups,
+        groups.hint("merge"),
         (F.col("part") == F.col("g_part")) & (F.col("head") == F.col("g_head")) & (F.col("ended") == F.col("g_ended")), "left")
     alone, going_on = F.col("n").isNull(), F.col("n").isNotNull() & ~F.col("ended")
     return met.select(
