@@ -1,10 +1,12 @@
 """Exact medians of groups that are too large to hold their values in one task.
 
-A quantile sketch per group (mergeable, a few kilobytes) brackets the middle ranks within a known rank error. A
-second pass counts the values below the bracket and the distinct values inside it, both combined on the map
-side. A bracket of more than ``ORDERED`` distinct values is cut at ``CUTS`` quantiles of these, so in steps of about
-equally many however they cluster; counts per step tell which one or two hold the middle ranks, and the others are
-dropped, round by round until what is left is short enough to be ordered in a task.
+A quantile sketch per group (mergeable, a few kilobytes) brackets the middle ranks within a known rank error. The
+brackets are written before values meet them, so that their size is known and Spark may broadcast them; as an
+aggregation over a few groups they would be merge-joined, with a whole group sorted in one task. A second pass counts
+the values below the bracket and the distinct values inside it, both combined on the map side. A bracket of more than
+``ORDERED`` distinct values is cut at ``CUTS`` quantiles of these, so in steps of about equally many however they
+cluster; counts per step tell which one or two hold the middle ranks, and the others are dropped, round by round until
+what is left is short enough to be ordered in a task.
 """
 
 from __future__ import annotations
@@ -35,8 +37,9 @@ def narrowed(inside: DataFrame, keys: list[str], cuts: int = CUTS) -> DataFrame:
     ``inside`` has a row per distinct value ``v`` with its count ``_c``, and ``_before`` for the count below them all.
     """
     own = [*keys, "name"]
-    at = inside.groupBy(*own).agg(F.percentile_approx("v", [i / cuts for i in range(1, cuts)], ACCURACY).alias("_cuts")).select(
-        *[F.col(k).alias(f"_of_{k}") for k in own], "_cuts")
+    at = materialize(inside.groupBy(*own).agg(
+        F.percentile_approx("v", [i / cuts for i in range(1, cuts)], ACCURACY).alias("_cuts")).select(
+        *[F.col(k).alias(f"_of_{k}") for k in own], "_cuts"), "cuts")
     stepped = inside.join(at, same_keys(inside, at, own, "_of_")).select(
         *inside.columns, F.size(F.filter("_cuts", lambda c: c < F.col("v"))).alias("_step"))
     along = Window.partitionBy(*own).orderBy("_step")
@@ -44,10 +47,10 @@ def narrowed(inside: DataFrame, keys: list[str], cuts: int = CUTS) -> DataFrame:
         "_upto", F.col("_base") + F.sum("_s").over(along))
     low, high = _ranks()
     holds = lambda rank: (F.col("_upto") > rank) & (F.col("_upto") - F.col("_s") <= rank)
-    wanted = sums.filter(holds(low) | holds(high)).select(
+    wanted = materialize(sums.filter(holds(low) | holds(high)).select(
         *[F.col(k).alias(f"_of_{k}") for k in own], F.col("_step").alias("_of_step"),
         # steps between the two have no values, so the lower one's count serves both
-        F.min(F.col("_upto") - F.col("_s")).over(Window.partitionBy(*own)).alias("_start"))
+        F.min(F.col("_upto") - F.col("_s")).over(Window.partitionBy(*own)).alias("_start")), "steps")
     match = same_keys(stepped, wanted, own, "_of_") & (F.col("_step") == F.col("_of_step"))
     return stepped.join(wanted, match).select(
         *[c for c in inside.columns if c != "_before"], F.col("_start").alias("_before"))
@@ -66,7 +69,8 @@ def grouped_medians(df: DataFrame, keys: list[str], values: list[str], accuracy:
     sketch = data.groupBy(*keys).agg(*[F.struct(
         F.count(v).alias("n"), F.percentile_approx(v, probs, accuracy).alias("q")).alias(f"_{v}")
         for v in values])
-    bounds = sketch.alias("r")
+    # a row per group: written, its size is known before the join, which then neither shuffles nor sorts the values
+    bounds = materialize(sketch, "bounds").alias("r")
     same_key = F.lit(True)
     for k in keys:
         same_key = same_key & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))

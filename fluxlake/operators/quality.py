@@ -69,7 +69,8 @@ def cadence_report(df: DataFrame, keys: list[str], time: str, order: str,
     # the sketch, the bracket and the report read the steps: they are written, not computed three times
     steps = materialize(previous_value(df.select(*keys, time, order), keys, order, time, slice_expr, "_prev").select(
         *keys, time, step.alias("_step")), "steps")
-    median = grouped_median(steps, keys, "_step", "cadence_s")
+    # a row per key: written, its size is known before the join, which then leaves the steps in place
+    median = materialize(grouped_median(steps, keys, "_step", "cadence_s"), "cadence")
     joined = steps.join(median, keys, "left")
     span = (F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / 1e6
     out = joined.groupBy(*keys, "cadence_s").agg(
