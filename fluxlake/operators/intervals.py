@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxlake.operators.ordered import beside, range_slices, running_sum, same_keys, time_slice
+from fluxlake.operators.ordered import beside, in_ranges, range_slices, running_sum, same_keys, time_slice
+from fluxlake.session import materialize
 
 # Fixed values of the designation tables.
 OPEN = "open"
@@ -199,11 +200,22 @@ def label_asof(samples: DataFrame, intervals: DataFrame, attrs: list[str],
             .select(*[sliced[c] for c in samples.columns], *[side[a] for a in attrs]))
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, attrs: list[str]) -> DataFrame:
+RANGE_ROWS = 500_000
+
+
+def range_count(df: DataFrame, rows: int) -> int | None:
+    """So many ranges that each holds about ``rows`` rows however long the table is; None for one shorter than that."""
+    n = df.count()
+    return max(-(-n // rows), df.sparkSession.sparkContext.defaultParallelism) if n > rows else None
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, attrs: list[str],
+              range_rows: int = RANGE_ROWS) -> DataFrame:
     """Backward as-of join of two tables of any size: ``left`` with the ``attrs`` of its key's latest row in ``right``.
 
-    Rows of both sides are put into one order and cut into ranges of about equal size, ties included; the last
-    row of ``right`` is carried through each range, and from range to range in one row per key and range. Of rows
+    Rows of both sides are put into one order and cut into ranges of about equal size, ties included; a range has
+    about ``range_rows`` rows, so what a task sorts does not grow with the tables. The last row of ``right`` is carried
+    through each range, and from range to range in one row per range border inside a key. Of rows
     of ``right`` at one time the one with the largest attributes counts. A row without key or time meets nothing.
     """
     clash = set(left.columns) & set(attrs)
@@ -218,17 +230,25 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     ).unionAll(keyed.select(
         *by, F.col(right_time).alias("_time"), F.lit(0).alias("_side"), found.alias("_found"), F.lit(0).cast("long").alias("_salt"),
         F.lit(None).cast(kinds["_own"]).alias("_own")))
-    sliced = range_slices(both, [*by, "_time", "_side", "_found", "_salt"])
-    on = [*by, "_slice"]
-    ends = sliced.groupBy(*on).agg(F.max(F.when(F.col("_side") == 0, F.struct("_time", "_found"))).alias("_last"))
+    n, on = range_count(both, range_rows), [*by, "_slice"]
+    sliced = in_ranges(both, [*by, "_time", "_side", "_found", "_salt"], n)
+    spread = sliced.repartition(n, *on) if n else sliced
+    order = Window.partitionBy(*on).orderBy("_time", "_side", "_found")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # rows of ``left``, and the last row of each key and range
+    met = materialize(spread.select(
+        *on, "_side", "_own", F.last("_found", ignorenulls=True).over(upto).alias("_met"),
+        F.lead(F.lit(True)).over(order).isNull().alias("_end")).filter("_side = 1 OR _end"), "asof")
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*[F.col(c).alias(f"_on_{c}") for c in on], F.last("_last._found", ignorenulls=True).over(earlier).alias("_carry"))
-    upto = Window.partitionBy(*on).orderBy("_time", "_side", "_found").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = sliced.join(carried, same_keys(sliced, carried, on, "_on_")).withColumn(
-        "_met", F.coalesce(F.last("_found", ignorenulls=True).over(upto), F.col("_carry"))).filter("_side = 1")
-    timed = F.col("_time").isNotNull()
-    return met.select(*[F.col("_own")[c].alias(c) for c in left.columns],
-                      *[F.when(timed, F.col("_met")[a]).alias(a) for a in attrs])
+    # only a key that is cut by a range border has something to carry: fewer rows than ranges
+    carried = materialize(met.filter("_end").select(
+        *[F.col(c).alias(f"_on_{c}") for c in on], F.last("_met", ignorenulls=True).over(earlier).alias("_carry")).filter(
+        "_carry IS NOT NULL"), "carried")
+    own = met.filter("_side = 1")
+    known = own.join(carried, same_keys(own, carried, on, "_on_"), "left").withColumn("_met", F.coalesce("_met", "_carry"))
+    timed = F.col("_own")[left_time].isNotNull()
+    return known.select(*[F.col("_own")[c].alias(c) for c in left.columns],
+                        *[F.when(timed, F.col("_met")[a]).alias(a) for a in attrs])
 
 
 def assign_roles(samples: DataFrame, intervals: DataFrame | None, time: str = "time_utc",

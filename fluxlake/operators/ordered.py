@@ -36,10 +36,16 @@ def slice_width(df: DataFrame, keys: list[str], time: str, rows: int = SLICE_ROW
     return max(1, min(DAY_US, MINUTE_US * rows // densest))
 
 
+def in_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """``df`` with ``_slice``, non-decreasing in ``order``: ranges of about equal size, as many as given or
+    as the session has shuffle partitions. For one use, since the numbers may change between uses."""
+    cut = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    return cut.withColumn("_slice", F.spark_partition_id())
+
+
 def range_slices(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with ``_slice``, non-decreasing in ``order``: ranges of about equal size, as many as the
-    session has shuffle partitions. Written once, since the numbers must not change between uses."""
-    return materialize(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "ordered")
+    """:func:`in_ranges`, written once, so that the numbers are the same in all uses."""
+    return materialize(in_ranges(df, order), "ordered")
 
 
 def keep_one(df: DataFrame, keys: list[str], order: list[str], keep: str = "last") -> DataFrame:
